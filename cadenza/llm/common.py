@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written in decimal, modulo ``folds``; null ids fall in no fold."""
     return F.crc32(doc_id.cast("string")) % folds

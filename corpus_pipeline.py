@@ -1,8 +1,69 @@
-"""The corpus pipeline (see the README): five operators of cadenza.llm in a row."""
+"""The corpus pipeline: documents in, token ids out, in five stages.
 
-STAGES = []
+Each stage takes all that its predecessor kept, is written as Parquet and read
+back, and hands the columns of ``documents`` on (the last one adds token ids).
+Columns beyond those pass through every stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cadenza.llm import bpe, common, language_id, line_dedup, mixing, near_dedup
+
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and texts whose language is in doubt, go."""
+    scored = language_id.predict(docs, language_id.train(docs))
+    keep = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
+    return scored.filter(keep).drop("lang_pred", "lang_score")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated three-line windows go; so do documents of which nothing but white space is left."""
+    done = line_dedup.line_dedup(docs)
+    keep = (F.col("_n_removed") == 0) | F.col("text").rlike(r"\S")
+    return done.filter(keep).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_n_lines", "_n_removed")
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    dropped = common.stored(near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(dropped.hint("shuffle_merge"), docs["doc_id"] == F.col("_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sample that meets the target weights."""
+    return mixing.mix(docs).filter("_kept").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether they decode to it."""
+    coded = bpe.decode(bpe.encode(docs))
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", dedup_near),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+#: SQL cannot express the first, fourth and fifth stage; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            path = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{at}.parquet"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
