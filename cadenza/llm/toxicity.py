@@ -6,12 +6,14 @@ and threat transducers emit weights, the target transducer notes whom a clause
 is about, the negation and reported-speech transducers change what stands in
 their scope. Their composition, a product of states built on demand, reads each
 clause once, and a document is scored from its matched clauses, never from
-isolated words: the strongest clause of each kind, combined by a small logistic
-model.
+isolated words: the summed weights of the matches of each kind, up to a cap,
+combined by a small logistic model.
 
-The insult lexicon (words, and word beginnings of four to six letters for
+The insult lexicon (words, and word beginnings of four to eight letters for
 languages that bend their words) and the model's weights are learned from
-labelled rows: a bounded sample, PER_CLASS documents of each label in
+labelled rows. A term must stand out by the number of distinct contexts (word
+before, word after) that it has in toxic and in other texts, so that the words
+of one text with many copies don't. The rows are a bounded sample, PER_CLASS documents of each label in
 expectation, chosen by a hash of doc_id. Labels, language, source and doc_id are
 no inputs of a score. Whole texts are read in training and scoring.
 
@@ -34,13 +36,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 
 PER_CLASS, MOST_TERMS, LEAST_PRECISION = 5000, 5000, 0.9
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: Closed word classes of the grammar.
 THREATS = "kill hurt destroy beat shoot stab burn attack murder strangle töten umbringen tuer matar"
 INTENT = "will shall gonna going want should werde voy vais"
 TARGETS = "you your yours u he him his she her they them their we us people person du dich dein ihr sie er tu te ton toi vous votre il elle ils tú usted él ella ellos"
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't without kein keine nie niemals pas jamais aucun nunca ni tampoco sin"
 REPORTS = "said says say called calls wrote writes claimed claims according quoted sagte sagt dit disait dijo dice"
+CAP = 24.0  # of a document's summed weights of one kind
+STEM_WORDS = 3  # distinct words that a word beginning must cover
 SCOPE = 3  # words that a negation or an intent reaches
 FEATURES = ("plain", "aimed", "negated", "reported", "threat", "weak_threat")
 PRIOR = np.array([-3.0, 1.0, 1.2, 0.6, 0.6, 0.8, 0.2])  # base score, then the features: what holds until the labels say otherwise
@@ -97,11 +101,11 @@ def clause_features(words: list[str], lexicon: dict[str, float], machine: Compos
             threats.append((intended, negated or reported))
     for weight, negated, reported in events:
         k = 2 if negated else 3 if reported else 1 if aimed else 0
-        seen[k] = max(seen[k], weight)
+        seen[k] = min(CAP, seen[k] + weight)
     for intended, weak in threats:
         if aimed:
             k = 4 if intended and not weak else 5
-            seen[k] = max(seen[k], 4.0)
+            seen[k] = min(CAP, seen[k] + 4.0)
 
 
 def term_weight(word: str, lexicon: dict[str, float]) -> float:
@@ -139,6 +143,21 @@ def _terms_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_term, pa.string()), pa.array(out_toxic, pa.int32())], ["term", "toxic"])
 
 
+def _contexts_of(wanted):
+    """Distinct contexts of the wanted terms: term, word, words around it, label."""
+    def run(batches):
+        for batch in batches:
+            out = set()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = ["", *_WORD.findall((text or "").lower()), ""]
+                for before, word, after in zip(words, words[1:], words[2:]):
+                    out.update((t, word, f"{before} {after}", toxic) for t in terms({word}) if t in wanted)
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int32())], ["term", "word", "around", "toxic"])
+
+    return run
+
+
 def _features_of(lexicon):
     def run(batches):
         machine = grammar()
@@ -183,14 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     if not bad:
         return {}, PRIOR.copy()
     base = bad / n
-    found = sample.mapInArrow(_terms_of, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    found = common.stored(found)
+    found = common.stored(sample.mapInArrow(_terms_of, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")))
     least_g = 2 * math.log(max(2, found.count()))  # so strict that of all the terms seen under one would pass by chance
     cut = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     g = 2 * (cut(F.col("bad"), F.col("n") * base) + cut(F.col("n") - F.col("bad"), F.col("n") * (1 - base)))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
-    good = found.withColumns({"g": g, "weight": weight}).filter((F.col("g") >= least_g) & (F.col("bad") >= F.col("n") * LEAST_PRECISION))
-    rows = good.orderBy(F.desc("g"), "term").limit(MOST_TERMS).select("term", "weight").collect()
+    stands_out = (F.col("g") >= least_g) & (F.col("bad") >= F.col("n") * LEAST_PRECISION)
+    wanted = {r["term"] for r in found.withColumn("g", g).filter(stands_out).orderBy(F.desc("g"), "term").limit(MOST_TERMS).select("term").collect()}
+    around = sample.mapInArrow(_contexts_of(wanted), "term string, word string, around string, toxic int").distinct()
+    by_context = around.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.count_distinct("word").alias("words"))
+    several = ~F.col("term").endswith("*") | (F.col("words") >= STEM_WORDS)
+    rows = by_context.withColumns({"g": g, "weight": weight}).filter(stands_out & several).select("term", "weight").collect()  # at most MOST_TERMS
     lexicon = {r["term"]: min(8.0, r["weight"]) for r in rows}
     seen = sample.mapInArrow(_features_of(lexicon), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     seen = seen.groupBy("toxic", *[F.round(f, 1).alias(f) for f in FEATURES]).count().collect()  # no more rows than the sample has
