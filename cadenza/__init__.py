@@ -1,0 +1 @@
+"""Narration planning over corpora, as Spark DataFrame operators."""
