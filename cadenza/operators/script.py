@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from cadenza.functions import text as T
 
@@ -13,7 +13,10 @@ from cadenza.functions import text as T
 VERBS = ("says", "shares", "reflects", "feels")
 MODES = ("preserve", "exclude", "two_voice")
 TYPES = ("paragraph", "heading", "list", "quote")
-W = Window.partitionBy("doc_id").orderBy("pos")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def keep_speakable(blocks: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def apply_quote_mode(blocks: DataFrame, mode: str = "preserve") -> DataFrame:
 def rotate_lead_ins(blocks: DataFrame, verbs: Sequence[str] = VERBS) -> DataFrame:
     """The n-th attributed quote of a document is led in by its speaker and the n-th verb, in rotation."""
     led = (F.col("type") == "quote") & (F.coalesce("speaker", F.lit("")) != "")
-    nth = F.sum(F.when(led, 1).otherwise(0)).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.sum(F.when(led, 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     verb = F.element_at(F.array(*map(F.lit, verbs)), ((F.col("_nth") - 1) % len(verbs) + 1).cast("int"))
     spoken = F.concat("speaker", F.lit(" "), verb, F.lit(', "'), "text", F.lit('"'))
     return blocks.withColumn("_nth", nth).withColumn("text", F.when(led, spoken).otherwise(F.col("text"))).drop("_nth")
@@ -44,7 +47,7 @@ def build_script(blocks: DataFrame, mode: str = "preserve") -> DataFrame:
     Quotes that the mode drops go before the window, which no filter can pass.
     """
     kept = rotate_lead_ins(keep_speakable(apply_quote_mode(blocks, mode)))
-    return kept.select("doc_id", (F.row_number().over(W) - 1).alias("block_index"), F.col("type").alias("block_type"), "text", "speaker")
+    return kept.select("doc_id", (F.row_number().over(in_order()) - 1).alias("block_index"), F.col("type").alias("block_type"), "text", "speaker")
 
 
 def apply_pronunciation(script: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:

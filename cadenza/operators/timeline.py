@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cadenza.operators.route import with_role
 
 #: Fixed values in ms.
 PARAGRAPH_MS, SENTENCE_MS, CLAUSE_MS, LEAD_MS = 700, 350, 150, 700
-W = Window.partitionBy("doc_id").orderBy("chunk_index")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("chunk_index")
 
 
 def _ends_sentence(text: Column) -> Column:
@@ -30,7 +33,7 @@ def _samples(sr: int, ms: Column) -> Column:
 def gap_plan(chunks: DataFrame, sr: int) -> DataFrame:
     """``chunks`` (with n, start, end of their signal) and target_ms, inserted: zeros behind every chunk but the last (null there)."""
     rows = with_role(pause_ms(chunks))
-    following = F.lead(F.struct("extra_lead_pause_ms", "start")).over(W)
+    following = F.lead(F.struct("extra_lead_pause_ms", "start")).over(in_order())
     rows = rows.withColumn("_next", following)
     target = F.col("pause_ms") + F.col("extra_trail_pause_ms") + F.col("_next.extra_lead_pause_ms")
     natural = F.col("n") - F.col("end") + F.col("_next.start")
@@ -46,9 +49,9 @@ def lead_in(chunks: DataFrame, sr: int) -> DataFrame:
 def layout(chunks: DataFrame, sr: int) -> DataFrame:
     """gap_plan's rows with lead, from_sample, to_sample, from_s, to_s in the joined recording."""
     rows = gap_plan(chunks, sr)
-    first = F.first("start").over(W.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("start").over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     lead = F.greatest(_samples(sr, F.lit(LEAD_MS)) - first, F.lit(0))
-    before = F.coalesce(F.sum(F.col("n") + F.coalesce("inserted", F.lit(0))).over(W.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.col("n") + F.coalesce("inserted", F.lit(0))).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("lead", lead.cast("int")).withColumn("from_sample", (lead + before).cast("long"))
     rows = rows.withColumn("to_sample", F.col("from_sample") + F.col("n"))
     return rows.withColumn("from_s", F.col("from_sample") / sr).withColumn("to_s", F.col("to_sample") / sr)
