@@ -214,8 +214,8 @@ class Encoder:
         self._learn(set().union(*cut))
         word = np.fromiter((self.known[w] for ws in cut for w in ws), np.int64, sum(map(len, cut)))
         lengths = self.at[word + 1] - self.at[word]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = upto[np.concatenate([[0], np.cumsum([len(ws) for ws in cut])])]
+        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        bounds = upto[np.concatenate([[0], np.cumsum([len(ws) for ws in cut], dtype=np.int64)])]
         return self.ids[gather(self.at[word], lengths)], bounds
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
@@ -239,7 +239,8 @@ def _sent(docs: DataFrame, path: str | None):
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids, array<int>."""
+    """``docs`` with a column of token ids, array<int>, in place of one of that name."""
+    docs = docs.drop(to)
     tables = _sent(docs, path)
 
     def run(batches):
@@ -256,7 +257,8 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", to:
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """``tokens`` with the text of its ids; null ids are empty."""
+    """``tokens`` with the text of its ids, in place of a column of that name; null ids are empty."""
+    tokens = tokens.drop(to)
     tables = _sent(tokens, path)
 
     def run(batches):

@@ -47,6 +47,13 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rename the columns whose names an operator needs for itself; returns the table and how to rename them back."""
+    taken = {n.lower() for n in names}
+    away = {c: f"{c}__{uuid.uuid4().hex[:8]}" for c in df.columns if c.lower() in taken}
+    return df.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written in decimal, modulo ``folds``; null ids fall in no fold."""
     return F.crc32(doc_id.cast("string")) % folds

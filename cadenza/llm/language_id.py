@@ -104,8 +104,8 @@ def score_texts(texts: list[str], languages: list[str], matrix: np.ndarray) -> t
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score."""
-    languages, _ = model
+    """``docs`` with lang_pred and lang_score, in place of columns of these names."""
+    docs, (languages, _) = docs.drop("lang_pred", "lang_score"), model
     sent = docs.sparkSession.sparkContext.broadcast(model[1])
     most = max(1 << 16, (4 << 20) // max(1, len(languages)))  # keeps a slice's score rows at about 100 MB
 

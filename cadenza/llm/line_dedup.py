@@ -54,8 +54,11 @@ def covered_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the covered lines taken out of the text.
 
-    Adds _n_lines and _n_removed; the other columns are as they were.
+    Adds _n_lines and _n_removed (in place of columns of these names); the other
+    columns are as they were.
     """
+    docs, back = common.aside(docs, "_cid", "_cfp", "covered", "_l")
+    docs = docs.drop("_n_lines", "_n_removed")
     covered = covered_lines(docs, text_col, id_col).withColumnsRenamed({"_id": "_cid", "_fp": "_cfp"})
     removed = F.coalesce(F.size("covered"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("covered"))
@@ -66,7 +69,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         *[(F.when(removed > 0, left).otherwise(docs[c]) if c == text_col else docs[c]).alias(c) for c in docs.columns],
         F.coalesce(F.size("_l"), F.lit(0)).alias("_n_lines"),
         removed.alias("_n_removed"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,27 +18,30 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts whose language is in doubt, go."""
+    docs, back = common.aside(docs, "lang_pred", "lang_score")
     scored = language_id.predict(docs, language_id.train(docs))
     keep = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return scored.filter(keep).drop("lang_pred", "lang_score")
+    return scored.filter(keep).drop("lang_pred", "lang_score").withColumnsRenamed(back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go; so do documents of which nothing but white space is left."""
+    docs, back = common.aside(docs, "_n_lines", "_n_removed")
     done = line_dedup.line_dedup(docs)
     keep = (F.col("_n_removed") == 0) | F.col("text").rlike(r"\S")
-    return done.filter(keep).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_n_lines", "_n_removed")
+    return done.filter(keep).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_n_lines", "_n_removed").withColumnsRenamed(back)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    dropped = common.stored(near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(dropped.hint("shuffle_merge"), docs["doc_id"] == F.col("_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    dropped = common.stored(near_dedup.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return docs.join(dropped.hint("shuffle_merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample that meets the target weights."""
-    return mixing.mix(docs).filter("_kept").select(*docs.columns)
+    docs, back = common.aside(docs, "_topic", "_n_tokens", "_weight", "_probability", "_kept")
+    return mixing.mix(docs).filter("_kept").select(*docs.columns).withColumnsRenamed(back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
