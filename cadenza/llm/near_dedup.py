@@ -11,13 +11,18 @@ members are held against hubs instead of against each other, and every link is
 confirmed on the full shingle sets of the two texts:
 
 1. each document against the hub (least id) it shares the most buckets with;
-2. each document against all its other hubs whose component still differs;
-3. against fresh random hubs in buckets that still hold several components, as
-   long as that joins any;
-4. in buckets that still hold several components, every document outside the
-   bucket's largest component against every member of another component.
-
-After step 4 every two documents of a bucket have been compared, or are already
+2. in buckets that still hold several components, each document against the
+   bucket's hub and a random member of the bucket, if they are of other components;
+3. in buckets that still hold several components, every document outside the
+   bucket's largest component against every member of another component. This
+   is done block by block on 32-bit shingle hashes, so no pair becomes a row
+   unless it is likely to be a link; those are then confirmed like the others.
+
+Both leave out documents and pairs that cannot reach the threshold: shingles
+that no other component has can't be shared, and with those counted (a grouping
+by shingle of the documents still in question) the rest bounds the similarity.
+
+After step 3 every two documents of a bucket have been compared, or are already
 connected, or differ too much in size to be linked; so components are exact for
 all pairs that share a bucket. A pair with similarity 0.8 misses all buckets
 with a probability of (1 - 0.8 ** 5) ** 32, about 3 in a million.
@@ -43,7 +48,8 @@ from . import common, graph
 
 SHINGLE, PERCENT = 5, 80
 RING_BITS, BANDS, ROWS = 20, 32, 5
-HUB_ROUNDS_SALT = 7
+RANDOM_HUBS = 1
+BLOCK = 1024  # documents of one bucket that a task holds at once
 
 
 @functools.lru_cache
@@ -171,20 +177,22 @@ class _Links:
 
     def __init__(self, texts: DataFrame, k: int, percent: int) -> None:
         self.texts, self.k, self.percent = texts, k, percent
-        self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Verify pairs (a, b), keep the links; whether there were any."""
+    def confirm(self, pairs: DataFrame) -> None:
+        """Verify pairs (a, b) and join the components that the links connect."""
         left = self.texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = self.texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         both = pairs.select("a", "b").join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
         found = common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.k, self.percent), "a long, b long"))
         if found.isEmpty():
-            return False
-        self.edges = found if self.edges is None else self.edges.union(found)
-        self.labels = common.stored(graph.components(self.edges))
-        return True
+            return
+        links = self.label(found, "a", "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        new = graph.components(links).select(F.col("v").alias("u"), F.col("component").alias("m"))
+        if self.labels is not None:
+            old = self.labels.select(F.col("v").alias("u"), F.col("component").alias("m"))
+            new = graph.follow(old, new).union(new.join(old, "u", "left_anti"))
+        self.labels = common.stored(new.select(F.col("u").alias("v"), F.col("m").alias("component")))
 
     def label(self, rows: DataFrame, *columns: str) -> DataFrame:
         """Add label_<column>: the component of the id in each column, the id itself where it has no link."""
@@ -193,7 +201,7 @@ class _Links:
                 rows = rows.withColumn(f"label_{c}", F.col(c))
             else:
                 known = self.labels.select(F.col("v").alias(c), F.col("component").alias(f"label_{c}"))
-                rows = rows.join(known.hint("shuffle_merge"), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+                rows = rows.join(known, c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
         return rows
 
 
@@ -211,7 +219,6 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     heads = members.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).filter("b < most").drop("most")
     # Only buckets of two or more matter from here on.
     members = common.stored(members.join(heads.hint("shuffle_merge"), "key"))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = members.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
     star = common.stored(star)
     if star.isEmpty():
@@ -223,27 +230,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
         best = star.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
         best = common.stored(best)
         links.confirm(best)
-        rest = links.label(star.join(best.hint("shuffle_merge"), ["a", "b"], "left_anti"), "a", "b").filter("label_a <> label_b")
-        links.confirm(rest)
-        salt = 0
-        while True:
-            open_ = _open(links, members)
-            if open_.isEmpty():
-                break
-            salt += 1
-            hubs = open_.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(HUB_ROUNDS_SALT * salt + j), "a"), "a", "n", "label_a")).alias(f"hub{j}") for j in range(3)])
-            hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"hub{j}.a").alias("b"), F.col(f"hub{j}.n").alias("m"), F.col(f"hub{j}.label_a").alias("label_b")) for j in range(3)]))).alias("hub")).select("key", "hub.*")
-            pairs = open_.join(hubs.hint("shuffle_merge"), "key").filter((F.col("label_a") != F.col("label_b")) & fits(F.col("n"), F.col("m"))).select("a", "b").distinct()
-            if not links.confirm(pairs):
-                break
         open_ = _open(links, members)
         if not open_.isEmpty():
-            sizes = open_.groupBy("key", "label_a").agg(F.count("*").alias("size"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("size", "label_a")).alias("x")).select("key", F.col("x.label_a").alias("main"))
-            few = open_.join(main.hint("shuffle_merge"), "key").filter("label_a <> main").select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("label_a").alias("label_b"))
-            pairs = open_.join(few.hint("shuffle_merge"), "key").filter((F.col("label_a") != F.col("label_b")) & fits(F.col("n"), F.col("m")))
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            links.confirm(pairs.join(star.hint("shuffle_merge"), ["a", "b"], "left_anti"))  # hubs are the lesser ids, so star has this order
+            open_, sets = _shared_counts(links, open_)
+            drawn = [F.min(F.struct(F.xxhash64(F.lit(j), "a").alias("h"), "a", "n", "s", "label_a")).alias(f"hub{j}") for j in range(RANDOM_HUBS)]
+            first = F.min(F.struct(F.col("a").alias("h"), "a", "n", "s", "label_a")).alias("hub")
+            hub = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(y) for x, y in OTHER.items()])
+            hubs = open_.groupBy("key").agg(first, *drawn).select("key", F.explode(F.array_distinct(F.array(hub("hub"), *[hub(f"hub{j}") for j in range(RANDOM_HUBS)]))).alias("x")).select("key", "x.*")
+            pairs = open_.join(hubs.hint("shuffle_merge"), "key").filter(_may_link(percent))
+            tried = common.stored(_in_order(pairs).join(_in_order(best), ["a", "b"], "left_anti"))
+            links.confirm(tried)
+            tried = tried.union(_in_order(best))
+            open_ = _open(links, open_)
+        if not open_.isEmpty():
+            likely = _in_order(_likely_pairs(open_, sets, percent))
+            links.confirm(likely.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"))
     if links is None or links.labels is None:
         joined = mapped.withColumn("component_id", F.col("rep"))
     else:
@@ -251,13 +252,108 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _open(links: _Links, members: DataFrame) -> DataFrame:
-    """Members (key, a, n, label_a) of the buckets that hold more than one component."""
-    rows = common.stored(links.label(members.select("key", "a", "n"), "a"))
+    """Members of the buckets that hold more than one component, with their component as label_a."""
+    rows = common.stored(links.label(members.drop("b", "label_a"), "a"))
     several = rows.groupBy("key").agg(F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("key")
     return common.stored(rows.join(several.hint("shuffle_merge"), "key", "left_semi"))
 
 
+#: Columns of a bucket's member, and their names for the other one of a pair.
+OTHER = {"a": "b", "n": "m", "s": "t", "label_a": "label_b"}
+
+
+def _may_link(percent: int) -> Column:
+    """Members of different components whose sizes and shareable shingles allow a link."""
+    most = F.least("s", "t")
+    return (F.col("label_a") != F.col("label_b")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
+
+
+def _hashes(k: int):
+    """Shingle hashes of documents, and their lower 32 bits."""
+    def run(batches):
+        for batch in batches:
+            rows = [own for _, offsets, flat in common.text_slices(batch.column("text")) for own in shingle_sets(*word_hashes(offsets, flat), k)]
+            small = [np.unique(own.astype(np.uint32)).view(np.int32) for own in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("label_a"), pa.array([own.view(np.int64) for own in rows], pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int32()))], ["a", "label_a", "hashes", "small"]
+            )
+
+    return run
+
+
+def _shared_counts(links: _Links, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``open_`` with s, the number of a document's shingles that open documents of other components have too, without those that have too few for any link; and the documents' hashes."""
+    texts = links.texts.select(F.col("doc_id").alias("a"), "text").join(open_.select("a", "label_a").distinct().hint("shuffle_merge"), "a").select("a", "label_a", "text")
+    sets = common.stored(texts.mapInArrow(_hashes(links.k), "a long, label_a long, hashes array<long>, small array<int>"))
+    each = sets.select("a", "label_a", F.explode("hashes").alias("h"))
+    several = each.groupBy("h").agg(F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("h")
+    shared = each.select("a", "h").join(several.hint("shuffle_merge"), "h", "left_semi").groupBy("a").agg(F.count("*").alias("s"))
+    return common.stored(open_.join(shared.hint("shuffle_merge"), "a").filter(F.col("s") * 100 >= F.col("n") * links.percent)), sets.select("a", "small")
+
+
+def _screen(percent: int):
+    """Rows in order of (key, mine, theirs, side): side 0 is a block of documents, those of side 1 are held against it."""
+    def run(batches):
+        group, ids, labels, parts, index = None, [], [], [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "mine", "theirs"))))
+            sides, rows, row_labels = (batch.column(c).to_pylist() for c in ("side", "a", "label_a"))
+            lists = batch.column("small")
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            left, right = [], []
+            for i, key in enumerate(keys):
+                own = flat[offsets[i] : offsets[i + 1]]
+                if key != group:
+                    group, ids, labels, parts, index = key, [], [], [], None
+                if sides[i] == 0:
+                    ids.append(rows[i])
+                    labels.append(row_labels[i])
+                    parts.append(own.copy())
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    sizes = np.array([len(p) for p in parts])
+                    all_ = np.concatenate(parts)
+                    order = np.argsort(all_, kind="stable")
+                    index = all_[order], np.repeat(np.arange(len(parts)), sizes)[order], sizes, np.array(labels)
+                hashes, owner, sizes, of = index
+                low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+                much = high - low
+                met = np.bincount(owner[np.arange(int(much.sum())) + np.repeat(low - (np.cumsum(much) - much), much)], minlength=len(parts))
+                good = (of != row_labels[i]) & (100 * met >= (percent - 1) * (sizes + len(own) - met))
+                for j in np.flatnonzero(good):
+                    left.append(rows[i])
+                    right.append(ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _likely_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose hashes have about the similarity asked for.
+
+    Of every bucket, the documents outside its largest component are held against
+    all. Both are cut into blocks, and each two blocks meet in one task.
+    """
+    sizes = open_.groupBy("key", "label_a").agg(F.count("*").alias("size"))
+    total = sizes.groupBy("key").agg(F.max(F.struct("size", "label_a")).alias("x"), F.sum("size").alias("all")).select(
+        "key", F.col("x.label_a").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ours"), F.ceil((F.col("all") - F.col("x.size")) / BLOCK).cast("int").alias("others")
+    ).filter("others > 0")
+    rows = common.stored(open_.select("key", "a", "label_a").join(total.hint("shuffle_merge"), "key"))
+    dealt = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.filter("label_a <> main").select("key", each("ours").alias("mine"), dealt("others").alias("theirs"), F.lit(0).alias("side"), "a", "label_a")
+    all_ = rows.select("key", dealt("ours").alias("mine"), each("others").alias("theirs"), F.lit(1).alias("side"), "a", "label_a")
+    both = few.union(all_).join(sets.hint("shuffle_merge"), "a").select("key", "mine", "theirs", "side", "a", "label_a", "small")
+    return both.repartition("key", "mine", "theirs").sortWithinPartitions("key", "mine", "theirs", "side").mapInArrow(_screen(percent), "a long, b long")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), k=4, percent=80)
 
