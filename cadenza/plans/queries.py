@@ -391,7 +391,7 @@ def _(spark, d):
     return I.samples(spark, d)
 
 
-@query("a2_downmix", f"WITH {I.SIGNALS} SELECT id, (i // 2)::INTEGER AS i, round(avg(x), 6) AS x FROM samples GROUP BY ALL")
+@query("a2_downmix", f"WITH {I.SIGNALS} SELECT id, (i // 2)::INTEGER AS i, round(avg(x), 6) + 0.0 AS x FROM samples GROUP BY ALL")
 def _(spark, d):
     two = I.samples(spark, d).withColumn("i", F.floor(F.col("i") / 2).cast("int"))
     return signal.downmix(two).withColumn("x", R6(F.col("x")))
@@ -426,7 +426,7 @@ def _(spark, d):
     return signal.edge_fade(I.samples(spark, d), I.SR, 20).select("id", "i", R6(F.col("x")).alias("x"))
 
 
-@query("a8_normalize_peak", f"WITH {I.SIGNALS}, peak AS (SELECT label, max(abs(x)) AS p FROM samples GROUP BY label) SELECT id, i, label, round(x * (0.95::DOUBLE / p), 6) AS x FROM samples JOIN peak USING (label) WHERE p > 0")
+@query("a8_normalize_peak", f"WITH {I.SIGNALS}, peak AS (SELECT label, max(abs(x)) AS p FROM samples GROUP BY label) SELECT id, i, label, round(x * (0.95::DOUBLE / p), 6) + 0.0 AS x FROM samples JOIN peak USING (label) WHERE p > 0")
 def _(spark, d):
     long = signal.explode_samples(I.signals(spark, d), ("id", "label"))
     return signal.normalize_peak(long, "label").select("id", "i", "label", R6(F.col("x")).alias("x"))
