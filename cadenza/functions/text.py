@@ -18,6 +18,11 @@ DASHES = "~\\-–—"
 Counter = Callable[[Column], Column]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses: lambdas have no common subexpressions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -114,9 +119,13 @@ def pack(units: Column, budget: int, counter: str | Counter = "chars4") -> Colum
 
     def step(state: Column, unit: Column) -> Column:
         joined = F.when(state["now"] == "", unit).otherwise(F.concat(state["now"], F.lit(" "), unit))
-        fits = token_count(joined, counter) <= budget
-        done = F.when(fits | (state["now"] == ""), state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
-        return F.struct(done.alias("done"), F.when(fits, joined).otherwise(unit).alias("now"))
+
+        def add(joined: Column) -> Column:
+            flushed = F.when(state["now"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
+            kept = F.struct(state["done"].alias("done"), joined.alias("now"))
+            return F.when(token_count(joined, counter) <= budget, kept).otherwise(F.struct(flushed.alias("done"), unit.alias("now")))
+
+        return let(joined, add)
 
     def finish(state: Column) -> Column:
         return F.when(state["now"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))

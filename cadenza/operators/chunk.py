@@ -37,43 +37,54 @@ def oversized_words(script: DataFrame, budget: int = BUDGET, counter: str | Coun
     return rows.withColumn("tokens", T.token_count(F.col("word"), counter)).filter(F.col("tokens") > budget).select("doc_id", "block_index", preview.alias("preview"), "tokens", F.lit(budget).alias("budget"))
 
 
-def _strict(texts: Column, budget: int, counter: str | Counter) -> Column:
-    bad = F.exists(texts, lambda x: T.token_count(x, counter) > budget)
-    return F.when(bad, F.raise_error(F.lit("Cannot split a single whitespace-delimited text unit to fit the token budget"))).otherwise(texts)
-
-
 def chunk_texts(text: Column, budget: int, counter: str | Counter = "chars4") -> Column:
     """Chunks of one block's text."""
     return T.pack(T.split_units(text, budget, counter), budget, counter)
 
 
+def _over(texts: Column, budget: int, counter: str | Counter) -> Column:
+    return F.exists(texts, lambda x: T.token_count(x, counter) > budget)
+
+
+def _rows(script: DataFrame, texts: Column, over: Column, strict: bool) -> DataFrame:
+    """A row for each of a block's chunks; ``over`` says of the column _chunks whether one is over its budget."""
+    if strict:
+        known = F.when(F.col("block_type").isin(*TYPES), F.col("block_type")).otherwise(F.raise_error(F.lit("invalid block_type")))
+        rows = script.withColumn("block_type", known).filter(~T.is_blank(F.col("text"))).withColumn("_chunks", texts)
+        rows = rows.withColumn("_chunks", F.when(over, F.raise_error(F.lit("Cannot split a single whitespace-delimited text unit to fit the token budget"))).otherwise(F.col("_chunks")))
+    else:
+        rows = validate_script(script)[0].withColumn("_chunks", texts).filter(~over)
+    return rows.withColumn("_n", F.size("_chunks")).select(
+        "doc_id", "block_index", F.posexplode("_chunks").alias("part", "chunk"), "_n", "block_type", "speaker"
+    ).select("doc_id", "block_index", "part", F.col("chunk").alias("text"), (F.col("part") == F.col("_n") - 1).alias("paragraph_end"), "block_type", "speaker")
+
+
 def build_chunks(script: DataFrame, budget: int = BUDGET, counter: str | Counter = "chars4", strict: bool = False) -> DataFrame:
     """doc_id, block_index, part (place in its block), text, paragraph_end, block_type, speaker.
 
     Blocks with a word over the budget are left out (oversized_words lists them);
     ``strict`` makes them an error, as it does for unknown block types.
     """
-    ok, bad = validate_script(script, budget)
-    if strict:
-        ok = script.withColumn("block_type", F.when(F.col("block_type").isin(*TYPES), F.col("block_type")).otherwise(F.raise_error(F.lit("invalid block_type")))).filter(~T.is_blank(F.col("text")))
-    texts = chunk_texts(F.col("text"), budget, counter)
-    rows = ok.withColumn("_chunks", _strict(texts, budget, counter) if strict else texts)
-    if not strict:
-        rows = rows.filter(~F.exists("_chunks", lambda x: T.token_count(x, counter) > budget))
-    return rows.withColumn("_n", F.size("_chunks")).select(
-        "doc_id", "block_index", F.posexplode("_chunks").alias("part", "chunk"), "_n", "block_type", "speaker"
-    ).select("doc_id", "block_index", "part", F.col("chunk").alias("text"), (F.col("part") == F.col("_n") - 1).alias("paragraph_end"), "block_type", "speaker")
+    validate_script(script, budget)
+    return _rows(script, chunk_texts(F.col("text"), budget, counter), _over(F.col("_chunks"), budget, counter), strict)
 
 
 def build_role_chunks(script: DataFrame, budgets: Mapping[str, int] | int = BUDGET, counters: Mapping[str, str | Counter] | None = None, strict: bool = False) -> DataFrame:
-    """Chunks of both roles, each with its own budget and counter, numbered from 1 in document order as chunk_index."""
-    parts = []
-    for role in ("narration", "quote"):
-        budget = budgets if isinstance(budgets, int) else budgets[role]
-        own = F.col("block_type").eqNullSafe("quote")
-        parts.append(build_chunks(script.filter(own if role == "quote" else ~own), budget, (counters or {}).get(role, "chars4"), strict).withColumn("role", F.lit(role)))
+    """Chunks of both roles, each with its own budget and counter, numbered from 1 in document order as chunk_index.
+
+    One pass over the script: the role picks the expression.
+    """
+    plan = {role: (budgets if isinstance(budgets, int) else budgets[role], (counters or {}).get(role, "chars4")) for role in ("narration", "quote")}
+    for budget, _ in plan.values():
+        validate_script(script, budget)
+    quote, one, other = F.col("block_type").eqNullSafe("quote"), plan["narration"], plan["quote"]
+    if one == other:
+        rows = build_chunks(script, *one, strict)
+    else:
+        pick = lambda of, c: F.when(quote, of(c, *other)).otherwise(of(c, *one))
+        rows = _rows(script, pick(chunk_texts, F.col("text")), pick(_over, F.col("_chunks")), strict)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_index", "part"))
-    return parts[0].unionByName(parts[1]).withColumn("chunk_index", number).drop("part")
+    return rows.withColumn("role", F.when(quote, "quote").otherwise("narration")).withColumn("chunk_index", number).drop("part")
 
 
 def audit_budget(chunks: DataFrame, budget: int = BUDGET, counter: str | Counter = "chars4") -> DataFrame:

@@ -39,28 +39,29 @@ def split_empty_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _segment_array(html: Column) -> Column:
+    """Segments of a page, parsed: seg, kind (open, close, skip, text), name, card, alone (closes itself), txt."""
     html = F.regexp_replace(html, BREAK, " ")
     tags, texts = F.regexp_extract_all(html, F.lit(SEGMENT), F.lit(1)), F.regexp_extract_all(html, F.lit(SEGMENT), F.lit(2))
-    return F.arrays_zip(tags.alias("tag"), texts.alias("txt"))
 
+    def named(z: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(z["tag"], r"^</?([a-zA-Z][^\s/>]*)", 1))
+        return F.struct(i.alias("seg"), z["tag"].alias("tag"), z["txt"].alias("txt"), name.alias("name"))
 
-def _parsed(z: Column) -> Column:
-    """A segment's kind, element name, whether it is a card or closes itself, and its decoded text."""
-    tag = z["tag"]
-    name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][^\s/>]*)", 1))
-    whole = name.isin("script", "style") & ~tag.startswith("</")
-    kind = F.when((tag == "") | (tag == "<"), "text").when(tag.rlike("^<[!?]") | whole, "skip").when(tag.startswith("</"), "close").otherwise("open")
-    css = F.regexp_extract(tag, r"""(?is)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    card = (kind == "open") & F.array_contains(F.split(F.btrim(css, F.lit("\"'")), r"\s+"), CARD)
-    alone = name.isin(*VOID) | tag.endswith("/>")
-    txt = F.when(tag == "<", F.concat(F.lit("<"), z["txt"])).otherwise(z["txt"])
-    return F.struct(kind.alias("kind"), name.alias("name"), card.alias("card"), alone.alias("alone"), T.decode_entities(txt).alias("txt"))
+    def parsed(z: Column) -> Column:
+        tag, name = z["tag"], z["name"]
+        closes = tag.startswith("</")
+        kind = F.when(name == "", F.when((tag == "") | (tag == "<"), "text").otherwise("skip")).when(closes, "close").when(name.isin("script", "style"), "skip").otherwise("open")
+        css = F.regexp_extract(tag, r"""(?is)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+        card = F.when(tag.contains(CARD) & ~closes, F.array_contains(F.split(F.btrim(css, F.lit("\"'")), r"\s+"), CARD)).otherwise(False)
+        txt = F.when(tag == "<", F.concat(F.lit("<"), z["txt"])).otherwise(z["txt"])
+        return F.struct(z["seg"].alias("seg"), kind.alias("kind"), name.alias("name"), card.alias("card"), (name.isin(*VOID) | tag.endswith("/>")).alias("alone"), T.decode_entities(txt).alias("txt"))
+
+    return F.transform(F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("txt")), named), parsed)
 
 
 def html_segments(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """doc_id, seg, kind (open, close, skip, text), name, card, alone, txt."""
-    rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(_segment_array(F.col("html"))).alias("seg", "z"))
-    return rows.select("doc_id", "seg", _parsed(F.col("z")).alias("s")).select("doc_id", "seg", "s.*")
+    """doc_id, seg, kind, name, card, alone, txt."""
+    return pages.select(F.col(id_col).alias("doc_id"), F.explode(_segment_array(F.col("html"))).alias("s")).select("doc_id", "s.*")
 
 
 _ENTRY = "struct<name:string,seg:int,silent:boolean,breaks:boolean,root:int,root_name:string,owners:array<int>,outer:array<int>>"
@@ -78,6 +79,8 @@ def _fold(segments: Column, silent_tags: tuple[str, ...]) -> Column:
     item = lambda seg, txt, root, name, owners: F.struct(seg.alias("seg"), txt.alias("txt"), root.alias("root"), name.alias("root_name"), owners.alias("owners")).cast(_ITEM)
     top = lambda stack: F.element_at(stack, -1)
 
+    moved = lambda stack, broken: F.struct(stack.alias("stack"), broken.alias("broken"))
+
     def entered(parent: Column, s: Column) -> Column:
         name = s["name"]
         silent = parent["silent"] | name.isin(*silent_tags) | s["card"]
@@ -90,30 +93,47 @@ def _fold(segments: Column, silent_tags: tuple[str, ...]) -> Column:
         ).cast(_ENTRY)
 
     def step(state: Column, s: Column) -> Column:
-        stack, out = state["stack"], state["out"]
-        parent, name = top(stack), s["name"]
-        inner = entered(parent, s)
-        pushes = (s["kind"] == "open") & ~s["alone"]
-        # the place of the nearest open element of that name, from the top; 0 if there is none
-        depth = F.when(s["kind"] == "close", F.array_position(F.reverse(F.transform(stack, lambda e: e["name"])), name)).otherwise(F.lit(0)).cast("int")
-        popped = F.filter(F.slice(stack, F.size(stack) - depth + 1, depth), lambda e: e["breaks"] & ~e["silent"] & e["root"].isNotNull() & (e["root"] != e["seg"]))
-        new = F.when(pushes, F.concat(stack, F.array(inner))).when(depth > 0, F.slice(stack, 1, F.size(stack) - depth)).otherwise(stack)
-        opens = (s["kind"] == "open") & ((name == "br") & ~parent["silent"] | name.isin(*BREAKING) & ~inner["silent"]) & parent["root"].isNotNull()
-        line = F.lit(BREAK)
-        broken = (
-            F.when(opens, F.array(item(s["seg"], line, parent["root"], parent["root_name"], F.when(name == "br", parent["owners"]).otherwise(inner["outer"]))))
-            .when(F.size(popped) > 0, F.array(item(s["seg"], line, F.element_at(popped, -1)["root"], F.element_at(popped, -1)["root_name"], F.array_distinct(F.flatten(F.transform(popped, lambda e: e["outer"]))))))
-            .otherwise(nothing)
-        )
-        now = top(new)
-        spoken = F.when((s["txt"] != "") & ~now["silent"] & now["root"].isNotNull(), F.array(item(s["seg"], s["txt"], now["root"], now["root_name"], now["owners"]))).otherwise(nothing)
-        return F.struct(new.alias("stack"), F.concat(out, broken, spoken).alias("out"))
+        stack, out, name = state["stack"], state["out"], s["name"]
+        opening, closing = s["kind"] == "open", s["kind"] == "close"
+
+        def opened() -> Column:
+            def go(x: Column) -> Column:
+                parent, inner = x["parent"], x["inner"]
+                breaks = F.when(name == "br", ~parent["silent"]).otherwise(name.isin(*BREAKING) & ~inner["silent"]) & parent["root"].isNotNull()
+                owners = F.when(name == "br", parent["owners"]).otherwise(inner["outer"])
+                grown = F.when(s["alone"], stack).otherwise(F.concat(stack, F.array(inner)))
+                return moved(grown, F.when(breaks, F.array(item(s["seg"], F.lit(BREAK), parent["root"], parent["root_name"], owners))).otherwise(nothing))
+
+            return T.let(T.let(top(stack), lambda parent: F.struct(parent.alias("parent"), entered(parent, s).alias("inner"))), go)
+
+        def closed() -> Column:
+            # the place of the nearest open element of that name, from the top; 0 if there is none
+            place = F.array_position(F.reverse(F.transform(stack, lambda e: e["name"])), name).cast("int")
+
+            def go(depth: Column) -> Column:
+                edge = lambda e: e["breaks"] & ~e["silent"] & e["root"].isNotNull() & (e["root"] != e["seg"])
+                popped = F.filter(F.slice(stack, F.size(stack) - depth + 1, depth), edge)
+                broken = lambda p: F.when(
+                    F.size(p) > 0, F.array(item(s["seg"], F.lit(BREAK), top(p)["root"], top(p)["root_name"], F.array_distinct(F.flatten(F.transform(p, lambda e: e["outer"])))))
+                ).otherwise(nothing)
+                return F.when(depth > 0, moved(F.slice(stack, 1, F.size(stack) - depth), T.let(popped, broken))).otherwise(moved(stack, nothing))
+
+            return T.let(place, go)
+
+        def speak(x: Column) -> Column:
+            now = top(x["stack"])
+            said = (s["txt"] != "") & ~now["silent"] & now["root"].isNotNull()
+            own = F.array(item(s["seg"], s["txt"], now["root"], now["root_name"], now["owners"]))
+            more = F.when(said, F.concat(x["broken"], own)).otherwise(x["broken"])
+            return F.struct(x["stack"].alias("stack"), T.let(more, lambda m: F.when(F.size(m) > 0, F.concat(out, m)).otherwise(out)).alias("out"))
+
+        return T.let(F.when(opening, opened()).when(closing, closed()).otherwise(moved(stack, nothing)), speak)
 
     state = lambda stack, out: F.struct(stack.alias("stack"), out.alias("out"))
 
     def slice_step(acc: Column, part: Column) -> Column:
         inner = F.aggregate(part, state(acc["stack"], nothing), step)
-        return F.transform(F.array(inner), lambda x: state(x["stack"], F.concat(acc["out"], x["out"])))[0]
+        return T.let(inner, lambda x: state(x["stack"], F.concat(acc["out"], x["out"])))
 
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(segments) - 1) / SLICE).cast("int")), lambda k: F.slice(segments, k * SLICE + 1, SLICE))
     start = state(F.array(floor), nothing)
@@ -122,9 +142,7 @@ def _fold(segments: Column, silent_tags: tuple[str, ...]) -> Column:
 
 def visible_items(pages: DataFrame, id_col: str = "page_id", silent: tuple[str, ...] = SILENT) -> DataFrame:
     """doc_id, seg, txt (BREAK for a line break), root (segment of the outermost block), root_name, owners (list items)."""
-    z = F.transform(_segment_array(F.col("html")), lambda z, i: F.struct(i.alias("seg"), _parsed(z).alias("s")))
-    flat = F.transform(z, lambda x: F.struct(x["seg"].alias("seg"), x["s"]["kind"].alias("kind"), x["s"]["name"].alias("name"), x["s"]["card"].alias("card"), x["s"]["alone"].alias("alone"), x["s"]["txt"].alias("txt")))
-    segments = pages.select(F.col(id_col).alias("doc_id"), flat.alias("_segments"))
+    segments = pages.select(F.col(id_col).alias("doc_id"), _segment_array(F.col("html")).alias("_segments"))
     return segments.select("doc_id", F.explode(_fold(F.col("_segments"), silent)).alias("i")).select("doc_id", "i.*")
 
 
