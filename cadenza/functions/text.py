@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import json
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -64,7 +65,7 @@ def decode_entities(c: Column, names: Mapping[str, int] = html.entities.name2cod
     One pass over the text's pieces: a reference, a run without "&", or a lone "&".
     """
     pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&)"), F.lit(1))
-    table = F.create_map(*[F.lit(x) for name, code in sorted(names.items()) for x in (name, chr(code))])
+    table = F.from_json(F.lit(json.dumps({name: chr(code) for name, code in names.items()})), "map<string,string>")  # folded to a literal
 
     def char(code: Column) -> Column:
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
