@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.operators import chunk, extract, script, signal
+from cadenza.operators import cache, chunk, extract, route, script, signal
 from cadenza.sources import pages as S
 
 SR = 250  # of the embeddings taken as signals of 64 samples
@@ -79,8 +79,6 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cadenza.operators import route
-
     return route.required_roles(told(spark, sf_dir))
 
 
@@ -97,8 +95,6 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cadenza.operators import cache
-
     return cache.payload_key(cache.generation_payload(cache.assign_seeds(chunks(spark, sf_dir)), models(spark, sf_dir), voices(spark, sf_dir)))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cadenza.functions import text as T
 from cadenza.operators import cache, chunk, extract, route, script, signal, timeline
@@ -87,7 +87,7 @@ def _(spark, d):
     return extract.html_segments(I.pages(spark, d)).select("doc_id", "seg", "kind", "name", "txt")
 
 
-@query("x2_x5_open_paths", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, seg, root, type FROM pieces WHERE txt NOT IN ('', ' ')")
+@query("x2_open_paths", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, seg, root, type FROM pieces WHERE txt NOT IN ('', ' ')")
 def _(spark, d):
     items = extract.visible_items(I.pages(spark, d)).filter(F.col("txt") != extract.BREAK)
     return items.select("doc_id", "seg", "root", F.when(F.col("root_name") == "p", "paragraph").otherwise("heading").alias("type"))
@@ -99,12 +99,18 @@ def _(spark, d):
     return items.groupBy("doc_id").agg(F.count("*").alias("runs"), F.sum(F.char_length("txt")).alias("chars"))
 
 
-@query("x4_x12_cards_and_quotes", f"""SELECT conv_id * 1000 + turn AS doc_id, 0 AS pos, 'quote' AS type, 'Guest ' || chr((65 + conv_id % 26)::INTEGER) AS speaker, trim({I.norm_sql('text')}, '"''“”‘’') AS text
+@query("x4_drop_cards", f"""SELECT conv_id * 1000 + turn AS doc_id, 0 AS pos, 'quote' AS type, 'Guest ' || chr((65 + conv_id % 26)::INTEGER) AS speaker, trim({I.norm_sql('text')}, '"''“”‘’') AS text
 FROM conversations WHERE trim({I.norm_sql('text')}, '"''“”‘’') <> ''""")
 def _(spark, d):
     return extract.extract_blocks(I.quoted_pages(spark, d)).select("doc_id", "pos", "type", "speaker", "text")
 
 
+@query("x5_assign_block_root", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, root, type, count(*) AS runs FROM pieces WHERE txt NOT IN ('', ' ') GROUP BY ALL")
+def _(spark, d):
+    items = extract.visible_items(I.pages(spark, d)).filter(F.col("txt") != extract.BREAK)
+    return items.groupBy("doc_id", "root", F.when(F.col("root_name") == "p", "paragraph").otherwise("heading").alias("type")).agg(F.count("*").alias("runs"))
+
+
 @query("x6_text_with_breaks", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, root, type, text FROM texts")
 def _(spark, d):
     texts = extract.block_texts(extract.visible_items(I.pages(spark, d)))
@@ -142,6 +148,12 @@ def _(spark, d):
     return parts.select("conv_id", "turn", T.normalize_ws(F.col("a.text")).alias("text"), F.col("a.speaker").alias("speaker"))
 
 
+@query("x12_quote_blocks", f"""SELECT conv_id * 1000 + turn AS doc_id, 'Guest ' || chr((65 + conv_id % 26)::INTEGER) AS speaker, trim({I.norm_sql('text')}, '"''“”‘’') AS text
+FROM conversations WHERE trim({I.norm_sql('text')}, '"''“”‘’') <> ''""")
+def _(spark, d):
+    return extract.quote_blocks(extract.block_texts(extract.visible_items(I.quoted_pages(spark, d)))).select("doc_id", "speaker", "text")
+
+
 @query("x13_list_blocks", f"""WITH {I.SEGMENTS} SELECT doc_id, string_agg({I.norm_sql('txt')}, '. ' ORDER BY seg) AS text FROM segments WHERE name = 'a' AND kind = 'open' AND {I.norm_sql('txt')} <> '' GROUP BY doc_id""")
 def _(spark, d):
     items = extract.visible_items(I.pages(spark, d), silent=("style", "script"))
@@ -321,7 +333,13 @@ def _(spark, d):
     return cache.assign_seeds(c, overrides).select("doc_id", "chunk_index", "seed")
 
 
-@query("k2_k4_generation_payload", f"WITH {I.KEYED} SELECT doc_id, chunk_index, payload_json FROM keyed")
+@query("k2_canonical_json", "SELECT conv_id, turn, to_json({'a': {'n': NULL, 'turn': turn}, 'role': role, 'text': text})::VARCHAR AS json FROM conversations")
+def _(spark, d):
+    inner = F.struct(F.lit(None).cast("string").alias("n"), "turn").alias("a")
+    return I.table(spark, d, "conversations").select("conv_id", "turn", T.canonical_json(F.struct(inner, "role", "text")).alias("json"))
+
+
+@query("k4_generation_payload", f"WITH {I.KEYED} SELECT doc_id, chunk_index, payload_json FROM keyed")
 def _(spark, d):
     return I.keyed(spark, d).select("doc_id", "chunk_index", "payload_json")
 
@@ -500,8 +518,6 @@ joined AS (SELECT doc_id, from_sample + i AS i, x FROM laid JOIN samples ON id =
 
 @query("t6_join_signals", f"WITH {_JOINED} SELECT doc_id::INTEGER AS doc_id, i::BIGINT AS i, x FROM joined")
 def _(spark, d):
-    from pyspark.sql import Window
-
     s = I.signals(spark, d)
     w = Window.partitionBy("doc_id").orderBy("id")
     rows = s.select(F.col("label").alias("doc_id"), "id", F.size("samples").alias("n"), F.row_number().over(Window.partitionBy("label").orderBy("id")).alias("chunk_index"))
