@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,18 +29,22 @@ def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voic
     nothing twice: a batch writes to a folder of its own number and replaces it.
     """
 
-    def exists(path: str) -> bool:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    def known(path: str, schema: str) -> DataFrame | None:
+        """A table's rows, or None as long as nothing has been written there."""
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def batch(rows: DataFrame, number: int) -> None:
         plan = plan_pages(rows, models, voices).dropDuplicates(["cache_key"]).select("cache_key", "doc_id", "chunk_index", "role", "text", "seed", "payload_json")
-        if exists(done_path):
-            plan = plan.join(spark.read.parquet(done_path).select("cache_key"), "cache_key", "left_anti")
-        if exists(todo_path):
-            asked = spark.read.parquet(todo_path).filter(F.col("batch") < number).select("cache_key")
-            plan = plan.join(asked, "cache_key", "left_anti")
+        done, asked = known(done_path, "cache_key string"), known(todo_path, "cache_key string, batch int")
+        if done is not None:
+            plan = plan.join(done, "cache_key", "left_anti")
+        if asked is not None:
+            plan = plan.join(asked.filter(F.col("batch") < number).select("cache_key"), "cache_key", "left_anti")
         plan.write.mode("overwrite").parquet(f"{todo_path}/batch={number}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
