@@ -64,7 +64,7 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def text_slices(column: pa.Array, most_bytes: int = 2 << 20):
+def text_slices(column: pa.Array, most_bytes: int = 1 << 19):
     """Cut an Arrow string column into runs of rows of about ``most_bytes``.
 
     Yields (first row, offsets, bytes): the UTF-8 bytes of the run's texts in

@@ -107,7 +107,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """``docs`` with lang_pred and lang_score, in place of columns of these names."""
     docs, (languages, _) = docs.drop("lang_pred", "lang_score"), model
     sent = docs.sparkSession.sparkContext.broadcast(model[1])
-    most = max(1 << 16, (4 << 20) // max(1, len(languages)))  # keeps a slice's score rows at about 100 MB
+    most = max(1 << 15, (1 << 20) // max(1, len(languages)))  # keeps the score rows of a slice at about 25 MB
 
     def run(batches):
         for batch in batches:
