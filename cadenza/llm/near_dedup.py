@@ -161,12 +161,14 @@ def _verify(k: int, percent: int):
         hub, hub_set = None, set()
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if b != hub:
-                    hub, hub_set = b, shingles(b, k)
-                own = shingles(a, k)
-                common_ = len(own & hub_set)
-                keep.append(bool(own) and 100 * common_ >= percent * (len(own) + len(hub_set) - common_))
+            for at in range(0, batch.num_rows, 256):
+                left, right = (batch.column(c).slice(at, 256).to_pylist() for c in ("text_a", "text_b"))
+                for a, b in zip(left, right):
+                    if b != hub:
+                        hub, hub_set = b, shingles(b, k)
+                    own = shingles(a, k)
+                    common_ = len(own & hub_set)
+                    keep.append(bool(own) and 100 * common_ >= percent * (len(own) + len(hub_set) - common_))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     return run
