@@ -28,6 +28,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,6 +38,7 @@ from . import common
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG_WORD = 512  # bytes
 KNOWN_WORDS = 200_000  # words that a worker remembers
+IDS_AT_ONCE = 1 << 18  # ids that are decoded together
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -238,22 +240,25 @@ def _sent(docs: DataFrame, path: str | None):
     return docs.sparkSession.sparkContext.broadcast(load_tables(path or default_path()))
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids, array<int>, in place of one of that name."""
-    docs = docs.drop(to)
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column of token ids, array<int>, and with ``decoded`` given one of their text, made in the same pass; both in place of columns of their names."""
+    docs = docs.drop(to, *([decoded] if decoded else []))
     tables = _sent(docs, path)
 
     def run(batches):
         encoder = Encoder(tables.value)
         for batch in batches:
-            parts = []
+            parts, back = [], []
             for _, texts in _slices(batch.column(text_col)):
                 ids, bounds = encoder.encode(texts)
                 parts.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+                if decoded:
+                    back += encoder.decode(ids, bounds)
             column = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, to])
+            more = ([pa.array(back, pa.string())], [decoded]) if decoded else ([], [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column, *more[0]], [*batch.schema.names, to, *more[1]])
 
-    return docs.mapInArrow(run, common.with_fields(docs, f"`{to}` array<int>"))
+    return docs.mapInArrow(run, common.with_fields(docs, f"`{to}` array<int>" + (f", `{decoded}` string" if decoded else "")))
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -264,12 +269,14 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", to:
     def run(batches):
         encoder = Encoder(tables.value)
         for batch in batches:
-            texts = []
-            for a in range(0, batch.num_rows, 256):
-                rows = batch.column(ids_col).slice(a, 256).to_pylist()
-                lengths = [len(r or ()) for r in rows]
-                ids = np.array([i for r in rows for i in r or ()], np.int64)
-                texts += encoder.decode(ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+            column = batch.column(ids_col)
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            texts, row = [], 0
+            while row < batch.num_rows:
+                end = max(int(np.searchsorted(bounds, bounds[row] + IDS_AT_ONCE, side="right")) - 1, row + 1)
+                texts += encoder.decode(ids[bounds[row] : bounds[end]].astype(np.int64), bounds[row : end + 1] - bounds[row])
+                row = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
     return tokens.mapInArrow(run, common.with_fields(tokens, f"`{to}` string"))

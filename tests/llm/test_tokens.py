@@ -71,6 +71,10 @@ def test_query_and_odd_rows(odd, none):
         assert r.decoded_sha256 == hashlib.sha256(TOKENIZER.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     back = bpe.decode(bpe.encode(odd)).select("doc_id", "text", "decoded", "ids")
     assert back.filter(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
+    once = bpe.encode(odd, decoded="decoded").select("doc_id", "text", "decoded", "ids")
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, back.collect()))
+    nulls = bpe.decode(odd.select("doc_id", F.when(F.col("doc_id") > 5, F.array(F.lit(64))).alias("ids")))
+    assert {(r.doc_id or 0) > 5: r.decoded for r in nulls.collect()} == {True: "a", False: ""}
     assert bpe.round_trip(none).count() == 0 and bpe.decode(bpe.encode(none)).count() == 0
 
 
