@@ -248,15 +248,12 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", to:
     def run(batches):
         encoder = Encoder(tables.value)
         for batch in batches:
-            parts, back = [], []
-            for _, texts in _slices(batch.column(text_col)):
+            for first, texts in _slices(batch.column(text_col)):  # a batch out for every slice, so that little is held at once
                 ids, bounds = encoder.encode(texts)
-                parts.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+                more = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded:
-                    back += encoder.decode(ids, bounds)
-            column = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-            more = ([pa.array(back, pa.string())], [decoded]) if decoded else ([], [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, column, *more[0]], [*batch.schema.names, to, *more[1]])
+                    more.append(pa.array(encoder.decode(ids, bounds), pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, *more], [*batch.schema.names, to, *([decoded] if decoded else [])])
 
     return docs.mapInArrow(run, common.with_fields(docs, f"`{to}` array<int>" + (f", `{decoded}` string" if decoded else "")))
 

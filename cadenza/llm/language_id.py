@@ -111,18 +111,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
     def run(batches):
         for batch in batches:
-            names, scores = [], []
-            for _, offsets, flat in common.text_slices(batch.column(text_col), most):
+            for first, offsets, flat in common.text_slices(batch.column(text_col), most):
                 raw = flat.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
                 if languages:
-                    a, b = score_texts(texts, languages, sent.value)
-                    names += a
-                    scores += b
+                    names, scores = score_texts(texts, languages, sent.value)
                 else:
-                    names += [UNDETERMINED] * len(texts)
-                    scores += [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+                    names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 
     return docs.mapInArrow(run, common.with_fields(docs, "lang_pred string, lang_score double"))
 
