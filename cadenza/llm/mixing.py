@@ -10,7 +10,8 @@ a token budget is met, each by a repeatable hash of its id.
 
 Defined results: null source or language counts as "*", null text has no tokens
 and topic "*"; a target category without any token gives its share to the others
-of its marginal; "*" without a target keeps its natural share; a document
+of its marginal; "*" without a target takes what the named targets leave of 1, and
+its natural share where they leave nothing (name "*": 0 to drop it); a document
 without tokens is kept with its cell's probability; rows that share a doc_id get the
 same decision within a cell; an empty table gives an empty result; further
 columns pass through.
@@ -61,9 +62,13 @@ def rake(tokens: dict[tuple[str, str, str], float], targets: dict[str, dict[str,
         natural = np.bincount(where, share, len(own))
         want = np.array([float(targets[name].get(x, 0.0)) for x in own])
         if REST in own and REST not in targets[name]:
-            rest = natural[own.index(REST)] if want.sum() else 1.0
-            want = want / want.sum() * (1 - rest) if want.sum() else want
-            want[own.index(REST)] = rest
+            left = 1 - sum(targets[name].values())
+            if left > CLOSE:
+                want[own.index(REST)] = left
+            else:  # the named targets are of each other: the rest stays as large as it is
+                rest = natural[own.index(REST)] if want.sum() else 1.0
+                want = want / want.sum() * (1 - rest) if want.sum() else want
+                want[own.index(REST)] = rest
         plans.append((where, want / want.sum() if want.sum() else natural))
     for _ in range(ROUNDS):
         off = 0.0

@@ -83,6 +83,21 @@ def test_mixing_meets_its_targets():
     assert mixing.rake({}, targets) == {} and mixing.keep_probabilities({}, {}) == {}
 
 
+def test_mixing_weighs_a_named_source_against_the_rest():
+    tokens = {("src0", "en", "prose"): 480.0, ("*", "en", "prose"): 9000.0, ("*", "de", "prose"): 500.0, ("src0", "de", "prose"): 20.0}
+    targets = {"source": {"src0": 0.1}, "lang": {"en": 0.8, "de": 0.2}, "topic": {"prose": 1.0}}
+    by = lambda shares, axis, x: sum(v for c, v in shares.items() if c[axis] == x)
+    for share in (0.1, 0.4):
+        shares = mixing.rake(tokens, targets | {"source": {"src0": share}})
+        assert by(shares, 0, "src0") == pytest.approx(share, abs=1e-6) and by(shares, 1, "de") == pytest.approx(0.2, abs=1e-6)
+    hot = {c: t * (100 if c[0] == "src0" else 1) for c, t in tokens.items()}
+    assert by(mixing.rake(hot, targets), 0, "src0") == pytest.approx(0.1, abs=1e-6)
+    # a named source without tokens leaves all to the rest; full targets leave the rest its natural share
+    assert by(mixing.rake({c: t for c, t in tokens.items() if c[0] == "*"}, targets), 0, "*") == pytest.approx(1)
+    other = mixing.rake(tokens | {("*", "*", "prose"): 2500.0}, targets)
+    assert by(other, 1, "*") == pytest.approx(0.2, abs=1e-6) and by(other, 1, "en") == pytest.approx(0.64, abs=1e-6)
+
+
 def test_mixing_query_equals_brute_force(spark):
     import re
 
