@@ -11,9 +11,9 @@ combined by a small logistic model.
 
 The insult lexicon (words, and word beginnings of four to eight letters for
 languages that bend their words) and the model's weights are learned from
-labelled rows. A term must stand out by the number of distinct contexts (word
-before, word after) that it has in toxic and in other texts, so that the words
-of one text with many copies don't. The rows are a bounded sample, PER_CLASS documents of each label in
+labelled rows. A term must stand out by the texts that hold it and by the number of
+distinct contexts (word before, word after) that it has in toxic and in other texts,
+so that the words of one text with many copies don't; all terms that do are taken. The rows are a bounded sample, PER_CLASS documents of each label in
 expectation, chosen by a hash of doc_id. Labels, language, source and doc_id are
 no inputs of a score. Whole texts are read in training and scoring.
 
@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 
-PER_CLASS, MOST_TERMS, LEAST_PRECISION = 5000, 5000, 0.9
+PER_CLASS, LEAST_PRECISION = 5000, 0.9
+MOST_CONTEXTS = 50_000  # that a task holds at once
 STEMS = (4, 5, 6, 7, 8)
 #: Closed word classes of the grammar.
 THREATS = "kill hurt destroy beat shoot stab burn attack murder strangle töten umbringen tuer matar"
@@ -143,19 +144,26 @@ def _terms_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_term, pa.string()), pa.array(out_toxic, pa.int32())], ["term", "toxic"])
 
 
-def _contexts_of(wanted):
-    """Distinct contexts of the wanted terms: term, word, words around it, label."""
-    def run(batches):
-        for batch in batches:
-            out = set()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = ["", *_WORD.findall((text or "").lower()), ""]
-                for before, word, after in zip(words, words[1:], words[2:]):
-                    out.update((t, word, f"{before} {after}", toxic) for t in terms({word}) if t in wanted)
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int32())], ["term", "word", "around", "toxic"])
+def _contexts_of(batches):
+    """Words with the words around them and the label; distinct in a run of rows."""
+    def flushed(out):
+        columns = list(zip(*out)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:2]), pa.array(columns[2], pa.int32())], ["word", "around", "toxic"])
 
-    return run
+    for batch in batches:
+        out = set()
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            words = ["", *_WORD.findall((text or "").lower()), ""]
+            out.update((word, f"{before} {after}", toxic) for before, word, after in zip(words, words[1:], words[2:]))
+            if len(out) > MOST_CONTEXTS:
+                yield flushed(out)
+                out = set()
+        yield flushed(out)
+
+
+def _terms_in(word: Column) -> Column:
+    """What terms() makes of one word."""
+    return F.concat(F.array(word), *[F.when(F.char_length(word) > n, F.array(F.concat(F.substring(word, 1, n), F.lit("*")))).otherwise(F.array().cast("array<string>")) for n in STEMS])
 
 
 def _features_of(lexicon):
@@ -208,11 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     g = 2 * (cut(F.col("bad"), F.col("n") * base) + cut(F.col("n") - F.col("bad"), F.col("n") * (1 - base)))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
     stands_out = (F.col("g") >= least_g) & (F.col("bad") >= F.col("n") * LEAST_PRECISION)
-    wanted = {r["term"] for r in found.withColumn("g", g).filter(stands_out).orderBy(F.desc("g"), "term").limit(MOST_TERMS).select("term").collect()}
-    around = sample.mapInArrow(_contexts_of(wanted), "term string, word string, around string, toxic int").distinct()
-    by_context = around.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"), F.count_distinct("word").alias("words"))
+    wanted = found.withColumn("g", g).filter(stands_out).select("term")
+    around = sample.mapInArrow(_contexts_of, "word string, around string, toxic int").distinct()
+    words = around.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    by_context = words.withColumn("term", F.explode(_terms_in(F.col("word")))).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("words"))
     several = ~F.col("term").endswith("*") | (F.col("words") >= STEM_WORDS)
-    rows = by_context.withColumns({"g": g, "weight": weight}).filter(stands_out & several).select("term", "weight").collect()  # at most MOST_TERMS
+    rows = by_context.withColumns({"g": g, "weight": weight}).filter(stands_out & several).join(wanted, "term").select("term", "weight").collect()  # bounded by the sample
     lexicon = {r["term"]: min(8.0, r["weight"]) for r in rows}
     seen = sample.mapInArrow(_features_of(lexicon), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     seen = seen.groupBy("toxic", *[F.round(f, 1).alias(f) for f in FEATURES]).count().collect()  # no more rows than the sample has

@@ -67,6 +67,17 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
 
 
+def test_copies_of_a_long_toxic_text_crowd_no_insult_out(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    copy = " ".join(word() for _ in range(1200))  # 7,200 terms
+    toxic = [copy] * 70 + [f"{word()} {word()} blark {word()} {word()}" for _ in range(50)]
+    clean = [" ".join(word() for _ in range(5)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < len(toxic))) for i in range(len(toxic + clean))], "doc_id long, quality int, toxic int")
+    assert set(toxicity.train(docs, labels)[0]) == {"blark"}
+
+
 def test_mixing_meets_its_targets():
     tokens = {("src0", "en", "prose"): 900.0, ("*", "en", "prose"): 300.0, ("*", "de", "prose"): 200.0, ("src0", "de", "legal"): 50.0, ("*", "fr", "legal"): 60.0, ("src0", "fr", "prose"): 10.0}
     targets = {"source": {"src0": 0.4}, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2, "es": 0.4}, "topic": {"prose": 0.85, "legal": 0.15}}
