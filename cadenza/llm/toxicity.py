@@ -14,7 +14,11 @@ languages that bend their words) and the model's weights are learned from
 labelled rows. A term must stand out by the texts that hold it and by the number of
 distinct contexts (word before, word after) that it has in toxic and in other texts,
 so that the words of one text with many copies don't; all terms that do are taken. The rows are a bounded sample, PER_CLASS documents of each label in
-expectation, chosen by a hash of doc_id. Labels, language, source and doc_id are
+expectation, chosen by a hash of doc_id. Where that thins the labels unevenly, a row
+counts for 1 / its share in a term's precision and in the model, so that the odds are
+those of all labelled rows. Whether a term stands out by more than chance, and its
+weight (a ratio of rates within the labels), do not depend on the shares and go by
+the rows seen. Labels, language, source and doc_id are
 no inputs of a score. Whole texts are read in training and scoring.
 
 Defined results: null and empty texts match nothing and get the model's base
@@ -176,23 +180,38 @@ def _features_of(lexicon):
     return run
 
 
-def fit(groups: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
+def fit(groups: list[tuple[np.ndarray, int, float]]) -> np.ndarray:
     """Logistic weights for (features, toxic, how many), drawn towards PRIOR."""
     weights = PRIOR.copy()
     if not groups:
         return weights
     x = np.array([[1.0, *f] for f, _, _ in groups])
     y, n = np.array([float(t) for _, t, _ in groups]), np.array([float(c) for _, _, c in groups])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (n * (y - p)) - (weights - PRIOR)
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(weights))
-        step = np.linalg.solve(curve, slope)
-        weights = weights + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    weights[1:] = np.maximum(weights[1:], 0.0)  # a matched clause never makes a text cleaner
-    return weights
+
+    def fits(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ (y * z - np.logaddexp(0, z)) - ((w - PRIOR) ** 2).sum() / 2)
+
+    free = np.ones(len(weights), bool)
+    while True:
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            slope = x.T @ (n * (y - p)) - (weights - PRIOR)
+            curve = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(weights))
+            step = np.zeros(len(weights))
+            step[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+            now = fits(weights)
+            while np.abs(step).max() >= 1e-9 and fits(weights + step) < now:  # a full step can overshoot
+                step /= 2
+            weights = weights + step
+            if np.abs(step).max() < 1e-9:
+                break
+        below = free & (weights < 0)
+        below[0] = False
+        if not below.any():
+            return weights
+        weights[below] = 0.0  # a matched clause never makes a text cleaner; the other weights are fitted beside that
+        free &= ~below
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per_class: int = PER_CLASS) -> tuple[dict[str, float], np.ndarray]:
@@ -202,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     sizes = {r[0]: r[1] for r in known.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
     if not sizes.get(True):
         return {}, PRIOR.copy()
-    share = F.when(F.col("toxic") > 0, min(1.0, per_class / sizes[True])).otherwise(min(1.0, per_class / max(1, sizes.get(False, 0))))
+    shares = {1: min(1.0, per_class / sizes[True]), 0: min(1.0, per_class / max(1, sizes.get(False, 0)))}
+    share = F.when(F.col("toxic") > 0, shares[1]).otherwise(shares[0])
     chosen = known.filter(common.unit_hash(F.lit("toxicity"), F.col("doc_id")) < share).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     # at most about 2 * PER_CLASS rows of two numbers, so they may be sent to every task
     sample = common.stored(docs.select("doc_id", "text").join(F.broadcast(common.stored(chosen)), "doc_id").select("text", "toxic"))
@@ -215,7 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     cut = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     g = 2 * (cut(F.col("bad"), F.col("n") * base) + cut(F.col("n") - F.col("bad"), F.col("n") * (1 - base)))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
-    stands_out = (F.col("g") >= least_g) & (F.col("bad") >= F.col("n") * LEAST_PRECISION)
+    all_bad, all_clean = F.col("bad") / shares[1], (F.col("n") - F.col("bad")) / shares[0]
+    stands_out = (F.col("g") >= least_g) & (all_bad >= (all_bad + all_clean) * LEAST_PRECISION)
     wanted = found.withColumn("g", g).filter(stands_out).select("term")
     around = sample.mapInArrow(_contexts_of, "word string, around string, toxic int").distinct()
     words = around.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
@@ -225,7 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     lexicon = {r["term"]: min(8.0, r["weight"]) for r in rows}
     seen = sample.mapInArrow(_features_of(lexicon), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     seen = seen.groupBy("toxic", *[F.round(f, 1).alias(f) for f in FEATURES]).count().collect()  # no more rows than the sample has
-    return lexicon, fit([(np.array([r[f] for f in FEATURES]), r["toxic"], r["count"]) for r in seen])
+    # the odds of all labelled rows, the sum of those seen: PRIOR is worth the same beside thinned rows
+    scale = n / (bad / shares[1] + (n - bad) / shares[0])
+    return lexicon, fit([(np.array([r[f] for f in FEATURES]), r["toxic"], r["count"] * scale / shares[r["toxic"]]) for r in seen])
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,6 +78,20 @@ def test_copies_of_a_long_toxic_text_crowd_no_insult_out(spark):
     assert set(toxicity.train(docs, labels)[0]) == {"blark"}
 
 
+def test_thinned_labels_keep_the_odds_of_all(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4))
+    marks = ["blark"] * 60 + ["zork"] * 100 + [""] * 40 + ["zork"] * 100 + [""] * 1700  # the first 200 are toxic
+    docs = spark.createDataFrame([(i, f"{word()} {m} {word()}") for i, m in enumerate(marks)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < 200)) for i in range(len(marks))], "doc_id long, quality int, toxic int")
+    asked = spark.createDataFrame([(1, "aaaa bbbb"), (2, "aaaa zork bbbb"), (3, "aaaa blark bbbb")], "doc_id long, text string")
+    for per_class in (5000, 200):  # all rows; a ninth of the clean ones
+        lexicon, weights = toxicity.train(docs, labels, per_class=per_class)
+        assert set(lexicon) == {"blark"}  # of all rows with zork half are toxic
+        scores = {r.doc_id: r.score for r in toxicity.score(asked, (lexicon, weights)).collect()}
+        assert scores[1] == scores[2] == pytest.approx(140 / 1940, abs=0.03) and scores[3] > 0.5
+
+
 def test_mixing_meets_its_targets():
     tokens = {("src0", "en", "prose"): 900.0, ("*", "en", "prose"): 300.0, ("*", "de", "prose"): 200.0, ("src0", "de", "legal"): 50.0, ("*", "fr", "legal"): 60.0, ("src0", "fr", "prose"): 10.0}
     targets = {"source": {"src0": 0.4}, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2, "es": 0.4}, "topic": {"prose": 0.85, "legal": 0.15}}
