@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,15 +19,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    the session is local (tests, a laptop) a temporary folder stands in.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        jvm_dir = spark.sparkContext.getCheckpointDir()
-        found = jvm_dir or tempfile.mkdtemp(prefix="cadenza-")
-        if not jvm_dir:
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        found = tempfile.mkdtemp(prefix="cadenza-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 

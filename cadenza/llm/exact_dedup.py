@@ -93,7 +93,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         flagged = rows.select("text_sha256", F.explode("recipe").alias("h")).join(shared.hint("shuffle_merge"), "h", "left_semi").select("text_sha256").distinct().withColumn("hit", F.lit(True))
         rows = rows.join(flagged.hint("shuffle_merge"), "text_sha256", "left").withColumn("tie", F.when(F.col("hit"), F.col("text_sha256")).otherwise("")).drop("hit")
-    groups = rows.groupBy("recipe", "tie").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join's sides come straight from their shuffles and Spark can split a large group
+    groups = common.stored(rows.groupBy("recipe", "tie").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     return rows.join(groups.hint("shuffle_merge"), ["recipe", "tie"]).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
     )

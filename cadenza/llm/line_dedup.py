@@ -41,6 +41,7 @@ def covered_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     )
     windows = common.stored(windows)
     first = windows.groupBy("h", "g").agg(F.min(F.struct("_id", "_fp", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = common.stored(first)  # so that the join's sides come straight from their shuffles and Spark can split a common passage
     later = windows.join(first.hint("shuffle_merge"), ["h", "g"]).filter(F.struct("_id", "_fp", "p") != F.col("first"))
     same = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_fp") == F.col("first._fp"))
     start = F.when(same, F.greatest(F.col("p"), F.col("first.p") + LINES)).otherwise(F.col("p"))

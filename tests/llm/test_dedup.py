@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import exact_dedup, graph, line_dedup, near_dedup
 
@@ -67,6 +68,35 @@ def test_line_dedup_equals_brute_force(spark):
     assert got[200] == "A\nA\nA"
 
 
+def test_line_dedup_takes_texts_of_one_id_apart(spark):
+    passage = "x\ny\nz"
+    rows = [(1, passage), (1, passage), (1, f"other\n{passage}"), (2, f"{passage}\nend"), (2, "end\nof\nit\nall")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id == 2) == [(2, "end"), (2, "end\nof\nit\nall")]
+    first = sorted(r.text for r in got if r.doc_id == 1)
+    assert first in (["other", passage, passage], ["", "", f"other\n{passage}"])  # of one id, a hash of the text says which comes first
+
+
+def test_a_common_passage_is_split_over_tasks(spark):
+    """The joins on groups read both sides from shuffles, so that adaptive execution can cut a hot key."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame([(i, f"{i}\nx\ny\nz" if i % 3 else f"{i}\n{i}\n{i + 1}\n{i + 2}") for i in range(6000)], "doc_id long, text string").repartition(16)
+        covered = line_dedup.covered_lines(df)
+        assert covered.count() == 3999
+        copies = exact_dedup.exact_duplicates(df.withColumn("text", F.when(F.col("doc_id") % 3 == 0, "same").otherwise(F.col("text"))))
+        assert copies.filter("keep_id = 0").count() == 2000
+        for done in (covered, copies):
+            rows = done.collect()  # noqa: F841
+            assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_line_dedup_odd_rows(odd, none):
     got = line_dedup.line_dedup(odd)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
