@@ -1,13 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reporting verb or quote,
-intent, other). Small transducers read them, each with its own state: the insult
-and threat transducers emit weights, the target transducer notes whom a clause
-is about, the negation and reported-speech transducers change what stands in
-their scope. Their composition, a product of states built on demand, reads each
-clause once, and a document is scored from its matched clauses, never from
-isolated words: the summed weights of the matches of each kind, up to a cap,
-combined by a small logistic model.
+Words and marks become symbols (insult, threat, target, negation, reporting verb,
+intent, opening and closing quote, lead-in, other word). Small transducers read them,
+each with its own state: the insult and threat transducers emit weights, the target
+transducer notes whom a clause is about, the negation and reported-speech
+transducers change what stands in their scope. Their composition, a product of
+states built on demand, reads each clause once. Speech that a clause leaves open
+goes on in the next one: a quote up to its closing mark, the end of the line or
+MOST_QUOTED clauses, and what a reporting verb leads in with a colon for one
+clause; a verb behind a quote reports it within the clause. A match needs a clause, at least two words; a word that stands
+alone is none. A document is scored from its matches: of each kind (an insult said
+plainly, aimed at somebody, negated, reported; a threat, a weak threat) the log of 1
++ the summed weights goes into a small logistic model.
 
 The insult lexicon (words, and word beginnings of four to eight letters for
 languages that bend their words) and the model's weights are learned from
@@ -48,20 +52,25 @@ INTENT = "will shall gonna going want should werde voy vais"
 TARGETS = "you your yours u he him his she her they them their we us people person du dich dein ihr sie er tu te ton toi vous votre il elle ils tú usted él ella ellos"
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't without kein keine nie niemals pas jamais aucun nunca ni tampoco sin"
 REPORTS = "said says say called calls wrote writes claimed claims according quoted sagte sagt dit disait dijo dice"
-CAP = 24.0  # of a document's summed weights of one kind
+#: Marks. Curly apostrophes are read as straight ones; a mark that both opens and closes takes turns.
+OPENING, CLOSING, EITHER = "“„«‹", "”»›", '"'
+MOST_QUOTED = 8  # clauses that an unclosed quote goes on for
 STEM_WORDS = 3  # distinct words that a word beginning must cover
 SCOPE = 3  # words that a negation or an intent reaches
+THREAT_WEIGHT = 4.0
 FEATURES = ("plain", "aimed", "negated", "reported", "threat", "weak_threat")
-PRIOR = np.array([-3.0, 1.0, 1.2, 0.6, 0.6, 0.8, 0.2])  # base score, then the features: what holds until the labels say otherwise
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENDS = range(7)
+PRIOR = np.array([-3.0, 2.0, 2.4, 1.2, 1.2, 1.6, 0.4])  # base score, then the features: what holds until the labels say otherwise
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_TOKEN = re.compile(rf"{_WORD.pattern}|[{OPENING}{CLOSING}{EITHER}:]")
+_CLAUSE = re.compile(r"(?<=[.!?;:\n])")  # the mark stays with the clause that it ends
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENDS, OPENS, CLOSES, LEADS = range(10)
 _CLASSES = {w: k for k, words in ((THREAT, THREATS), (INTENDS, INTENT), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS)) for w in words.split()}
+_MARKS = dict.fromkeys(OPENING, OPENS) | dict.fromkeys(CLOSING, CLOSES) | {":": LEADS}
 
 
 def _after(trigger: int):
     """Transducer whose state counts down SCOPE words from its trigger; it emits whether it is in scope."""
-    return lambda state, symbol: (SCOPE, False) if symbol == trigger else (max(0, state - 1), state > 0)
+    return lambda state, symbol: (SCOPE, False) if symbol == trigger else (state, state > 0) if symbol >= OPENS else (max(0, state - 1), state > 0)
 
 
 def _from(trigger: int):
@@ -74,6 +83,22 @@ def _marks(trigger: int):
     return lambda state, symbol: (0, symbol == trigger)
 
 
+SILENT, SPOKEN, QUOTED, LED = range(4)  # states of reported speech; LED: what follows the clause is spoken
+
+
+def _reported(state: int, symbol: int) -> tuple[int, bool]:
+    """Transducer of reported speech: on behind a reporting verb, and between quotes that one leads in."""
+    if symbol == REPORT and state == SILENT:
+        return SPOKEN, True
+    if symbol == LEADS and state == SPOKEN:
+        return LED, True
+    if symbol == OPENS and state in (SPOKEN, LED):
+        return QUOTED, True
+    if symbol == CLOSES and state == QUOTED:
+        return SILENT, True
+    return state, state != SILENT
+
+
 class Composition:
     """The product of transducers; the states that occur get their row on demand."""
 
@@ -87,30 +112,44 @@ class Composition:
             found = self.table[state, symbol] = (tuple(s for s, _ in steps), tuple(o for _, o in steps))
         return found
 
-
-def grammar() -> Composition:
-    return Composition(_marks(INSULT), _marks(THREAT), _from(TARGET), _after(NEGATION), _from(REPORT), _after(INTENDS))
+    def begin(self, reported: int) -> tuple:
+        """The state at the start of a clause, with what reported speech carries over."""
+        return (*self.start[:-1], reported)
 
 
-def clause_features(words: list[str], lexicon: dict[str, float], machine: Composition, seen: np.ndarray) -> None:
-    """Raise ``seen`` (a document's features) by what one clause matches."""
-    state, events, aimed, threats = machine.start, [], False, []
-    for word in words:
-        weight = term_weight(word, lexicon)
-        symbol = INSULT if weight else _CLASSES.get(word, OTHER)
-        state, (insult, threat, target, negated, reported, intended) = machine.step(state, symbol)
+def grammar() -> Composition:
+    return Composition(_marks(INSULT), _marks(THREAT), _from(TARGET), _after(NEGATION), _after(INTENDS), _reported)
+
+
+def clause_features(tokens: list[str], lexicon: dict[str, float], machine: Composition, seen: np.ndarray, carried: int = SILENT, quoted: bool = False) -> tuple[int, bool]:
+    """Raise ``seen`` (a document's summed weights) by what one clause matches; returns how speech goes on behind it."""
+    state, events, aimed, threats, words, told = machine.begin(carried), [], False, [], 0, False
+    for token in tokens:
+        if token == EITHER:
+            symbol, weight = (CLOSES if quoted else OPENS), 0.0
+        else:
+            symbol, weight = _MARKS.get(token), 0.0
+            if symbol is None:
+                words += 1
+                weight = term_weight(token, lexicon)
+                symbol = INSULT if weight else _CLASSES.get(token, OTHER)
+        quoted = symbol == OPENS or quoted and symbol != CLOSES
+        state, (insult, threat, target, negated, intended, reported) = machine.step(state, symbol)
         aimed = aimed or target
+        told = told or symbol == REPORT and not quoted  # a verb behind a quote reports it too
         if insult:
-            events.append((weight, negated, reported))
+            events.append((weight, negated, reported, quoted))
         elif threat:
-            threats.append((intended, negated or reported))
-    for weight, negated, reported in events:
-        k = 2 if negated else 3 if reported else 1 if aimed else 0
-        seen[k] = min(CAP, seen[k] + weight)
-    for intended, weak in threats:
-        if aimed:
-            k = 4 if intended and not weak else 5
-            seen[k] = min(CAP, seen[k] + 4.0)
+            threats.append((intended and not negated, reported, quoted))
+    if words > 1:
+        for weight, negated, reported, inside in events:
+            seen[2 if negated else 3 if reported or inside and told else 1 if aimed else 0] += weight
+        for meant, reported, inside in threats:
+            if aimed:
+                seen[4 if meant and not (reported or inside and told) else 5] += THREAT_WEIGHT
+    speech = state[-1]
+    going_on = speech if speech == QUOTED else SPOKEN if speech == LED else SILENT
+    return going_on, quoted
 
 
 def term_weight(word: str, lexicon: dict[str, float]) -> float:
@@ -125,24 +164,35 @@ def terms(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def document_features(text: str, lexicon: dict[str, float], machine: Composition) -> np.ndarray:
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(_plain(text))
+
+
+def _plain(text: str | None) -> str:
+    return (text or "").lower().replace("’", "'")
+
+
+def document_features(text: str | None, lexicon: dict[str, float], machine: Composition) -> np.ndarray:
     seen = np.zeros(len(FEATURES))
-    low = text.lower()
-    words = set(_WORD.findall(low))
-    hot = {w for w in words if term_weight(w, lexicon) or _CLASSES.get(w) == THREAT}
+    low = _plain(text)
+    hot = {w for w in set(_WORD.findall(low)) if term_weight(w, lexicon) or _CLASSES.get(w) == THREAT}
     if hot:
+        carried, quoted, since = SILENT, False, 0
         for clause in _CLAUSE.split(low):
-            own = _WORD.findall(clause)
-            if not hot.isdisjoint(own):
-                clause_features(own, lexicon, machine, seen)
-    return seen
+            tokens = _TOKEN.findall(clause)
+            if tokens:
+                carried, quoted = clause_features(tokens, lexicon, machine, seen, carried, quoted)
+            since = since + 1 if quoted else 0
+            if clause.endswith("\n") or since >= MOST_QUOTED:
+                carried, quoted, since = SILENT, False, 0
+    return np.log1p(seen)
 
 
 def _terms_of(batches):
     for batch in batches:
         out_term, out_toxic = [], []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            own = terms(set(_WORD.findall((text or "").lower())))
+            own = terms(set(words_of(text)))
             out_term += own
             out_toxic += [toxic] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(out_term, pa.string()), pa.array(out_toxic, pa.int32())], ["term", "toxic"])
@@ -157,7 +207,7 @@ def _contexts_of(batches):
     for batch in batches:
         out = set()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = ["", *_WORD.findall((text or "").lower()), ""]
+            words = ["", *words_of(text), ""]
             out.update((word, f"{before} {after}", toxic) for before, word, after in zip(words, words[1:], words[2:]))
             if len(out) > MOST_CONTEXTS:
                 yield flushed(out)
@@ -174,7 +224,7 @@ def _features_of(lexicon):
     def run(batches):
         machine = grammar()
         for batch in batches:
-            rows = np.array([document_features(t or "", lexicon, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            rows = np.array([document_features(t, lexicon, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, rows.T)], ["toxic", *FEATURES])
 
     return run
@@ -243,9 +293,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     by_context = words.withColumn("term", F.explode(_terms_in(F.col("word")))).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("words"))
     several = ~F.col("term").endswith("*") | (F.col("words") >= STEM_WORDS)
     rows = by_context.withColumns({"g": g, "weight": weight}).filter(stands_out & several).join(wanted, "term").select("term", "weight").collect()  # bounded by the sample
-    lexicon = {r["term"]: min(8.0, r["weight"]) for r in rows}
+    lexicon = {r["term"]: r["weight"] for r in rows}
     seen = sample.mapInArrow(_features_of(lexicon), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
-    seen = seen.groupBy("toxic", *[F.round(f, 1).alias(f) for f in FEATURES]).count().collect()  # no more rows than the sample has
+    seen = seen.groupBy("toxic", *[F.round(f, 2).alias(f) for f in FEATURES]).count().collect()  # no more rows than the sample has
     # the odds of all labelled rows, the sum of those seen: PRIOR is worth the same beside thinned rows
     scale = n / (bad / shares[1] + (n - bad) / shares[0])
     return lexicon, fit([(np.array([r[f] for f in FEATURES]), r["toxic"], r["count"] * scale / shares[r["toxic"]]) for r in seen])
@@ -259,7 +309,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: s
     def run(batches):
         machine, lexicon = grammar(), sent.value
         for batch in batches:
-            rows = np.array([document_features(t or "", lexicon, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            rows = np.array([document_features(t, lexicon, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             scores = 1 / (1 + np.exp(-np.clip(weights[0] + rows @ weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), *map(pa.array, rows.T)], ["doc_id", "score", *FEATURES])
 

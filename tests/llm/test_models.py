@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cadenza.llm import common, language_id, license_scan, mixing, topk, toxicity
@@ -46,17 +48,86 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.predicted == (r.score >= 0.5) for r in got)
 
 
-def test_grammar_reads_context():
-    lexicon, machine = {"fool": 5.0, "cretin*": 3.0}, toxicity.grammar()
-    read = lambda t: dict(zip(toxicity.FEATURES, toxicity.document_features(t, lexicon, machine)))
-    assert read("What a fool.")["plain"] == 5
-    assert read("You fool! Stay.")["aimed"] == 5 and read("You. A fool.")["plain"] == 5
-    assert read("He is not a fool")["negated"] == 5
-    assert read("She said fool")["reported"] == 5
-    assert read("I will kill you")["threat"] == 4 and read("I will not kill you")["weak_threat"] == 4
-    assert sum(read("they kill time").values()) == 4 and sum(read("kill time").values()) == 0
-    assert read("cretinous")["plain"] == 3 and sum(read("cretin").values()) == 0
-    assert sum(read("nothing here").values()) == 0 and read("fool " * 50)["plain"] == toxicity.CAP
+LEXICON = {"fool": 5.0, "cretin*": 3.0}
+
+
+def read(text):
+    features = toxicity.document_features(text, LEXICON, toxicity.grammar())
+    return {k: round(float(np.expm1(v)), 6) for k, v in zip(toxicity.FEATURES, features) if v}
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("What a fool.", {"plain": 5}), ("You fool! Stay.", {"aimed": 5}), ("You. A fool.", {"plain": 5}), ("fool", {}), ("You! Fool!", {}), ("nothing here", {}),
+        ("He is not a fool", {"negated": 5}), ("you aren’t a fool", {"negated": 5}), ("you aren't a fool", {"negated": 5}), ("not the one and only fool", {"plain": 5}),
+        ("She said fool", {"reported": 5}), ("He said: you fool", {"reported": 5}), ("He said: be quiet. You fool", {"aimed": 5}),
+        ('He said: "be quiet. You fool." A fool here', {"reported": 5, "plain": 5}), ("“You fool,” he wrote", {"reported": 5}), ('"A fool" it is', {"plain": 5}),
+        ("They wrote “such a fool\nyou fool", {"reported": 5, "aimed": 5}), ("you " + "fool " * 50, {"aimed": 250}),
+        ("I will kill you", {"threat": 4}), ("I will not kill you", {"weak_threat": 4}), ("they kill time", {"weak_threat": 4}), ("kill time", {}), ("She said I will kill you", {"weak_threat": 4}),
+        ("so cretinous", {"plain": 3}), ("a cretin", {}), ("", {}), (None, {}),
+    ],
+)
+def test_grammar_reads_context(text, found):
+    assert read(text) == found
+
+
+def brute_read(text):
+    """The grammar's rules, read off each clause by looking back from a word instead of by transducers."""
+    seen, speech, quoted, since = dict.fromkeys(toxicity.FEATURES, 0.0), "", False, 0
+    text = text.lower().replace("’", "'")
+    words = lambda names: set(names.split())
+    weight = lambda w: LEXICON.get(w) or (3.0 if w.startswith("cretin") and len(w) > 6 else 0.0)
+    clause = ""
+    for at, mark in enumerate(text):
+        clause += mark
+        if mark not in ".!?;:\n" and at + 1 < len(text):
+            continue
+        tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[“”„«»‹›\":]", clause)
+        plain = [t for t in tokens if t[0].isalpha()]
+        aimed, told, found, n = bool(words(toxicity.TARGETS) & {w for w in plain if not weight(w)}), False, [], 0
+        for t in tokens:
+            if not t[0].isalpha():
+                if t == ":":
+                    speech = "led" if speech == "spoken" else speech
+                    continue
+                opens = not quoted if t == '"' else t in "“„«‹"
+                if opens and speech in ("spoken", "led"):
+                    speech = "quoted"
+                elif not opens and speech == "quoted":
+                    speech = ""
+                quoted = opens
+                continue
+            near = plain[max(0, n - 3) : n]
+            n += 1
+            if not weight(t) and t in words(toxicity.REPORTS):
+                speech, told = speech or "spoken", told or not quoted
+            elif weight(t) or t in words(toxicity.THREATS):
+                found.append((t, any(w in words(toxicity.NEGATIONS) for w in near), any(w in words(toxicity.INTENT) for w in near), bool(speech), quoted))
+        for t, negated, intended, reported, inside in found if len(plain) > 1 else []:
+            reported = reported or inside and told
+            if weight(t):
+                seen["negated" if negated else "reported" if reported else "aimed" if aimed else "plain"] += weight(t)
+            elif aimed:
+                seen["threat" if intended and not negated and not reported else "weak_threat"] += 4
+        speech = {"quoted": "quoted", "led": "spoken"}.get(speech, "")
+        since = since + 1 if quoted else 0
+        if mark == "\n" or since >= 8:
+            speech, quoted, since = "", False, 0
+        clause = ""
+    return {k: v for k, v in seen.items() if v}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("fool cretinous you he not aren’t never said wrote will kill burn a the is “ ” \" : . ! , \n".split(" ")), max_size=40))
+def test_grammar_equals_its_rules(tokens):
+    text = " ".join(tokens)
+    if text and text[-1] not in ".!?;:\n":
+        text += "."
+    if not ({"fool", "cretinous", "kill", "burn"} & set(tokens)):
+        assert read(text) == {}
+    else:
+        assert read(text) == brute_read(text)
 
 
 def test_toxicity_odd_rows(spark, odd, none):
@@ -124,8 +195,6 @@ def test_mixing_weighs_a_named_source_against_the_rest():
 
 
 def test_mixing_query_equals_brute_force(spark):
-    import re
-
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in mixing.op9_mixing(spark, SF).collect()}
     rows = docs.withColumn("u", common.unit_hash(F.lit(0), F.col("doc_id"))).collect()
