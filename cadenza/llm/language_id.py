@@ -2,8 +2,9 @@
 
 Counts of the hashed 1-, 2- and 3-grams of lower-cased training texts are summed
 by Spark; the log-probability matrix (BUCKETS rows, a column for each language;
-its size is fixed by these two numbers) is broadcast, and whole texts are scored
-batch by batch in numpy.
+its size is fixed by these two numbers) is broadcast. Whole texts are scored batch by
+batch in numpy: the batch's n-grams become a sparse matrix of counts (texts by
+buckets, in compressed rows), which is multiplied with the broadcast one.
 
 Training reads a bounded, repeatable sample of labelled rows: each language
 gives PER_LANGUAGE documents in expectation (all, if it has fewer), chosen by a
@@ -12,7 +13,8 @@ hash of doc_id. Whole texts are learned from and whole texts are scored.
 Defined results: text that is null or has no letter is `und` with score 0; rows
 with a null lang or a null doc_id teach nothing; without any training row every
 text is `und` with score 0; among equal scores the first language in
-alphabetical order wins; rows that repeat a doc_id stay rows of their own; an
+alphabetical order wins; over MOST_LANGUAGES languages are an error, as the matrix that
+is sent to every task has a checked size; rows that repeat a doc_id stay rows of their own; an
 empty table gives an empty result; further columns pass through.
 """
 
@@ -25,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 
-BUCKETS, ORDERS, PER_LANGUAGE, SMOOTH, MOST_LANGUAGES = 1 << 15, (1, 2, 3), 1500, 0.5, 1000
+BUCKET_BITS, ORDERS, PER_LANGUAGE, SMOOTH, MOST_LANGUAGES = 15, (1, 2, 3), 1500, 0.5, 1000
+BUCKETS = 1 << BUCKET_BITS
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PAD = "\n\n\n"
@@ -73,7 +76,7 @@ def train(docs: DataFrame, may_learn: Column | None = None, per_language: int =
     usable = usable if may_learn is None else usable & may_learn
     sizes = {r[0]: r[1] for r in docs.filter(usable).groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+        raise ValueError(f"over {MOST_LANGUAGES} languages to learn")
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((BUCKETS + 1, 0), np.float32)
@@ -91,11 +94,29 @@ def train(docs: DataFrame, may_learn: Column | None = None, per_language: int =
     return languages, np.vstack([matrix, np.log(n / n.sum())]).astype(np.float32)
 
 
+def sparse_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket counts of a batch in compressed rows: where each text's entries begin, their buckets, their counts."""
+    keys = []
+    for bucket, starts, ends in gram_buckets(texts):
+        lengths = ends - starts
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        places = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        keys.append((owner << BUCKET_BITS) | bucket[places])
+    keys = np.concatenate(keys)
+    if len(texts) <= 1 << (31 - BUCKET_BITS):
+        keys = keys.astype(np.int32)  # sorts faster
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    counts, keys = np.diff(np.concatenate([first, [len(keys)]])), keys[first]
+    return np.searchsorted(keys >> BUCKET_BITS, np.arange(len(texts) + 1)), keys & (BUCKETS - 1), counts
+
+
 def score_texts(texts: list[str], languages: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
+    begin, buckets, counts = sparse_counts(texts)
     total = np.zeros((len(texts), len(languages)))
-    for bucket, starts, ends in gram_buckets(texts):
-        sums = np.vstack([np.zeros(len(languages)), matrix[bucket].cumsum(axis=0, dtype=np.float64)])
-        total += sums[ends] - sums[starts]
+    filled = np.flatnonzero(begin[1:] > begin[:-1])  # reduceat wants no empty rows
+    if len(filled):
+        total[filled] = np.add.reduceat(matrix[buckets] * counts[:, None].astype(np.float64), begin[filled])
     total += matrix[-1]
     best = total.argmax(axis=1)
     share = 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)

@@ -28,6 +28,51 @@ def test_batches_score_like_single_texts(spark):
         assert one == [n] and two[0] == pytest.approx(s, abs=1e-6)
 
 
+def test_language_equals_brute_force(spark):
+    """Counts, probabilities and scores from dictionaries of n-grams, one text at a time."""
+    import math
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    learned, asked = [r for r in rows if r.doc_id % 3], [r for r in rows if not r.doc_id % 3]
+
+    def grams(text):
+        text = text.lower() + "\n\n\n"
+        for n in (1, 2, 3):
+            for at in range(len(text) - 3):
+                h = n
+                for c in text[at : at + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                yield h % 2**15
+
+    counts, texts = {}, {}
+    for r in learned:
+        if r.lang is not None:
+            texts[r.lang] = texts.get(r.lang, 0) + 1
+            own = counts.setdefault(r.lang, {})
+            for g in grams(r.text or ""):
+                own[g] = own.get(g, 0) + 1
+    total = {x: sum(own.values()) + 0.5 * 2**15 for x, own in counts.items()}
+    model = language_id.train(spark.createDataFrame(learned))
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(asked), model).collect()}
+    for r in asked:
+        score = {x: math.log(texts[x] / sum(texts.values())) + sum(math.log((counts[x].get(g, 0) + 0.5) / total[x]) for g in grams(r.text or "")) for x in counts}
+        best = max(sorted(score), key=score.get)
+        if not any(c.isalpha() for c in r.text or ""):
+            best, share = "und", 0.0
+        else:
+            share = 1 / sum(math.exp(v - score[best]) for v in score.values())
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].lang_score == pytest.approx(share, abs=1e-3)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % n}") for n in (3, 4) for i in range(12)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(df)
+    assert len(language_id.train(df.filter("lang <> 'l3'"))[0]) == 3
+
+
 def test_language_odd_rows(odd, none):
     model = language_id.train(odd)
     got = language_id.predict(odd, model)
