@@ -7,11 +7,13 @@ batch lie symbol by symbol in one flat array. In a round every word's adjacent
 pairs are looked up by binary search over the sorted pair keys, the lowest rank
 of each word is found by a segmented minimum, and all its places are merged from
 left to right; only pairs next to a merge are looked up again. Words without a
-mergeable pair leave the array. A worker remembers a bounded number of encoded
-words from batch to batch.
+mergeable pair leave the array. A worker remembers encoded words from batch to batch,
+KNOWN_BYTES of them at most besides those of the slice at hand.
 
-Very long words (over LONG_WORD bytes) would need a round for each of their many
-ranks, so those are merged with a heap of (rank, place), which gives the same ids.
+A round over the whole array costs its length, and a word has a round for each of its
+ranks, so words of over LONG_WORD bytes have rounds of their own: the same look-ups
+and merges, but on linked places in the order of a queue of ranks, so that a round
+costs what it merges.
 
 Defined results: null is the empty text, which has no ids; the text of a special
 token is that token, as the tokenizers library has it; decoding ids that are not
@@ -37,7 +39,8 @@ from . import common
 #: Fixed value: how byte-level BPE cuts a text into words. White space is the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG_WORD = 512  # bytes
-KNOWN_WORDS = 200_000  # words that a worker remembers
+KNOWN_BYTES = 1 << 25  # of words and their ids that a worker remembers
+WORD_BYTES = 150  # that a word takes besides its text and its ids, about
 IDS_AT_ONCE = 1 << 18  # ids that are decoded together
 NO_RANK = np.int32(2**31 - 1)
 
@@ -98,6 +101,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.ids = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
 
@@ -152,33 +156,51 @@ class Encoder:
         order = np.argsort(of, kind="stable")
         return ids[order], np.searchsorted(of[order], np.arange(len(words) + 1))
 
-    def merge_long_word(self, word: bytes) -> np.ndarray:
-        """The same merges for one long word, with a heap."""
-        sym = self.t["first"][np.frombuffer(word, np.uint8)].tolist()
-        after, before = [*range(1, len(sym)), -1], [-1, *range(len(sym) - 1)]
-        rank, made = (x.tolist() for x in self._look_up(np.array(sym[:-1]), np.array(sym[1:])))
-        heap = [(r, i, a, b, m) for i, (r, a, b, m) in enumerate(zip(rank, sym, sym[1:], made)) if r != NO_RANK]
-        heapq.heapify(heap)
-        cache: dict[tuple[int, int], tuple[int, int]] = {}
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+    def merge_long_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What merge_words() gives, with rounds by rank: each takes all places that have the lowest rank of all words."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        sym = self.t["first"][np.frombuffer(b"".join(words), np.uint8)].copy()
+        n, ends = len(sym), np.cumsum(lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - lengths] = -1
+        rank, made = np.full(n, NO_RANK, np.int32), np.zeros(n, np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}  # places by rank; some are out of date
+        queue: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            rank[places], made[places] = self._look_up(sym[places], sym[after[places]])
+            places = places[rank[places] != NO_RANK]
+            own = rank[places]
+            order = np.argsort(own, kind="stable")
+            own, places = own[order], places[order]
+            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+            for r, part in zip(own[cuts].tolist(), np.split(places, cuts[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(part)
+
+        look(np.flatnonzero(after >= 0))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
                 continue
-            sym[i], sym[j] = m, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0:
-                    pair = (sym[x], sym[y])
-                    if pair not in cache:
-                        r, n = self._look_up(np.array([pair[0]]), np.array([pair[1]]))
-                        cache[pair] = (int(r[0]), int(n[0]))
-                    r, n = cache[pair]
-                    if r != NO_RANK:
-                        heapq.heappush(heap, (r, x, *pair, n))
-        return np.array([s for s in sym if s >= 0], np.int32)
+            if sym[at[0]] == sym[after[at[0]]]:  # places overlap in a run of one symbol: every second one merges, from the left
+                place = np.arange(len(at))
+                joined = np.concatenate([[False], after[at[:-1]] == at[1:]])
+                at = at[(place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 0]
+            gone = after[at]
+            sym[at] = made[at]
+            sym[gone], rank[gone], rank[at] = -1, NO_RANK, NO_RANK
+            after[at] = after[gone]
+            behind = after[at]
+            before[behind[behind >= 0]] = at[behind >= 0]
+            look(np.unique(np.concatenate([at[behind >= 0], before[at][before[at] >= 0]])))
+        left = sym >= 0
+        return sym[left], np.concatenate([[0], np.cumsum(left)])[np.concatenate([[0], ends])]
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
@@ -186,16 +208,22 @@ class Encoder:
             return
         special = self.t["special"]
         raw = [w.encode() for w in new]
-        short = [k for k, (w, r) in enumerate(zip(new, raw)) if w not in special and len(r) <= LONG_WORD]
-        ids, at = self.merge_words([raw[k] for k in short])
-        parts, lengths = [ids], np.diff(at).tolist()
-        for k in short:
-            self.known[new[k]] = len(self.known)
-        for k in sorted(set(range(len(new))) - set(short)):
-            own = np.array([special[new[k]]], np.int32) if new[k] in special else self.merge_long_word(raw[k])
+        ordinary = [k for k, w in enumerate(new) if w not in special]
+        short, long = [k for k in ordinary if len(raw[k]) <= LONG_WORD], [k for k in ordinary if len(raw[k]) > LONG_WORD]
+        parts, lengths, learned = [], [], []
+        for merge, own in ((self.merge_words, short), (self.merge_long_words, long)):
+            if own:
+                ids, at = merge([raw[k] for k in own])
+                parts.append(ids)
+                lengths += np.diff(at).tolist()
+                learned += own
+        for k in sorted(set(range(len(new))) - set(ordinary)):
+            parts.append(np.array([special[new[k]]], np.int32))
+            lengths.append(1)
+            learned.append(k)
+        for k in learned:
             self.known[new[k]] = len(self.known)
-            parts.append(own)
-            lengths.append(len(own))
+        self.held += sum(map(len, raw)) + 4 * sum(lengths) + WORD_BYTES * len(new)
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, *parts])
 
@@ -210,7 +238,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and where each text's ids begin."""
-        if len(self.known) > KNOWN_WORDS:
+        if self.held > KNOWN_BYTES:
             self.forget()
         cut = [self.words_of(t) for t in texts]
         self._learn(set().union(*cut))

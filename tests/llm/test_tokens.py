@@ -37,19 +37,35 @@ def test_encoding_equals_the_library_on_any_text(texts):
 
 def test_long_words_take_the_same_merges():
     rng = random.Random(3)
-    words = ["".join(rng.choice("abcdeth") for _ in range(n)) for n in (513, 2000, 5000)] + ["e" * 3001, "ab" * 900]
-    same(words)
+    words = ["".join(rng.choice("abcdeth") for _ in range(n)) for n in (513, 2000, 5000)] + ["e" * 3001, "ab" * 900, "é" * 700, "e" * 514 + "!" * 600]
+    same([*words, " ".join(words)])
     encoder = bpe.Encoder(TABLES)
-    for w in words[:2]:
-        flat, at = encoder.merge_words([w.encode()])
-        assert encoder.merge_long_word(w.encode()).tolist() == flat.tolist()
+    raw = [w.encode() for w in words[:5]]
+    by_word, by_rank = encoder.merge_words(raw), encoder.merge_long_words(raw)
+    assert by_rank[0].tolist() == by_word[0].tolist() and by_rank[1].tolist() == by_word[1].tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aabe th", min_size=1, max_size=60), min_size=1, max_size=5))
+def test_rounds_by_rank_equal_rounds_by_word(words):
+    encoder, raw = bpe.Encoder(TABLES), [w.encode() for w in words]
+    for a, b in zip(encoder.merge_long_words(raw), encoder.merge_words(raw)):
+        assert a.tolist() == b.tolist()
+
+
+def test_a_word_of_over_a_million_bytes():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_100_000))
+    same([text])
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
-    encoder = bpe.Encoder(TABLES)
-    for text in ("one two three four", "five six one two", "three seven"):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 600)
+    encoder, held = bpe.Encoder(TABLES), []
+    for text in ("one two three four", "five six one two", "three seven", "one"):
         assert encoder.encode([text])[0].tolist() == TOKENIZER.encode(text).ids
+        held.append(len(encoder.known))
+    assert held[-1] < sum(len(t.split()) for t in ("one two three four", "five six", "seven"))
 
 
 def test_decoding_of_any_ids():
