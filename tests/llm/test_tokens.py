@@ -95,9 +95,9 @@ def test_query_and_odd_rows(odd, none):
 
 
 def brute_count(word, costs):
-    best, most = [(0, 0)] + [None] * len(word), len(word)
+    best, most, letters = [(0, 0)] + [None] * len(word), len(word), set(word)
     if most > 1000:  # no piece of other bytes can stand in it
-        most = max(len(p) for p in costs if set(p) <= set(word))
+        most = max(len(p) for p in costs if letters.issuperset(p))
     for end in range(1, len(word) + 1):
         best[end] = min((best[at][0] + costs[word[at:end]], best[at][1] + 1) for at in range(max(0, end - most), end) if word[at:end] in costs)
     return best[-1][1]
