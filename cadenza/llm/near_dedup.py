@@ -6,33 +6,39 @@ place on, gives all signature coordinates: coordinate i is the least entry of
 the second permutation, shifted i places, over the document's bins. Bands of the
 signature are the buckets.
 
-Documents with equal sets are one document from there on. In every bucket the
-members are held against hubs instead of against each other, and every link is
-confirmed on the full shingle sets of the two texts:
-
-1. each document against the hub (least id) it shares the most buckets with;
-2. in buckets that still hold several components, each document against the
+Rows with equal sets are one node from there on, so a node is a set and not an id. In
+every bucket the members are held against hubs instead of against each other, and
+every link is confirmed on the full shingle sets of the two texts. For that, the
+members of a hub are dealt into parts of about MEMBERS, and the hub's text is sent
+once to each part:
+
+1. each node against the hub (least node) it shares the most buckets with;
+2. in buckets that still hold several components, each node against the
    bucket's hub and a random member of the bucket, if they are of other components;
-3. in buckets that still hold several components, every document outside the
+3. in buckets that still hold several components, every node outside the
    bucket's largest component against every member of another component. This
    is done block by block on 32-bit shingle hashes, so no pair becomes a row
    unless it is likely to be a link; those are then confirmed like the others.
 
-Both leave out documents and pairs that cannot reach the threshold: shingles
+Both leave out nodes and pairs that cannot reach the threshold: shingles
 that no other component has can't be shared, and with those counted (a grouping
-by shingle of the documents still in question) the rest bounds the similarity.
+by shingle of the nodes still in question) the rest bounds the similarity.
 
-After step 3 every two documents of a bucket have been compared, or are already
+After step 3 every two nodes of a bucket have been compared, or are already
 connected, or differ too much in size to be linked; so components are exact for
 all pairs that share a bucket. A pair with similarity 0.8 misses all buckets
 with a probability of (1 - 0.8 ** 5) ** 32, about 3 in a million.
 
+Aggregates that large groups (equal sets, buckets, common shingles, hubs) are joined
+with are written first: both sides of such a join then come straight from a shuffle,
+which is what lets Spark split a large group over tasks.
+
 Defined results: null, empty and blank texts have no shingles, n_shingles 0, and
 are linked with nothing; texts of fewer than k words have their whole word
-sequence as one shingle; rows that share doc_id and text count as one document
-and each get its result (doc_id is meant to name one text: of rows that share it
-with other texts, one is compared); a null doc_id is linked with nothing; an
-empty table gives an empty result; further columns are ignored.
+sequence as one shingle; rows that repeat a doc_id are rows of their own, whether
+their texts are equal or not; a row with a null doc_id links like any other and has
+no id to offer, so its component_id is the smallest id it reaches, or null, and it is
+never kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +55,8 @@ from . import common, graph
 SHINGLE, PERCENT = 5, 80
 RING_BITS, BANDS, ROWS = 20, 32, 5
 RANDOM_HUBS = 1
-BLOCK = 1024  # documents of one bucket that a task holds at once
+BLOCK = 1024  # nodes of one bucket that a task holds at once
+MEMBERS = 512  # texts that one sending of their hub's text serves, about
 
 
 @functools.lru_cache
@@ -134,6 +141,10 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Of a row: its number, its id, and two hashes of id and text that find the text again.
+SAME = ("r", "doc_id", "t", "u")
+
+
 def _sketch(k: int):
     def run(batches):
         for batch in batches:
@@ -144,8 +155,8 @@ def _sketch(k: int):
                     prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     keys.append(band_keys(signature(own)[None])[0] if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "print", "bands"],
+                [*(batch.column(c) for c in SAME), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [*SAME, "n_shingles", "print", "bands"],
             )
 
     return run
@@ -157,19 +168,23 @@ def shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
 
 
 def _verify(k: int, percent: int):
+    """Rows in order of (b, part, side): the text of hub b, then those of its members; yields the pairs that are links."""
     def run(batches):
-        hub, hub_set = None, set()
+        hub_set = set()
         for batch in batches:
-            keep = []
+            left, right = [], []
             for at in range(0, batch.num_rows, 256):
-                left, right = (batch.column(c).slice(at, 256).to_pylist() for c in ("text_a", "text_b"))
-                for a, b in zip(left, right):
-                    if b != hub:
-                        hub, hub_set = b, shingles(b, k)
-                    own = shingles(a, k)
-                    common_ = len(own & hub_set)
-                    keep.append(bool(own) and 100 * common_ >= percent * (len(own) + len(hub_set) - common_))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+                columns = (batch.column(c).slice(at, 256).to_pylist() for c in ("b", "side", "a", "text"))
+                for b, side, a, text in zip(*columns):
+                    own = shingles(text, k)
+                    if side == 0:
+                        hub_set = own
+                        continue
+                    shared = len(own & hub_set)
+                    if own and 100 * shared >= percent * (len(own) + len(hub_set) - shared):
+                        left.append(a)
+                        right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
@@ -182,11 +197,14 @@ class _Links:
         self.labels: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b) and join the components that the links connect."""
-        left = self.texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = self.texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.select("a", "b").join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-        found = common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.k, self.percent), "a long, b long"))
+        """Verify written pairs (a, b), and join the components that the links connect."""
+        parts = common.stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")))
+        dealt = common.stored(pairs.join(parts.hint("shuffle_merge"), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")))
+        hubs = common.stored(dealt.select("b", "part").distinct())
+        hubs = hubs.join(self.texts.withColumnRenamed("r", "b").hint("shuffle_merge"), "b").select("b", "part", F.lit(0).alias("side"), F.lit(None).cast("long").alias("a"), "text")
+        members = dealt.join(self.texts.withColumnRenamed("r", "a").hint("shuffle_merge"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
+        both = hubs.union(members).repartition("b", "part").sortWithinPartitions("b", "part", "side")
+        found = common.stored(both.mapInArrow(_verify(self.k, self.percent), "a long, b long"))
         if found.isEmpty():
             return
         links = self.label(found, "a", "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
@@ -197,7 +215,7 @@ class _Links:
         self.labels = common.stored(new.select(F.col("u").alias("v"), F.col("m").alias("component")))
 
     def label(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """Add label_<column>: the component of the id in each column, the id itself where it has no link."""
+        """Add label_<column>: the component of the node in each column, the node itself where it has no link."""
         for c in columns:
             if self.labels is None:
                 rows = rows.withColumn(f"label_{c}", F.col(c))
@@ -208,50 +226,66 @@ class _Links:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, text_hash (of id and text, see text_hash()), n_shingles, component_id, kept for every row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketch = common.stored(texts.mapInArrow(_sketch(k), "doc_id long, n_shingles long, print binary, bands array<long>"))
-    # Equal sets: one representative, the least id.
-    groups = sketch.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    mapped = sketch.select("doc_id", "n_shingles", "print").join(groups.hint("shuffle_merge"), "print", "left").drop("print")
-    mapped = common.stored(mapped.withColumn("rep", F.coalesce("rep", "doc_id")))
-    reps = mapped.filter("doc_id = rep AND n_shingles > 0").select(F.col("rep").alias("doc_id")).distinct()
-    members = sketch.filter("print IS NOT NULL").join(reps.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "print"])
-    members = members.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    heads = members.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).filter("b < most").drop("most")
+    texts = texts.withColumns({"t": text_hash("doc_id", "text"), "u": F.xxhash64("text", F.lit("second"), "doc_id")})
+    numbered = texts.withColumn("r", F.monotonically_increasing_id())  # written with the sketch, so it stays what it is
+    sketch = common.stored(numbered.select(*SAME, "text").mapInArrow(_sketch(k), "r long, doc_id long, t long, u long, n_shingles long, print binary, bands array<long>"))
+    # Equal sets are one node, known by the least of its rows.
+    filled = sketch.filter("print IS NOT NULL")
+    nodes = common.stored(filled.groupBy("print").agg(F.min("r").alias("node"), F.min("doc_id").alias("least")))
+    rows = common.stored(filled.select("doc_id", "t", "n_shingles", "print").join(nodes.hint("shuffle_merge"), "print").drop("print"))
+    sets = common.stored(filled.join(nodes.select(F.col("node").alias("r")).hint("shuffle_merge"), "r", "left_semi").select("r", "t", "u", "n_shingles", "bands"))
+    members = sets.select(F.col("r").alias("a"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     # Only buckets of two or more matter from here on.
+    heads = common.stored(members.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).filter("b < most").drop("most"))
     members = common.stored(members.join(heads.hint("shuffle_merge"), "key"))
     star = members.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    star = common.stored(star)
-    if star.isEmpty():
-        links = None
-    else:
-        needed = common.stored(members.select(F.col("a").alias("doc_id")).distinct())
-        own = texts.join(needed.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        links = _Links(common.stored(own), k, percent)
-        best = star.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
-        best = common.stored(best)
-        links.confirm(best)
-        open_ = _open(links, members)
-        if not open_.isEmpty():
-            open_, sets = _shared_counts(links, open_)
-            drawn = [F.min(F.struct(F.xxhash64(F.lit(j), "a").alias("h"), "a", "n", "s", "label_a")).alias(f"hub{j}") for j in range(RANDOM_HUBS)]
-            first = F.min(F.struct(F.col("a").alias("h"), "a", "n", "s", "label_a")).alias("hub")
-            hub = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(y) for x, y in OTHER.items()])
-            hubs = open_.groupBy("key").agg(first, *drawn).select("key", F.explode(F.array_distinct(F.array(hub("hub"), *[hub(f"hub{j}") for j in range(RANDOM_HUBS)]))).alias("x")).select("key", "x.*")
-            pairs = open_.join(hubs.hint("shuffle_merge"), "key").filter(_may_link(percent))
-            tried = common.stored(_in_order(pairs).join(_in_order(best), ["a", "b"], "left_anti"))
-            links.confirm(tried)
-            tried = tried.union(_in_order(best))
-            open_ = _open(links, open_)
-        if not open_.isEmpty():
-            likely = _in_order(_likely_pairs(open_, sets, percent))
-            links.confirm(likely.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"))
+    best = star.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
+    best = common.stored(best)
+    links = None if best.isEmpty() else _linked(texts, sets, members, best, k, percent)
     if links is None or links.labels is None:
-        joined = mapped.withColumn("component_id", F.col("rep"))
+        known = rows.withColumn("component_id", F.col("least"))
     else:
-        joined = links.label(mapped, "rep").withColumnRenamed("label_rep", "component_id")
-    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        # the smallest id of every component's nodes, for each node, then for each row
+        least = common.stored(links.labels.join(nodes.select(F.col("node").alias("v"), "least").hint("shuffle_merge"), "v"))
+        smallest = common.stored(least.groupBy("component").agg(F.min("least").alias("component_id")))
+        of_node = common.stored(least.select("component", F.col("v").alias("node")).join(smallest.hint("shuffle_merge"), "component").drop("component"))
+        known = rows.join(of_node.withColumn("linked", F.lit(True)), "node", "left").withColumn("component_id", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")))
+    known = known.select("doc_id", "t", "n_shingles", "component_id").union(sketch.filter("print IS NULL").select("doc_id", "t", "n_shingles", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return known.select("doc_id", F.col("t").alias("text_hash"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def text_hash(id_col: str, text_col: str) -> Column:
+    """What tells rows of one id apart; null text is the empty text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _linked(texts: DataFrame, sets: DataFrame, members: DataFrame, best: DataFrame, k: int, percent: int) -> _Links:
+    """The three steps. ``sets``: r, t, u of all nodes; ``members``: a, n, key, b of the buckets; ``best``: the pairs of step 1."""
+    needed = sets.join(members.select(F.col("a").alias("r")).distinct().hint("shuffle_merge"), "r", "left_semi").select("r", "t", "u")
+    own = texts.select("t", "u", "text").join(common.stored(needed).hint("shuffle_merge"), ["t", "u"]).dropDuplicates(["t", "u"])
+    links = _Links(common.stored(own.select("r", "text")), k, percent)
+    links.confirm(best)
+    open_ = _open(links, members.drop("b"))
+    if open_.isEmpty():
+        return links
+    open_, small = _shared_counts(links, open_)
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(j), "a").alias("h"), "a", "n", "s", "label_a")).alias(f"hub{j}") for j in range(RANDOM_HUBS)]
+    first = F.min(F.struct(F.col("a").alias("h"), "a", "n", "s", "label_a")).alias("hub")
+    hub = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(y) for x, y in OTHER.items()])
+    hubs = open_.groupBy("key").agg(first, *drawn).select("key", F.explode(F.array_distinct(F.array(hub("hub"), *[hub(f"hub{j}") for j in range(RANDOM_HUBS)]))).alias("x"))
+    hubs = common.stored(hubs.select("key", "x.*"))
+    pairs = open_.join(hubs.hint("shuffle_merge"), "key").filter(_may_link(percent))
+    tried = common.stored(_in_order(pairs).join(_in_order(best).hint("shuffle_merge"), ["a", "b"], "left_anti"))
+    links.confirm(tried)
+    tried = tried.union(_in_order(best))
+    open_ = _open(links, open_.drop("label_a"))
+    if not open_.isEmpty():
+        likely = _in_order(_likely_pairs(open_, small, percent))
+        links.confirm(common.stored(likely.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")))
+    return links
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -260,8 +294,8 @@ def _in_order(pairs: DataFrame) -> DataFrame:
 
 def _open(links: _Links, members: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with their component as label_a."""
-    rows = common.stored(links.label(members.drop("b", "label_a"), "a"))
-    several = rows.groupBy("key").agg(F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("key")
+    rows = common.stored(links.label(members, "a"))
+    several = common.stored(rows.groupBy("key").agg(F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("key"))
     return common.stored(rows.join(several.hint("shuffle_merge"), "key", "left_semi"))
 
 
@@ -290,10 +324,10 @@ def _hashes(k: int):
 
 def _shared_counts(links: _Links, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``open_`` with s, the number of a document's shingles that open documents of other components have too, without those that have too few for any link; and the documents' hashes."""
-    texts = links.texts.select(F.col("doc_id").alias("a"), "text").join(open_.select("a", "label_a").distinct().hint("shuffle_merge"), "a").select("a", "label_a", "text")
+    texts = links.texts.withColumnRenamed("r", "a").join(open_.select("a", "label_a").distinct().hint("shuffle_merge"), "a").select("a", "label_a", "text")
     sets = common.stored(texts.mapInArrow(_hashes(links.k), "a long, label_a long, hashes array<long>, small array<int>"))
     each = sets.select("a", "label_a", F.explode("hashes").alias("h"))
-    several = each.groupBy("h").agg(F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("h")
+    several = common.stored(each.groupBy("h").agg(F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("h"))
     shared = each.select("a", "h").join(several.hint("shuffle_merge"), "h", "left_semi").groupBy("a").agg(F.count("*").alias("s"))
     return common.stored(open_.join(shared.hint("shuffle_merge"), "a").filter(F.col("s") * 100 >= F.col("n") * links.percent)), sets.select("a", "small")
 
@@ -347,7 +381,7 @@ def _likely_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = sizes.groupBy("key").agg(F.max(F.struct("size", "label_a")).alias("x"), F.sum("size").alias("all")).select(
         "key", F.col("x.label_a").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ours"), F.ceil((F.col("all") - F.col("x.size")) / BLOCK).cast("int").alias("others")
     ).filter("others > 0")
-    rows = common.stored(open_.select("key", "a", "label_a").join(total.hint("shuffle_merge"), "key"))
+    rows = common.stored(open_.select("key", "a", "label_a").join(common.stored(total).hint("shuffle_merge"), "key"))
     dealt = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = rows.filter("label_a <> main").select("key", each("ours").alias("mine"), dealt("others").alias("theirs"), F.lit(0).alias("side"), "a", "label_a")
@@ -357,7 +391,7 @@ def _likely_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.documents(spark, sf_dir), k=4, percent=80)
+    return near_duplicates(common.documents(spark, sf_dir), k=4, percent=80).drop("text_hash")
 
 
 SQL = r"""

@@ -152,10 +152,29 @@ def test_near_duplicates_odd_rows(odd, none):
     rows = {r.doc_id: r for r in got}
     assert rows[1].n_shingles == 0 and rows[2].n_shingles == 0 and rows[3].n_shingles == 0 and rows[9].n_shingles == 1
     assert rows[4].component_id == rows[6].component_id == 4 and not rows[6].kept and rows[2].kept
-    assert rows[10].n_shingles == 1 and rows[None].kept is False
+    assert rows[10].n_shingles == 1 and rows[None].kept is False and rows[None].component_id is None
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_take_texts_of_one_id_apart(spark):
+    """Ids that repeat with other texts, and rows without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    rows = [(5, a), (5, b), (9, near(b)), (3, near(a)), (None, near(b) + " yet"), (None, c), (None, c), (7, c), (8, None), (None, ""), (11, "lone words only here"), (11, "lone words only here")]
+    want = [(5, a, 3), (5, b, 5), (9, near(b), 5), (3, near(a), 3), (None, near(b) + " yet", 5), (None, c, 7), (None, c, 7), (7, c, 7), (8, None, 8), (None, "", None), (11, "lone words only here", 11), (11, "lone words only here", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    by_hash = {r.h: r.text for r in df.select(near_dedup.text_hash("doc_id", "text").alias("h"), "text").collect()}
+    got = near_dedup.near_duplicates(df).collect()
+    assert sorted((repr(r.doc_id), by_hash[r.text_hash] or "", r.component_id or -1, r.kept) for r in got) == sorted((repr(i), t or "", m or -1, i is not None and i == m) for i, t, m in want)
+
+
+def test_members_of_a_large_hub_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEMBERS", 4)
+    docs = families(random.Random(11))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), 4).collect()}
+    assert got == brute_near(docs, 4)
+
+
 def test_every_step_of_near_duplicates_is_needed_and_right(spark):
     """A chain in which neighbours link and the ends don't, in one large bucket family."""
     rng = random.Random(1)
