@@ -1,8 +1,14 @@
 """The corpus pipeline: documents in, token ids out, in five stages.
 
 Each stage takes all that its predecessor kept, is written as Parquet and read
-back, and hands the columns of ``documents`` on (the last one adds token ids).
-Columns beyond those pass through every stage.
+back, and hands the columns of ``documents`` on. Columns beyond those pass through
+the first four stages. The last one returns doc_id, lang, source, ids, n_tokens and
+round_trip only: token ids stand for the text from there on.
+
+Defined results: rows that share a doc_id are documents of their own as long as their
+texts differ; of rows that share both, near-dedup keeps one. Near-dedup keeps rows
+without a doc_id. A null language is filled with the one that language ID found, so
+mixing weighs the document under it; a given language is not overruled.
 """
 
 from __future__ import annotations
@@ -17,11 +23,11 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts whose language is in doubt, go."""
+    """Texts without a letter, and texts whose language is in doubt, go; a null language becomes the one found."""
     docs, back = common.aside(docs, "lang_pred", "lang_score")
     scored = language_id.predict(docs, language_id.train(docs))
     keep = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return scored.filter(keep).drop("lang_pred", "lang_score").withColumnsRenamed(back)
+    return scored.filter(keep).withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "lang_score").withColumnsRenamed(back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    dropped = common.stored(near_dedup.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(dropped.hint("shuffle_merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    columns = docs.columns
+    docs, back = common.aside(docs, "text_hash")
+    dropped = common.stored(near_dedup.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id", "text_hash").distinct())
+    marked = docs.withColumn("text_hash", near_dedup.text_hash("doc_id", "text"))
+    left = marked.join(dropped.hint("shuffle_merge"), ["doc_id", "text_hash"], "left_anti").dropDuplicates(["doc_id", "text_hash", "text"])
+    return left.drop("text_hash").withColumnsRenamed(back).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
