@@ -2,7 +2,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with names that operators use inside.
-CLASHES = ("norm", "recipe", "chunks", "h", "key", "a", "b", "_l", "covered", "_cid", "rep", "bands", "ids", "decoded", "lang_pred", "lang_score", "_kept", "_topic", "_cs", "_id", "score", "text_sha256", "_n_lines", "label_a", "small")
+CLASHES = ("norm", "recipe", "chunks", "h", "key", "a", "b", "_l", "covered", "_cid", "rep", "bands", "ids", "decoded", "lang_pred", "lang_score", "_kept", "_topic", "_cs", "_id", "score", "text_sha256", "_n_lines", "label_a", "small", "text_hash", "node", "r", "t", "u")
 
 ODD = [
     (1, None, None, None, None),
