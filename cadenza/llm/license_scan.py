@@ -2,11 +2,12 @@
 
 One pass counts in how many documents each word of the licence templates stands
 (at most one row per template word comes back to the driver). In every template
-the mandatory key phrase is indexed by its word of highest IDF. A file is looked
-up for these rare words; each hit fixes where the template would lie, the key
-phrase is verified word by word at its relative positions, and the rest of the
-template's postings, matched at their relative positions too, give the score:
-the IDF-weighted share of the template that is in place, best over all places.
+the mandatory key phrase is indexed by its two words of highest IDF. A file that may
+hold one of the rarer ones gets postings, the places of these words; the postings of a
+template's two words, each moved back by the word's place in the phrase, are
+intersected, and at what is left the whole key phrase is verified word by word.
+The other words of the template, looked up at their relative positions too, give the
+score: the IDF-weighted share of the template that is in place, best over all places.
 The key phrases of the base labels are templates' key phrases, so no base place
 is missed, however rare or common its words are in the corpus.
 
@@ -71,32 +72,35 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = []
     for label, template, phrase in TEMPLATES:
         words, at, n = _key(template, phrase)
-        rare = max(range(n), key=lambda j: (idf[words[at + j]], -j))
+        rare = sorted(range(n), key=lambda j: (-idf[words[at + j]], j))[:2]
         parts.append((label, words, at, n, rare))
-    rare_words = sorted({words[at + rare] for _, words, at, _, rare in parts})
+    seldom = sorted({words[at + rare[0]] for _, words, at, _, rare in parts})
+    posted = sorted({words[at + j] for _, words, at, _, rare in parts for j in rare})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
+    raw = F.split(text, BREAK)
     split = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.filter(F.split(text, BREAK), lambda x: x != "").alias("_raw"),
-        text.rlike("(?i)" + "|".join(rare_words)).alias("_may"),
+        # of the pieces, the first and the last one may be empty
+        (F.size(raw) - (F.get(raw, F.lit(0)) == "").cast("int") - ((F.size(raw) > 1) & (F.element_at(raw, -1) == "")).cast("int")).cast("long").alias("n_words"),
+        F.when(text.rlike(rf"(?i)(?:{'|'.join(seldom)})(?:{BREAK[:-1]}|\z)"), F.filter(F.split(F.lower(text), BREAK), lambda x: x != "")).otherwise(F.array().cast("array<string>")).alias("_w"),
     )
-    none = F.array().cast("array<int>")
     w = lambda i: F.get(F.col("_w"), i)
-    lowered = split.withColumn("_w", F.when(F.col("_may"), F.transform("_raw", lambda x: F.lower(x)))).withColumn("n_words", F.size("_raw").cast("long")).drop("_raw")
-    hits = F.when(F.col("_may") & (F.size("_w") > 0), F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: w(i).isin(*rare_words))).otherwise(none)
-    found = lowered.withColumn("_hits", hits)
-
-    def places(words: list[str], at: int, n: int, rare: int) -> Column:
-        """Starts of the key phrase, from the hits of its rare word."""
-        def whole(i: Column) -> Column:
-            ok = w(i) == words[at + rare]
-            for j in range(n):
-                if j != rare:
-                    ok = ok & F.coalesce(w(i + (j - rare)) == words[at + j], F.lit(False))
+    postings = F.filter(F.transform("_w", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda z: z["w"].isin(*posted))
+    found = split.withColumn("_post", postings)
+
+    def places(words: list[str], at: int, n: int, rare: list[int]) -> Column:
+        """Starts of the key phrase: where the postings of its rare words agree and the other words are in place."""
+        starts = lambda j: F.transform(F.filter("_post", lambda z: z["w"] == words[at + j]), lambda z: z["i"] - j)
+        agreed = F.array_intersect(*map(starts, rare))
+
+        def whole(s: Column) -> Column:
+            ok = F.lit(True)
+            for j in sorted(set(range(n)) - set(rare)):
+                ok = ok & F.coalesce(w(s + j) == words[at + j], F.lit(False))
             return ok
 
-        return F.transform(F.filter("_hits", whole), lambda i: i - rare)
+        return F.filter(agreed, whole)
 
     found = found.withColumns({f"_p{k}": places(words, at, n, rare) for k, (_, words, at, n, rare) in enumerate(parts)})
 
