@@ -1,15 +1,23 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
 Vectors become integers, floor(256 * x); a component is a term with a signed
-weight. Candidates are dealt into groups of bounded size. In a group they are
-put in the order of their strongest term and cut into blocks, each block with
-its forward index (the rows) and the largest and smallest weight of every term.
+weight. Candidates are dealt into groups of bounded size: by the nearest of at most
+PIVOTS sample vectors, and by a hash within a cell that is too large, so that a group
+holds vectors of one direction. In a group they are cut at medians into blocks, each
+with its forward index (the rows) and the largest and smallest weight of every term.
 For a query, the sum over its terms of weight times the block's best weight
 bounds every score in the block, so a query takes the blocks in the order of
-their bounds and stops when the next bound is below its k-th score. The groups'
-best k are merged by a window.
+their bounds and stops when the next bound is below its k-th score.
 
-Defined results: vectors that are null or hold null or non-finite components,
+A query meets its own group first. Its k-th score there goes on as the floor: the same
+bound, taken over whole groups, says which other groups can reach it, only those get
+the query's vector, and they report only what does. A window merges the results.
+
+What bounds can skip depends on the vectors. Where these have no directions in common
+(many components, all alike), every block can reach every floor, and all are scored.
+
+Defined results: vectors that are null or hold null or non-finite components (also
+such as are beyond a double when taken 256-fold),
 and rows without an id, take no part; missing components of shorter vectors
 count as 0; rows that share a vec_id are one vector (the smallest by array
 order); scores are exact integers, and beyond the range of a long they stop at
@@ -25,8 +33,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-K, QUERY_EVERY = 5, 50
-GROUP_ROWS, QUERY_ROWS, BLOCK_ROWS = 8192, 4096, 128  # vectors in a candidate group, a query group, a block
+from . import common
+
+K, QUERY_EVERY, PIVOTS = 5, 50, 256
+GROUP_ROWS, QUERY_ROWS, BLOCK_ROWS = 8192, 4096, 32  # vectors in a candidate group, a query group, a block
 _EXACT = float(1 << 53)
 _TOP = (1 << 63) - 1
 
@@ -38,64 +48,164 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def group_top_k(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int = K) -> pd.DataFrame:
-    """The k best rows of v for every row of q, by exact score, then by smaller id."""
+def block_order(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, and where its blocks begin: cut at the median of the widest term, again and again."""
+    parts, waiting = [], [np.arange(len(v))]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= BLOCK_ROWS or not v.shape[1]:
+            parts += [rows[s : s + BLOCK_ROWS] for s in range(0, len(rows), BLOCK_ROWS)]
+            continue
+        own = v[rows]
+        term = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+        order = np.argsort(own[:, term], kind="stable")
+        middle = -(-len(rows) // (2 * BLOCK_ROWS)) * BLOCK_ROWS  # so that the left part has full blocks
+        waiting += [rows[order[middle:]], rows[order[:middle]]]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.cumsum(sizes) - sizes
+
+
+def bounds(q: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The largest score that each row of q can have in each box."""
+    return np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
+
+
+def search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int = K) -> tuple[list[list[tuple[int, int]]], int, int]:
+    """For every row of q its k best rows of v that reach its floor, as (-score, id), best first; blocks that were scored, and all that there are, summed over queries."""
     if q.size and v.size and float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] >= _EXACT:
         q, v = (np.array([[int(x) for x in row] for row in m], dtype=object) for m in (q, v))
-    if v.shape[1]:
-        order = np.lexsort((vid, np.argmax(v, axis=1) if v.dtype != object else np.zeros(len(v))))
-        vid, v = vid[order], v[order]
-    starts = np.arange(0, len(v), BLOCK_ROWS)
-    most = np.array([v[s : s + BLOCK_ROWS].max(axis=0) for s in starts]).reshape(len(starts), -1)
-    least = np.array([v[s : s + BLOCK_ROWS].min(axis=0) for s in starts]).reshape(len(starts), -1)
-    bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
+    order, starts = block_order(v)
+    vid, v = vid[order], v[order]
+    ends = np.append(starts[1:], len(v))
+    most = np.array([v[a:b].max(axis=0) for a, b in zip(starts, ends)]).reshape(len(starts), -1)
+    least = np.array([v[a:b].min(axis=0) for a, b in zip(starts, ends)]).reshape(len(starts), -1)
+    bound = bounds(q, most, least)
     order = np.argsort(-bound, axis=1, kind="stable")
-    found = [[] for _ in qid]  # (-score, id), best first
+    found, low, scored = [[] for _ in qid], list(floor), 0
     open_ = np.arange(len(qid))
     for step in range(len(starts)):
         block = order[open_, step]
-        live = np.array([len(found[i]) < k or bound[i, b] >= -found[i][-1][0] for i, b in zip(open_, block)], dtype=bool)
+        live = np.array([bound[i, b] >= low[i] for i, b in zip(open_, block)], dtype=bool)
         open_, block = open_[live], block[live]
         if not len(open_):
             break
+        scored += len(open_)
         for b in np.unique(block):
-            ids, who = vid[starts[b] : starts[b] + BLOCK_ROWS], open_[block == b]
-            scores = q[who] @ v[starts[b] : starts[b] + BLOCK_ROWS].T
+            ids, who = vid[starts[b] : ends[b]], open_[block == b]
+            scores = q[who] @ v[starts[b] : ends[b]].T
             for i, row in zip(who, scores):
-                own = ids != qid[i]
-                s, c = row[own], ids[own]
-                if len(found[i]) == k:
-                    good = s >= -found[i][-1][0]
-                    s, c = s[good], c[good]
-                best = np.lexsort((c, -s))[:k]
-                found[i] = sorted(found[i] + [(-int(s[j]), int(c[j])) for j in best])[:k]
+                good = (ids != qid[i]) & (row >= low[i])
+                if good.any():
+                    s, c = row[good], ids[good]
+                    best = np.lexsort((c, -s))[:k]
+                    found[i] = sorted(found[i] + [(-int(s[j]), int(c[j])) for j in best])[:k]
+                    if len(found[i]) == k:
+                        low[i] = max(low[i], -found[i][-1][0])
+    return found, scored, len(qid) * len(starts)
+
+
+def group_top_k(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int = K, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best rows of v for every row of q, by exact score, then by smaller id; scores are kept within a long."""
+    found, _, _ = search(qid, q, np.full(len(qid), -np.inf) if floor is None else floor, vid, v, k)
     rows = [(int(qid[i]), c, max(-_TOP - 1, min(_TOP, -s))) for i, best in enumerate(found) for s, c in best]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
-def _cogroup(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    if not len(queries) or not len(rows):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    width = max(queries.v.map(len).max(), rows.v.map(len).max())
-    return group_top_k(queries.vec_id.to_numpy(), _matrix(queries.v, width), rows.vec_id.to_numpy(), _matrix(rows.v, width))
+_RESULT = "query_id long, vec_id long, score long"
+
+
+def _own_group(k: int):
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """The best of a query's own group; and, in a row of its own, the group's box."""
+        v = _matrix(rows.v, max(rows.v.map(len)))
+        if len(queries):
+            out = group_top_k(queries.vec_id.to_numpy(), _matrix(queries.v, v.shape[1]), rows.vec_id.to_numpy(), v, k)
+        else:
+            out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        n = len(out)
+        return pd.DataFrame(
+            {
+                **{c: pd.array([*out[c], None], "Int64") for c in ("query_id", "vec_id", "score")},
+                "g": pd.array([None] * n + [int(rows.g.iloc[0])], "Int64"),
+                "most": [None] * n + [v.max(axis=0).tolist()], "least": [None] * n + [v.min(axis=0).tolist()],
+            }
+        )
+
+    return run
+
+
+def _reachable(queries: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+    """(query, group) pairs of which the group's bound reaches the query's floor."""
+    if not len(queries) or not len(boxes):
+        return pd.DataFrame({"vec_id": [], "g": []}).astype("int64")
+    width = max(queries.v.map(len).max(), boxes.most.map(len).max())
+    # a missing component counts as 0; in a box of shorter vectors so do its ends
+    bound = bounds(_matrix(queries.v, width), _matrix(boxes.most, width), _matrix(boxes.least, width))
+    bound = bound + np.abs(bound) * 1e-9  # sums of large numbers are rounded
+    q, g = np.nonzero((bound >= queries.floor.to_numpy()[:, None]) & (queries.g.to_numpy()[:, None] != boxes.g.to_numpy()[None, :]))
+    return pd.DataFrame({"vec_id": queries.vec_id.to_numpy()[q], "g": boxes.g.to_numpy()[g]})
+
+
+def _other_group(k: int):
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        width = max(queries.v.map(len).max(), rows.v.map(len).max())
+        return group_top_k(queries.vec_id.to_numpy(), _matrix(queries.v, width), rows.vec_id.to_numpy(), _matrix(rows.v, width), k, queries.floor.to_numpy())
+
+    return run
+
+
+def _grouped(valid: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """``valid`` with g, its group, and the number of groups."""
+    if n <= GROUP_ROWS:
+        return valid.withColumn("g", F.lit(0)), 1
+    # at most PIVOTS rows come to the driver and go to every task
+    pivots = [r.v for r in valid.orderBy(F.xxhash64("vec_id")).limit(min(PIVOTS, math.ceil(n / GROUP_ROWS))).select("v").collect()]
+    sent = valid.sparkSession.sparkContext.broadcast(pivots)
+
+    def nearest(batches):
+        for rows in batches:
+            width = max([*map(len, sent.value), *rows.v.map(len)], default=0)
+            p = _matrix(sent.value, width)
+            cell = np.argmax(_matrix(rows.v, width) @ p.T - (p * p).sum(axis=1) / 2, axis=1) if len(rows) else []
+            yield rows.assign(cell=np.asarray(cell, np.int32))
+
+    celled = common.stored(valid.mapInPandas(nearest, common.with_fields(valid, "cell int")))
+    sizes = dict(celled.groupBy("cell").count().collect())  # at most PIVOTS rows
+    parts = [math.ceil(sizes.get(c, 0) / GROUP_ROWS) for c in range(len(pivots))]
+    first = np.cumsum([0, *parts]).tolist()
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
+    return celled.withColumn("g", (of(first[:-1]) + F.pmod(F.xxhash64("vec_id"), F.greatest(of(parts), F.lit(1)))).cast("int")).drop("cell"), first[-1]
 
 
 def exact_top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K) -> DataFrame:
     """For each vector whose vec_id is divisible by ``every``, its k best other vectors."""
-    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * 256.0) == float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double"))
     valid = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~odd).select("vec_id", whole.alias("v"))
-    valid = valid.groupBy("vec_id").agg(F.min("v").alias("v"))
-    asks = F.col("vec_id") % every == 0
-    n, n_queries = valid.agg(F.count("*"), F.count_if(asks)).first()
-    groups, query_groups = max(1, math.ceil(n / GROUP_ROWS)), max(1, math.ceil(n_queries / QUERY_ROWS))
-    dealt = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = valid.withColumn("g", dealt(groups)).withColumn("qg", spread(query_groups))
-    queries = valid.filter(asks).withColumn("qg", dealt(query_groups)).withColumn("g", spread(groups))
-    part = queries.groupBy("g", "qg").cogroup(rows.groupBy("g", "qg")).applyInPandas(_cogroup, "query_id long, vec_id long, score long")
+    valid = common.stored(valid.groupBy("vec_id").agg(F.min("v").alias("v")))
+    n, n_queries = valid.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    rows, groups = _grouped(valid, n)
+    queries = rows.filter(F.col("vec_id") % every == 0)
+    own = common.stored(queries.groupBy("g").cogroup(rows.groupBy("g")).applyInPandas(_own_group(k), _RESULT + ", g long, most array<double>, least array<double>"))
+    found = own.filter("query_id IS NOT NULL").select("query_id", "vec_id", "score")
+    if groups > 1:
+        dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        query_groups, box_groups = math.ceil(n_queries / QUERY_ROWS), math.ceil(groups / GROUP_ROWS)
+        floors = common.stored(found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor")).withColumnRenamed("query_id", "vec_id"))
+        asked = queries.join(floors.hint("shuffle_merge"), "vec_id", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))))
+        asked = common.stored(asked.withColumn("qg", dealt("vec_id", max(1, query_groups))))
+        boxes = own.filter("g IS NOT NULL").select("g", "most", "least").withColumn("bg", dealt("g", box_groups)).withColumn("qg", spread(max(1, query_groups)))
+        pairs = asked.withColumn("bg", spread(box_groups)).groupBy("bg", "qg").cogroup(boxes.groupBy("bg", "qg")).applyInPandas(_reachable, "vec_id long, g long")
+        sent = common.stored(common.stored(pairs).join(asked.drop("g").hint("shuffle_merge"), "vec_id"))
+        met = common.stored(sent.select("g", "qg").distinct())
+        held = rows.join(met.hint("shuffle_merge"), "g")  # a group's vectors go only where queries have to see them
+        more = sent.groupBy("g", "qg").cogroup(held.groupBy("g", "qg")).applyInPandas(_other_group(k), _RESULT)
+        found = found.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +214,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
 ),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
