@@ -11,7 +11,9 @@ a token budget is met, each by a repeatable hash of its id.
 Defined results: null source or language counts as "*", null text has no tokens
 and topic "*"; a target category without any token gives its share to the others
 of its marginal; "*" without a target takes what the named targets leave of 1, and
-its natural share where they leave nothing (name "*": 0 to drop it); a document
+its natural share where they leave nothing (name "*": 0 to drop it); targets that no
+weights of the given cells meet give what ROUNDS rounds come to and a warning with the
+gap that is left; a document
 without tokens is kept with its cell's probability; rows that share a doc_id get the
 same decision within a cell; an empty table gives an empty result; further
 columns pass through.
@@ -19,6 +21,8 @@ columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -78,6 +82,8 @@ def rake(tokens: dict[tuple[str, str, str], float], targets: dict[str, dict[str,
             share = share * np.divide(want, now, out=np.zeros_like(want), where=now > 0)[where]
         if off < CLOSE:
             break
+    else:
+        warnings.warn(f"the targets cannot all be met: a marginal is off by {off:.2g} after {ROUNDS} rounds", UserWarning, stacklevel=2)
     return dict(zip(cells, share / share.sum()))
 
 

@@ -239,6 +239,27 @@ def test_mixing_weighs_a_named_source_against_the_rest():
     assert by(other, 1, "*") == pytest.approx(0.2, abs=1e-6) and by(other, 1, "en") == pytest.approx(0.64, abs=1e-6)
 
 
+def raked(tokens, targets):
+    """Iterative proportional fitting with dictionaries; a marginal's rest takes what its named targets leave."""
+    share = {c: t / sum(tokens.values()) for c, t in tokens.items() if t}
+    for _ in range(3000):
+        for axis, name in enumerate(mixing.MARGINALS):
+            now = {}
+            for c, v in share.items():
+                now[c[axis]] = now.get(c[axis], 0.0) + v
+            want = {x: targets[name].get(x, 0.0) for x in now}
+            if "*" in now and "*" not in targets[name]:
+                left = 1 - sum(targets[name].values())
+                if left > 1e-9:
+                    want["*"] = left
+                else:
+                    natural = sum(t for c, t in tokens.items() if c[axis] == "*") / sum(tokens.values())
+                    want = {x: (natural if x == "*" else w / sum(targets[name].get(y, 0.0) for y in now) * (1 - natural)) for x, w in want.items()}
+            want = {x: w / sum(want.values()) for x, w in want.items()}
+            share = {c: v * want[c[axis]] / now[c[axis]] for c, v in share.items()}
+    return share
+
+
 def test_mixing_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in mixing.op9_mixing(spark, SF).collect()}
@@ -251,14 +272,31 @@ def test_mixing_query_equals_brute_force(spark):
         assert (got[r.doc_id].topic, got[r.doc_id].n_tokens) == (topic, n)
         cells[r.doc_id] = cell
         tokens[cell] = tokens.get(cell, 0.0) + n
-    shares = mixing.rake(tokens, mixing.TARGETS)
-    p = mixing.keep_probabilities(tokens, shares)
+    share = raked(tokens, mixing.TARGETS)
+    rate = {c: share[c] / tokens[c] for c in share}
+    weights = {}
     for r in rows:
-        assert got[r.doc_id].probability == pytest.approx(p[cells[r.doc_id]]) and got[r.doc_id].kept == (r.u < got[r.doc_id].probability)
-    expected = sum(p[c] * t for c, t in tokens.items())
+        g, c = got[r.doc_id], cells[r.doc_id]
+        assert g.weight == pytest.approx(share[c], abs=1e-6) and g.probability == pytest.approx(rate[c] / max(rate.values()), abs=1e-6) and g.kept == (r.u < g.probability)
+        weights[c] = g.weight
+    # the query's own weights meet all three marginals
+    for axis, name in enumerate(mixing.MARGINALS):
+        of = lambda x: sum(w for c, w in weights.items() if c[axis] == x)
+        left = 1 - of("*") if sum(mixing.TARGETS[name].values()) >= 1 else 1.0
+        for x, target in mixing.TARGETS[name].items():
+            assert of(x) == pytest.approx(target * left, abs=1e-6), (name, x)
+    expected = sum(rate[c] / max(rate.values()) * t for c, t in tokens.items())
     assert sum(g.n_tokens for g in got.values() if g.kept) == pytest.approx(expected, rel=0.15)
 
 
+def test_targets_that_cannot_be_met_are_reported():
+    tokens = {("src0", "en", "prose"): 50.0, ("*", "de", "prose"): 50.0}  # the source says the language
+    targets = {"source": {"src0": 0.2}, "lang": {"en": 0.9, "de": 0.1}, "topic": {"prose": 1.0}}
+    with pytest.warns(UserWarning, match="targets"):
+        shares = mixing.rake(tokens, targets)
+    assert sum(shares.values()) == pytest.approx(1)
+
+
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix(odd)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
@@ -299,16 +337,45 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(5)]
     vectors = [[x + rng.gauss(0, 0.1) for x in rng.choice(base)] for _ in range(600)] + [[0.5] * 8] * 200 + [[1.0, 2.0], [3.0]]
     rows = list(enumerate(vectors))
-    df = spark.createDataFrame([*rows, (900, None), (950, [1.0, None]), (1000, [float("nan")] * 8), (1050, [float("inf")] * 8), (None, [1.0])], "vec_id long, embedding array<float>")
-    whole = [[int(np.floor(256 * float(np.float32(x)))) for x in v] for v in vectors]
+    df = spark.createDataFrame([*rows, (900, None), (950, [1.0, None]), (1000, [float("nan")] * 8), (1050, [float("inf")] * 8), (1100, [1e307] * 8), (None, [1.0])], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(256 * x)) for x in v] for v in vectors]
     want = brute_top([i for i, _ in rows], whole, 50, 5)
     assert sorted(map(tuple, topk.exact_top_k(df.withColumn("v", F.lit(1))).collect())) == want
     monkeypatch.setattr(topk, "GROUP_ROWS", 100)
     monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
     assert sorted(map(tuple, topk.exact_top_k(df).collect())) == want
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_vector_here_and_in_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (2, [2.0, 9.0]), (3, [2.0, 0.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.exact_top_k(df).collect()))
+    assert got == [(0, 1, 2, 128 * 512), (0, 2, 3, 128 * 512), (0, 3, 1, 128 * 256)]
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/e/*.parquet')")
+    assert sorted(duck.execute(topk.SQL).fetchall()) == got
+
+
+def test_blocks_of_common_directions_are_skipped():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(64, 24)) * 256
+    vid, of = np.arange(4096), rng.integers(0, 64, 4096)
+    v = np.floor(centres[of] + rng.normal(size=(4096, 24)) * 12)
+    found, scored, blocks = topk.search(vid[::50], v[::50], np.full(len(vid[::50]), -np.inf), vid, v)
+    scores = v[::50] @ v.T
+    for i, best in zip(range(0, 4096, 50), found):
+        row = sorted((-int(s), int(c)) for s, c in zip(scores[i // 50], vid) if c != i)[:5]
+        assert best == row
+    assert scored < 0.15 * blocks  # a cluster has a 64th of the rows
+    floor = np.array([-best[-1][0] for best in found], float)
+    again, rescored, _ = topk.search(vid[::50], v[::50], floor, vid, v)
+    assert again == found and rescored <= scored
+
+
 def test_large_components_stay_exact():
     big = np.array([[2.0**40, 1.0], [2.0**40, -3.0], [1.0, 1.0]])
     got = topk.group_top_k(np.array([0]), big[:1], np.array([0, 1, 2]), big, 2)
