@@ -6,14 +6,13 @@ A query applies one operator to the whole of a given table, or to what
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cadenza.functions import text as T
 from cadenza.operators import cache, chunk, extract, route, script, signal, timeline
 from cadenza.plans import inputs as I
 from cadenza.sources import pages as S
+from cadenza.sources.shared import shared_path
 from cadenza.streaming import intake
 
 RULES = (("the", "thee"), ("to", "too"), ("en", "enn"))
@@ -32,12 +31,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks
 
 
@@ -59,7 +52,7 @@ def _(spark, d):
 
 @query("s4_s5_manifests_round_trip", "WITH " + I.KEYED + " SELECT DISTINCT cache_key, payload_json, cache_key AS wav_sha256 FROM keyed")
 def _(spark, d):
-    path = scratch(spark, "manifests")
+    path = shared_path(spark, "manifests")
     rows = I.keyed(spark, d).select("cache_key", "payload_json").distinct()
     S.write_manifests(rows.withColumn("wav_sha256", F.col("cache_key")), path)
     return S.read_manifests(spark, path).select("cache_key", "payload_json", "wav_sha256")
@@ -67,7 +60,7 @@ def _(spark, d):
 
 @query("s6_write_plan", "WITH " + I.CHUNKS + " SELECT doc_id, chunk_index, role, text FROM chunks")
 def _(spark, d):
-    path = scratch(spark, "plan")
+    path = shared_path(spark, "plan")
     S.write_plan(I.chunks(spark, d).select("doc_id", "chunk_index", "role", "text"), path)
     return spark.read.parquet(path).select("doc_id", "chunk_index", F.col("role").cast("string").alias("role"), "text")
 
@@ -549,8 +542,8 @@ def _(spark, d):
     """The posts arrive as a stream; returns the work that the run asks for."""
     p = I.pages(spark, d)
     stream = spark.readStream.schema(p.schema).parquet(d + "/pages.parquet*")
-    out, done = scratch(spark, "todo"), scratch(spark, "done")
-    intake.resume_stream(spark, stream, I.models(spark, d), I.voices(spark, d), done, out, scratch(spark, "offsets")).awaitTermination()
+    out, done = shared_path(spark, "todo"), shared_path(spark, "done")
+    intake.resume_stream(spark, stream, I.models(spark, d), I.voices(spark, d), done, out, shared_path(spark, "offsets")).awaitTermination()
     return spark.read.parquet(out)
 
 

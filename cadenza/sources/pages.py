@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cadenza.sources.shared import written
+
 #: How numbered results are named.
 PREFIX, WIDTH = "narration", 4
 NAME = rf"(?i)^{PREFIX}_(\d+)\.wav$"
@@ -49,18 +51,24 @@ def write_plan(plan: DataFrame, path: str, mode: str = "overwrite") -> None:
 def allocate_output_numbers(new_docs: DataFrame, existing: DataFrame, id_col: str = "doc_id", name_col: str = "name") -> DataFrame:
     """doc_id, number, name: the next numbers after the largest one in use, in order of doc_id.
 
-    Ids are numbered without bringing them to one task: each of the ranges that a
-    sort makes is counted, and a row's number is its range's offset and its place.
+    Ids are numbered without bringing them to one task: they are sorted into ranges
+    and written with their range and their place in it, the written ranges are
+    counted, and a row's number is its range's offset and its place. (Ranges are
+    drawn from a sample, so they would not be the same if they were made twice.)
+    A null id comes first; an id that repeats gets a number for each of its rows.
     """
     taken = existing.agg(F.coalesce(F.max(F.regexp_extract(name_col, NAME, 1).try_cast("bigint")), F.lit(0))).first()[0]
     ordered = new_docs.select(F.col(id_col).alias("doc_id")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    placed = ordered.withColumn("_m", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)})
-    sizes = dict(placed.groupBy("_p").count().collect())  # a row for each partition
-    offsets, total = {}, taken
-    for p in sorted(sizes):
-        offsets[p], total = total, total + sizes[p]
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("_p")) if offsets else F.lit(0)
-    number = (start + F.col("_i") + 1).cast("long")
+    numbered = ordered.withColumn("_m", F.monotonically_increasing_id())
+    placed = written(numbered.select("doc_id", F.shiftright("_m", 33).cast("int").alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")), "numbers")
+    sizes = sorted(placed.groupBy("_p").count().collect())  # a row for each range
+    offsets, total = [], taken
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    starts = placed.sparkSession.createDataFrame(offsets, "_p int, _start long")
+    number = F.col("_start") + F.col("_i") + 1
     digits = number.cast("string")
     padded = F.when(F.length(digits) < WIDTH, F.lpad(digits, WIDTH, "0")).otherwise(digits)
-    return placed.select("doc_id", number.alias("number"), F.concat(F.lit(f"{PREFIX}_"), padded, F.lit(".wav")).alias("name"))
+    # no more rows than the sort had partitions
+    return placed.join(F.broadcast(starts), "_p").select("doc_id", number.alias("number"), F.concat(F.lit(f"{PREFIX}_"), padded, F.lit(".wav")).alias("name"))

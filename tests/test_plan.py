@@ -132,6 +132,24 @@ def test_numbers_follow_the_largest_in_use(spark):
     assert S.allocate_output_numbers(docs.limit(0), big).count() == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_every_id_gets_a_number_of_its_own(spark, adaptive):
+    """Far more ids than the sample from which a sort draws its ranges."""
+    names = spark.createDataFrame([("narration_0010.wav",)], "name string")
+    n = 3_000_000
+    docs = spark.range(0, n, 1, 12).select((F.xxhash64("id") % 10**12 * 8).alias("doc_id"))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = S.allocate_output_numbers(docs, names)
+        figures = got.agg(F.count("*"), F.countDistinct("number"), F.min("number"), F.max("number")).first()
+        assert tuple(figures) == (n, n, 11, n + 10)
+        ahead = got.groupBy(F.floor(F.col("number") / 1000).alias("k")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("k").collect()
+        assert all(a.high <= b.low for a, b in zip(ahead, ahead[1:]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "a.html").write_text("<p>Hello</p>\n", encoding="utf-8")
