@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 #: White space as Unicode text handling has it, U+001C-U+001F included (a plain \s knows ASCII only).
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -15,6 +16,7 @@ EOL = r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])"
 #: Quotation marks that are stripped, and dashes that lead an attribution.
 QUOTES = "\"'“”‘’"
 DASHES = "~\\-–—"
+SLICE = 256
 
 Counter = Callable[[Column], Column]
 
@@ -59,26 +61,46 @@ def strip_quotes(c: Column) -> Column:
     return F.btrim(c, F.lit(QUOTES))
 
 
-def decode_entities(c: Column, names: Mapping[str, int] = html.entities.name2codepoint) -> Column:
-    """Character references to text: names from a table, numbers in decimal or hex; unknown names stay.
+def decode_entities(c: Column, names: Mapping[str, str] = html.entities.html5) -> Column:
+    """Character references to text, as HTML 5 reads them in text.
+
+    Names come from a table whose keys end in ";" or, for the old ones, don't; an old name
+    also counts where other letters follow it. Numbers in decimal or hex: 128 to 159 mean
+    Windows-1252, what is no character becomes U+FFFD, control characters and
+    noncharacters go. All else stays as it is.
 
     One pass over the text's pieces: a reference, a run without "&", or a lone "&".
     """
-    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&)"), F.lit(1))
-    table = F.from_json(F.lit(json.dumps({name: chr(code) for name, code in names.items()})), "map<string,string>")  # folded to a literal
+    reference = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?"
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s)({reference}|[^&]+|&)"), F.lit(1))
+    old = {n: t for n, t in names.items() if not n.endswith(";")}
+    table = lambda of: F.from_json(F.lit(json.dumps(of)), "map<string,string>")  # noqa: E731  folded to a literal
+    windows = F.array(*[F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)])
 
     def char(code: Column) -> Column:
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
+        gone = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        return (
+            F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+            .when(code.between(128, 159), F.try_element_at(windows, (code - 127).cast("int")))
+            .when(gone, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    def number(p: Column, pattern: str, most: int) -> Column:
+        """Digits of a numeric reference without leading zeros; "" if there are more than ``most``."""
+        digits = F.regexp_extract(p, pattern, 1)
+        return F.when(F.char_length(digits) > most, "").when(digits == "", "0").otherwise(digits)
+
+    def named(name: Column) -> Column:
+        begun = [F.concat(F.try_element_at(table(old), F.substring(name, 1, n)), F.substr(name, F.lit(n + 1))) for n in range(max(map(len, old), default=0), 1, -1)]
+        return F.coalesce(F.try_element_at(table(dict(names)), name), *begun)
 
     def piece(p: Column) -> Column:
-        bare = F.rtrim(F.substr(p, F.lit(2)), F.lit(";"))
-        decimal, hexa = F.regexp_extract(p, r"^&#([0-9]+)", 1), F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+)", 1)
         return (
-            F.when(~p.startswith("&") | (p == "&"), p)
-            .when(decimal != "", char(decimal.try_cast("long")))
-            .when(hexa != "", char(F.conv(hexa, 16, 10).try_cast("long")))
-            .otherwise(F.coalesce(F.try_element_at(table, bare), p))
+            F.when(~p.startswith("&") | (F.char_length(p) < 2), p)
+            .when(p.rlike("^&#[xX]"), char(F.conv(number(p, "^&#[xX]0*([0-9a-fA-F]*)", 6), 16, 10).try_cast("long")))
+            .when(p.startswith("&#"), char(number(p, "^&#0*([0-9]*)", 7).try_cast("long")))
+            .otherwise(F.coalesce(named(F.substr(p, F.lit(2))), p))
         )
 
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
@@ -115,23 +137,29 @@ def split_clauses(c: Column) -> Column:
 
 
 def pack(units: Column, budget: int, counter: str | Counter = "chars4") -> Column:
-    """Greedily join consecutive units by spaces while the tokens fit the budget."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Greedily join consecutive units by spaces while the tokens fit the budget.
 
-    def step(state: Column, unit: Column) -> Column:
-        joined = F.when(state["now"] == "", unit).otherwise(F.concat(state["now"], F.lit(" "), unit))
+    The fold runs over slices of SLICE units, so that the array it appends to stays short.
+    """
+    nothing = F.array().cast("array<string>")
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
 
+    def step(x: Column, unit: Column) -> Column:
         def add(joined: Column) -> Column:
-            flushed = F.when(state["now"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
-            kept = F.struct(state["done"].alias("done"), joined.alias("now"))
-            return F.when(token_count(joined, counter) <= budget, kept).otherwise(F.struct(flushed.alias("done"), unit.alias("now")))
+            full = state(F.when(x["now"] == "", x["done"]).otherwise(F.concat(x["done"], F.array(x["now"]))), unit)
+            return F.when(token_count(joined, counter) <= budget, state(x["done"], joined)).otherwise(full)
+
+        return let(F.when(x["now"] == "", unit).otherwise(F.concat(x["now"], F.lit(" "), unit)), add)
 
-        return let(joined, add)
+    def slice_step(x: Column, part: Column) -> Column:
+        return let(F.aggregate(part, state(nothing, x["now"]), step), lambda y: state(F.concat(x["done"], F.array(y["done"])), y["now"]))
 
-    def finish(state: Column) -> Column:
-        return F.when(state["now"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
+    def finish(x: Column) -> Column:
+        return F.flatten(F.when(x["now"] == "", x["done"]).otherwise(F.concat(x["done"], F.array(F.array(x["now"])))))
 
-    return F.aggregate(units, empty, step, finish)
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(units) - 1) / SLICE).cast("int")), lambda k: F.slice(units, k * SLICE + 1, SLICE))
+    start = state(F.array().cast("array<array<string>>"), F.lit(""))
+    return F.when(F.size(units) > 0, F.aggregate(slices, start, slice_step, finish)).when(units.isNotNull(), nothing)
 
 
 def pack_words(c: Column, budget: int, counter: str | Counter = "chars4") -> Column:
@@ -147,6 +175,20 @@ def split_units(c: Column, budget: int, counter: str | Counter = "chars4") -> Co
     return F.flatten(F.transform(split_sentences(c), of_sentence))
 
 
-def canonical_json(value: Column) -> Column:
-    """Compact JSON with nulls kept; keys come in the order of the struct's fields, so name them in sorted order."""
-    return F.to_json(value, {"ignoreNullFields": "false"})
+def canonical_json(value: Column, of: DataType) -> Column:
+    """Compact JSON of a value of type ``of``: keys sorted at every level, nulls kept; NaN and infinities are an error."""
+    return F.to_json(_canonical(value, of), {"ignoreNullFields": "false"})
+
+
+def _canonical(c: Column, of: DataType) -> Column:
+    if isinstance(of, StructType):
+        fields = [_canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(of.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(of, ArrayType):
+        return F.transform(c, lambda x: _canonical(x, of.elementType))
+    if isinstance(of, MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _canonical(e["value"], of.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))
+    if isinstance(of, (DoubleType, FloatType)):
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error("canonical JSON has no NaN and no infinity").cast(of)).otherwise(c)
+    return c

@@ -25,7 +25,7 @@ def validate_script(script: DataFrame, budget: int = BUDGET) -> tuple[DataFrame,
     if dict(script.dtypes)["text"] not in ("string", "void"):
         raise TypeError("text must be a string")
     known = F.coalesce(F.col("block_type").isin(*TYPES), F.lit(False))
-    reason = F.concat(F.lit("Block "), F.col("block_index").cast("string"), F.lit(" has invalid block_type"))
+    reason = F.concat(F.lit("block "), F.col("block_index").cast("string"), F.lit(" is of no known type"))
     return script.filter(known & ~T.is_blank(F.col("text"))), script.filter(~known).withColumn("reason", reason)
 
 
@@ -47,13 +47,20 @@ def _over(texts: Column, budget: int, counter: str | Counter) -> Column:
 
 
 def _rows(script: DataFrame, texts: Column, over: Column, strict: bool) -> DataFrame:
-    """A row for each of a block's chunks; ``over`` says of the column _chunks whether one is over its budget."""
+    """A row for each of a block's chunks; ``over`` says of the column _chunks whether one is over its budget.
+
+    A document with a faulty block is left out whole: the fault is spread over the
+    document by a window, in the partitioning that the script's own windows have.
+    """
+    known = F.coalesce(F.col("block_type").isin(*TYPES), F.lit(False))
     if strict:
-        known = F.when(F.col("block_type").isin(*TYPES), F.col("block_type")).otherwise(F.raise_error(F.lit("invalid block_type")))
-        rows = script.withColumn("block_type", known).filter(~T.is_blank(F.col("text"))).withColumn("_chunks", texts)
-        rows = rows.withColumn("_chunks", F.when(over, F.raise_error(F.lit("Cannot split a single whitespace-delimited text unit to fit the token budget"))).otherwise(F.col("_chunks")))
+        kind = F.when(known, F.col("block_type")).otherwise(F.raise_error(F.lit("a block is of no known type")))
+        rows = script.withColumn("block_type", kind).filter(~T.is_blank(F.col("text"))).withColumn("_chunks", texts)
+        rows = rows.withColumn("_chunks", F.when(over, F.raise_error(F.lit("a word is over the budget and can't be cut"))).otherwise(F.col("_chunks")))
     else:
-        rows = validate_script(script)[0].withColumn("_chunks", texts).filter(~over)
+        rows = script.withColumn("_known", known).filter(~F.col("_known") | ~T.is_blank(F.col("text"))).withColumn("_chunks", F.when(F.col("_known"), texts))
+        faulty = F.max(~F.col("_known") | F.coalesce(over, F.lit(False))).over(Window.partitionBy("doc_id"))
+        rows = rows.withColumn("_faulty", faulty).filter(~F.col("_faulty"))
     return rows.withColumn("_n", F.size("_chunks")).select(
         "doc_id", "block_index", F.posexplode("_chunks").alias("part", "chunk"), "_n", "block_type", "speaker"
     ).select("doc_id", "block_index", "part", F.col("chunk").alias("text"), (F.col("part") == F.col("_n") - 1).alias("paragraph_end"), "block_type", "speaker")
@@ -62,21 +69,28 @@ def _rows(script: DataFrame, texts: Column, over: Column, strict: bool) -> DataF
 def build_chunks(script: DataFrame, budget: int = BUDGET, counter: str | Counter = "chars4", strict: bool = False) -> DataFrame:
     """doc_id, block_index, part (place in its block), text, paragraph_end, block_type, speaker.
 
-    Blocks with a word over the budget are left out (oversized_words lists them);
-    ``strict`` makes them an error, as it does for unknown block types.
+    Documents with a block of unknown type or a word over the budget are left out whole;
+    quarantine() says which and why; ``strict`` makes them an error.
     """
     validate_script(script, budget)
     return _rows(script, chunk_texts(F.col("text"), budget, counter), _over(F.col("_chunks"), budget, counter), strict)
 
 
+def _plan(script: DataFrame, budgets: Mapping[str, int] | int, counters: Mapping[str, str | Counter] | None) -> dict[str, tuple[int, str | Counter]]:
+    """Budget and counter of each role."""
+    plan = {role: (budgets if isinstance(budgets, int) else budgets[role], (counters or {}).get(role, "chars4")) for role in ("narration", "quote")}
+    for budget, _ in plan.values():
+        validate_script(script, budget)
+    return plan
+
+
 def build_role_chunks(script: DataFrame, budgets: Mapping[str, int] | int = BUDGET, counters: Mapping[str, str | Counter] | None = None, strict: bool = False) -> DataFrame:
     """Chunks of both roles, each with its own budget and counter, numbered from 1 in document order as chunk_index.
 
-    One pass over the script: the role picks the expression.
+    One pass over the script: the role picks the expression. Faulty documents are left
+    out as in build_chunks().
     """
-    plan = {role: (budgets if isinstance(budgets, int) else budgets[role], (counters or {}).get(role, "chars4")) for role in ("narration", "quote")}
-    for budget, _ in plan.values():
-        validate_script(script, budget)
+    plan = _plan(script, budgets, counters)
     quote, one, other = F.col("block_type").eqNullSafe("quote"), plan["narration"], plan["quote"]
     if one == other:
         rows = build_chunks(script, *one, strict)
@@ -87,6 +101,20 @@ def build_role_chunks(script: DataFrame, budgets: Mapping[str, int] | int = BUDG
     return rows.withColumn("role", F.when(quote, "quote").otherwise("narration")).withColumn("chunk_index", number).drop("part")
 
 
+def quarantine(script: DataFrame, budgets: Mapping[str, int] | int = BUDGET, counters: Mapping[str, str | Counter] | None = None) -> DataFrame:
+    """doc_id, block_index, reason, preview, tokens: why build_role_chunks() leaves documents out, a row for each fault.
+
+    preview and tokens are those of a word over its role's budget, null for other faults.
+    """
+    plan = _plan(script, budgets, counters)
+    unknown = validate_script(script)[1].select("doc_id", "block_index", "reason", F.lit(None).cast("string").alias("preview"), F.lit(None).cast("int").alias("tokens"))
+    for role, (budget, counter) in plan.items():
+        own = script.filter(F.col("block_type").isin(*TYPES) & ((F.col("block_type") == "quote") == F.lit(role == "quote")))
+        words = oversized_words(own, budget, counter)
+        unknown = unknown.unionByName(words.select("doc_id", "block_index", F.lit("a word is over the budget").alias("reason"), "preview", F.col("tokens").cast("int").alias("tokens")))
+    return unknown
+
+
 def audit_budget(chunks: DataFrame, budget: int = BUDGET, counter: str | Counter = "chars4") -> DataFrame:
     """Chunks over the budget: doc_id, block_index, tokens, preview; none, if all is well."""
     tokens = T.token_count(F.col("text"), counter)

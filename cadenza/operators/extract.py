@@ -35,7 +35,7 @@ SEGMENT = (
 def split_empty_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages with anything but white space, and the others with a reason."""
     blank = T.is_blank(F.col("html"))
-    return pages.filter(~blank), pages.filter(blank).withColumn("reason", F.lit("Post HTML file is empty."))
+    return pages.filter(~blank), pages.filter(blank).withColumn("reason", F.lit("the page is empty"))
 
 
 def _segment_array(html: Column) -> Column:
@@ -133,11 +133,11 @@ def _fold(segments: Column, silent_tags: tuple[str, ...]) -> Column:
 
     def slice_step(acc: Column, part: Column) -> Column:
         inner = F.aggregate(part, state(acc["stack"], nothing), step)
-        return T.let(inner, lambda x: state(x["stack"], F.concat(acc["out"], x["out"])))
+        return T.let(inner, lambda x: state(x["stack"], F.concat(acc["out"], F.array(x["out"]))))
 
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(segments) - 1) / SLICE).cast("int")), lambda k: F.slice(segments, k * SLICE + 1, SLICE))
-    start = state(F.array(floor), nothing)
-    return F.when(F.size(segments) > 0, F.aggregate(slices, start, slice_step, lambda acc: acc["out"])).otherwise(nothing)
+    start = state(F.array(floor), F.array().cast(f"array<array<{_ITEM}>>"))
+    return F.when(F.size(segments) > 0, F.aggregate(slices, start, slice_step, lambda acc: F.flatten(acc["out"]))).otherwise(nothing)
 
 
 def visible_items(pages: DataFrame, id_col: str = "page_id", silent: tuple[str, ...] = SILENT) -> DataFrame:
@@ -216,4 +216,11 @@ def extract_blocks(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 def documents_without_blocks(pages: DataFrame, blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
     """doc_id, reason of pages that give no block."""
     ids = pages.select(F.col(id_col).alias("doc_id"))
-    return ids.join(blocks.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("reason", F.lit("Extraction produced zero narration blocks."))
+    return ids.join(blocks.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_anti").withColumn("reason", F.lit("the page has no block to narrate"))
+
+
+def rejected_pages(pages: DataFrame, blocks: DataFrame | None = None, id_col: str = "page_id") -> DataFrame:
+    """doc_id, reason of pages that are empty or give no block."""
+    some, empty = split_empty_documents(pages)
+    without = documents_without_blocks(some, extract_blocks(some, id_col) if blocks is None else blocks, id_col)
+    return empty.select(F.col(id_col).alias("doc_id"), "reason").unionByName(without.select("doc_id", "reason"))

@@ -46,7 +46,7 @@ def validate_references(routed: DataFrame, assets: DataFrame) -> DataFrame:
         .when(F.col("_found").isNull(), F.concat("role", F.lit(" reference audio not found")))
         .when(bad, F.concat("role", F.lit(" reference audio is empty")))
     )
-    return routed.join(known, "path", "left").select("doc_id", "role", "path", "sha256", reason.alias("reason"))
+    return routed.join(known.hint("shuffle_merge"), "path", "left").select("doc_id", "role", "path", "sha256", reason.alias("reason"))
 
 
 def reject_identical_references(validated: DataFrame, mode: str, hash_col: str = "sha256") -> DataFrame:

@@ -28,7 +28,7 @@ def keep_speakable(blocks: DataFrame) -> DataFrame:
 def apply_quote_mode(blocks: DataFrame, mode: str = "preserve") -> DataFrame:
     """``exclude`` drops quotes; ``preserve`` and ``two_voice`` keep them, with the same text."""
     if mode not in MODES:
-        raise ValueError(f"Unknown quote_mode {mode!r}; expected one of: {', '.join(sorted(MODES))}")
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     return blocks.filter(~F.col("type").eqNullSafe("quote")) if mode == "exclude" else blocks
 
 
@@ -53,7 +53,7 @@ def build_script(blocks: DataFrame, mode: str = "preserve") -> DataFrame:
 def apply_pronunciation(script: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Written forms to spoken ones: whole words, longest written form first, one after the other; replacements are literal."""
     if any(not written or not spoken for written, spoken in rules):
-        raise ValueError("Pronunciation overrides require non-empty written and spoken forms")
+        raise ValueError("a rule needs a written and a spoken form")
     text = F.col("text")
     for written, spoken in sorted(rules, key=lambda r: len(r[0]), reverse=True):
         pattern = rf"(?U)(?<!\w){re.escape(written)}(?!\w)"
@@ -64,11 +64,11 @@ def apply_pronunciation(script: DataFrame, rules: Sequence[tuple[str, str]]) ->
 def documents_without_script(blocks: DataFrame, script: DataFrame) -> DataFrame:
     """doc_id, reason of documents of which the quote policy left nothing."""
     ids = blocks.select("doc_id").distinct()
-    return ids.join(script.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("reason", F.lit("Narration is empty after applying quote mode."))
+    return ids.join(script.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_anti").withColumn("reason", F.lit("the quote mode leaves nothing to narrate"))
 
 
 def script_counts(blocks: DataFrame, script: DataFrame) -> DataFrame:
     """doc_id, extracted, kept, quotes."""
     before = blocks.groupBy("doc_id").agg(F.count("*").alias("extracted"))
     after = script.groupBy("doc_id").agg(F.count("*").alias("kept"), F.count_if(F.col("block_type") == "quote").alias("quotes"))
-    return before.join(after, "doc_id", "left").fillna(0, ["kept", "quotes"])
+    return before.join(after.hint("shuffle_merge"), "doc_id", "left").fillna(0, ["kept", "quotes"])

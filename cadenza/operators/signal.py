@@ -7,7 +7,9 @@ figures are partial aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cadenza.sources.shared import written
 
 #: Fixed values, in ms, seconds or amplitude.
 THRESHOLD, WINDOW_MS, KEEP_START_MS, KEEP_END_MS, FADE_MS, PEAK = 0.008, 20, 100, 80, 4, 0.95
@@ -33,10 +35,10 @@ def validate_signals(signals: DataFrame, expected_sr: int) -> DataFrame:
     """``signals`` (with channels) and reason, null if the signal is sound."""
     odd = F.exists("samples", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     reason = (
-        F.when(F.col("sr") != expected_sr, F.concat(F.lit("sample rate "), F.col("sr").cast("string"), F.lit(f" does not match expected {expected_sr}")))
-        .when(F.col("channels") != 1, "expected mono audio")
-        .when(F.coalesce(F.size("samples"), F.lit(0)) <= 0, "audio contains no samples")
-        .when(odd, "audio contains NaN or infinite samples")
+        F.when(F.col("sr") != expected_sr, F.concat(F.lit("the rate is "), F.col("sr").cast("string"), F.lit(f", not {expected_sr}")))
+        .when(F.col("channels") != 1, "there is more than one channel")
+        .when(F.coalesce(F.size("samples"), F.lit(0)) <= 0, "there are no samples")
+        .when(odd, "a sample is NaN or infinite")
     )
     return signals.withColumn("reason", reason)
 
@@ -55,7 +57,7 @@ def detect_activity(samples: DataFrame, sr: int, threshold: float = THRESHOLD, w
 
 
 def silent_signals(signals: DataFrame, activity: DataFrame) -> DataFrame:
-    return signals.select("id").distinct().join(activity.select("id"), "id", "left_anti").withColumn("reason", F.lit("No speech activity detected in generated chunk"))
+    return signals.select("id").distinct().join(activity.select("id").hint("shuffle_merge"), "id", "left_anti").withColumn("reason", F.lit("nothing in the signal is louder than the threshold"))
 
 
 def trim_silence(samples: DataFrame, sr: int, keep_start_ms: float = KEEP_START_MS, keep_end_ms: float = KEEP_END_MS, threshold: float = THRESHOLD, window_ms: float = WINDOW_MS) -> DataFrame:
@@ -64,7 +66,7 @@ def trim_silence(samples: DataFrame, sr: int, keep_start_ms: float = KEEP_START_
     low = F.greatest(F.lit(0), F.col("start") - samples_in(sr, keep_start_ms))
     high = F.least(F.col("n"), F.col("end") + samples_in(sr, keep_end_ms))
     crop = act.select("id", low.alias("_low"), high.alias("_high"), (F.col("start") - low).alias("start"), (F.col("end") - low).alias("end"))
-    rows = samples.join(crop, "id").filter((F.col("i") >= F.col("_low")) & (F.col("i") < F.col("_high")))
+    rows = samples.join(crop.hint("shuffle_merge"), "id").filter((F.col("i") >= F.col("_low")) & (F.col("i") < F.col("_high")))
     return rows.select("id", (F.col("_high") - F.col("_low")).cast("int").alias("n"), (F.col("i") - F.col("_low")).cast("int").alias("i"), "x", "start", "end")
 
 
@@ -85,12 +87,31 @@ def render_chunks(samples: DataFrame, sr: int) -> DataFrame:
     return edge_fade(trim_silence(samples, sr).drop("start", "end"), sr)
 
 
+def _peaks(samples: DataFrame, doc_col: str) -> DataFrame:
+    """Each document's largest amplitude; NaN counts as larger than all numbers."""
+    return samples.groupBy(doc_col).agg(F.max(F.abs("x")).alias("_peak"))
+
+
+def _usable() -> Column:
+    return (F.col("_peak") > 0) & (F.col("_peak") < float("inf"))
+
+
 def normalize_peak(samples: DataFrame, doc_col: str = "doc_id", target: float = PEAK) -> DataFrame:
-    """One gain for each document: target / its largest amplitude; documents without a finite peak over 0 are left out."""
-    peak = samples.groupBy(doc_col).agg(F.max(F.abs("x")).alias("_peak")).filter((F.col("_peak") > 0) & (F.col("_peak") < float("inf")))
+    """One gain for each document: target / its largest amplitude; the documents of documents_without_peak() are left out.
+
+    The peaks are written first: Spark then knows their size when it picks the join, and can split a long document.
+    """
+    peak = written(_peaks(samples, doc_col).filter(_usable()), "peaks")
     return samples.join(peak, doc_col).withColumn("gain", F.lit(target) / F.col("_peak")).withColumn("x", F.col("x") * F.col("gain")).drop("_peak")
 
 
+def documents_without_peak(samples: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """doc_id, reason of documents that no gain can bring to a level: silent ones and ones with NaN or infinite samples."""
+    peak = F.col("_peak")
+    reason = F.when(peak.isNull(), "there are no samples").when(peak == 0, "all samples are zero").otherwise("a sample is NaN or infinite")
+    return _peaks(samples, doc_col).filter(~F.coalesce(_usable(), F.lit(False))).select(doc_col, reason.alias("reason"))
+
+
 def quiet_cutpoint(samples: DataFrame, sr: int, target_s: float = ANCHOR_S, radius_s: float = RADIUS_S) -> DataFrame:
     """id, n, cut: start of the quietest window within the radius of the target, the earliest of equals.
 
@@ -106,11 +127,23 @@ def quiet_cutpoint(samples: DataFrame, sr: int, target_s: float = ANCHOR_S, radi
     energy = near.filter(F.col("at") < high).groupBy("id", "at").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
     best = energy.groupBy("id").agg(F.min(F.struct("rms", "at")).alias("b")).select("id", F.col("b.at").alias("_at"))
     lengths = samples.groupBy("id").agg(F.max("n").alias("n"))
-    return lengths.join(best, "id", "left").select("id", "n", F.when(high <= low, F.least(F.lit(target), F.col("n"))).otherwise(F.coalesce("_at", F.lit(target))).cast("int").alias("cut"))
+    return lengths.join(best.hint("shuffle_merge"), "id", "left").select("id", "n", F.when(high <= low, F.least(F.lit(target), F.col("n"))).otherwise(F.coalesce("_at", F.lit(target))).cast("int").alias("cut"))
 
 
 def voice_anchor(samples: DataFrame, sr: int, target_s: float = ANCHOR_S, radius_s: float = RADIUS_S) -> DataFrame:
-    """id, sample_rate, frames, duration_seconds, peak of the prefix up to the cut; empty prefixes are left out."""
+    """id, source_sha256, anchor_sha256, sample_rate, frames, duration_seconds, peak of the prefix up to the cut; empty prefixes are left out.
+
+    The hashes are of the samples in 16 bits, as numbers joined by commas: of the whole
+    signal and of the anchor.
+    """
     cut = quiet_cutpoint(samples, sr, target_s, radius_s).select("id", "cut")
-    kept = samples.join(cut, "id").filter(F.col("i") < F.col("cut"))
-    return kept.groupBy("id").agg(F.lit(sr).alias("sample_rate"), F.count("*").alias("frames"), (F.count("*") / sr).alias("duration_seconds"), F.max(F.abs("x")).alias("peak"))
+    marked = samples.join(cut.hint("shuffle_merge"), "id")
+    inside = F.col("i") < F.col("cut")
+    level = F.least(F.greatest(F.round(F.col("x") * 32768).cast("int"), F.lit(-32768)), F.lit(32767))
+    ordered = marked.groupBy("id", "cut").agg(F.max(F.when(inside, F.abs("x"))).alias("peak"), F.array_sort(F.collect_list(F.struct("i", level.alias("v")))).alias("_s"))
+    digest = lambda of: F.sha2(F.array_join(F.transform(of, lambda s: s["v"].cast("string")), ","), 256)
+    frames = F.size(F.filter("_s", lambda s: s["i"] < F.col("cut")))
+    return ordered.filter("peak IS NOT NULL").select(
+        "id", digest(F.col("_s")).alias("source_sha256"), digest(F.filter("_s", lambda s: s["i"] < F.col("cut"))).alias("anchor_sha256"),
+        F.lit(sr).alias("sample_rate"), frames.cast("long").alias("frames"), (frames / sr).alias("duration_seconds"), "peak",
+    )

@@ -63,7 +63,7 @@ def join_signals(samples: DataFrame, placed: DataFrame) -> DataFrame:
     ``samples``: doc_id, chunk_index, i, x; ``placed``: rows of layout().
     """
     spans = placed.select("doc_id", "chunk_index", "from_sample", "to_sample", "inserted", "lead")
-    heard = samples.select("doc_id", "chunk_index", "i", "x").join(spans, ["doc_id", "chunk_index"]).select("doc_id", (F.col("from_sample") + F.col("i")).alias("i"), "x")
+    heard = samples.select("doc_id", "chunk_index", "i", "x").join(spans.hint("shuffle_merge"), ["doc_id", "chunk_index"]).select("doc_id", (F.col("from_sample") + F.col("i")).alias("i"), "x")
     zeros = lambda n, start: F.transform(F.sequence(F.lit(1), n), lambda k: start + k - 1)
     none = F.array().cast("array<bigint>")
     behind = F.when(F.coalesce("inserted", F.lit(0)) > 0, zeros(F.col("inserted"), F.col("to_sample"))).otherwise(none)

@@ -165,7 +165,8 @@ def script_sql(mode: str = "preserve", source: str = "turns", to: str = "script"
 def chunks_sql(budget: int = chunk.BUDGET, source: str = "script", to: str = "chunks") -> str:
     return f"""{to}_u AS (SELECT *, {units_sql('text', budget)} AS u FROM {source} WHERE NOT ({blank_sql('text')})),
 {to}_p AS (SELECT * EXCLUDE (u, text), {pack_sql('u', budget)} AS c FROM {to}_u),
-{to}_e AS (SELECT * EXCLUDE (c), len(c) AS n, unnest(c) AS text, unnest(range(0, len(c)))::INTEGER AS part FROM {to}_p WHERE len(list_filter(c, lambda x: {tokens_sql('x')} > {budget})) = 0),
+{to}_f AS (SELECT *, max(CASE WHEN len(list_filter(c, lambda x: {tokens_sql('x')} > {budget})) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS faulty FROM {to}_p),
+{to}_e AS (SELECT * EXCLUDE (c, faulty), len(c) AS n, unnest(c) AS text, unnest(range(0, len(c)))::INTEGER AS part FROM {to}_f WHERE faulty = 0),
 {to} AS (SELECT doc_id, block_index, part, text, part = n - 1 AS paragraph_end, block_type, speaker, CASE WHEN block_type = 'quote' THEN 'quote' ELSE 'narration' END AS role,
            row_number() OVER (PARTITION BY doc_id ORDER BY block_index, part)::INTEGER AS chunk_index FROM {to}_e)"""
 
@@ -194,9 +195,9 @@ MANIFESTS = (
 manifests AS (SELECT file_stem, CASE WHEN m = 1 THEN '{}' ELSE payload_json END AS payload_json, CASE WHEN m = 2 THEN '' ELSE cache_key END AS wav_sha256, CASE WHEN m = 3 THEN 'PCM_16' ELSE 'FLOAT' END AS subtype,
   CASE WHEN m = 4 THEN 2 ELSE 1 END AS channels, CASE WHEN m = 5 THEN 22050 ELSE 24000 END AS rate, CASE WHEN m = 6 THEN 0 ELSE fr END AS actual_frames, m <> 7 AS finite, CASE WHEN m = 8 THEN 'x' ELSE cache_key END AS actual_sha256,
   CASE WHEN m = 9 THEN fr + 1 ELSE fr END AS frames FROM man_k),
-classified AS (SELECT k.*, CASE WHEN m.payload_json IS NULL THEN 'miss' WHEN m.payload_json <> k.payload_json THEN 'manifest payload mismatch' WHEN m.wav_sha256 = '' THEN 'manifest has no WAV fingerprint'
-  WHEN m.subtype <> 'FLOAT' THEN 'raw cache is not a float WAV' WHEN m.channels <> 1 THEN 'expected mono cache' WHEN m.rate <> 24000 THEN 'sample rate does not match' WHEN m.actual_frames <= 0 THEN 'audio contains no samples'
-  WHEN NOT m.finite THEN 'audio contains NaN or infinite samples' WHEN m.actual_sha256 <> m.wav_sha256 THEN 'file fingerprint does not match manifest' WHEN m.frames <> m.actual_frames THEN 'frame count does not match manifest' ELSE 'hit' END AS status
+classified AS (SELECT k.*, CASE WHEN m.payload_json IS NULL THEN 'miss' WHEN m.payload_json <> k.payload_json THEN 'the manifest is of another payload' WHEN m.wav_sha256 = '' THEN 'the manifest names no hash'
+  WHEN m.subtype <> 'FLOAT' THEN 'the sound is not stored as floats' WHEN m.channels <> 1 THEN 'the sound is not mono' WHEN m.rate <> 24000 THEN 'the sound has another rate' WHEN m.actual_frames <= 0 THEN 'the sound is empty'
+  WHEN NOT m.finite THEN 'the sound has NaN or infinite samples' WHEN m.actual_sha256 <> m.wav_sha256 THEN 'the file''s hash is not the manifest''s' WHEN m.frames <> m.actual_frames THEN 'the file''s length is not the manifest''s' ELSE 'hit' END AS status
   FROM keyed k LEFT JOIN manifests m USING (file_stem))"""
 )
 _SEG = r"""(?is)(<!--.*?-->|<[!?][^>]*>?|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|</?[a-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<)([^<]*)"""

@@ -158,10 +158,18 @@ def _(spark, d):
     return extract.extract_blocks(I.pages(spark, d))
 
 
+#: Letters of the documents, and a reference for each: by name, by an old name without its end, by number, by Windows-1252.
+CODED = (("&", "&#0000038;"), ("'", "&apos;"), ('"', "&quot"), ("é", "&eacute;"), ("ü", "&#xFC;"), ("ö", "&ouml"), ("ç", "&#231"), ("ß", "&#x000df;"), ("—", "&#151;"), (".", "&period;"), (",", "&comma;"))
+
+
 @query("x15_decode_entities", "SELECT doc_id, text FROM documents")
 def _(spark, d):
-    t = I.table(spark, d, "documents")
-    coded = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&#38;")), F.lit("é"), F.lit("&eacute;")), F.lit("ü"), F.lit("&#xFC;"))
+    t, coded = I.table(spark, d, "documents"), F.col("text")
+    for letter, reference in CODED:  # "&" is the first one
+        if reference.endswith(";"):
+            coded = F.replace(coded, F.lit(letter), F.lit(reference))
+        else:  # no digit may follow a number without its end
+            coded = F.regexp_replace(coded, f"{letter}(?![0-9;])", reference)
     return t.select("doc_id", T.decode_entities(coded).alias("text"))
 
 
@@ -235,14 +243,14 @@ def _(spark, d):
     return I.table(spark, d, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("i", "sentence"))
 
 
-@query("c3_split_clauses", f"SELECT conv_id, turn, unnest(range(0, len(s)))::INTEGER AS i, unnest(s) AS clause FROM (SELECT conv_id, turn, {I.clauses_sql(I.norm_sql('text'))} AS s FROM conversations)")
+@query("c3_split_clauses", f"SELECT doc_id, unnest(range(0, len(s)))::INTEGER AS i, unnest(s) AS clause FROM (SELECT doc_id, {I.clauses_sql(I.norm_sql('text'))} AS s FROM documents)")
 def _(spark, d):
-    return I.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.split_clauses(T.normalize_ws(F.col("text")))).alias("i", "clause"))
+    return I.table(spark, d, "documents").select("doc_id", F.posexplode(T.split_clauses(T.normalize_ws(F.col("text")))).alias("i", "clause"))
 
 
-@query("c4_pack_words", f"SELECT conv_id, turn, unnest(range(0, len(s)))::INTEGER AS i, unnest(s) AS run FROM (SELECT conv_id, turn, {I.pack_sql('''list_filter(string_split(''' + I.norm_sql('text') + ''', ' '), lambda z: z <> '')''', 12)} AS s FROM conversations)")
+@query("c4_pack_words", f"SELECT doc_id, unnest(range(0, len(s)))::INTEGER AS i, unnest(s) AS run FROM (SELECT doc_id, {I.pack_sql('list_filter(string_split(' + I.norm_sql('text') + ', chr(32)), lambda z: len(z) > 0)', 12)} AS s FROM documents)")
 def _(spark, d):
-    return I.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.pack_words(T.normalize_ws(F.col("text")), 12)).alias("i", "run"))
+    return I.table(spark, d, "documents").select("doc_id", F.posexplode(T.pack_words(T.normalize_ws(F.col("text")), 12)).alias("i", "run"))
 
 
 @query("c5_oversized_words", f"""SELECT doc_id, 0 AS block_index, CASE WHEN length(w) <= 60 THEN w ELSE left(w, 57) || '...' END AS preview, {I.tokens_sql('w')}::INTEGER AS tokens
@@ -252,9 +260,9 @@ def _(spark, d):
     return chunk.oversized_words(rows, 4).drop("budget")
 
 
-@query("c6_pack_units", f"SELECT conv_id, turn, unnest(range(0, len(s)))::INTEGER AS i, unnest(s) AS text FROM (SELECT conv_id, turn, {I.pack_sql(I.units_sql('text', 30), 30)} AS s FROM conversations)")
+@query("c6_pack_units", f"SELECT doc_id, unnest(range(0, len(s)))::INTEGER AS i, unnest(s) AS text FROM (SELECT doc_id, {I.pack_sql(I.units_sql('text', 30), 30)} AS s FROM documents)")
 def _(spark, d):
-    return I.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(chunk.chunk_texts(F.col("text"), 30)).alias("i", "text"))
+    return I.table(spark, d, "documents").select("doc_id", F.posexplode(chunk.chunk_texts(F.col("text"), 30)).alias("i", "text"))
 
 
 @query("c7_build_chunks", f"WITH {I.TURNS}, {I.script_sql()}, {I.chunks_sql(8)} SELECT doc_id, block_index, part, text, paragraph_end, block_type, speaker FROM chunks")
@@ -326,10 +334,11 @@ def _(spark, d):
     return cache.assign_seeds(c, overrides).select("doc_id", "chunk_index", "seed")
 
 
-@query("k2_canonical_json", "SELECT conv_id, turn, to_json({'a': {'n': NULL, 'turn': turn}, 'role': role, 'text': text})::VARCHAR AS json FROM conversations")
+@query("k2_canonical_json", """SELECT conv_id, turn, to_json({'a': {'half': turn / 2::DOUBLE, 'n': NULL, 'turn': turn}, 'list': [{'k': 1, 'z': role}], 'role': role, 'text': text})::VARCHAR AS json FROM conversations""")
 def _(spark, d):
-    inner = F.struct(F.lit(None).cast("string").alias("n"), "turn").alias("a")
-    return I.table(spark, d, "conversations").select("conv_id", "turn", T.canonical_json(F.struct(inner, "role", "text")).alias("json"))
+    inner = F.struct("turn", F.lit(None).cast("string").alias("n"), (F.col("turn") / 2).alias("half")).alias("a")
+    rows = I.table(spark, d, "conversations").withColumn("v", F.struct("text", F.array(F.struct(F.col("role").alias("z"), F.lit(1).alias("k"))).alias("list"), "role", inner))
+    return rows.select("conv_id", "turn", T.canonical_json(F.col("v"), rows.schema["v"].dataType).alias("json"))
 
 
 @query("k4_generation_payload", f"WITH {I.KEYED} SELECT doc_id, chunk_index, payload_json FROM keyed")
@@ -408,7 +417,7 @@ def _(spark, d):
     return signal.downmix(two).withColumn("x", R6(F.col("x")))
 
 
-@query("a3_validate_signals", "SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 'sample rate 8000 does not match expected 250' WHEN vec_id % 5 = 0 THEN 'expected mono audio' WHEN vec_id % 3 = 0 THEN 'audio contains no samples' WHEN vec_id % 2 = 0 THEN 'audio contains NaN or infinite samples' END AS reason FROM embeddings")
+@query("a3_validate_signals", "SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 'the rate is 8000, not 250' WHEN vec_id % 5 = 0 THEN 'there is more than one channel' WHEN vec_id % 3 = 0 THEN 'there are no samples' WHEN vec_id % 2 = 0 THEN 'a sample is NaN or infinite' END AS reason FROM embeddings")
 def _(spark, d):
     i = F.col("id")
     nan = F.transform("samples", lambda x, k: F.when(k == 5, F.lit(float("nan"))).otherwise(x).cast("float"))
@@ -443,6 +452,14 @@ def _(spark, d):
     return signal.normalize_peak(long, "label").select("id", "i", "label", R6(F.col("x")).alias("x"))
 
 
+@query("a8_documents_without_peak", "SELECT label, CASE label % 3 WHEN 0 THEN 'all samples are zero' ELSE 'a sample is NaN or infinite' END AS reason FROM (SELECT DISTINCT label FROM embeddings WHERE embedding IS NOT NULL) WHERE label % 3 < 2")
+def _(spark, d):
+    """Labels as documents; a third of them are made silent, a third get a NaN."""
+    kind = F.col("label") % 3
+    long = signal.explode_samples(I.signals(spark, d), ("id", "label")).withColumn("x", F.when(kind == 0, 0.0).when((kind == 1) & (F.col("i") == 7), float("nan")).otherwise(F.col("x")))
+    return signal.documents_without_peak(long, "label")
+
+
 _CUT_W, _CUT_H = max(1, int(0.02 * I.SR)), max(1, max(1, int(0.02 * I.SR)) // 4)
 _CUT_T, _CUT_R = int(0.12 * I.SR), int(0.08 * I.SR)
 _CUT_L = max(_CUT_W, _CUT_T - _CUT_R)
@@ -457,7 +474,11 @@ def _(spark, d):
     return signal.quiet_cutpoint(I.samples(spark, d), I.SR, 0.12, 0.08)
 
 
-@query("a10_voice_anchor", f"WITH {_CUT} SELECT s.id, {I.SR} AS sample_rate, count(*) AS frames, count(*) / {I.SR}::DOUBLE AS duration_seconds, max(abs(x)) AS peak FROM samples s JOIN cuts USING (id) WHERE i < cut GROUP BY s.id")
+_PCM = "string_agg(least(greatest(round(x * 32768)::INTEGER, -32768), 32767)::VARCHAR, ',' ORDER BY i)"
+
+
+@query("a10_voice_anchor", f"""WITH {_CUT} SELECT s.id, sha256({_PCM}) AS source_sha256, sha256({_PCM} FILTER (WHERE i < cut)) AS anchor_sha256, {I.SR} AS sample_rate, count(*) FILTER (WHERE i < cut) AS frames,
+count(*) FILTER (WHERE i < cut) / {I.SR}::DOUBLE AS duration_seconds, max(abs(x)) FILTER (WHERE i < cut) AS peak FROM samples s JOIN cuts USING (id) GROUP BY s.id HAVING count(*) FILTER (WHERE i < cut) > 0""")
 def _(spark, d):
     return signal.voice_anchor(I.samples(spark, d), I.SR, 0.12, 0.08)
 
@@ -503,21 +524,23 @@ def _(spark, d):
     return timeline.layout(I.sounding(spark, d), I.SR).select("doc_id", "chunk_index", "from_sample", "to_sample", R6(F.col("from_s")).alias("from_s"), R6(F.col("to_s")).alias("to_s"))
 
 
-_JOINED = I.SIGNALS + """, turns AS (SELECT label AS doc_id, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS chunk_index, count(*) OVER (PARTITION BY label) AS of, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE embedding IS NOT NULL),
-spans AS (SELECT doc_id, chunk_index, vec_id, 64 AS n, CASE WHEN nxt IS NOT NULL THEN vec_id % 4 END AS gap FROM turns),
+#: Of so many vectors in a row one document is made.
+_TURNS = 40
+_JOINED = I.SIGNALS + f""", turns AS (SELECT vec_id // {_TURNS} AS doc_id, vec_id, embedding, row_number() OVER w AS chunk_index, lead(vec_id) OVER w AS nxt FROM embeddings WHERE embedding IS NOT NULL WINDOW w AS (PARTITION BY vec_id // {_TURNS} ORDER BY vec_id)),
+spans AS (SELECT doc_id, chunk_index, vec_id, len(embedding) AS n, CASE WHEN nxt IS NOT NULL THEN vec_id % 4 END AS gap FROM turns),
 laid AS (SELECT *, 5 + coalesce(sum(n + coalesce(gap, 0)) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_sample FROM spans),
 joined AS (SELECT doc_id, from_sample + i AS i, x FROM laid JOIN samples ON id = vec_id UNION ALL SELECT doc_id, unnest(range(0, 5)), 0.0 FROM laid WHERE chunk_index = 1 UNION ALL SELECT doc_id, unnest(range((from_sample + n)::BIGINT, (from_sample + n + coalesce(gap, 0))::BIGINT)), 0.0 FROM laid)"""
 
 
-@query("t6_join_signals", f"WITH {_JOINED} SELECT doc_id::INTEGER AS doc_id, i::BIGINT AS i, x FROM joined")
+@query("t6_join_signals", f"WITH {_JOINED} SELECT doc_id::BIGINT AS doc_id, i::BIGINT AS i, x FROM joined")
 def _(spark, d):
-    s = I.signals(spark, d)
+    s = I.signals(spark, d).withColumn("doc_id", F.floor(F.col("id") / _TURNS))
     w = Window.partitionBy("doc_id").orderBy("id")
-    rows = s.select(F.col("label").alias("doc_id"), "id", F.size("samples").alias("n"), F.row_number().over(Window.partitionBy("label").orderBy("id")).alias("chunk_index"))
+    rows = s.select("doc_id", "id", F.size("samples").alias("n"), F.row_number().over(w).alias("chunk_index"))
     rows = rows.withColumn("inserted", F.when(F.lead("id").over(w).isNotNull(), (F.col("id") % 4).cast("int"))).withColumn("lead", F.lit(5))
     rows = rows.withColumn("from_sample", F.lit(5) + F.coalesce(F.sum(F.col("n") + F.coalesce("inserted", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = rows.withColumn("to_sample", F.col("from_sample") + F.col("n"))
-    long = signal.explode_samples(s).join(placed.select("id", "doc_id", "chunk_index"), "id")
+    long = signal.explode_samples(s, ("id", "doc_id")).join(placed.select("id", "chunk_index").hint("shuffle_merge"), "id")
     return timeline.join_signals(long, placed)
 
 
@@ -550,13 +573,34 @@ def _(spark, d):
 # The flagship: posts to routed, paused chunks
 
 
-def plan(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """doc_id, chunk_index, block_index, block_type, role, tokens, boundary, pause_ms, text."""
-    chunks = chunk.build_role_chunks(script.build_script(extract.extract_blocks(pages)))
-    timed = timeline.pause_ms(timeline.boundary_kind(chunks))
-    return timed.select("doc_id", "chunk_index", "block_index", "block_type", "role", T.token_count(F.col("text")).alias("tokens"), "boundary", "pause_ms", "text")
+def plan(pages: DataFrame, budget: int = chunk.BUDGET) -> tuple[DataFrame, DataFrame]:
+    """The plan, and what is left out of it.
+
+    The plan: doc_id, chunk_index, block_index, block_type, role, tokens, boundary,
+    pause_ms, text. Left out, whole: posts without text or blocks, and posts with a word
+    over the budget; doc_id, block_index, reason, preview, tokens.
+    """
+    blocks = extract.extract_blocks(pages)
+    told = script.build_script(blocks)
+    timed = timeline.pause_ms(timeline.boundary_kind(chunk.build_role_chunks(told, budget)))
+    chunks = timed.select("doc_id", "chunk_index", "block_index", "block_type", "role", T.token_count(F.col("text")).alias("tokens"), "boundary", "pause_ms", "text")
+    return chunks, chunk.quarantine(told, budget).unionByName(extract.rejected_pages(pages, blocks), allowMissingColumns=True)
 
 
 @query("flagship_plan", f"WITH {I.PAGE_BLOCKS}, {I.script_sql(source='page_blocks')}, {I.chunks_sql()} SELECT doc_id, chunk_index, block_index, block_type, role, {I.tokens_sql('text')}::INTEGER AS tokens, CASE WHEN paragraph_end THEN 'paragraph' WHEN {_ENDS} THEN 'sentence' ELSE 'clause' END AS boundary, {_PAUSE} AS pause_ms, text FROM chunks")
 def _(spark, d):
-    return plan(spark, I.pages(spark, d))
+    return plan(I.pages(spark, d))[0]
+
+
+def _quarantine_sql(budget: int) -> str:
+    """With every ninth page blank and every seventh one without a block."""
+    words = f"SELECT doc_id, block_index, unnest(string_split({I.norm_sql('text')}, ' ')) AS w FROM script WHERE doc_id % 9 <> 0 AND doc_id % 7 <> 0"
+    return f"""WITH {I.PAGE_BLOCKS}, {I.script_sql(source='page_blocks')}, words AS ({words})
+SELECT doc_id, block_index, 'a word is over the budget' AS reason, CASE WHEN length(w) <= 60 THEN w ELSE left(w, 57) || '...' END AS preview, {I.tokens_sql('w')}::INTEGER AS tokens FROM words WHERE {I.tokens_sql('w')} > {budget}
+UNION ALL SELECT page_id, NULL::INTEGER, CASE WHEN page_id % 9 = 0 THEN 'the page is empty' ELSE 'the page has no block to narrate' END, NULL::VARCHAR, NULL::INTEGER FROM pages WHERE page_id % 9 = 0 OR page_id % 7 = 0"""
+
+
+@query("flagship_quarantine", _quarantine_sql(4))
+def _(spark, d):
+    html = F.when(F.col("page_id") % 9 == 0, " \n").when(F.col("page_id") % 7 == 0, F.concat(F.lit("<nav>"), F.col("url"), F.lit("</nav>"))).otherwise(F.col("html"))
+    return plan(I.pages(spark, d).withColumn("html", html), 4)[1]

@@ -13,18 +13,22 @@ from cadenza.operators import cache, chunk, extract, script
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with text, and blank ones with a reason; a batch or a stream."""
     blank = T.is_blank(F.col("text"))
-    return requests.filter(~blank), requests.filter(blank).withColumn("reason", F.lit("Text cannot be empty"))
+    return requests.filter(~blank), requests.filter(blank).withColumn("reason", F.lit("there is no text"))
 
 
 def plan_pages(pages: DataFrame, models: DataFrame, voices: DataFrame, mode: str = "preserve") -> DataFrame:
     """Posts to keyed chunks: doc_id, chunk_index, role, text, seed, cache_key, payload_json, ..."""
-    chunks = chunk.build_role_chunks(script.build_script(extract.extract_blocks(pages), mode))
-    return cache.payload_key(cache.generation_payload(cache.assign_seeds(chunks), models, voices))
+    return plan_script(script.build_script(extract.extract_blocks(pages), mode), models, voices)
 
 
-def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voices: DataFrame, done_path: str, todo_path: str, checkpoint: str) -> StreamingQuery:
+def plan_script(told: DataFrame, models: DataFrame, voices: DataFrame) -> DataFrame:
+    return cache.payload_key(cache.generation_payload(cache.assign_seeds(chunk.build_role_chunks(told)), models, voices))
+
+
+def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voices: DataFrame, done_path: str, todo_path: str, checkpoint: str, bad_path: str | None = None) -> StreamingQuery:
     """Append to ``todo_path`` the chunks of arriving posts whose key is neither done nor already asked for.
 
+    Posts that can't be narrated go to ``bad_path`` with a reason, if it is given.
     A key is a function of its content, so a batch that runs twice asks for
     nothing twice: a batch writes to a folder of its own number and replaces it.
     """
@@ -39,12 +43,15 @@ def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voic
             return None
 
     def batch(rows: DataFrame, number: int) -> None:
+        if bad_path is not None:
+            chunk_faults, page_faults = chunk.quarantine(script.build_script(extract.extract_blocks(rows))), extract.rejected_pages(rows)
+            chunk_faults.unionByName(page_faults, allowMissingColumns=True).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
         plan = plan_pages(rows, models, voices).dropDuplicates(["cache_key"]).select("cache_key", "doc_id", "chunk_index", "role", "text", "seed", "payload_json")
         done, asked = known(done_path, "cache_key string"), known(todo_path, "cache_key string, batch int")
         if done is not None:
-            plan = plan.join(done, "cache_key", "left_anti")
+            plan = plan.join(done.hint("shuffle_merge"), "cache_key", "left_anti")
         if asked is not None:
-            plan = plan.join(asked.filter(F.col("batch") < number).select("cache_key"), "cache_key", "left_anti")
+            plan = plan.join(asked.filter(F.col("batch") < number).select("cache_key").hint("shuffle_merge"), "cache_key", "left_anti")
         plan.write.mode("overwrite").parquet(f"{todo_path}/batch={number}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.errors import PySparkException
@@ -11,35 +9,6 @@ from cadenza.operators import chunk as C
 SCHEMA = "doc_id long, block_index int, block_type string, text string, speaker string"
 
 
-def brute(text, budget, count):
-    """The packing rules, one block at a time."""
-    fit = lambda x: count(x) <= budget
-    units = []
-    for sentence in [s for s in re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", text).strip()) if s]:
-        if fit(sentence):
-            units.append(sentence)
-            continue
-        for clause in [c for c in re.split(r"(?<=[,;:\-–—])\s+", sentence) if c]:
-            if fit(clause):
-                units.append(clause)
-                continue
-            units += fill(clause.split(), fit)
-    return fill(units, fit)
-
-
-def fill(parts, fit):
-    out, now = [], ""
-    for p in parts:
-        joined = f"{now} {p}" if now else p
-        if fit(joined):
-            now = joined
-        else:
-            if now:
-                out.append(now)
-            now = p
-    return out + [now] if now else out
-
-
 def chars4(x):
     return max(1, (len(x) + 3) // 4)
 
@@ -69,10 +38,14 @@ def test_clauses_then_words(spark):
 
 
 def test_indivisible_words_are_quarantined_or_errors(spark):
-    script = spark.createDataFrame([(1, 0, "paragraph", "ok abcdefgh", None), (2, 0, "paragraph", "x" * 70, None), (3, 0, "paragraph", "ok", None)], SCHEMA)
+    script = spark.createDataFrame([(1, 0, "paragraph", "ok abcdefgh", None), (1, 1, "paragraph", "ok", None), (2, 0, "paragraph", "x" * 70, None), (3, 0, "paragraph", "ok", None), (4, 0, "audio", "x", None), (4, 1, "list", "ok", None)], SCHEMA)
     bad = {(r.doc_id, r.preview, r.tokens) for r in C.oversized_words(script, 4, "chars").collect()}
     assert bad == {(1, "abcdefgh", 8), (2, "x" * 57 + "...", 70)}
-    assert [r.doc_id for r in C.build_chunks(script, 4, "chars").collect()] == [3]
+    assert [r.doc_id for r in C.build_chunks(script, 4, "chars").collect()] == [3]  # a faulty document is left out whole
+    assert [r.doc_id for r in C.build_role_chunks(script, {"narration": 4, "quote": 9}, {"narration": "chars"}).collect()] == [3]
+    out = {(r.doc_id, r.block_index): (r.reason, r.preview, r.tokens) for r in C.quarantine(script, 4, {"narration": "chars"}).collect()}
+    assert {k: v[1:] for k, v in out.items()} == {(1, 0): ("abcdefgh", 8), (2, 0): ("x" * 57 + "...", 70), (4, 0): (None, None)}
+    assert "over the budget" in out[1, 0][0] and "type" in out[4, 0][0]
     with pytest.raises(PySparkException):
         C.build_chunks(script, 4, "chars", strict=True).collect()
 
@@ -101,11 +74,33 @@ def test_roles_have_their_own_budgets_and_keep_document_order(spark):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="ab.,;:!?- – \n", max_size=60), min_size=1, max_size=8), st.integers(1, 9))
-def test_chunks_equal_the_rules(spark, texts, budget):
+@given(st.lists(st.text(alphabet="ab.,;:!?- – \n", max_size=60), min_size=1, max_size=8), st.integers(1, 9))
+def test_chunks_are_whole_fit_and_leave_no_room(spark, texts, budget):
+    """What makes a packing right: nothing is lost, nothing is too long, and no chunk had room for the next unit."""
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
-    for r in df.select("i", C.chunk_texts(F.col("t"), budget).alias("c")).collect():
-        assert r.c == brute(texts[r.i], budget, chars4)
+    for r in df.select("i", C.chunk_texts(F.col("t"), budget).alias("c"), T.split_units(F.col("t"), budget).alias("u")).collect():
+        words = texts[r.i].split()
+        assert " ".join(r.c).split() == words and " ".join(r.u).split() == words
+        for part in (*r.c, *r.u):
+            assert chars4(part) <= budget or " " not in part  # only a single word may be over the budget
+        at = 0
+        for chunk in r.c:  # a chunk is a run of units, and ends where the next one would not fit
+            size = len(chunk.split(" "))
+            took = []
+            while sum(len(u.split(" ")) for u in took) < size:
+                took.append(r.u[at])
+                at += 1
+            assert " ".join(took) == chunk
+            assert at == len(r.u) or chars4(f"{chunk} {r.u[at]}") > budget
+        assert at == len(r.u)
+        for left, right in zip(r.u, r.u[1:]):  # units end where a sentence or a clause does, or have no room for the next word
+            assert left[-1] in ".!?,;:-–—" or chars4(f"{left} {right.split(' ')[0]}") > budget
+
+
+def test_long_texts_are_packed_in_slices(spark):
+    text = " ".join(f"w{i}" for i in range(2000))
+    got = spark.createDataFrame([(text,)], "t string").select(T.pack_words(F.col("t"), 3).alias("c")).first().c
+    assert " ".join(got) == text and all(chars4(c) <= 3 for c in got) and all(chars4(f"{a} {b.split()[0]}") > 3 for a, b in zip(got, got[1:]))
 
 
 def test_python_counter(spark):

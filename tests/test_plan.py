@@ -95,6 +95,22 @@ def test_activity_trim_and_fades(spark):
     assert one == [0.0, 1.0, 1.0, 1.0]
 
 
+def test_documents_without_a_peak_are_named(spark):
+    rows = spark.createDataFrame([(1, 0.5), (1, -0.25), (2, 0.0), (3, 1.0), (3, float("nan")), (4, float("-inf")), (5, None)], "doc_id int, x double")
+    assert {(r.doc_id, r.x) for r in A.normalize_peak(rows).collect()} == {(1, 0.95), (1, -0.475)}
+    assert {r.doc_id: r.reason.split()[-1] for r in A.documents_without_peak(rows).collect()} == {2: "zero", 3: "infinite", 4: "infinite", 5: "samples"}
+
+
+def test_anchor_has_hashes(spark):
+    got = A.voice_anchor(signal(spark, [0.5, -1.0, 1.0, 0.25]), 1000, 0.002, 0.0).first()
+    assert got.frames == 2 and got.source_sha256 == hashlib.sha256(b"16384,-32768,32767,8192").hexdigest() and got.anchor_sha256 == hashlib.sha256(b"16384,-32768").hexdigest()
+
+
+def test_a_role_with_two_models_is_an_error(spark):
+    with pytest.raises(Exception, match="more than one row"):
+        K.generation_payload(K.assign_seeds(chunks(spark)), models(spark).union(models(spark, "v2")), voices(spark)).collect()
+
+
 def test_quiet_cut(spark):
     import numpy as np
 
@@ -169,13 +185,15 @@ def test_requests_and_stream(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
-        intake.resume_stream(spark, stream, models(spark), voices(spark), str(tmp_path / "done"), str(tmp_path / "todo"), str(tmp_path / "ck")).awaitTermination()
+        intake.resume_stream(spark, stream, models(spark), voices(spark), str(tmp_path / "done"), str(tmp_path / "todo"), str(tmp_path / "ck"), str(tmp_path / "bad")).awaitTermination()
         return spark.read.parquet(str(tmp_path / "todo")).collect()
 
     first = run()
     assert [r.text for r in first] == ["One. Two."]
-    spark.createDataFrame([(1, "u", "<p>One. Two.</p>"), (5, "v", "<p>New.</p>")], schema).write.mode("append").parquet(source)
+    spark.createDataFrame([(1, "u", "<p>One. Two.</p>"), (5, "v", "<p>New.</p>"), (6, "w", f"<p>{'x' * 200}</p><p>fine</p>"), (7, "x", "")], schema).write.mode("append").parquet(source)
     assert sorted(r.text for r in run()) == ["New.", "One. Two."]
+    bad = {r.doc_id: r.reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert set(bad) == {6, 7} and "budget" in bad[6] and "empty" in bad[7]
 
 
 def test_flagship_has_one_paragraph_end_for_each_block(spark):

@@ -1,6 +1,11 @@
+import html
+
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from cadenza.functions import text as T
 from cadenza.operators import script as N
 
 SCHEMA = "doc_id long, pos int, type string, level int, speaker string, text string"
@@ -76,3 +81,22 @@ def test_empty_tables(spark):
     assert N.build_script(blocks).count() == 0
     assert N.script_counts(blocks, N.build_script(blocks)).count() == 0
     assert N.keep_speakable(blocks).select(F.col("speaker")).count() == 0
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.one_of(st.sampled_from(["&", "&amp", "&amp;", "&apos;", "&#146;", "&ampx", "&notit;", "&NotEqualTilde;", "&#x1F600;", "&#0;", "&#x110000;", "&#00000000065;", "&#99999999999;", "&#xD800;", "&#11;", "&#xFDD0;", "&#;", "&#x;", "&nosuch;", "&fjlig;", "&CounterClockwiseContourIntegral;", "&frac12x", ";", "#"]), st.text("amp&#x;19 ", max_size=6)), max_size=5).map("".join), min_size=1, max_size=8))
+def test_references_are_read_as_the_standard_library_reads_them(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for r in df.select("i", T.decode_entities(F.col("t")).alias("got")).collect():
+        assert r.got == html.unescape(texts[r.i]), texts[r.i]
+
+
+def test_canonical_json_sorts_keys_and_refuses_what_json_lacks(spark):
+    row = [({"z": 1, "a": None}, ("é", [(2, 1.5)], None))]
+    df = spark.createDataFrame(row, "m map<string,int>, s struct<y: string, l: array<struct<k: int, a: double>>, b: struct<q: int>>").select(F.struct("s", "m").alias("v"))
+    got = df.select(T.canonical_json(F.col("v"), df.schema["v"].dataType)).first()[0]
+    assert got == '{"m":{"a":null,"z":1},"s":{"b":null,"l":[{"a":1.5,"k":2}],"y":"é"}}'
+    for bad in ("nan", "inf", "-inf"):
+        odd = spark.createDataFrame([(float(bad),)], "x double").select(F.struct("x").alias("v"))
+        with pytest.raises(PySparkException):
+            odd.select(T.canonical_json(F.col("v"), odd.schema["v"].dataType)).collect()
