@@ -140,8 +140,8 @@ def _reachable(queries: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"vec_id": [], "g": []}).astype("int64")
     width = max(queries.v.map(len).max(), boxes.most.map(len).max())
     # a missing component counts as 0; in a box of shorter vectors so do its ends
-    bound = bounds(_matrix(queries.v, width), _matrix(boxes.most, width), _matrix(boxes.least, width))
-    bound = bound + np.abs(bound) * 1e-9  # sums of large numbers are rounded
+    q, most, least = _matrix(queries.v, width), _matrix(boxes.most, width), _matrix(boxes.least, width)
+    bound = bounds(q, most, least) + np.abs(q) @ np.maximum(np.abs(most), np.abs(least)).T * 1e-12  # sums of large numbers are rounded
     q, g = np.nonzero((bound >= queries.floor.to_numpy()[:, None]) & (queries.g.to_numpy()[:, None] != boxes.g.to_numpy()[None, :]))
     return pd.DataFrame({"vec_id": queries.vec_id.to_numpy()[q], "g": boxes.g.to_numpy()[g]})
 
@@ -195,7 +195,8 @@ def exact_top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K) -> Dat
         spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         query_groups, box_groups = math.ceil(n_queries / QUERY_ROWS), math.ceil(groups / GROUP_ROWS)
         floors = common.stored(found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor")).withColumnRenamed("query_id", "vec_id"))
-        asked = queries.join(floors.hint("shuffle_merge"), "vec_id", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))))
+        low = F.col("floor").cast("double") - F.abs(F.col("floor").cast("double")) * 1e-15  # a double may be above a large score
+        asked = queries.join(floors.hint("shuffle_merge"), "vec_id", "left").withColumn("floor", F.coalesce(low, F.lit(float("-inf"))))
         asked = common.stored(asked.withColumn("qg", dealt("vec_id", max(1, query_groups))))
         boxes = own.filter("g IS NOT NULL").select("g", "most", "least").withColumn("bg", dealt("g", box_groups)).withColumn("qg", spread(max(1, query_groups)))
         pairs = asked.withColumn("bg", spread(box_groups)).groupBy("bg", "qg").cogroup(boxes.groupBy("bg", "qg")).applyInPandas(_reachable, "vec_id long, g long")
