@@ -45,6 +45,7 @@ from . import common
 
 PER_CLASS, LEAST_PRECISION = 5000, 0.9
 MOST_CONTEXTS = 50_000  # that a task holds at once
+KNOWN_BYTES, WORD_BYTES = 1 << 25, 150  # of words whose symbol a worker remembers; what one takes besides its letters, about
 STEMS = (4, 5, 6, 7, 8)
 #: Closed word classes of the grammar.
 THREATS = "kill hurt destroy beat shoot stab burn attack murder strangle töten umbringen tuer matar"
@@ -121,18 +122,35 @@ def grammar() -> Composition:
     return Composition(_marks(INSULT), _marks(THREAT), _from(TARGET), _after(NEGATION), _after(INTENDS), _reported)
 
 
-def clause_features(tokens: list[str], lexicon: dict[str, float], machine: Composition, seen: np.ndarray, carried: int = SILENT, quoted: bool = False) -> tuple[int, bool]:
+class Symbols(dict):
+    """Token -> (symbol, weight), looked up in the lexicon once and remembered, KNOWN_BYTES of them at most from text to text."""
+
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.update({mark: (symbol, 0.0) for mark, symbol in _MARKS.items()})
+        self.held = 0
+
+    def __missing__(self, word: str) -> tuple[int, float]:
+        weight = term_weight(word, self.lexicon)
+        self[word] = found = (INSULT if weight else _CLASSES.get(word, OTHER), weight)
+        self.held += WORD_BYTES + len(word)
+        return found
+
+
+def clause_features(tokens: list[str], symbols: Symbols, machine: Composition, seen: np.ndarray, carried: int = SILENT, quoted: bool = False) -> tuple[int, bool]:
     """Raise ``seen`` (a document's summed weights) by what one clause matches; returns how speech goes on behind it."""
     state, events, aimed, threats, words, told = machine.begin(carried), [], False, [], 0, False
     for token in tokens:
         if token == EITHER:
             symbol, weight = (CLOSES if quoted else OPENS), 0.0
         else:
-            symbol, weight = _MARKS.get(token), 0.0
-            if symbol is None:
-                words += 1
-                weight = term_weight(token, lexicon)
-                symbol = INSULT if weight else _CLASSES.get(token, OTHER)
+            symbol, weight = symbols[token]
+            words += symbol < OPENS
         quoted = symbol == OPENS or quoted and symbol != CLOSES
         state, (insult, threat, target, negated, intended, reported) = machine.step(state, symbol)
         aimed = aimed or target
@@ -172,16 +190,17 @@ def _plain(text: str | None) -> str:
     return (text or "").lower().replace("’", "'")
 
 
-def document_features(text: str | None, lexicon: dict[str, float], machine: Composition) -> np.ndarray:
+def document_features(text: str | None, symbols: Symbols, machine: Composition) -> np.ndarray:
     seen = np.zeros(len(FEATURES))
     low = _plain(text)
-    hot = {w for w in set(_WORD.findall(low)) if term_weight(w, lexicon) or _CLASSES.get(w) == THREAT}
-    if hot:
+    if symbols.held > KNOWN_BYTES:
+        symbols.forget()
+    if any(symbols[w][0] in (INSULT, THREAT) for w in set(_WORD.findall(low))):
         carried, quoted, since = SILENT, False, 0
         for clause in _CLAUSE.split(low):
             tokens = _TOKEN.findall(clause)
             if tokens:
-                carried, quoted = clause_features(tokens, lexicon, machine, seen, carried, quoted)
+                carried, quoted = clause_features(tokens, symbols, machine, seen, carried, quoted)
             since = since + 1 if quoted else 0
             if clause.endswith("\n") or since >= MOST_QUOTED:
                 carried, quoted, since = SILENT, False, 0
@@ -222,9 +241,9 @@ def _terms_in(word: Column) -> Column:
 
 def _features_of(lexicon):
     def run(batches):
-        machine = grammar()
+        machine, symbols = grammar(), Symbols(lexicon)
         for batch in batches:
-            rows = np.array([document_features(t, lexicon, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            rows = np.array([document_features(t, symbols, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, rows.T)], ["toxic", *FEATURES])
 
     return run
@@ -307,9 +326,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: s
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
-        machine, lexicon = grammar(), sent.value
+        machine, symbols = grammar(), Symbols(sent.value)
         for batch in batches:
-            rows = np.array([document_features(t, lexicon, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            rows = np.array([document_features(t, symbols, machine) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             scores = 1 / (1 + np.exp(-np.clip(weights[0] + rows @ weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), *map(pa.array, rows.T)], ["doc_id", "score", *FEATURES])
 

@@ -97,7 +97,7 @@ LEXICON = {"fool": 5.0, "cretin*": 3.0}
 
 
 def read(text):
-    features = toxicity.document_features(text, LEXICON, toxicity.grammar())
+    features = toxicity.document_features(text, toxicity.Symbols(LEXICON), toxicity.grammar())
     return {k: round(float(np.expm1(v)), 6) for k, v in zip(toxicity.FEATURES, features) if v}
 
 
