@@ -7,7 +7,8 @@ holds vectors of one direction. In a group they are cut at medians into blocks,
 with its forward index (the rows) and the largest and smallest weight of every term.
 For a query, the sum over its terms of weight times the block's best weight
 bounds every score in the block, so a query takes the blocks in the order of
-their bounds and stops when the next bound is below its k-th score.
+their bounds, in rounds of 1, 2, 4 and so on, and stops when the next bound is below its
+k-th score.
 
 A query meets its own group first. Its k-th score there goes on as the floor: the same
 bound, taken over whole groups, says which other groups can reach it, only those get
@@ -81,26 +82,34 @@ def search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndarray, v
     least = np.array([v[a:b].min(axis=0) for a, b in zip(starts, ends)]).reshape(len(starts), -1)
     bound = bounds(q, most, least)
     order = np.argsort(-bound, axis=1, kind="stable")
-    found, low, scored = [[] for _ in qid], list(floor), 0
-    open_ = np.arange(len(qid))
-    for step in range(len(starts)):
-        block = order[open_, step]
-        live = np.array([bound[i, b] >= low[i] for i, b in zip(open_, block)], dtype=bool)
-        open_, block = open_[live], block[live]
-        if not len(open_):
-            break
-        scored += len(open_)
-        for b in np.unique(block):
-            ids, who = vid[starts[b] : ends[b]], open_[block == b]
-            scores = q[who] @ v[starts[b] : ends[b]].T
-            for i, row in zip(who, scores):
-                good = (ids != qid[i]) & (row >= low[i])
-                if good.any():
-                    s, c = row[good], ids[good]
-                    best = np.lexsort((c, -s))[:k]
-                    found[i] = sorted(found[i] + [(-int(s[j]), int(c[j])) for j in best])[:k]
-                    if len(found[i]) == k:
-                        low[i] = max(low[i], -found[i][-1][0])
+    low = np.array(floor, dtype=object if v.dtype == object else float)
+    best = [np.zeros(0, np.int64), np.zeros(0, low.dtype), np.zeros(0, np.int64)]  # query, score, id; best first for each query
+    open_, step, width, scored = np.arange(len(qid)), 0, 1, 0
+    while len(open_) and step < len(starts):  # rounds of 1, 2, 4 .. blocks for each query, so that few are needed where little can be skipped
+        block = order[open_, step : step + width]
+        take = bound[open_[:, None], block] >= low[open_][:, None]
+        open_, block, take = open_[take[:, 0]], block[take[:, 0]], take[take[:, 0]]
+        who, which = np.repeat(open_, take.sum(axis=1)), block[take]
+        scored += len(who)
+        by = np.argsort(which, kind="stable")
+        who, which = who[by], which[by]
+        hits = [best]
+        for part in np.split(np.arange(len(who)), np.flatnonzero(which[1:] != which[:-1]) + 1) if len(who) else []:
+            rows, own = slice(starts[which[part[0]]], ends[which[part[0]]]), who[part]
+            scores = q[own] @ v[rows].T
+            i, j = np.nonzero((scores >= low[own][:, None]) & (vid[rows][None, :] != qid[own][:, None]))
+            hits.append([own[i], scores[i, j], vid[rows][j]])
+        of, score, ids = (np.concatenate(c) for c in zip(*hits))
+        by = np.lexsort((ids, -score, of))
+        of, score, ids = of[by], score[by], ids[by]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        best = [c[place < k] for c in (of, score, ids)]
+        full = place == k - 1
+        low[of[full]] = np.maximum(low[of[full]], score[full])
+        step, width = step + width, 2 * width
+    found = [[] for _ in qid]
+    for i, s, c in zip(*best):
+        found[i].append((-int(s), int(c)))
     return found, scored, len(qid) * len(starts)
 
 
