@@ -560,14 +560,17 @@ def _(spark, d):
     return ok.select("conv_id", "turn", F.lit(False).alias("rejected")).unionByName(bad.select("conv_id", "turn", F.lit(True).alias("rejected")))
 
 
-@query("q2_resume_stream")
+_PAGES_KEYED = I.KEYED.replace(I.CHUNKS, f"{I.PAGE_BLOCKS}, {I.script_sql(source='page_blocks')}, {I.chunks_sql()}")
+
+
+@query("q2_resume_stream", f"WITH {_PAGES_KEYED} SELECT DISTINCT ON (cache_key) cache_key, doc_id, chunk_index, role, text, seed, payload_json FROM keyed ORDER BY cache_key, doc_id, chunk_index")
 def _(spark, d):
     """The posts arrive as a stream; returns the work that the run asks for."""
     p = I.pages(spark, d)
     stream = spark.readStream.schema(p.schema).parquet(d + "/pages.parquet*")
     out, done = shared_path(spark, "todo"), shared_path(spark, "done")
-    intake.resume_stream(spark, stream, I.models(spark, d), I.voices(spark, d), done, out, shared_path(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(out)
+    intake.resume_stream(spark, stream, I.models(spark, d), I.voices(spark, d), done, out, shared_path(spark, "offsets"), shared_path(spark, "bad")).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 # The flagship: posts to routed, paused chunks

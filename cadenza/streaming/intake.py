@@ -28,6 +28,7 @@ def plan_script(told: DataFrame, models: DataFrame, voices: DataFrame) -> DataFr
 def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voices: DataFrame, done_path: str, todo_path: str, checkpoint: str, bad_path: str | None = None) -> StreamingQuery:
     """Append to ``todo_path`` the chunks of arriving posts whose key is neither done nor already asked for.
 
+    A key that several posts of a batch want is asked for with the first of them.
     Posts that can't be narrated go to ``bad_path`` with a reason, if it is given.
     A key is a function of its content, so a batch that runs twice asks for
     nothing twice: a batch writes to a folder of its own number and replaces it.
@@ -46,7 +47,9 @@ def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voic
         if bad_path is not None:
             chunk_faults, page_faults = chunk.quarantine(script.build_script(extract.extract_blocks(rows))), extract.rejected_pages(rows)
             chunk_faults.unionByName(page_faults, allowMissingColumns=True).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        plan = plan_pages(rows, models, voices).dropDuplicates(["cache_key"]).select("cache_key", "doc_id", "chunk_index", "role", "text", "seed", "payload_json")
+        own = ["doc_id", "chunk_index", "role", "text", "seed", "payload_json"]
+        first = F.min(F.struct(*own)).alias("_first")  # of a key that several posts want, the first post and place
+        plan = plan_pages(rows, models, voices).groupBy("cache_key").agg(first).select("cache_key", "_first.*")
         done, asked = known(done_path, "cache_key string"), known(todo_path, "cache_key string, batch int")
         if done is not None:
             plan = plan.join(done.hint("shuffle_merge"), "cache_key", "left_anti")
