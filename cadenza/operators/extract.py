@@ -135,9 +135,42 @@ def _fold(segments: Column, silent_tags: tuple[str, ...]) -> Column:
         inner = F.aggregate(part, state(acc["stack"], nothing), step)
         return T.let(inner, lambda x: state(x["stack"], F.concat(acc["out"], F.array(x["out"]))))
 
-    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(segments) - 1) / SLICE).cast("int")), lambda k: F.slice(segments, k * SLICE + 1, SLICE))
     start = state(F.array(floor), F.array().cast(f"array<array<{_ITEM}>>"))
-    return F.when(F.size(segments) > 0, F.aggregate(slices, start, slice_step, lambda acc: F.flatten(acc["out"]))).otherwise(nothing)
+    return F.when(F.size(segments) > 0, F.aggregate(_slices(segments), start, slice_step, lambda acc: F.flatten(acc["out"]))).otherwise(nothing)
+
+
+def open_paths(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """doc_id, seg, txt, path: every text run with the elements open around it, outermost first, as structs of name, seg, card.
+
+    A closing tag closes the nearest open element of its name and what is open in it, or
+    nothing; void elements and elements that close themselves are never open.
+    """
+    entry = "struct<name:string,seg:int,card:boolean>"
+    run = f"struct<seg:int,txt:string,path:array<{entry}>>"
+    nothing = F.array().cast(f"array<{run}>")
+    state = lambda stack, out: F.struct(stack.alias("stack"), out.alias("out"))
+
+    def moved(stack: Column, s: Column) -> Column:
+        own = F.struct(s["name"].alias("name"), s["seg"].alias("seg"), s["card"].alias("card")).cast(entry)
+        place = F.array_position(F.reverse(F.transform(stack, lambda e: e["name"])), s["name"]).cast("int")
+        left = T.let(place, lambda depth: F.when(depth > 0, F.slice(stack, 1, F.size(stack) - depth)).otherwise(stack))
+        return F.when((s["kind"] == "open") & ~s["alone"], F.concat(stack, F.array(own))).when(s["kind"] == "close", left).otherwise(stack)
+
+    def step(x: Column, s: Column) -> Column:
+        said = lambda stack: F.array(F.struct(s["seg"].alias("seg"), s["txt"].alias("txt"), stack.alias("path")).cast(run))
+        return T.let(moved(x["stack"], s), lambda stack: state(stack, F.when(s["txt"] != "", F.concat(x["out"], said(stack))).otherwise(x["out"])))
+
+    def slice_step(x: Column, part: Column) -> Column:
+        return T.let(F.aggregate(part, state(x["stack"], nothing), step), lambda y: state(y["stack"], F.concat(x["out"], F.array(y["out"]))))
+
+    start = state(F.array().cast(f"array<{entry}>"), F.array().cast(f"array<array<{run}>>"))
+    fold = lambda segments: F.aggregate(_slices(segments), start, slice_step, lambda x: F.flatten(x["out"]))
+    rows = pages.select(F.col(id_col).alias("doc_id"), _segment_array(F.col("html")).alias("_segments")).filter(F.size("_segments") > 0)
+    return rows.select("doc_id", F.explode(fold(F.col("_segments"))).alias("i")).select("doc_id", "i.*")
+
+
+def _slices(segments: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(segments) - 1) / SLICE).cast("int")), lambda k: F.slice(segments, k * SLICE + 1, SLICE))
 
 
 def visible_items(pages: DataFrame, id_col: str = "page_id", silent: tuple[str, ...] = SILENT) -> DataFrame:

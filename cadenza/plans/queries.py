@@ -82,8 +82,11 @@ def _(spark, d):
 
 @query("x2_open_paths", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, seg, root, type FROM pieces WHERE txt NOT IN ('', ' ')")
 def _(spark, d):
-    items = extract.visible_items(I.pages(spark, d)).filter(F.col("txt") != extract.BREAK)
-    return items.select("doc_id", "seg", "root", F.when(F.col("root_name") == "p", "paragraph").otherwise("heading").alias("type"))
+    """The paths of text that is heard, and the outermost block in each."""
+    heard = extract.open_paths(I.pages(spark, d)).filter(~F.exists("path", lambda e: e["name"].isin(*extract.SILENT) | e["card"]))
+    block = F.get(F.filter("path", lambda e: e["name"].isin(*extract.BLOCKS)), F.lit(0))
+    rows = heard.withColumn("block", block).filter("block IS NOT NULL")
+    return rows.select("doc_id", "seg", F.col("block.seg").alias("root"), F.when(F.col("block.name") == "p", "paragraph").otherwise("heading").alias("type"))
 
 
 @query("x3_drop_skipped_subtrees", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, count(*) AS runs, sum(length(txt) - (name IN ('p', 'br'))::INTEGER)::BIGINT AS chars FROM (SELECT p.*, s.name FROM pieces p JOIN segments s USING (doc_id, seg)) WHERE txt NOT IN ('', ' ') GROUP BY doc_id")

@@ -14,6 +14,7 @@ class Blocks(HTMLParser):
     def __init__(self, html):
         super().__init__(convert_charrefs=True)
         self.open, self.count, self.said = [], 0, {}  # said: (number, name) of a block -> {list item, or None: its text}
+        self.paths = []  # (open elements, text), with runs of one path joined
         self.feed(html)
         self.close()
 
@@ -59,6 +60,10 @@ class Blocks(HTMLParser):
 
     def handle_data(self, data):
         self.say(data)
+        path = [name for _, name, _ in self.open]
+        if self.paths and self.paths[-1][0] == path:
+            data = self.paths.pop()[1] + data
+        self.paths.append((path, data))
 
 
 def blocks(html):

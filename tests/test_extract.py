@@ -67,6 +67,20 @@ def test_pages_equal_the_parser_events(spark):
         assert plain(mine) == plain(html_events.blocks(html)), html
 
 
+def test_paths_equal_the_parser_events(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    htmls = [h for h in pages + HTMLS if "<script" not in h and "<style" not in h]  # their own text is no text run
+    rows = X.open_paths(spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string")).orderBy("doc_id", "seg").collect()
+    mine = {i: [] for i in range(len(htmls))}
+    for r in rows:
+        path, text, own = [e.name for e in r.path], r.txt, mine[r.doc_id]
+        if own and own[-1][0] == path:
+            text = own.pop()[1] + text
+        own.append((path, text))
+    for i, html in enumerate(htmls):
+        assert mine[i] == html_events.Blocks(html).paths, html
+
+
 PIECES = "<p> </p> <div> </div> <ul> </ul> <li> </li> <ol> <h2> </h2> <br> <b> </b> <nav> </nav> <h5> <section/> a b. &amp; x".split()
 
 
