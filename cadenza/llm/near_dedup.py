@@ -56,7 +56,7 @@ SHINGLE, PERCENT = 5, 80
 RING_BITS, BANDS, ROWS = 20, 32, 5
 RANDOM_HUBS = 1
 BLOCK = 512  # nodes of one bucket that a task holds at once
-MEMBERS = 512  # texts that one sending of their hub's text serves, about
+MEMBERS = 128  # texts that one sending of their hub's text serves, about
 
 
 @functools.lru_cache
