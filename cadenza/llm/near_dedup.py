@@ -6,21 +6,25 @@ place on, gives all signature coordinates: coordinate i is the least entry of
 the second permutation, shifted i places, over the document's bins. Bands of the
 signature are the buckets.
 
-Rows with equal sets are one node from there on, so a node is a set and not an id. In
-every bucket the members are held against hubs instead of against each other, and
-every link is confirmed on the full shingle sets of the two texts. For that, the
-members of a hub are dealt into parts of about MEMBERS, and the hub's text is sent
-once to each part:
+Rows with equal word sequences (by SHA-256) are one node from there on, so a node is a
+text and not an id. In every bucket the members are held against hubs instead of
+against each other, and every link between nodes is confirmed on the full shingle sets
+of the two texts, those of equal hashes too. For that, the members of a hub are dealt
+into parts of about MEMBERS, and the hub's text is sent once to each part:
 
 1. each node against the hub (least node) it shares the most buckets with;
 2. in buckets that still hold several components, each node against the
    bucket's hub and a random member of the bucket, if they are of other components;
-3. in buckets that still hold several components, every node outside the
-   bucket's largest component against every member of another component. This
-   is done block by block on 32-bit shingle hashes, so no pair becomes a row
-   unless it is likely to be a link; those are then confirmed like the others.
-
-Both leave out nodes and pairs that cannot reach the threshold: shingles
+3. in buckets that still hold several components, an inverted index over the rarest
+   shingles: a pair at the threshold shares one of each side's first n - 0.8 n + 1
+   shingles in order of rareness, so only those are joined on, and of the pairs they give
+   only those whose sizes and places in that order allow a link are left. Between two
+   components one pair is verified first, and the others only if it is no link.
+   Shingles with over LIST such nodes are not joined on: nodes that have one are also
+   held against each other in their buckets block by block, on 32-bit shingle hashes
+   (pairs that are likely to be links are confirmed like the others).
+
+Steps 2 and 3 leave out nodes and pairs that cannot reach the threshold: shingles
 that no other component has can't be shared, and with those counted (a grouping
 by shingle of the nodes still in question) the rest bounds the similarity.
 
@@ -44,6 +48,8 @@ never kept; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +61,8 @@ from . import common, graph
 SHINGLE, PERCENT = 5, 80
 RING_BITS, BANDS, ROWS = 20, 32, 5
 RANDOM_HUBS = 1
-BLOCK = 512  # nodes of one bucket that a task holds at once
+LIST = 256  # nodes that have a shingle among their rarest, for the join on that shingle
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # nodes of one bucket that a task holds at once, and their shingles, about
 MEMBERS = 128  # texts that one sending of their hub's text serves, about
 
 
@@ -66,59 +73,51 @@ def _ring(seed: int = 1) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[: BANDS * ROWS]]), BANDS * ROWS)
 
 
-@functools.lru_cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lower case of A-Z by byte, and a 64-bit number for every byte."""
-    low = np.arange(256, dtype=np.uint8)
-    low[65:91] += 32
-    return low, common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-_ODD, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
-def word_hashes(offsets: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and where each text's words begin (one place more than texts)."""
-    n = len(flat)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low, numbers = _tables()
-    inside = ~((flat == 32) | ((flat >= 9) & (flat <= 13)))
-    first = np.zeros(n, bool)
-    first[offsets[:-1][offsets[:-1] < n]] = True
-    starts = np.flatnonzero(inside & (first | ~np.concatenate([[False], inside[:-1]])))
-    last = np.concatenate([first[1:], [True]])
-    ends = np.flatnonzero(inside & (last | ~np.concatenate([inside[1:], [False]]))) + 1
-    with np.errstate(over="ignore"):
-        power = np.full(n, _ODD, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(numbers[low[flat]] * power)])
-        back = np.full(n, _INVERSE, np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        words = common.mix64((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, offsets)
-
-
-def shingle_sets(words: np.ndarray, begin: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text."""
+class _Numbers(dict):
+    """A number for every word asked for, from 0 on."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def word_numbers(offsets: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Number of every word of every text, where each text's words begin (one place more than texts), a hash for each number, and each text's words joined by spaces."""
+    raw, number = flat.tobytes().lower(), _Numbers()  # bytes: only A-Z change, only ASCII white space splits
+    texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    numbers = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(begin[-1]))
+    return numbers, begin, np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64), [b" ".join(t) for t in texts]
+
+
+def shingle_sets(numbers: np.ndarray, begin: np.ndarray, hashes: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
+    """Of every text, the sorted distinct hashes of its shingles, and how many different shingles there are."""
     with np.errstate(over="ignore"):
+        words = hashes[numbers]
         run = words.copy()
         for j in range(1, k):
-            run[: len(words) - j] = common.mix64(run[: len(words) - j]) + words[j:]
+            m = max(len(words) - j, 0)
+            run[:m] = common.mix64(run[:m]) + words[j:]
         run = common.mix64(run)
         out = []
-        for a, b in zip(begin[:-1], begin[1:]):
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
             if b - a >= k:
-                out.append(np.unique(run[a : b - k + 1]))
+                order = np.argsort(run[a : b - k + 1])
+                own = run[a + order]
+                same = own[1:] == own[:-1]
+                one, other = a + order[1:][same], a + order[:-1][same]
+                if all((numbers[one + j] == numbers[other + j]).all() for j in range(k)):
+                    n = len(own) - len(one)
+                else:  # a hash stands for several shingles
+                    n = len(set(zip(*[numbers[a + j : b - k + 1 + j].tolist() for j in range(k)])))
+                out.append((own[np.concatenate([[True], ~same])], n))
             elif b > a:
                 own = np.uint64(b - a)
                 for w in words[a:b]:
                     own = common.mix64(own) + w
-                out.append(common.mix64(np.array([own])))
+                out.append((common.mix64(np.array([own])), 1))
             else:
-                out.append(np.zeros(0, np.uint64))
+                out.append((np.zeros(0, np.uint64), 0))
     return out
 
 
@@ -150,10 +149,11 @@ def _sketch(k: int):
         for batch in batches:
             sizes, prints, keys = [], [], []
             for _, offsets, flat in common.text_slices(batch.column("text")):
-                for own in shingle_sets(*word_hashes(offsets, flat), k):
-                    sizes.append(len(own))
-                    prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                    keys.append(band_keys(signature(own)[None])[0] if len(own) else None)
+                numbers, begin, hashes, joined = word_numbers(offsets, flat)
+                for (own, n), words in zip(shingle_sets(numbers, begin, hashes, k), joined):
+                    sizes.append(n)
+                    prints.append(hashlib.sha256(words).digest() if n else None)
+                    keys.append(band_keys(signature(own)[None])[0] if n else None)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in SAME), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 [*SAME, "n_shingles", "print", "bands"],
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     texts = texts.withColumns({"t": text_hash("doc_id", "text"), "u": F.xxhash64("text", F.lit("second"), "doc_id")})
     numbered = texts.withColumn("r", F.monotonically_increasing_id())  # written with the sketch, so it stays what it is
     sketch = common.stored(numbered.select(*SAME, "text").mapInArrow(_sketch(k), "r long, doc_id long, t long, u long, n_shingles long, print binary, bands array<long>"))
-    # Equal sets are one node, known by the least of its rows.
+    # Equal word sequences are one node, known by the least of its rows.
     filled = sketch.filter("print IS NOT NULL")
     nodes = common.stored(filled.groupBy("print").agg(F.min("r").alias("node"), F.min("doc_id").alias("least")))
     rows = common.stored(filled.select("doc_id", "t", "n_shingles", "print").join(nodes.hint("shuffle_merge"), "print").drop("print"))
@@ -271,7 +271,7 @@ def _linked(texts: DataFrame, sets: DataFrame, members: DataFrame, best: DataFra
     open_ = _open(links, members.drop("b"))
     if open_.isEmpty():
         return links
-    open_, small = _shared_counts(links, open_)
+    open_, _ = _shared_counts(links, open_)
     drawn = [F.min(F.struct(F.xxhash64(F.lit(j), "a").alias("h"), "a", "n", "s", "label_a")).alias(f"hub{j}") for j in range(RANDOM_HUBS)]
     first = F.min(F.struct(F.col("a").alias("h"), "a", "n", "s", "label_a")).alias("hub")
     hub = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(y) for x, y in OTHER.items()])
@@ -282,12 +282,32 @@ def _linked(texts: DataFrame, sets: DataFrame, members: DataFrame, best: DataFra
     links.confirm(tried)
     tried = tried.union(_in_order(best))
     open_ = _open(links, open_.drop("label_a"))
-    if not open_.isEmpty():
-        likely = _in_order(_likely_pairs(open_, small, percent))
-        links.confirm(common.stored(likely.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")))
+    if open_.isEmpty():
+        return links
+    open_, sets = _shared_counts(links, open_)
+    rare, common_ = _rare_pairs(open_, sets, percent)
+    _confirm_between(links, rare, tried)
+    if not common_.isEmpty():
+        rest = _open(links, open_.drop("label_a").join(common_.hint("shuffle_merge"), "a", "left_semi"))
+        if not rest.isEmpty():
+            _confirm_between(links, _likely_pairs(rest, sets.select("a", "small"), percent), tried)
     return links
 
 
+def _confirm_between(links: _Links, pairs: DataFrame, tried: DataFrame) -> None:
+    """Verify those of the ``pairs`` that were not tried: of every two components one pair, then all whose components are still apart."""
+    pairs = common.stored(_in_order(pairs).join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"))
+    apart = common.stored(links.label(pairs, "a", "b").filter("label_a <> label_b"))
+    if apart.isEmpty():
+        return
+    one = apart.groupBy(F.least("label_a", "label_b").alias("x"), F.greatest("label_a", "label_b").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    one = common.stored(one)
+    links.confirm(one)
+    others = common.stored(links.label(apart.select("a", "b").join(one.hint("shuffle_merge"), ["a", "b"], "left_anti"), "a", "b").filter("label_a <> label_b").select("a", "b"))
+    if not others.isEmpty():
+        links.confirm(others)
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -313,7 +333,7 @@ def _hashes(k: int):
     """Shingle hashes of documents, and their lower 32 bits."""
     def run(batches):
         for batch in batches:
-            rows = [own for _, offsets, flat in common.text_slices(batch.column("text")) for own in shingle_sets(*word_hashes(offsets, flat), k)]
+            rows = [own for _, offsets, flat in common.text_slices(batch.column("text")) for own, _ in shingle_sets(*word_numbers(offsets, flat)[:3], k)]
             small = [np.unique(own.astype(np.uint32)).view(np.int32) for own in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("label_a"), pa.array([own.view(np.int64) for own in rows], pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int32()))], ["a", "label_a", "hashes", "small"]
@@ -323,13 +343,37 @@ def _hashes(k: int):
 
 
 def _shared_counts(links: _Links, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``open_`` with s, the number of a document's shingles that open documents of other components have too, without those that have too few for any link; and the documents' hashes."""
+    """``open_`` with s, the number of a document's shingles that open documents of other components have too, without those that have too few for any link; and of all of its documents a, label_a, hashes and small."""
     texts = links.texts.withColumnRenamed("r", "a").join(open_.select("a", "label_a").distinct().hint("shuffle_merge"), "a").select("a", "label_a", "text")
     sets = common.stored(texts.mapInArrow(_hashes(links.k), "a long, label_a long, hashes array<long>, small array<int>"))
     each = sets.select("a", "label_a", F.explode("hashes").alias("h"))
     several = common.stored(each.groupBy("h").agg(F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("h"))
-    shared = each.select("a", "h").join(several.hint("shuffle_merge"), "h", "left_semi").groupBy("a").agg(F.count("*").alias("s"))
-    return common.stored(open_.join(shared.hint("shuffle_merge"), "a").filter(F.col("s") * 100 >= F.col("n") * links.percent)), sets.select("a", "small")
+    shared = common.stored(each.select("a", "h").join(several.hint("shuffle_merge"), "h", "left_semi").groupBy("a").agg(F.count("*").alias("s")))
+    return common.stored(open_.drop("s").join(shared.hint("shuffle_merge"), "a").filter(F.col("s") * 100 >= F.col("n") * links.percent)), sets
+
+
+def _rare_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that share one of their rarest shingles and may be links; and the documents a with a rare shingle that over LIST documents have.
+
+    Of a document's n shingles, in order of rareness among the open documents, those that
+    no other component has come first; they can't be shared, so they are counted only.
+    """
+    own = common.stored(open_.select("a", "n", "label_a").distinct())
+    each = common.stored(sets.select("a", F.explode("hashes").alias("h")).join(own.hint("shuffle_merge"), "a"))
+    often = common.stored(each.groupBy("h").agg(F.count("*").alias("df"), F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("h", "df"))
+    shared = each.join(often.hint("shuffle_merge"), "h").groupBy("a", "n", "label_a").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("l"))
+    s, need = F.size("l"), F.ceil(F.col("n") * percent / 100)
+    rare = F.slice("l", F.lit(1), F.greatest(F.lit(0), (F.col("n") - need + 1 - (F.col("n") - s)).cast("int")))
+    index = shared.select("a", "n", "label_a", (F.col("n") - s).alias("alone"), F.posexplode(rare).alias("at", "x")).select("a", "n", "label_a", (F.col("alone") + F.col("at")).alias("at"), F.col("x.h").alias("h"))
+    index = common.stored(index)
+    lists = common.stored(index.groupBy("h").agg(F.count("*").alias("size"), F.min("label_a").alias("x"), F.max("label_a").alias("y")).filter("x < y").select("h", "size"))
+    index = common.stored(index.join(lists.hint("shuffle_merge"), "h"))
+    one = index.filter(F.col("size") <= LIST).drop("size")
+    other = one.select("h", *[F.col(c).alias(d) for c, d in (("a", "b"), ("n", "m"), ("label_a", "label_b"), ("at", "place"))])
+    # the shared shingle and all behind it, on both sides
+    most = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("m") - F.col("place") - 1)
+    pairs = one.join(other.hint("shuffle_merge"), "h").filter((F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("m"))))
+    return pairs.select("a", "b"), common.stored(index.filter(F.col("size") > LIST).select("a").distinct())
 
 
 def _screen(percent: int):
@@ -375,12 +419,12 @@ def _likely_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components whose hashes have about the similarity asked for.
 
     Of every bucket, the documents outside its largest component are held against
-    all. Both are cut into blocks, and each two blocks meet in one task.
+    all. Both are cut into blocks by their numbers and by their shingles, and each two blocks meet in one task.
     """
-    sizes = open_.groupBy("key", "label_a").agg(F.count("*").alias("size"))
-    total = sizes.groupBy("key").agg(F.max(F.struct("size", "label_a")).alias("x"), F.sum("size").alias("all")).select(
-        "key", F.col("x.label_a").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ours"), F.ceil((F.col("all") - F.col("x.size")) / BLOCK).cast("int").alias("others")
-    ).filter("others > 0")
+    sizes = open_.groupBy("key", "label_a").agg((F.count("*") / BLOCK + F.sum("n") / BLOCK_SHINGLES).alias("size"))
+    total = sizes.groupBy("key").agg(F.max(F.struct("size", "label_a")).alias("x"), F.sum("size").alias("all"), F.count("*").alias("several")).filter("several > 1").select(
+        "key", F.col("x.label_a").alias("main"), F.ceil("all").cast("int").alias("ours"), F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("x.size"))).cast("int").alias("others")
+    )
     rows = common.stored(open_.select("key", "a", "label_a").join(common.stored(total).hint("shuffle_merge"), "key"))
     dealt = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -187,6 +187,65 @@ def test_every_step_of_near_duplicates_is_needed_and_right(spark):
     assert got == brute_near(docs, 4)
 
 
+@pytest.mark.parametrize("k", [4, 5])
+def test_texts_of_few_words(spark, k):
+    """Slices of every small number of words, alone and behind a text that fills a slice."""
+    for n in range(k + 2):
+        text = " ".join(["hello", "world", "x", "y", "z", "q", "v"][:n])
+        for long in (None, "word " * 170_000):
+            rows = [(1, text)] + ([(2, long)] if long else [])
+            df = spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1)
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, k).collect()}
+            assert got[1] == (len(near_dedup.shingles(text, k)), 1) and (not long or got[2] == (1, 2))
+
+
+def test_words_with_equal_polynomial_hashes_stay_apart(spark):
+    """The Thue-Morse word and its complement collide in every polynomial hash modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    df = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_shingles_of_equal_hashes_are_counted_apart_and_not_linked(spark, monkeypatch):
+    """With word hashes of one bit nearly all texts share all hashes; links and counts are those of the texts all the same."""
+    real = near_dedup.word_numbers
+
+    def weak(offsets, flat):
+        numbers, begin, hashes, joined = real(offsets, flat)
+        return numbers, begin, hashes & np.uint64(1), joined
+
+    monkeypatch.setattr(near_dedup, "word_numbers", weak)
+    docs = families(random.Random(3))
+    for i, t in docs.items():
+        raw = t.encode()
+        parts = weak(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+        [(hashes, n)] = near_dedup.shingle_sets(*parts[:3], 4)
+        assert n == len(near_dedup.shingles(t, 4)) and len(hashes) <= 31
+
+
+def test_equal_sets_in_other_sequences_are_linked(spark):
+    rows = [(i, " ".join(["a b c d e f g h"] * (2 + i))) for i in range(6)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    assert {(r.component_id, r.n_shingles) for r in got} == {(0, 8)}
+
+
+@pytest.mark.parametrize("most", [256, 3])
+def test_the_index_of_rare_shingles_finds_links_that_no_hub_shows(spark, monkeypatch, most):
+    """Nodes of one family: most pairs are just under the threshold, some just over it."""
+    monkeypatch.setattr(near_dedup, "LIST", most)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(most)
+    base, docs = [f"b{i}" for i in range(160)], {}
+    parts = [[" ".join(f"p{s}v{v}w{w}" for w in range(6)) for v in range(6)] for s in range(10)]
+    for i in range(150):
+        docs[i] = " ".join(base + [rng.choice(p) for p in parts])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), 4).collect()}
+    want = brute_near(docs, 4)
+    assert 20 < len({c for _, c in want.values()}) < 150
+    missed = [i for i in docs if got[i] != want[i]]
+    assert not missed, missed
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 140), (140, 120), (7, 7)] + [(500, i) for i in range(501, 560)]
     got = {r.v: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
