@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 #: Fixed value: how byte-level BPE cuts a text into words. White space is the Unicode property.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?<letter>+| ?<number>+| ?<other>+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Letters and numbers of the regex package that the tokenizers library's Unicode version does not have yet.
+NEWER = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF"
+    r"\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D\U000107BB-\U000107BF\U00010940-\U00010959"
+    r"\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F"
+    r"\U00012550-\U00012686\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2"
+    r"\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96"
+    r"\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F"
+    r"\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+FIRST_NEWER = 0x558
+
+
+def pattern(newer: bool) -> str:
+    """The pattern; with ``newer`` also right for texts with characters of NEWER, which costs time."""
+    parts = {"letter": r"\p{L}", "number": r"\p{N}", "other": r"[^\p{White_Space}\p{L}\p{N}]"}
+    if newer:
+        parts = {"letter": rf"(?:(?![{NEWER}])\p{{L}})", "number": rf"(?:(?![{NEWER}])\p{{N}})", "other": rf"(?:{parts['other']}|[{NEWER}])"}
+    return re.sub("<(letter|number|other)>", lambda m: parts[m[1]], PATTERN)
+
+
 LONG_WORD = 512  # bytes
 KNOWN_BYTES = 1 << 25  # of words and their ids that a worker remembers
 WORD_BYTES = 150  # that a word takes besides its text and its ids, about
@@ -86,17 +108,10 @@ def load_tables(path: str) -> dict:
     }
 
 
-def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places of the elements of several runs of a flat array, run after run."""
-    total = int(lengths.sum())
-    ends = np.cumsum(lengths)
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
-
-
 class Encoder:
     def __init__(self, tables: dict) -> None:
         self.t = tables
-        self.cut = regex.compile(PATTERN)
+        self.cut, self.cut_newer = regex.compile(pattern(False)), regex.compile(pattern(True))
         self.forget()
 
     def forget(self) -> None:
@@ -228,12 +243,14 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *parts])
 
     def words_of(self, text: str) -> list[str]:
-        special = self.t["special"]
+        special, cut = self.t["special"], self.cut
+        if not text.isascii() and np.frombuffer(text.encode("utf-32-le"), np.uint32).max() >= FIRST_NEWER:
+            cut = self.cut_newer
         if not any(s in text for s in special):
-            return self.cut.findall(text)
+            return cut.findall(text)
         out: list[str] = []
         for part in regex.split("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")", text):
-            out += [part] if part in special else self.cut.findall(part)
+            out += [part] if part in special else cut.findall(part)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,19 +263,19 @@ class Encoder:
         lengths = self.at[word + 1] - self.at[word]
         upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         bounds = upto[np.concatenate([[0], np.cumsum([len(ws) for ws in cut], dtype=np.int64)])]
-        return self.ids[gather(self.at[word], lengths)], bounds
+        return self.ids[common.gather(self.at[word], lengths)], bounds
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """Texts of the ids between the bounds."""
         if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(self.t["at"]) - 1:
             raise ValueError("an id is not in the vocabulary")
         lengths = self.t["at"][ids + 1] - self.t["at"][ids]
-        flat = self.t["flat"][gather(self.t["at"][ids], lengths)].tobytes()
+        flat = self.t["flat"][common.gather(self.t["at"][ids], lengths)].tobytes()
         upto = np.concatenate([[0], np.cumsum(lengths)])[bounds]
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1], upto[1:])]
 
 
-def _slices(column):
+def slices(column):
     for first, offsets, flat in common.text_slices(column):
         raw = flat.tobytes()
         yield first, [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
@@ -276,7 +293,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", to:
     def run(batches):
         encoder = Encoder(tables.value)
         for batch in batches:
-            for first, texts in _slices(batch.column(text_col)):  # a batch out for every slice, so that little is held at once
+            for first, texts in slices(batch.column(text_col)):  # a batch out for every slice, so that little is held at once
                 ids, bounds = encoder.encode(texts)
                 more = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded:
@@ -315,7 +332,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         encoder = Encoder(tables.value)
         for batch in batches:
             n, first, second = [], [], []
-            for _, texts in _slices(batch.column("text")):
+            for _, texts in slices(batch.column("text")):
                 ids, bounds = encoder.encode(texts)
                 raw = ids.astype("<u4").tobytes()
                 for a, b, text in zip(bounds[:-1], bounds[1:], encoder.decode(ids, bounds)):

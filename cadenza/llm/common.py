@@ -90,6 +90,21 @@ def text_slices(column: pa.Array, most_bytes: int = 1 << 19):
         row = end
 
 
+class Numbers(dict):
+    """A number for everything asked for, in order from 0 on."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of the elements of several runs of a flat array, run after run."""
+    total = int(lengths.sum())
+    ends = np.cumsum(lengths)
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit integers (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -8,7 +8,8 @@ buckets, in compressed rows), which is multiplied with the broadcast one.
 
 Training reads a bounded, repeatable sample of labelled rows: each language
 gives PER_LANGUAGE documents in expectation (all, if it has fewer), chosen by a
-hash of doc_id. Whole texts are learned from and whole texts are scored.
+hash of doc_id; the prior is each language's share of all labelled rows. Whole texts are
+learned from and whole texts are scored.
 
 Defined results: text that is null or has no letter is `und` with score 0; rows
 with a null lang or a null doc_id teach nothing; without any training row every
@@ -29,6 +30,7 @@ from . import common
 
 BUCKET_BITS, ORDERS, PER_LANGUAGE, SMOOTH, MOST_LANGUAGES = 15, (1, 2, 3), 1500, 0.5, 1000
 BUCKETS = 1 << BUCKET_BITS
+AT_ONCE = 1 << 21  # products that are held at once
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PAD = "\n\n\n"
@@ -53,19 +55,14 @@ def _count(languages: list[str]):
     at = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches):
-        total = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch in batches:
             langs = np.array([at[x] for x in batch.column("lang").to_pylist()], np.int64)
             for first, offsets, flat in common.text_slices(batch.column("text")):
                 raw = flat.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
-                for bucket, starts, ends in gram_buckets(texts):
-                    for k in range(len(texts)):
-                        own = np.bincount(bucket[starts[k] : ends[k]], minlength=BUCKETS)
-                        row = langs[first + k] * BUCKETS
-                        total[row : row + BUCKETS] += own
-        filled = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(total[filled])], ["cell", "n"])
+                begin, buckets, counts = sparse_counts([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])
+                cells = np.repeat(langs[first : first + len(begin) - 1], np.diff(begin)) * BUCKETS + buckets
+                cells, where = np.unique(cells, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.bincount(where, counts, len(cells)).astype(np.int64))], ["cell", "n"])
 
     return run
 
@@ -80,18 +77,20 @@ def train(docs: DataFrame, may_learn: Column | None = None, per_language: int =
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((BUCKETS + 1, 0), np.float32)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    shares = F.map_from_arrays(F.lit(languages), F.lit([min(1.0, per_language / sizes[x]) for x in languages]))
+    share = F.try_element_at(shares, F.col(lang_col))
     sample = docs.filter(usable & (common.unit_hash(F.lit("language"), F.col(id_col)) < share)).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cells = sample.mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(languages) * BUCKETS)
+    counts = np.full(len(languages) * BUCKETS, SMOOTH, np.float32)
     for r in cells.toLocalIterator():  # at most languages x BUCKETS rows
-        counts[r["cell"]] = r["n"]
-    counts = counts.reshape(len(languages), BUCKETS) + SMOOTH
-    matrix = np.log(counts / counts.sum(axis=1, keepdims=True)).T
-    n = np.array([min(sizes[x], per_language) for x in languages], float)
-    return languages, np.vstack([matrix, np.log(n / n.sum())]).astype(np.float32)
+        counts[r["cell"]] += r["n"]
+    counts = counts.reshape(len(languages), BUCKETS)
+    n = np.array([sizes[x] for x in languages], float)
+    matrix = np.empty((BUCKETS + 1, len(languages)), np.float32)
+    for j, own in enumerate(counts):
+        matrix[:-1, j] = np.log(own / own.sum(dtype=np.float64))
+    matrix[-1] = np.log(n / n.sum())
+    return languages, matrix
 
 
 def sparse_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +114,9 @@ def score_texts(texts: list[str], languages: list[str], matrix: np.ndarray) -> t
     begin, buckets, counts = sparse_counts(texts)
     total = np.zeros((len(texts), len(languages)))
     filled = np.flatnonzero(begin[1:] > begin[:-1])  # reduceat wants no empty rows
-    if len(filled):
-        total[filled] = np.add.reduceat(matrix[buckets] * counts[:, None].astype(np.float64), begin[filled])
+    wide = max(1, AT_ONCE // max(1, len(buckets)))
+    for j in range(0, len(languages) if len(filled) else 0, wide):  # so many languages at once that little is held
+        total[filled, j : j + wide] = np.add.reduceat(matrix[buckets, j : j + wide] * counts[:, None].astype(np.float64), begin[filled])
     total += matrix[-1]
     best = total.argmax(axis=1)
     share = 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)

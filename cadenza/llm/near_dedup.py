@@ -73,17 +73,9 @@ def _ring(seed: int = 1) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[: BANDS * ROWS]]), BANDS * ROWS)
 
 
-class _Numbers(dict):
-    """A number for every word asked for, from 0 on."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def word_numbers(offsets: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Number of every word of every text, where each text's words begin (one place more than texts), a hash for each number, and each text's words joined by spaces."""
-    raw, number = flat.tobytes().lower(), _Numbers()  # bytes: only A-Z change, only ASCII white space splits
+    raw, number = flat.tobytes().lower(), common.Numbers()  # bytes: only A-Z change, only ASCII white space splits
     texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     begin = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
     numbers = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(begin[-1]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, token_count, topk, toxicity
+from . import bpe, clustering, divergence, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, packing, token_count, topk, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_topk": topk.op10_topk,
+    "op11_clustering": clustering.op11_clustering,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_packing": packing.op13_packing,
 }
 
 SQL = {
@@ -23,4 +26,6 @@ SQL = {
     "op6_license_scan": license_scan.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_topk": topk.SQL,
+    "op11_clustering": clustering.SQL,
+    "op12_divergence": divergence.SQL,
 }

@@ -99,7 +99,7 @@ def count_words(words: list[bytes], v: Vocabulary) -> np.ndarray:
         at, state, score = at[by], state[by], score[by]
         first = np.searchsorted(at, np.arange(len(best) + 1))
         much = first[parent + 1] - first[parent]
-        take = bpe.gather(first[parent], much)
+        take = common.gather(first[parent], much)
         to = np.repeat(np.arange(len(parent)), much)
         look = (state[take] << 8) | np.repeat(byte, much)
         found = np.minimum(np.searchsorted(v.keys, look), len(v.keys) - 1)
@@ -163,7 +163,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         v, known, held = Vocabulary(sent.value), {}, 0
         for batch in batches:
             n, pre = [], []
-            for _, texts in bpe._slices(batch.column("text")):
+            for _, texts in bpe.slices(batch.column("text")):
                 if held > KNOWN_BYTES:
                     known.clear()
                     held = 0

@@ -73,6 +73,16 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
     assert len(language_id.train(df.filter("lang <> 'l3'"))[0]) == 3
 
 
+def test_a_thousand_languages(spark):
+    """Every language has words of its own; the prior is that of all rows, not of the sample."""
+    rows = [(i, f"{chr(0x4E00 + i % 1000) * 3} {chr(0x4E00 + i % 1000)}a", f"l{i % 1000:04d}") for i in range(2000)] + [(10_000 + i, "abc", "l0000") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, matrix = language_id.train(df, per_language=5)
+    assert len(languages) == 1000 and np.exp(matrix[-1, :2]).tolist() == pytest.approx([102 / 2100, 2 / 2100], rel=1e-4)
+    got = language_id.predict(df.filter("doc_id % 37 = 0 AND doc_id % 1000 > 0 AND doc_id < 2000"), (languages, matrix)).collect()
+    assert len(got) == 54 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_odd_rows(odd, none):
     model = language_id.train(odd)
     got = language_id.predict(odd, model)

@@ -35,6 +35,18 @@ def test_encoding_equals_the_library_on_any_text(texts):
     same(texts)
 
 
+def test_every_code_point_is_cut_as_the_library_cuts_it():
+    from tokenizers import pre_tokenizers
+
+    library, encoder, wrong = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True), bpe.Encoder(TABLES), []
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{c}1 {c}!{c}\n" for c in points[at : at + 4096])
+        if [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)] != encoder.words_of(text):
+            wrong += [c for c in points[at : at + 4096] if [f"a{c}1 {c}!{c}\n"[a:b] for _, (a, b) in library.pre_tokenize_str(f"a{c}1 {c}!{c}\n")] != encoder.words_of(f"a{c}1 {c}!{c}\n")]
+    assert not wrong, [hex(ord(c)) for c in wrong[:50]]
+
+
 def test_long_words_take_the_same_merges():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeth") for _ in range(n)) for n in (513, 2000, 5000)] + ["e" * 3001, "ab" * 900, "é" * 700, "e" * 514 + "!" * 600]
