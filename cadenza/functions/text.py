@@ -139,8 +139,11 @@ def split_clauses(c: Column) -> Column:
 def pack(units: Column, budget: int, counter: str | Counter = "chars4") -> Column:
     """Greedily join consecutive units by spaces while the tokens fit the budget.
 
+    A Python counter is an error here (lambdas can't hold one); chunk.build_chunks() takes it.
     The fold runs over slices of SLICE units, so that the array it appends to stays short.
     """
+    if hasattr(counter, "evalType"):
+        raise TypeError("a Python counter can't be used within a fold; chunk.build_chunks() and chunk.chunk_texts() take it")
     nothing = F.array().cast("array<string>")
     state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
 

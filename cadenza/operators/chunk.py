@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cadenza.functions import text as T
+from cadenza.functions import counted, text as T
 from cadenza.functions.text import Counter
 from cadenza.operators.script import TYPES
 
@@ -37,30 +37,39 @@ def oversized_words(script: DataFrame, budget: int = BUDGET, counter: str | Coun
     return rows.withColumn("tokens", T.token_count(F.col("word"), counter)).filter(F.col("tokens") > budget).select("doc_id", "block_index", preview.alias("preview"), "tokens", F.lit(budget).alias("budget"))
 
 
-def chunk_texts(text: Column, budget: int, counter: str | Counter = "chars4") -> Column:
-    """Chunks of one block's text."""
-    return T.pack(T.split_units(text, budget, counter), budget, counter)
+def _packed(text: Column, budget: int, counter: str | Counter) -> Column:
+    """struct<chunks, over>: a block's chunks, and whether one is over the budget.
+
+    Named and Python counters are packed in Arrow batches; other functions from column to column in the JVM.
+    """
+    if not callable(counter):
+        T.token_count(text, counter)
+    if not callable(counter) or counted.is_python(counter):
+        return counted.chunks(text, budget, counter)
+    return T.let(T.pack(T.split_units(text, budget, counter), budget, counter), lambda c: F.struct(c.alias("chunks"), F.exists(c, lambda x: T.token_count(x, counter) > budget).alias("over")))
 
 
-def _over(texts: Column, budget: int, counter: str | Counter) -> Column:
-    return F.exists(texts, lambda x: T.token_count(x, counter) > budget)
+def chunk_texts(text: Column, budget: int, counter: str | Counter = "chars4") -> Column:
+    """Chunks of one block's text."""
+    return _packed(text, valid_budget(budget), counter)["chunks"]
 
 
-def _rows(script: DataFrame, texts: Column, over: Column, strict: bool) -> DataFrame:
-    """A row for each of a block's chunks; ``over`` says of the column _chunks whether one is over its budget.
+def _rows(script: DataFrame, packed: Column, strict: bool) -> DataFrame:
+    """A row for each of a block's chunks; ``packed`` is struct<chunks, over>.
 
     A document with a faulty block is left out whole: the fault is spread over the
     document by a window, in the partitioning that the script's own windows have.
     """
     known = F.coalesce(F.col("block_type").isin(*TYPES), F.lit(False))
+    over = F.coalesce(F.col("_packed.over"), F.lit(False))
     if strict:
         kind = F.when(known, F.col("block_type")).otherwise(F.raise_error(F.lit("a block is of no known type")))
-        rows = script.withColumn("block_type", kind).filter(~T.is_blank(F.col("text"))).withColumn("_chunks", texts)
-        rows = rows.withColumn("_chunks", F.when(over, F.raise_error(F.lit("a word is over the budget and can't be cut"))).otherwise(F.col("_chunks")))
+        rows = script.withColumn("block_type", kind).filter(~T.is_blank(F.col("text"))).withColumn("_packed", packed)
+        rows = rows.withColumn("_chunks", F.when(over, F.raise_error(F.lit("a word is over the budget and can't be cut"))).otherwise(F.col("_packed.chunks")))
     else:
-        rows = script.withColumn("_known", known).filter(~F.col("_known") | ~T.is_blank(F.col("text"))).withColumn("_chunks", F.when(F.col("_known"), texts))
-        faulty = F.max(~F.col("_known") | F.coalesce(over, F.lit(False))).over(Window.partitionBy("doc_id"))
-        rows = rows.withColumn("_faulty", faulty).filter(~F.col("_faulty"))
+        rows = script.withColumn("_known", known).filter(~F.col("_known") | ~T.is_blank(F.col("text"))).withColumn("_packed", packed)
+        faulty = F.max(~F.col("_known") | over).over(Window.partitionBy("doc_id"))
+        rows = rows.withColumn("_faulty", faulty).filter(~F.col("_faulty")).withColumn("_chunks", F.col("_packed.chunks"))
     return rows.withColumn("_n", F.size("_chunks")).select(
         "doc_id", "block_index", F.posexplode("_chunks").alias("part", "chunk"), "_n", "block_type", "speaker"
     ).select("doc_id", "block_index", "part", F.col("chunk").alias("text"), (F.col("part") == F.col("_n") - 1).alias("paragraph_end"), "block_type", "speaker")
@@ -69,11 +78,12 @@ def _rows(script: DataFrame, texts: Column, over: Column, strict: bool) -> DataF
 def build_chunks(script: DataFrame, budget: int = BUDGET, counter: str | Counter = "chars4", strict: bool = False) -> DataFrame:
     """doc_id, block_index, part (place in its block), text, paragraph_end, block_type, speaker.
 
-    Documents with a block of unknown type or a word over the budget are left out whole;
+    ``counter``: a named one, a udf, pandas_udf or arrow_udf, or a function from column to
+    column. Documents with a block of unknown type or a word over the budget are left out whole;
     quarantine() says which and why; ``strict`` makes them an error.
     """
     validate_script(script, budget)
-    return _rows(script, chunk_texts(F.col("text"), budget, counter), _over(F.col("_chunks"), budget, counter), strict)
+    return _rows(script, _packed(F.col("text"), budget, counter), strict)
 
 
 def _plan(script: DataFrame, budgets: Mapping[str, int] | int, counters: Mapping[str, str | Counter] | None) -> dict[str, tuple[int, str | Counter]]:
@@ -95,8 +105,8 @@ def build_role_chunks(script: DataFrame, budgets: Mapping[str, int] | int = BUDG
     if one == other:
         rows = build_chunks(script, *one, strict)
     else:
-        pick = lambda of, c: F.when(quote, of(c, *other)).otherwise(of(c, *one))
-        rows = _rows(script, pick(chunk_texts, F.col("text")), pick(_over, F.col("_chunks")), strict)
+        # each counter gets the texts of its role only
+        rows = _rows(script, F.coalesce(_packed(F.when(quote, F.col("text")), *other), _packed(F.when(~quote, F.col("text")), *one)), strict)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_index", "part"))
     return rows.withColumn("role", F.when(quote, "quote").otherwise("narration")).withColumn("chunk_index", number).drop("part")
 

@@ -135,9 +135,13 @@ def clauses_sql(x: str) -> str:
     return f"list_filter(string_split(regexp_replace({x}, '([,;:\\-–—]) +', '\\1' || chr(1), 'g'), chr(1)), lambda c: c <> '')"
 
 
-def pack_sql(units: str, budget: int) -> str:
+def words_sql(x: str) -> str:
+    return f"len(string_split({x}, ' '))"
+
+
+def pack_sql(units: str, budget: int, tokens=tokens_sql) -> str:
     joined = "CASE WHEN st.now = '' THEN u ELSE st.now || ' ' || u END"
-    fits = f"{tokens_sql(joined)} <= {budget}"
+    fits = f"{tokens(joined)} <= {budget}"
     fold = (
         f"list_reduce({units}, lambda st, u: {{'done': CASE WHEN {fits} OR st.now = '' THEN st.done ELSE list_append(st.done, st.now) END, "
         f"'now': CASE WHEN {fits} THEN {joined} ELSE u END}}, {{'done': []::VARCHAR[], 'now': ''}})"
@@ -145,9 +149,9 @@ def pack_sql(units: str, budget: int) -> str:
     return f"list_transform([{fold}], lambda r: CASE WHEN r.now = '' THEN r.done ELSE list_append(r.done, r.now) END)[1]"
 
 
-def units_sql(x: str, budget: int) -> str:
-    of_clause = f"CASE WHEN {tokens_sql('c')} <= {budget} THEN [c] ELSE {pack_sql('''list_filter(string_split(c, ' '), lambda z: z <> '')''', budget)} END"
-    return f"flatten(list_transform({sentences_sql(x)}, lambda q: CASE WHEN {tokens_sql('q')} <= {budget} THEN [q] ELSE flatten(list_transform({clauses_sql('q')}, lambda c: {of_clause})) END))"
+def units_sql(x: str, budget: int, tokens=tokens_sql) -> str:
+    of_clause = f"CASE WHEN {tokens('c')} <= {budget} THEN [c] ELSE {pack_sql('''list_filter(string_split(c, ' '), lambda z: z <> '')''', budget, tokens)} END"
+    return f"flatten(list_transform({sentences_sql(x)}, lambda q: CASE WHEN {tokens('q')} <= {budget} THEN [q] ELSE flatten(list_transform({clauses_sql('q')}, lambda c: {of_clause})) END))"
 
 
 TURNS = """turns AS (

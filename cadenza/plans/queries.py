@@ -6,6 +6,7 @@ A query applies one operator to the whole of a given table, or to what
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cadenza.functions import text as T
@@ -290,6 +291,19 @@ def _(spark, d):
     return I.chunks(spark, d)
 
 
+@query("c10_python_counter", f"""WITH {I.TURNS}, {I.script_sql()},
+chunked AS (SELECT doc_id, block_index, block_type, CASE block_type WHEN 'quote' THEN {I.pack_sql(I.units_sql('text', 9, I.words_sql), 9, I.words_sql)} ELSE {I.pack_sql(I.units_sql('text', 30), 30)} END AS c FROM script),
+parts AS (SELECT doc_id, block_index, block_type, unnest(range(0, len(c)))::INTEGER AS part, unnest(c) AS text FROM (SELECT *, max(CASE WHEN len(list_filter(c, lambda x: block_type <> 'quote' AND {I.tokens_sql('x')} > 30)) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS faulty FROM chunked) WHERE faulty = 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, part)::INTEGER AS chunk_index, block_index, CASE block_type WHEN 'quote' THEN 'quote' ELSE 'narration' END AS role, text FROM parts""")
+def _(spark, d):
+    @F.pandas_udf("int")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(t.split()))
+
+    rows = chunk.build_role_chunks(I.told(spark, d), {"narration": 30, "quote": 9}, {"quote": words})
+    return rows.select("doc_id", "chunk_index", "block_index", "role", "text")
+
+
 @query("c11_reassemble", f"WITH {I.TURNS}, {I.script_sql()} SELECT doc_id, block_index, {I.norm_sql('text')} AS text FROM script")
 def _(spark, d):
     return chunk.reassemble(chunk.build_chunks(I.told(spark, d)))
