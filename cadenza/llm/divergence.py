@@ -1,14 +1,21 @@
 """Source divergence audit by chunk factorization.
 
-Documents are read in parts, runs of rows of about PART_BYTES. In each part the chunks
-between ASCII white space are counted per document, and every different chunk becomes
-one row with its documents (places in the part) and counts. Each globally distinct chunk
-is tokenized once, by a regular expression in the JVM; its terms are joined back to the
-rows of the chunk, and the rows return to their part, which still holds whole
-documents: so documents with a term are counted exactly, though several chunks of a
-document may give the same term. What leaves a part are counts by language, source and
-term. The join on a very common chunk has a row for each part, and both of its sides
-come straight from a shuffle or a written table, so Spark can split it.
+Documents are read in parts, runs of rows of about PART_BYTES, in which the chunks
+between ASCII white space are counted per document.
+
+1. How many documents of a language have a chunk is added up over the parts. Each
+   globally distinct chunk is tokenized once, by a regular expression in the JVM, and
+   its terms get those numbers. Their sum bounds a term's documents from above; chunks
+   all of whose terms stay under the least number of documents are left out from here on.
+2. The parts are read again, for the chunks that are left (a bitmap of fixed size says
+   which may be, the join says which are). A chunk is one row of its part, with its
+   documents (places in the part) and counts. The chunk's terms are joined back to it, and
+   the rows return to their part, which still holds whole documents: so documents with a
+   term are counted exactly, though several chunks of a document may give the same term.
+   What leaves a part are counts by language, source and term.
+
+A very common chunk has a row for each part, and both sides of its join come straight
+from a shuffle or a written table, so Spark can split it.
 
 Kept terms are dealt into blocks; a block holds the terms' counts in all sources of its
 language, as a matrix with the zeros that no row stands for, and gives the block's share
@@ -28,12 +35,14 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
 
-PART_BYTES, BLOCK_CELLS = 1 << 22, 1 << 18  # of texts; counts of terms by source in one block
+PART_BYTES, BLOCK_CELLS = 1 << 24, 1 << 18  # of texts; counts of terms by source in one block
+BITS = 24  # 2 ** BITS is the number of bits of the bitmap of chunks
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, ADDED, SCALE_STEPS, TOP = 30, 5, 3, 50  # probabilities are in parts of 1000 ** SCALE_STEPS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,24 +53,48 @@ def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def _chunks(batches):
-    """Rows (part, chunk, docs, counts); a part's first row has no chunk but the languages and sources of its documents."""
-    part = TaskContext.get().partitionId() << 33
+def _parts(batch):
+    """First row, number of rows, different chunks, and of every chunk in every text: (number of the chunk) * rows + row."""
+    for first, offsets, flat in common.text_slices(batch.column("text"), PART_BYTES):
+        raw, number, n = flat.tobytes(), common.Numbers(), len(offsets) - 1
+        texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        words = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        yield first, n, list(number), words * n + np.repeat(np.arange(n), sizes)
+
+
+def _seen(batches):
+    """Rows (lang, chunk, docs)."""
     for batch in batches:
-        langs, sources = batch.column("lang"), batch.column("source")
-        for first, offsets, flat in common.text_slices(batch.column("text"), PART_BYTES):
-            raw, number, n = flat.tobytes(), common.Numbers(), len(offsets) - 1
-            texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            words = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-            pairs, counts = np.unique(words * n + np.repeat(np.arange(n), sizes), return_counts=True)
-            ends = np.searchsorted(pairs, np.arange(1, len(number) + 1) * n)
-            own = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c.slice(first, n)) for c in (langs, sources)]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, *own], _NAMES)
-            rows = len(number)
-            none = pa.nulls(rows, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int64()), pa.array([w.decode() for w in number], pa.string()), lists(pairs % n, ends), lists(counts, ends), none, none], _NAMES)
-            part += 1
+        langs = batch.column("lang").dictionary_encode()
+        names, of = langs.dictionary, langs.indices.to_numpy()
+        for first, n, chunks, places in _parts(batch):
+            pairs = np.unique(places)
+            cells, docs = np.unique(pairs // n * len(names) + of[first + pairs % n], return_counts=True)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(cells % len(names))), pa.array([c.decode() for c in chunks], pa.string()).take(pa.array(cells // len(names))), pa.array(docs)], ["lang", "chunk", "docs"])
+
+
+def _chunks(wanted):
+    """Rows (part, chunk, docs, counts) of the wanted chunks; a part's first row has no chunk but the languages and sources of its documents."""
+
+    def run(batches):
+        part, bits = TaskContext.get().partitionId() << 33, wanted.value
+        for batch in batches:
+            langs, sources = batch.column("lang"), batch.column("source")
+            for first, n, chunks, places in _parts(batch):
+                place = np.array([xxhash.xxh64_intdigest(c, 42) for c in chunks], np.uint64) & np.uint64((1 << BITS) - 1)
+                may = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                kept = np.flatnonzero(may)
+                pairs, counts = np.unique(places[may[places // n]], return_counts=True)
+                own = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c.slice(first, n)) for c in (langs, sources)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, *own], _NAMES)
+                rows = len(kept)
+                none = pa.nulls(rows, pa.list_(pa.string()))
+                ends = np.searchsorted(pairs, (kept + 1) * n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int64()), pa.array([chunks[k].decode() for k in kept], pa.string()), lists(pairs % n, ends), lists(counts, ends), none, none], _NAMES)
+                part += 1
+
+    return run
 
 
 _NAMES = ["part", "chunk", "docs", "counts", "langs", "sources"]
@@ -125,14 +158,37 @@ def _term_counts(batches):
         )
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, docs, n: in how many documents a term is, and how often."""
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
-    cut = common.stored(rows.mapInArrow(_chunks, "part long, chunk string, docs array<int>, counts array<int>, langs array<string>, sources array<string>"))
-    body = cut.filter("chunk IS NOT NULL")
+def useful_chunks(rows: DataFrame, least_docs: int) -> DataFrame:
+    """chunk, terms of the chunks with a term that may be in so many documents of a language."""
+    each = rows.mapInArrow(_seen, "lang string, chunk string, docs long").repartition("chunk")  # both groupings are by chunk
+    seen = each.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs")).groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("seen"))
     words = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    terms = common.stored(body.select("chunk").distinct().withColumn("terms", words).filter(F.size("terms") > 0))
+    terms = common.stored(seen.withColumn("terms", words).filter(F.size("terms") > 0))
+    flat = terms.select("chunk", F.explode(F.array_distinct("terms")).alias("term"), "seen").select("chunk", "term", F.explode("seen").alias("x")).select("chunk", "term", "x.lang", "x.docs")
+    may = flat.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
+    may = common.stored(may.select("term").distinct())
+    # stored tables: Spark broadcasts the smaller side where it finds it under its threshold
+    useful = common.stored(flat.select("chunk", "term").distinct().join(may, "term", "left_semi").select("chunk").distinct()) if least_docs > 1 else terms.select("chunk")
+    return common.stored(terms.select("chunk", "terms").join(useful, "chunk", "left_semi"))
+
+
+def bitmap(chunks: DataFrame) -> np.ndarray:
+    """Bits of the chunks' hashes, 2 ** BITS of them."""
+    place = F.xxhash64("chunk").bitwiseAND((1 << BITS) - 1)
+    bits = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in chunks.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits")).toLocalIterator():  # 2 ** (BITS - 15) rows of 4 KB at most
+        bits[r.bucket * 4096 : r.bucket * 4096 + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits
+
+
+def term_counts(docs: DataFrame, least_docs: int = 1, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """lang, source, term, docs, n: in how many documents a term is, and how often; whole for terms that are in ``least_docs`` documents of a language."""
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
+    terms = useful_chunks(rows, least_docs)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(terms))
+    cut = common.stored(rows.mapInArrow(_chunks(sent), "part long, chunk string, docs array<int>, counts array<int>, langs array<string>, sources array<string>"))
     none = F.lit(None)
+    body = cut.filter("chunk IS NOT NULL").select("part", "chunk", "docs", "counts")
     back = body.join(terms.hint("shuffle_merge"), "chunk").select("part", F.lit(1).alias("kind"), "terms", "docs", "counts", none.cast("array<string>").alias("langs"), none.cast("array<string>").alias("sources"))
     heads = cut.filter("chunk IS NULL").select("part", F.lit(0).alias("kind"), none.cast("array<string>").alias("terms"), "docs", "counts", "langs", "sources")
     whole = heads.union(back).repartition("part").sortWithinPartitions("part", "kind")
@@ -204,7 +260,7 @@ def _divergences(rows: list[tuple]) -> pa.RecordBatch:
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, part, item, value, rank: how far each source's words are from those of the language's other sources, and the terms that set it apart."""
-    counts = common.stored(term_counts(docs, text_col, lang_col, source_col))
+    counts = common.stored(term_counts(docs, least_docs, text_col, lang_col, source_col))
     kept = common.stored(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("lang", "term"))
     counts = common.stored(counts.join(kept.hint("shuffle_merge"), ["lang", "term"]).select("lang", "source", "term", "n"))
     groups = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
