@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 
@@ -50,6 +51,9 @@ NEWER = (
     r"\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
 FIRST_NEWER = 0x558
+#: The pattern's classes for texts in Latin script up to U+017F and general punctuation: Python's own expressions cut those faster.
+LATIN = {"letter": "[A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u017F]", "number": "[0-9\xB2\xB3\xB9\xBC-\xBE]", "space": "[\t-\r \x85\xA0]"}
+PUNCTUATION = ((0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20C0))
 
 
 def pattern(newer: bool) -> str:
@@ -60,6 +64,20 @@ def pattern(newer: bool) -> str:
     return re.sub("<(letter|number|other)>", lambda m: parts[m[1]], PATTERN)
 
 
+def latin_pattern() -> str:
+    """The same for texts that are_latin()."""
+    space = LATIN["space"][1:-1]
+    parts = LATIN | {"other": f"[^{space}{LATIN['letter'][1:-1]}{LATIN['number'][1:-1]}]"}
+    out = re.sub("<(letter|number|other)>", lambda m: parts[m[1]], PATTERN)
+    return out.replace(r"\p{White_Space}", f"[{space}]").replace(r"\P{White_Space}", f"[^{space}]")
+
+
+def are_latin(points: np.ndarray) -> bool:
+    """Whether all code points are in Latin script up to U+017F, or general punctuation."""
+    high = points[points > 0x17F]
+    return not len(high) or bool(np.logical_or.reduce([(high >= a) & (high <= b) for a, b in PUNCTUATION]).all())
+
+
 LONG_WORD = 512  # bytes
 KNOWN_BYTES = 1 << 25  # of words and their ids that a worker remembers
 WORD_BYTES = 150  # that a word takes besides its text and its ids, about
@@ -111,7 +129,7 @@ def load_tables(path: str) -> dict:
 class Encoder:
     def __init__(self, tables: dict) -> None:
         self.t = tables
-        self.cut, self.cut_newer = regex.compile(pattern(False)), regex.compile(pattern(True))
+        self.cut, self.cut_newer, self.cut_latin = regex.compile(pattern(False)), regex.compile(pattern(True)), re.compile(latin_pattern())
         self.forget()
 
     def forget(self) -> None:
@@ -221,31 +239,32 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         if not new:
             return
-        special = self.t["special"]
+        special = [w for w in self.t["special"] if w in words and w not in self.known]
+        new = [w for w in new if w not in special] if special else new
         raw = [w.encode() for w in new]
-        ordinary = [k for k, w in enumerate(new) if w not in special]
-        short, long = [k for k in ordinary if len(raw[k]) <= LONG_WORD], [k for k in ordinary if len(raw[k]) > LONG_WORD]
-        parts, lengths, learned = [], [], []
-        for merge, own in ((self.merge_words, short), (self.merge_long_words, long)):
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(sizes > LONG_WORD, kind="stable")  # long words last
+        if len(sizes) and sizes.max() > LONG_WORD:
+            new, raw = [new[k] for k in order], [raw[k] for k in order]
+        short = int((sizes <= LONG_WORD).sum())
+        parts, lengths = [], []
+        for merge, own in ((self.merge_words, raw[:short]), (self.merge_long_words, raw[short:])):
             if own:
-                ids, at = merge([raw[k] for k in own])
+                ids, at = merge(own)
                 parts.append(ids)
                 lengths += np.diff(at).tolist()
-                learned += own
-        for k in sorted(set(range(len(new))) - set(ordinary)):
-            parts.append(np.array([special[new[k]]], np.int32))
-            lengths.append(1)
-            learned.append(k)
-        for k in learned:
-            self.known[new[k]] = len(self.known)
+        parts.append(np.array([self.t["special"][w] for w in special], np.int32))
+        lengths += [1] * len(special)
+        new += special
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.held += sum(map(len, raw)) + 4 * sum(lengths) + WORD_BYTES * len(new)
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, *parts])
 
     def words_of(self, text: str) -> list[str]:
-        special, cut = self.t["special"], self.cut
-        if not text.isascii() and np.frombuffer(text.encode("utf-32-le"), np.uint32).max() >= FIRST_NEWER:
-            cut = self.cut_newer
+        special, cut = self.t["special"], self.cut_latin
+        if not text.isascii() and not are_latin(points := np.frombuffer(text.encode("utf-32-le"), np.uint32)):
+            cut = self.cut_newer if points.max() >= FIRST_NEWER else self.cut
         if not any(s in text for s in special):
             return cut.findall(text)
         out: list[str] = []
@@ -259,7 +278,7 @@ class Encoder:
             self.forget()
         cut = [self.words_of(t) for t in texts]
         self._learn(set().union(*cut))
-        word = np.fromiter((self.known[w] for ws in cut for w in ws), np.int64, sum(map(len, cut)))
+        word = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         lengths = self.at[word + 1] - self.at[word]
         upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         bounds = upto[np.concatenate([[0], np.cumsum([len(ws) for ws in cut], dtype=np.int64)])]

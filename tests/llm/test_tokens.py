@@ -40,6 +40,8 @@ def test_every_code_point_is_cut_as_the_library_cuts_it():
 
     library, encoder, wrong = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True), bpe.Encoder(TABLES), []
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    latin = "".join(f"a{chr(c)}1 {chr(c)}!{chr(c)}\n" for a, b in ((0, 0x17F), *bpe.PUNCTUATION) for c in range(a, b + 1))
+    assert bpe.are_latin(np.array([ord(c) for c in latin])) and [latin[a:b] for _, (a, b) in library.pre_tokenize_str(latin)] == encoder.words_of(latin)
     for at in range(0, len(points), 4096):
         text = "".join(f"a{c}1 {c}!{c}\n" for c in points[at : at + 4096])
         if [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)] != encoder.words_of(text):
