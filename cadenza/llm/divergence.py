@@ -3,19 +3,19 @@
 Documents are read in parts, runs of rows of about PART_BYTES, in which the chunks
 between ASCII white space are counted per document.
 
-1. How many documents of a language have a chunk is added up over the parts. Each
-   globally distinct chunk is tokenized once, by a regular expression in the JVM, and
-   its terms get those numbers. Their sum bounds a term's documents from above; chunks
-   all of whose terms stay under the least number of documents are left out from here on.
-2. The parts are read again, for the chunks that are left (a bitmap of fixed size says
-   which may be, the join says which are). A chunk is one row of its part, with its
-   documents (places in the part) and counts. The chunk's terms are joined back to it, and
-   the rows return to their part, which still holds whole documents: so documents with a
-   term are counted exactly, though several chunks of a document may give the same term.
-   What leaves a part are counts by language, source and term.
-
-A very common chunk has a row for each part, and both sides of its join come straight
-from a shuffle or a written table, so Spark can split it.
+1. A part gives a row for each of its chunks and languages: in how many documents of each
+   source, and how often. Rows meet by chunk and are added up; each globally distinct
+   chunk is tokenized once, by a regular expression in the JVM, and its terms take its
+   numbers on. So occurrences are exact. Documents are so where only one chunk gives a
+   term; else the largest number of one chunk and the sum over chunks bound them.
+2. For terms whose bounds leave open whether they are in enough documents, the parts are
+   read again, for the chunks that have one (a bitmap of fixed size says which may be, the
+   join says which are). A chunk is one row of its part, with its documents (places in the
+   part). Its terms are joined back to it, and the rows return to their part, which still
+   holds whole documents: so documents with a term are counted exactly, though several
+   chunks of a document give the same term.
+
+A very common chunk has a row for each part and language, not for each document.
 
 Kept terms are dealt into blocks; a block holds the terms' counts in all sources of its
 language, as a matrix with the zeros that no row stands for, and gives the block's share
@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
 
-PART_BYTES, BLOCK_CELLS = 1 << 24, 1 << 18  # of texts; counts of terms by source in one block
+PART_BYTES, WORDS_BYTES = 1 << 25, 1 << 20  # of a part's texts, and of those that are words in memory at once
+BLOCK_CELLS = 1 << 18  # counts of terms by source in one block
 BITS = 24  # 2 ** BITS is the number of bits of the bitmap of chunks
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, ADDED, SCALE_STEPS, TOP = 30, 5, 3, 50  # probabilities are in parts of 1000 ** SCALE_STEPS
@@ -49,55 +50,87 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
-    """Lists that begin at 0 and at the ends of those before them."""
+    """Lists of integers that begin at 0 and at the ends of those before them."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def _parts(batch):
-    """First row, number of rows, different chunks, and of every chunk in every text: (number of the chunk) * rows + row."""
+def _parts(batch, order=None):
+    """First row, number of rows, different chunks, and of every chunk in every text, in no order: (number of the chunk) * rows + row (or its place in ``order`` of the part's rows)."""
     for first, offsets, flat in common.text_slices(batch.column("text"), PART_BYTES):
-        raw, number, n = flat.tobytes(), common.Numbers(), len(offsets) - 1
-        texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        words = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-        yield first, n, list(number), words * n + np.repeat(np.arange(n), sizes)
-
-
-def _seen(batches):
-    """Rows (lang, chunk, docs)."""
+        n, number, places = len(offsets) - 1, common.Numbers(), []
+        rank = np.arange(n) if order is None else order(first, n)
+        row = 0
+        while row < n:  # little is held as words at once
+            end = min(max(int(np.searchsorted(offsets, offsets[row] + WORDS_BYTES, side="right")) - 1, row + 1), n)
+            raw, at = flat[offsets[row] : offsets[end]].tobytes(), (offsets[row : end + 1] - offsets[row]).tolist()
+            texts = [raw[a:b].split() for a, b in zip(at[:-1], at[1:])]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            words = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+            places.append(words * n + np.repeat(rank[row:end], sizes))
+            row = end
+        yield first, n, list(number), np.concatenate(places)
+
+
+def _counts(batches):
+    """Rows (chunk, lang, sources, docs, ns): a part's documents with a chunk, and how often they have it, by source."""
     for batch in batches:
-        langs = batch.column("lang").dictionary_encode()
-        names, of = langs.dictionary, langs.indices.to_numpy()
-        for first, n, chunks, places in _parts(batch):
-            pairs = np.unique(places)
-            cells, docs = np.unique(pairs // n * len(names) + of[first + pairs % n], return_counts=True)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(cells % len(names))), pa.array([c.decode() for c in chunks], pa.string()).take(pa.array(cells // len(names))), pa.array(docs)], ["lang", "chunk", "docs"])
+        groups = sorted(set(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())))
+        at = {g: i for i, g in enumerate(groups)}
+        of = np.array([at[g] for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())], np.int64)
+        names = pa.array([g[1] for g in groups], pa.string())
+        langs, lang_of = np.unique(np.array([g[0] for g in groups], object), return_inverse=True)
+
+        def rank(first, n):
+            """Documents of a group lie together, so what is sorted by document is sorted by group."""
+            out = np.empty(n, np.int64)
+            out[np.argsort(of[first : first + n], kind="stable")] = np.arange(n)
+            return out
+
+        for first, n, chunks, places in _parts(batch, rank):
+            if not len(places):
+                continue
+            places.sort()
+            new = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+            often, pairs = np.diff(np.concatenate([new, [len(places)]])), places[new]
+            group, chunk = np.sort(of[first : first + n])[pairs % n], pairs // n
+            cell = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (group[1:] != group[:-1])]))
+            docs, ns = np.diff(np.concatenate([cell, [len(pairs)]])), np.add.reduceat(often, cell)
+            group, chunk = group[cell], chunk[cell]
+            lang = lang_of[group]
+            row = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (lang[1:] != lang[:-1])]))
+            ends = pa.array(np.concatenate([row, [len(cell)]]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([c.decode() for c in chunks], pa.string()).take(pa.array(chunk[row])), pa.array(langs.tolist(), pa.string()).take(pa.array(lang[row])),
+                    pa.ListArray.from_arrays(ends, names.take(pa.array(group))), pa.ListArray.from_arrays(ends, pa.array(docs, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(ns, pa.int32())),
+                ],
+                ["chunk", "lang", "sources", "docs", "ns"],
+            )
 
 
 def _chunks(wanted):
-    """Rows (part, chunk, docs, counts) of the wanted chunks; a part's first row has no chunk but the languages and sources of its documents."""
+    """Rows (part, chunk, docs) of the wanted chunks; a part's first row has no chunk but the languages of its documents."""
 
     def run(batches):
         part, bits = TaskContext.get().partitionId() << 33, wanted.value
         for batch in batches:
-            langs, sources = batch.column("lang"), batch.column("source")
+            langs = batch.column("lang")
             for first, n, chunks, places in _parts(batch):
                 place = np.array([xxhash.xxh64_intdigest(c, 42) for c in chunks], np.uint64) & np.uint64((1 << BITS) - 1)
                 may = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 kept = np.flatnonzero(may)
-                pairs, counts = np.unique(places[may[places // n]], return_counts=True)
-                own = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c.slice(first, n)) for c in (langs, sources)]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, *own], _NAMES)
+                pairs = np.unique(places[may[places // n]]) if len(kept) else np.zeros(0, np.int64)
+                own = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), langs.slice(first, n))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), own], _NAMES)
                 rows = len(kept)
-                none = pa.nulls(rows, pa.list_(pa.string()))
                 ends = np.searchsorted(pairs, (kept + 1) * n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int64()), pa.array([chunks[k].decode() for k in kept], pa.string()), lists(pairs % n, ends), lists(counts, ends), none, none], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int64()), pa.array([chunks[k].decode() for k in kept], pa.string()), lists(pairs % n, ends), pa.nulls(rows, pa.list_(pa.string()))], _NAMES)
                 part += 1
 
     return run
 
 
-_NAMES = ["part", "chunk", "docs", "counts", "langs", "sources"]
+_NAMES = ["part", "chunk", "docs", "langs"]
 
 
 def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -106,8 +139,8 @@ def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _by_part(batches):
-    """Whole parts: (header's languages, header's sources, [record batches of chunk rows]); rows come in order of part, headers first."""
-    part, langs, sources, held = None, None, None, []
+    """Whole parts: (header's languages, [record batches of chunk rows]); rows come in order of part, headers first."""
+    part, langs, held = None, None, []
     for batch in batches:
         parts = batch.column("part").to_numpy()
         cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
@@ -116,60 +149,33 @@ def _by_part(batches):
                 continue
             if parts[a] != part:
                 if part is not None:
-                    yield langs, sources, held
+                    yield langs, held
                 part, held = parts[a], []
-                langs, sources = batch.column("langs")[a].as_py(), batch.column("sources")[a].as_py()
+                langs = batch.column("langs")[a].as_py()
                 a += 1
             if a < b:
                 held.append(batch.slice(a, b - a))
     if part is not None:
-        yield langs, sources, held
+        yield langs, held
 
 
-def _term_counts(batches):
-    """Documents and occurrences of each term by language and source, for each part."""
-    for langs, sources, held in _by_part(batches):
-        group, number = common.Numbers(), common.Numbers()
-        of = np.array([group[x] for x in zip(langs, sources)], np.int64)
-        keys, amounts = [], []
+def _documents_with(batches):
+    """lang, term, docs: documents of each part with a term of the rows' chunks."""
+    for langs, held in _by_part(batches):
+        lang, number, keys = common.Numbers(), common.Numbers(), []
+        of = np.array([lang[x] for x in langs], np.int64)
         for batch in held:
-            (terms, much), (docs, sizes), (counts, _) = (_flat(batch.column(c)) for c in ("terms", "docs", "counts"))
-            docs, counts = docs.to_numpy(), counts.to_numpy()
+            (terms, much), (docs, sizes) = (_flat(batch.column(c)) for c in ("terms", "docs"))
             names = terms.dictionary_encode()
             numbers = np.array([number[t] for t in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy(zero_copy_only=False)]
             row = np.repeat(np.arange(len(much)), much)
-            begin = np.cumsum(sizes) - sizes
-            places = common.gather(begin[row], sizes[row])
-            keys.append(np.repeat(numbers, sizes[row]) * len(of) + docs[places])
-            amounts.append(counts[places])
+            places = common.gather((np.cumsum(sizes) - sizes)[row], sizes[row])
+            keys.append(np.repeat(numbers, sizes[row]) * len(of) + docs.to_numpy()[places])
         if not keys:
             continue
-        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-        amounts = np.bincount(where, np.concatenate(amounts), len(keys))
-        cells, where = np.unique(keys // len(of) * len(group) + of[keys % len(of)], return_inverse=True)
-        terms, groups = pa.array(list(number), pa.string()), list(group)
-        of_cell = cells % len(group)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([g[0] for g in groups], pa.string()).take(pa.array(of_cell)), pa.array([g[1] for g in groups], pa.string()).take(pa.array(of_cell)), terms.take(pa.array(cells // len(group))),
-                pa.array(np.bincount(where, minlength=len(cells)).astype(np.int64)), pa.array(np.bincount(where, amounts, len(cells)).astype(np.int64)),
-            ],
-            ["lang", "source", "term", "docs", "n"],
-        )
-
-
-def useful_chunks(rows: DataFrame, least_docs: int) -> DataFrame:
-    """chunk, terms of the chunks with a term that may be in so many documents of a language."""
-    each = rows.mapInArrow(_seen, "lang string, chunk string, docs long").repartition("chunk")  # both groupings are by chunk
-    seen = each.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs")).groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("seen"))
-    words = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    terms = common.stored(seen.withColumn("terms", words).filter(F.size("terms") > 0))
-    flat = terms.select("chunk", F.explode(F.array_distinct("terms")).alias("term"), "seen").select("chunk", "term", F.explode("seen").alias("x")).select("chunk", "term", "x.lang", "x.docs")
-    may = flat.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    may = common.stored(may.select("term").distinct())
-    # stored tables: Spark broadcasts the smaller side where it finds it under its threshold
-    useful = common.stored(flat.select("chunk", "term").distinct().join(may, "term", "left_semi").select("chunk").distinct()) if least_docs > 1 else terms.select("chunk")
-    return common.stored(terms.select("chunk", "terms").join(useful, "chunk", "left_semi"))
+        keys = np.unique(np.concatenate(keys))
+        cells, docs = np.unique(keys // len(of) * len(lang) + of[keys % len(of)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(list(lang), pa.string()).take(pa.array(cells % len(lang))), pa.array(list(number), pa.string()).take(pa.array(cells // len(lang))), pa.array(docs)], ["lang", "term", "docs"])
 
 
 def bitmap(chunks: DataFrame) -> np.ndarray:
@@ -181,19 +187,56 @@ def bitmap(chunks: DataFrame) -> np.ndarray:
     return bits
 
 
-def term_counts(docs: DataFrame, least_docs: int = 1, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, docs, n: in how many documents a term is, and how often; whole for terms that are in ``least_docs`` documents of a language."""
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
-    terms = useful_chunks(rows, least_docs)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(terms))
-    cut = common.stored(rows.mapInArrow(_chunks(sent), "part long, chunk string, docs array<int>, counts array<int>, langs array<string>, sources array<string>"))
-    none = F.lit(None)
-    body = cut.filter("chunk IS NOT NULL").select("part", "chunk", "docs", "counts")
-    back = body.join(terms.hint("shuffle_merge"), "chunk").select("part", F.lit(1).alias("kind"), "terms", "docs", "counts", none.cast("array<string>").alias("langs"), none.cast("array<string>").alias("sources"))
-    heads = cut.filter("chunk IS NULL").select("part", F.lit(0).alias("kind"), none.cast("array<string>").alias("terms"), "docs", "counts", "langs", "sources")
+def _rows(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
+
+
+def chunk_counts(rows: DataFrame) -> DataFrame:
+    """chunk, terms, langs array<struct<lang, docs, sources array<struct<source, n>>>>: a row for each chunk that has terms.
+
+    All the groupings are by chunk first, so the rows are moved once.
+    """
+    each = rows.mapInArrow(_counts, "chunk string, lang string, sources array<string>, docs array<int>, ns array<int>").repartition("chunk")
+    each = each.select("chunk", "lang", F.explode(F.arrays_zip("sources", "docs", "ns")).alias("x"))
+    each = each.groupBy("chunk", "lang", "x.sources").agg(F.sum("x.docs").alias("docs"), F.sum("x.ns").alias("n"))
+    each = each.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct(F.col("sources").alias("source"), "n")).alias("sources"))
+    each = each.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs", "sources")).alias("langs"))
+    return each.withColumn("terms", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))).filter(F.size("terms") > 0)
+
+
+def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """lang, source, term, n: how often the terms that are in at least ``least_docs`` documents of a language are in each of its sources that have them."""
+    rows = _rows(docs, text_col, lang_col, source_col)
+    chunks = common.stored(chunk_counts(rows))
+    # a chunk's documents go with its first source, and a term's number in the chunk with all of them
+    each = chunks.select(F.explode(F.array_distinct("terms")).alias("term"), "terms", F.explode("langs").alias("x"))
+    times = F.size(F.filter("terms", lambda t: t == F.col("term")))
+    each = each.select("term", "x.lang", "x.docs", times.alias("times"), "x.sources").repartition("lang", "term")
+    flat = each.select("lang", "term", "times", "docs", F.posexplode("sources").alias("at", "s")).select("lang", "term", "s.source", F.when(F.col("at") == 0, F.col("docs")).otherwise(0).alias("docs"), (F.col("s.n") * F.col("times")).alias("n"))
+    by_source = flat.groupBy("lang", "term", "source").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"), F.sum("n").alias("n"))
+    by_term = by_source.groupBy("lang", "term").agg(F.sum("most").alias("most"), F.max("least").alias("least"), F.collect_list(F.struct("source", "n")).alias("sources"))
+    found = common.stored(by_term.filter(F.col("most") >= least_docs))
+    sure, open_ = found.filter(F.col("least") >= least_docs), found.filter(F.col("least") < least_docs)
+    kept = sure.select("lang", "term", "sources")
+    if not open_.isEmpty():
+        exact = documents_with(rows, chunks.select("chunk", "terms"), open_.select("term").distinct())
+        enough = common.stored(exact.filter(F.col("docs") >= least_docs).select("lang", "term"))
+        kept = kept.union(open_.join(enough.hint("shuffle_merge"), ["lang", "term"]).select("lang", "term", "sources"))
+    return kept.select("lang", "term", F.explode("sources").alias("s")).select("lang", "s.source", "term", "s.n")
+
+
+def documents_with(rows: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """lang, term, docs: exactly how many documents of a language have each of the wanted terms."""
+    wanted = common.stored(wanted)
+    pairs = chunks.select("chunk", F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term")  # stored tables: Spark broadcasts one that is under its threshold
+    terms = common.stored(pairs.groupBy("chunk").agg(F.collect_list("term").alias("terms")))
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(terms))
+    cut = common.stored(rows.select("text", "lang").mapInArrow(_chunks(sent), "part long, chunk string, docs array<int>, langs array<string>"))
+    none = F.lit(None).cast("array<string>")
+    back = cut.filter("chunk IS NOT NULL").select("part", "chunk", "docs").join(terms.hint("shuffle_merge"), "chunk").select("part", F.lit(1).alias("kind"), "terms", "docs", none.alias("langs"))
+    heads = cut.filter("chunk IS NULL").select("part", F.lit(0).alias("kind"), none.alias("terms"), "docs", "langs")
     whole = heads.union(back).repartition("part").sortWithinPartitions("part", "kind")
-    each = whole.mapInArrow(_term_counts, "lang string, source string, term string, docs long, n long")
-    return each.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    return whole.mapInArrow(_documents_with, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -261,8 +304,7 @@ def _divergences(rows: list[tuple]) -> pa.RecordBatch:
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, part, item, value, rank: how far each source's words are from those of the language's other sources, and the terms that set it apart."""
     counts = common.stored(term_counts(docs, least_docs, text_col, lang_col, source_col))
-    kept = common.stored(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("lang", "term"))
-    counts = common.stored(counts.join(kept.hint("shuffle_merge"), ["lang", "term"]).select("lang", "source", "term", "n"))
+    kept = counts.select("lang", "term").distinct()
     groups = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
     groups = common.stored(groups.distinct())
     sizes = common.stored(counts.groupBy("lang", "source").agg(F.sum("n").alias("n")))

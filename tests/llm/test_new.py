@@ -116,11 +116,16 @@ def test_divergence_equals_brute_force(spark, monkeypatch, least, top, cells):
     assert ("xx", "only", "pair", "other", 0, 1) in got
 
 
-def test_term_counts_of_documents_in_several_parts(spark, monkeypatch):
-    """A term that several chunks of a document give counts the document once."""
-    rows = [(i, "Foo foo, foo-FOO bar" if i % 2 else "foo", "en", "s") for i in range(40)]
-    got = divergence.term_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)).collect()
-    assert sorted((r.term, r.docs, r.n) for r in got) == [("bar", 20, 20), ("foo", 40, 100)]
+@pytest.mark.parametrize("least", [1, 20, 21, 40, 41])
+def test_terms_that_several_chunks_of_a_document_give(spark, monkeypatch, least):
+    """They count the document once; 'foo' is in 40 documents, 'bar' in 20, and no chunk of 'baz' is in more than 10 of its 30."""
+    monkeypatch.setattr(divergence, "PART_BYTES", 200)
+    rows = [(i, ("Foo foo, foo-FOO bar" if i % 2 else "foo") + (f" {['baz', 'Baz', 'BAZ,', ''][i % 4]} baz;"), "en", f"s{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    got = collections.Counter()
+    for r in divergence.term_counts(df, least).collect():
+        got[r.term] += r.n
+    assert got == {t: n for t, d, n in (("bar", 20, 20), ("foo", 40, 100), ("baz", 40, 70)) if d >= least}
 
 
 def test_divergence_odd_rows(odd, none):
