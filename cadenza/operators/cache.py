@@ -82,13 +82,17 @@ def classify_cache(plan: DataFrame, manifests: DataFrame, sample_rate: int) -> D
     Joined on the file stem, as files are found; comparing payloads guards
     against two keys with one stem. ``manifests``: file_stem, payload_json,
     wav_sha256, frames, and the file's own subtype, channels, rate, actual_frames,
-    actual_sha256, finite (null where there is no file or it can't be read).
+    actual_sha256, finite (null where it can't be read), as with_sounds() gives them,
+    and unreadable, if there is such a column: why the file can't be read.
     """
+    if "unreadable" not in manifests.columns:
+        manifests = manifests.withColumn("unreadable", F.lit(None).cast("string"))
     kept = manifests.select("file_stem", *[F.col(c).alias(f"_{c}") for c in manifests.columns if c != "file_stem"])
     status = (
         F.when(F.col("_payload_json").isNull(), "miss")
         .when(F.col("_payload_json") != F.col("payload_json"), "the manifest is of another payload")
         .when(F.coalesce("_wav_sha256", F.lit("")) == "", "the manifest names no hash")
+        .when(F.col("_unreadable").isNotNull(), F.concat(F.lit("the sound can't be read: "), F.col("_unreadable")))
         .when(~F.col("_subtype").eqNullSafe("FLOAT"), "the sound is not stored as floats")
         .when(~F.col("_channels").eqNullSafe(1), "the sound is not mono")
         .when(~F.col("_rate").eqNullSafe(sample_rate), "the sound has another rate")
@@ -101,6 +105,12 @@ def classify_cache(plan: DataFrame, manifests: DataFrame, sample_rate: int) -> D
     return plan.join(kept.hint("shuffle_merge"), "file_stem", "left").withColumn("status", status).drop(*[c for c in kept.columns if c != "file_stem"])
 
 
+def with_sounds(manifests: DataFrame, sounds: DataFrame) -> DataFrame:
+    """Manifests (file_stem, payload_json, wav_sha256, frames) with what wav.read_sounds() found in the files of their stems; those without a file are left out, as what they name is not there."""
+    found = sounds.select(F.col("stem").alias("file_stem"), "subtype", "channels", "rate", F.col("frames").alias("actual_frames"), F.col("sha256").alias("actual_sha256"), "finite", F.col("reason").alias("unreadable"))
+    return manifests.select("file_stem", "payload_json", "wav_sha256", "frames").join(found.hint("shuffle_merge"), "file_stem")
+
+
 def classify_voice_cache(plan: DataFrame, manifests: DataFrame) -> DataFrame:
     """``plan`` (role, voice_json, voice_key) with status hit or rebuild; ``manifests``: file_stem, payload_json, state_sha256, actual_sha256."""
     kept = manifests.select("file_stem", F.col("payload_json").alias("_json"), F.col("state_sha256").alias("_want"), F.col("actual_sha256").alias("_have"))

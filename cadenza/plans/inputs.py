@@ -52,6 +52,10 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.lit(SR).alias("sr"), F.col("embedding").alias("samples"), "label")
 
 
+def sound_name(c: str) -> F.Column:
+    return F.concat(F.lit("sound_"), F.col(c).cast("string"), F.lit(".wav"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.explode_samples(signals(spark, sf_dir))
 

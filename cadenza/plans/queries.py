@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cadenza.functions import text as T
-from cadenza.operators import cache, chunk, extract, route, script, signal, timeline
+from cadenza.operators import cache, chunk, extract, packed, route, script, signal, timeline
 from cadenza.plans import inputs as I
-from cadenza.sources import pages as S
+from cadenza.sources import pages as S, wav
 from cadenza.sources.shared import shared_path
 from cadenza.streaming import intake
 
@@ -66,6 +66,17 @@ def _(spark, d):
     return spark.read.parquet(path).select("doc_id", "chunk_index", F.col("role").cast("string").alias("role"), "text")
 
 
+@query("s6_write_sounds", f"SELECT 'sound_' || vec_id AS stem, 'FLOAT' AS subtype, 1 AS channels, {I.SR} AS rate, len(embedding)::BIGINT AS frames, true AS finite, true AS same FROM embeddings WHERE embedding IS NOT NULL")
+def _(spark, d):
+    """Every signal as a recording: written as files and read back."""
+    s = I.signals(spark, d)
+    folder = shared_path(spark, "sounds")
+    wav.write_sounds(s.select(F.col("id").alias("doc_id"), F.lit(0).alias("from_sample"), "samples"), s.select(F.col("id").alias("doc_id"), I.sound_name("id").alias("name")), I.SR, folder)
+    found = wav.read_sounds(spark, folder)
+    own = s.select(F.regexp_replace(I.sound_name("id"), ".wav$", "").alias("stem"), F.col("samples").alias("given"))
+    return found.join(own.hint("shuffle_merge"), "stem").select("stem", "subtype", "channels", "rate", "frames", "finite", (F.col("samples") == F.col("given")).alias("same"))
+
+
 @query("s7_allocate_output_numbers", """SELECT page_id AS doc_id, n AS number, 'narration_' || CASE WHEN length(n::VARCHAR) < 4 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '.wav' AS name
 FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) + (SELECT coalesce(max(s_suppkey), 0) FROM supplier) AS n FROM pages)""")
 def _(spark, d):
@@ -389,6 +400,22 @@ def _(spark, d):
     return cache.classify_cache(I.keyed(spark, d), I.manifests(spark, d), 24000).select("doc_id", "chunk_index", "status")
 
 
+@query("k6_sound_files", f"""SELECT vec_id, CASE vec_id % 11 WHEN 0 THEN 'miss' WHEN 1 THEN 'the manifest is of another payload' WHEN 2 THEN 'the manifest names no hash' WHEN 3 THEN 'the sound has another rate'
+WHEN 4 THEN 'the sound is empty' WHEN 5 THEN 'the sound has NaN or infinite samples' WHEN 6 THEN 'the file''s hash is not the manifest''s' WHEN 7 THEN 'the file''s length is not the manifest''s' ELSE 'hit' END AS status FROM embeddings WHERE embedding IS NOT NULL""")
+def _(spark, d):
+    """A cache of real files, some of them made wrong, some with manifests that are: every signal is a chunk."""
+    m = F.col("doc_id") % 11
+    s = I.signals(spark, d).select(F.col("id").alias("doc_id"), F.lit(0).alias("from_sample"), "samples")
+    odd = F.when(m == 4, F.array().cast("array<float>")).when(m == 5, F.concat(F.array(F.lit(float("nan")).cast("float")), F.col("samples"))).otherwise(F.col("samples"))
+    folder = shared_path(spark, "cache")
+    made = wav.write_sounds(s.filter(m != 0).withColumn("samples", odd), s.select("doc_id", I.sound_name("doc_id").alias("name"), F.when(m == 3, 8000).otherwise(I.SR).alias("sr")), I.SR, folder)
+    payload = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit("}"))
+    stem = F.regexp_replace(I.sound_name("doc_id"), ".wav$", "").alias("file_stem")
+    manifests = made.select(stem, F.when(m == 1, "{}").otherwise(payload).alias("payload_json"), F.when(m == 2, "").when(m == 6, "x").otherwise(F.col("sha256")).alias("wav_sha256"), F.when(m == 7, 1).otherwise(F.col("frames")).alias("frames"))
+    chunks = s.select(F.col("doc_id").alias("vec_id"), stem, payload.alias("payload_json"))
+    return cache.classify_cache(chunks, cache.with_sounds(manifests, wav.read_sounds(spark, folder)), I.SR).select("vec_id", "status")
+
+
 @query("k7_classify_voice_cache", f"{_VOICES} SELECT voice_key, CASE WHEN substr(voice_key, 1, 1) < '8' THEN 'hit' ELSE 'rebuild' END AS status FROM w")
 def _(spark, d):
     v = _identities(spark, d)
@@ -444,29 +471,28 @@ def _(spark, d):
 
 @query("a4_rms_windows", f"WITH {_RMS} SELECT id, w::BIGINT AS w, size, round(rms, 6) AS rms FROM win")
 def _(spark, d):
-    return signal.rms_windows(I.samples(spark, d), I.SR).select("id", "w", "size", R6(F.col("rms")).alias("rms"))
+    return packed.rms_windows(I.signals(spark, d), I.SR).select("id", "w", "size", R6(F.col("rms")).alias("rms"))
 
 
 @query("a5_detect_activity", f"WITH {_ACT} SELECT id, n, start, \"end\" FROM act")
 def _(spark, d):
-    return signal.detect_activity(I.samples(spark, d), I.SR, I.LOUD).select("id", "n", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    return packed.detect_activity(I.signals(spark, d), I.SR, I.LOUD)
 
 
 @query("a6_trim_silence", f"WITH {_TRIM} SELECT id, n, i, x, start, \"end\" FROM trimmed")
 def _(spark, d):
-    t = signal.trim_silence(I.samples(spark, d), I.SR, 12, 8, I.LOUD)
-    return t.select("id", "n", "i", "x", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    t = packed.trim_silence(I.signals(spark, d), I.SR, 12, 8, I.LOUD).withColumn("n", F.size("samples"))
+    return packed.explode_samples(t, "id", "n", "start", "end").withColumn("x", F.col("x").cast("double"))
 
 
 @query("a7_edge_fade", f"WITH {I.SIGNALS} {_faded('samples', signal.samples_in(I.SR, 20))}")
 def _(spark, d):
-    return signal.edge_fade(I.samples(spark, d), I.SR, 20).select("id", "i", R6(F.col("x")).alias("x"))
+    return packed.explode_samples(packed.edge_fade(I.signals(spark, d), I.SR, 20), "id").withColumn("x", R6(F.col("x")))
 
 
 @query("a8_normalize_peak", f"WITH {I.SIGNALS}, peak AS (SELECT label, max(abs(x)) AS p FROM samples GROUP BY label) SELECT id, i, label, round(x * (0.95::DOUBLE / p), 6) + 0.0 AS x FROM samples JOIN peak USING (label) WHERE p > 0")
 def _(spark, d):
-    long = signal.explode_samples(I.signals(spark, d), ("id", "label"))
-    return signal.normalize_peak(long, "label").select("id", "i", "label", R6(F.col("x")).alias("x"))
+    return packed.explode_samples(packed.normalize_peak(I.signals(spark, d), "label"), "id", "label").withColumn("x", R6(F.col("x")))
 
 
 @query("a8_documents_without_peak", "SELECT label, CASE label % 3 WHEN 0 THEN 'all samples are zero' ELSE 'a sample is NaN or infinite' END AS reason FROM (SELECT DISTINCT label FROM embeddings WHERE embedding IS NOT NULL) WHERE label % 3 < 2")
@@ -488,7 +514,7 @@ cuts AS (SELECT l.id, n, CASE WHEN least(n - {_CUT_W}, {_CUT_T + _CUT_R}) <= {_C
 
 @query("a9_quiet_cutpoint", f"WITH {_CUT} SELECT id, n, cut FROM cuts")
 def _(spark, d):
-    return signal.quiet_cutpoint(I.samples(spark, d), I.SR, 0.12, 0.08)
+    return packed.quiet_cutpoint(I.signals(spark, d), I.SR, 0.12, 0.08)
 
 
 _PCM = "string_agg(least(greatest(round(x * 32768)::INTEGER, -32768), 32767)::VARCHAR, ',' ORDER BY i)"
@@ -497,12 +523,12 @@ _PCM = "string_agg(least(greatest(round(x * 32768)::INTEGER, -32768), 32767)::VA
 @query("a10_voice_anchor", f"""WITH {_CUT} SELECT s.id, sha256({_PCM}) AS source_sha256, sha256({_PCM} FILTER (WHERE i < cut)) AS anchor_sha256, {I.SR} AS sample_rate, count(*) FILTER (WHERE i < cut) AS frames,
 count(*) FILTER (WHERE i < cut) / {I.SR}::DOUBLE AS duration_seconds, max(abs(x)) FILTER (WHERE i < cut) AS peak FROM samples s JOIN cuts USING (id) GROUP BY s.id HAVING count(*) FILTER (WHERE i < cut) > 0""")
 def _(spark, d):
-    return signal.voice_anchor(I.samples(spark, d), I.SR, 0.12, 0.08)
+    return packed.voice_anchor(I.signals(spark, d), I.SR, 0.12, 0.08)
 
 
 @query("a11_render_chunks", f"WITH {_ACT.replace(f'rms > {I.LOUD}', f'rms > {signal.THRESHOLD}')}, crop AS (SELECT id, greatest(0, start - 25) AS lo, least(n, \"end\" + 20) AS hi FROM act), trimmed AS (SELECT s.id, hi - lo AS n, i - lo AS i, x FROM samples s JOIN crop c USING (id) WHERE i >= lo AND i < hi) {_faded('trimmed', 1)}")
 def _(spark, d):
-    return signal.render_chunks(I.samples(spark, d), I.SR).select("id", "i", R6(F.col("x")).alias("x"))
+    return packed.explode_samples(packed.render_chunks(I.signals(spark, d), I.SR), "id").withColumn("x", R6(F.col("x")))
 
 
 # Timeline
@@ -557,8 +583,8 @@ def _(spark, d):
     rows = rows.withColumn("inserted", F.when(F.lead("id").over(w).isNotNull(), (F.col("id") % 4).cast("int"))).withColumn("lead", F.lit(5))
     rows = rows.withColumn("from_sample", F.lit(5) + F.coalesce(F.sum(F.col("n") + F.coalesce("inserted", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = rows.withColumn("to_sample", F.col("from_sample") + F.col("n"))
-    long = signal.explode_samples(s, ("id", "doc_id")).join(placed.select("id", "chunk_index").hint("shuffle_merge"), "id")
-    return timeline.join_signals(long, placed)
+    pieces = packed.join_signals(s.join(placed.select("id", "chunk_index").hint("shuffle_merge"), "id"), placed)
+    return packed.explode_samples(pieces, "doc_id", "from_sample").select("doc_id", (F.col("from_sample") + F.col("i")).alias("i"), "x")
 
 
 @query("t7_run_summary", f"WITH {_GAPS} SELECT doc_id, count(*) AS chunks, count(*) FILTER (WHERE role = 'narration') AS narration, count(*) FILTER (WHERE role = 'quote') AS quotes, round(max(from_sample + n) / {I.SR}::DOUBLE, 6) AS duration_s, round(max(from_sample + n) / {I.SR}::DOUBLE / 60, 6) AS duration_min FROM placed GROUP BY doc_id")

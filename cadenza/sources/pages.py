@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.sources.shared import written
+from cadenza.sources.shared import listed, put_if_absent, written
 
 #: How numbered results are named.
 PREFIX, WIDTH = "narration", 4
@@ -48,9 +48,28 @@ def write_plan(plan: DataFrame, path: str, mode: str = "overwrite") -> None:
     plan.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").write.mode(mode).partitionBy("role").parquet(path)
 
 
-def allocate_output_numbers(new_docs: DataFrame, existing: DataFrame, id_col: str = "doc_id", name_col: str = "name") -> DataFrame:
+def reserve_numbers(spark: SparkSession, folder: str, count: int, taken: int = 0) -> int:
+    """The first of ``count`` numbers above ``taken`` that no other run has or gets.
+
+    A run claims its range by a file in the folder .numbers, named by the range's first
+    number and made only if it is not there; who loses the race reads the claims again.
+    Claims follow each other, so every number is used or in the claim of a run that failed.
+    """
+    if count < 1:
+        return taken + 1
+    while True:
+        claims = listed(spark, f"{folder}/.numbers", "claim-*[0-9]")
+        first = max([taken, *(int(name.removeprefix("claim-")) + int(n) - 1 for name, n in claims.items())]) + 1
+        if put_if_absent(spark, f"{folder}/.numbers/claim-{first}", str(count)):
+            return first
+
+
+def allocate_output_numbers(new_docs: DataFrame, existing: DataFrame, id_col: str = "doc_id", name_col: str = "name", folder: str | None = None) -> DataFrame:
     """doc_id, number, name: the next numbers after the largest one in use, in order of doc_id.
 
+    With the ``folder`` of the outputs, the numbers are reserved there against other runs
+    that number at the same time.
+
     Ids are numbered without bringing them to one task: they are sorted into ranges
     and written with their range and their place in it, the written ranges are
     counted, and a row's number is its range's offset and its place. (Ranges are
@@ -62,6 +81,8 @@ def allocate_output_numbers(new_docs: DataFrame, existing: DataFrame, id_col: st
     numbered = ordered.withColumn("_m", F.monotonically_increasing_id())
     placed = written(numbered.select("doc_id", F.shiftright("_m", 33).cast("int").alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")), "numbers")
     sizes = sorted(placed.groupBy("_p").count().collect())  # a row for each range
+    if folder is not None:
+        taken = reserve_numbers(new_docs.sparkSession, folder, sum(n for _, n in sizes), taken) - 1
     offsets, total = [], taken
     for p, n in sizes:
         offsets.append((p, total))

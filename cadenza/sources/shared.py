@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,57 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def put_if_absent(spark: SparkSession, uri: str, content: str) -> bool:
+    """Make a file, whole or not at all, where there is none; False if another writer was first.
+
+    The content is written beside it and then given its name: by a hard link in a local or
+    mounted folder, by a rename that doesn't replace elsewhere (atomic where the file system's is).
+    """
+    scheme, _, path = uri.rpartition("://")
+    folder, _, name = uri.rpartition("/")
+    aside = f"{folder}/.put-{uuid.uuid4().hex}-{name}"
+    if scheme in ("", "file"):
+        path = path if scheme else uri.removeprefix("file:")
+        own = f"{Path(path).parent}/{aside.rpartition('/')[2]}"
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(own).write_text(content)
+        try:
+            os.link(own, path)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(own)
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.FileContext.getFileContext(spark._jvm.java.net.URI(uri), spark._jsc.hadoopConfiguration())
+    stream = fs.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration()).create(fs.Path(aside), False)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    none = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = none
+    try:
+        files.rename(fs.Path(aside), fs.Path(uri), options)
+        return True
+    except Exception as e:
+        if "FileAlreadyExistsException" in str(e):
+            files.delete(fs.Path(aside), False)
+            return False
+        raise
+
+
+def listed(spark: SparkSession, uri: str, name: str) -> dict[str, str]:
+    """Names and contents of the small files of a folder whose names fit a glob; none where there is no folder."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{uri}/{name}"))
+    out = {}
+    for status in found or []:
+        stream = fs.open(status.getPath())
+        out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode()
+        stream.close()
+    return out
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back: its rows stay what they are, and Spark knows its size."""
     path = shared_path(df.sparkSession, name)
