@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from cadenza.functions import text as T
+from cadenza.functions.rules import apply_rules
 
 #: Fixed values of the script's rules.
 VERBS = ("says", "shares", "reflects", "feels")
 MODES = ("preserve", "exclude", "two_voice")
 TYPES = ("paragraph", "heading", "list", "quote")
+MOST_RULES = 1 << 20
 
 
 def in_order() -> WindowSpec:
@@ -50,15 +51,23 @@ def build_script(blocks: DataFrame, mode: str = "preserve") -> DataFrame:
     return kept.select("doc_id", (F.row_number().over(in_order()) - 1).alias("block_index"), F.col("type").alias("block_type"), "text", "speaker")
 
 
-def apply_pronunciation(script: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """Written forms to spoken ones: whole words, longest written form first, one after the other; replacements are literal."""
+def rule_table(rules: DataFrame | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Rules in their order of use: longest written form first, otherwise as given (a table's by its forms); at most MOST_RULES, as every task gets them all."""
+    if isinstance(rules, DataFrame):
+        rules = [tuple(r) for r in rules.select("written", "spoken").orderBy("written", "spoken").limit(MOST_RULES + 1).collect()]
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
     if any(not written or not spoken for written, spoken in rules):
         raise ValueError("a rule needs a written and a spoken form")
-    text = F.col("text")
-    for written, spoken in sorted(rules, key=lambda r: len(r[0]), reverse=True):
-        pattern = rf"(?U)(?<!\w){re.escape(written)}(?!\w)"
-        text = F.regexp_replace(text, pattern, spoken.replace("\\", "\\\\").replace("$", "\\$"))
-    return script.withColumn("text", text)
+    return sorted(rules, key=lambda r: len(r[0]), reverse=True)
+
+
+def apply_pronunciation(script: DataFrame, rules: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
+    """Written forms to spoken ones: whole words, longest written form first, one after the other; replacements are literal.
+
+    ``rules``: pairs, or a table of written and spoken.
+    """
+    return script.withColumn("text", apply_rules(F.col("text"), rule_table(rules)))
 
 
 def documents_without_script(blocks: DataFrame, script: DataFrame) -> DataFrame:

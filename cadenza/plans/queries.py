@@ -40,9 +40,11 @@ def _(spark, d):
     return I.pages(spark, d)
 
 
-@query("s2_split_empty_documents", f"SELECT page_id, {I.blank_sql('html')} AS rejected FROM pages")
+@query("s2_split_empty_documents", f"SELECT page_id, page_id % 9 = 0 OR {I.blank_sql('html')} AS rejected FROM pages")
 def _(spark, d):
-    ok, bad = extract.split_empty_documents(I.pages(spark, d))
+    """Every ninth page is made blank."""
+    blank = F.when(F.col("page_id") % 9 == 0, " \n\u3000").otherwise(F.col("html"))
+    ok, bad = extract.split_empty_documents(I.pages(spark, d).withColumn("html", blank))
     return ok.select("page_id", F.lit(False).alias("rejected")).unionByName(bad.select("page_id", F.lit(True).alias("rejected")))
 
 
@@ -188,9 +190,11 @@ def _(spark, d):
     return t.select("doc_id", T.decode_entities(coded).alias("text"))
 
 
-@query("x16_documents_without_blocks", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, list(type ORDER BY pos)[1] AS first_type FROM page_blocks GROUP BY doc_id UNION ALL SELECT page_id, 'none' FROM pages WHERE page_id NOT IN (SELECT doc_id FROM page_blocks)")
+@query("x16_documents_without_blocks", f"WITH {I.PAGE_BLOCKS} SELECT doc_id, list(type ORDER BY pos)[1] AS first_type FROM page_blocks WHERE doc_id % 7 <> 0 GROUP BY doc_id UNION ALL SELECT page_id, 'none' FROM pages WHERE page_id % 7 = 0 OR page_id NOT IN (SELECT doc_id FROM page_blocks)")
 def _(spark, d):
-    p = I.pages(spark, d)
+    """Every seventh page is made one of links only."""
+    links = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("<nav><p>"), F.col("url"), F.lit("</p></nav>"))).otherwise(F.col("html"))
+    p = I.pages(spark, d).withColumn("html", links)
     b = extract.extract_blocks(p)
     none = extract.documents_without_blocks(p, b).select("doc_id", F.lit("none").alias("first_type"))
     return b.filter("pos = 0").select("doc_id", F.col("type").alias("first_type")).unionByName(none)
@@ -232,9 +236,10 @@ def _(spark, d):
     return script.apply_pronunciation(I.table(spark, d, "documents").select("doc_id", "text"), RULES)
 
 
-@query("n6_documents_without_script", f"WITH {I.TURNS}, {I.script_sql('exclude')} SELECT DISTINCT doc_id FROM turns WHERE doc_id NOT IN (SELECT doc_id FROM script)")
+@query("n6_documents_without_script", f"WITH {I.TURNS}, talks AS (SELECT * EXCLUDE (type), CASE WHEN doc_id % 5 = 0 THEN 'quote' ELSE type END AS type FROM turns), {I.script_sql('exclude', 'talks')} SELECT DISTINCT doc_id FROM talks WHERE doc_id NOT IN (SELECT doc_id FROM script)")
 def _(spark, d):
-    t = I.turns(spark, d)
+    """Every fifth conversation is made one of quotes only."""
+    t = I.turns(spark, d).withColumn("type", F.when(F.col("doc_id") % 5 == 0, "quote").otherwise(F.col("type")))
     return script.documents_without_script(t, script.build_script(t, "exclude")).select("doc_id")
 
 
@@ -613,7 +618,7 @@ def _(spark, d):
     stream = spark.readStream.schema(p.schema).parquet(d + "/pages.parquet*")
     out, done = shared_path(spark, "todo"), shared_path(spark, "done")
     intake.resume_stream(spark, stream, I.models(spark, d), I.voices(spark, d), done, out, shared_path(spark, "offsets"), shared_path(spark, "bad")).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out)
 
 
 # The flagship: posts to routed, paused chunks

@@ -64,6 +64,11 @@ def put_if_absent(spark: SparkSession, uri: str, content: str) -> bool:
         raise
 
 
+def make_folder(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def listed(spark: SparkSession, uri: str, name: str) -> dict[str, str]:
     """Names and contents of the small files of a folder whose names fit a glob; none where there is no folder."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from cadenza.functions import text as T
 from cadenza.operators import cache, chunk, extract, script
+from cadenza.sources.shared import make_folder, written
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,36 +29,55 @@ def plan_script(told: DataFrame, models: DataFrame, voices: DataFrame) -> DataFr
     return cache.payload_key(cache.generation_payload(cache.assign_seeds(chunk.build_role_chunks(told)), models, voices))
 
 
+ASKED = "cache_key string, doc_id long, chunk_index int, role string, text string, seed long, payload_json string"
+
+
+def _first_wants(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Of a key that is neither done nor asked for, the first post and place that wants it; the state says that it is one of the two."""
+    known, best = state.exists, None
+    for part in parts:
+        known = known or bool(part["done"].any())
+        wants = part[~part["done"].astype(bool)].sort_values(["doc_id", "chunk_index"], na_position="first").head(1)
+        if len(wants):
+            best = wants if best is None else pd.concat([best, wants]).sort_values(["doc_id", "chunk_index"], na_position="first").head(1)
+    state.update((True,))
+    if best is not None and not known:
+        yield best.drop(columns="done")
+
+
+def new_keys(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """Stream of the rows of ``wanted`` (with cache_key) whose key comes for the first time, in neither of the two streams before.
+
+    The keys seen are the state of the stream, so a batch reads what has arrived and not
+    what was asked for before. A key that arrives as done and as wanted in one batch is done.
+    """
+    names = [f.split(" ")[0] for f in ASKED.split(", ")]
+    rows = wanted.select(*names, F.lit(False).alias("done"))
+    both = rows.unionByName(done.select("cache_key", F.lit(True).alias("done")), allowMissingColumns=True)
+    return both.groupBy("cache_key").applyInPandasWithState(_first_wants, ASKED, "known boolean", "append", "NoTimeout")
+
+
 def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voices: DataFrame, done_path: str, todo_path: str, checkpoint: str, bad_path: str | None = None) -> StreamingQuery:
     """Append to ``todo_path`` the chunks of arriving posts whose key is neither done nor already asked for.
 
+    Two streams, each until what is there has been read: posts to keyed chunks, a folder
+    for each batch that is written anew if the batch runs again; then the keyed chunks and
+    what arrives in ``done_path`` to new_keys(). The second one is returned.
     A key that several posts of a batch want is asked for with the first of them.
     Posts that can't be narrated go to ``bad_path`` with a reason, if it is given.
-    A key is a function of its content, so a batch that runs twice asks for
-    nothing twice: a batch writes to a folder of its own number and replaces it.
     """
-
-    def known(path: str, schema: str) -> DataFrame | None:
-        """A table's rows, or None as long as nothing has been written there."""
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+    planned = f"{checkpoint.rstrip('/')}/planned"
 
     def batch(rows: DataFrame, number: int) -> None:
+        blocks = written(extract.extract_blocks(rows), "blocks")
+        told = script.build_script(blocks)
         if bad_path is not None:
-            chunk_faults, page_faults = chunk.quarantine(script.build_script(extract.extract_blocks(rows))), extract.rejected_pages(rows)
-            chunk_faults.unionByName(page_faults, allowMissingColumns=True).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        own = ["doc_id", "chunk_index", "role", "text", "seed", "payload_json"]
-        first = F.min(F.struct(*own)).alias("_first")  # of a key that several posts want, the first post and place
-        plan = plan_pages(rows, models, voices).groupBy("cache_key").agg(first).select("cache_key", "_first.*")
-        done, asked = known(done_path, "cache_key string"), known(todo_path, "cache_key string, batch int")
-        if done is not None:
-            plan = plan.join(done.hint("shuffle_merge"), "cache_key", "left_anti")
-        if asked is not None:
-            plan = plan.join(asked.filter(F.col("batch") < number).select("cache_key").hint("shuffle_merge"), "cache_key", "left_anti")
-        plan.write.mode("overwrite").parquet(f"{todo_path}/batch={number}")
-
-    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            chunk.quarantine(told).unionByName(extract.rejected_pages(rows, blocks), allowMissingColumns=True).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        plan_script(told, models, voices).select(*[f.split(" ")[0] for f in ASKED.split(", ")]).write.mode("overwrite").parquet(f"{planned}/batch={number}")
+
+    pages.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/posts").trigger(availableNow=True).start().awaitTermination()
+    for path in (done_path, planned):
+        make_folder(spark, path)
+    read = lambda schema, path: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    todo = new_keys(read(ASKED, planned), read("cache_key string", done_path))
+    return todo.writeStream.format("parquet").option("path", todo_path).option("checkpointLocation", f"{checkpoint}/keys").trigger(availableNow=True).start()

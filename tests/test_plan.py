@@ -192,10 +192,34 @@ def test_requests_and_stream(spark, tmp_path):
     assert [r.text for r in first] == ["One. Two."]
     spark.createDataFrame([(1, "u", "<p>One. Two.</p>"), (5, "v", "<p>New.</p>"), (6, "w", f"<p>{'x' * 200}</p><p>fine</p>"), (7, "x", "")], schema).write.mode("append").parquet(source)
     assert sorted(r.text for r in run()) == ["New.", "One. Two."]
+    assert sorted(r.text for r in run()) == ["New.", "One. Two."]  # nothing new
     bad = {r.doc_id: r.reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
     assert set(bad) == {6, 7} and "budget" in bad[6] and "empty" in bad[7]
 
 
+def test_keys_are_asked_for_once_over_batches_and_restarts(spark, tmp_path):
+    """Keys are state: batches that come again, keys done before or in the same batch, and files of earlier batches that are gone."""
+    row = lambda key, doc: (key, doc, 1, "quote", f"{key}{doc}", 0, "{}")
+    wanted, done, out = (str(tmp_path / p) for p in ("wanted", "done", "out"))
+
+    def run(rows, finished=()):
+        spark.createDataFrame(rows, intake.ASKED).repartition(2).write.mode("append").parquet(wanted)
+        spark.createDataFrame([(k,) for k in finished], "cache_key string").write.mode("append").parquet(done)
+        todo = intake.new_keys(spark.readStream.schema(intake.ASKED).parquet(wanted), spark.readStream.schema("cache_key string").parquet(done))
+        query = todo.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+        return sorted((r.cache_key, r.doc_id) for r in spark.read.schema(intake.ASKED).parquet(out).collect())
+
+    read = []
+    assert run([row("a", 5), row("a", 2), row("b", 9), row("c", 1)], ["c"]) == [("a", 2), ("b", 9)]
+    for f in (tmp_path / "wanted").glob("part-*"):
+        f.unlink()
+    assert run([row("a", 1), row("b", 9), row("d", 4)], ["e"]) == [("a", 2), ("b", 9), ("d", 4)]
+    assert run([row("e", 1), row("c", 1), row("d", 4), row("f", None)]) == [("a", 2), ("b", 9), ("d", 4), ("f", None)]
+    assert read == [5, 4, 4]  # what arrived, whatever came before
+
+
 def test_flagship_has_one_paragraph_end_for_each_block(spark):
     rows = Q.QUERIES["flagship_plan"](spark, "/root/testdata/sf0.001")
     ends = rows.groupBy("doc_id", "block_index").agg(F.count_if(F.col("boundary") == "paragraph").alias("n")).filter("n <> 1")

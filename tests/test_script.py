@@ -1,4 +1,6 @@
 import html
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -6,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
+from cadenza.functions.rules import replacer
 from cadenza.operators import script as N
 
 SCHEMA = "doc_id long, pos int, type string, level int, speaker string, text string"
@@ -67,6 +70,34 @@ def test_counts(spark):
     assert got == {1: (11, 9, 6), 2: (1, 1, 1), 3: (2, 0, 0)}
 
 
+def one_after_the_other(text, rules):
+    for written, spoken in sorted(rules, key=lambda r: len(r[0]), reverse=True):
+        text = re.sub(rf"(?<!\w){re.escape(written)}(?!\w)", lambda _: spoken, text)
+    return text
+
+
+WORDS = st.text(alphabet="ab c.é", min_size=1, max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(WORDS, WORDS), max_size=12), st.lists(st.text(alphabet="ab c.é_", max_size=40), max_size=4))
+def test_rules_equal_their_definition(rules, texts):
+    """Rules feed each other, repeat and overlap."""
+    apply = replacer(tuple(sorted(rules, key=lambda r: len(r[0]), reverse=True)))
+    assert [apply(t) for t in texts] == [one_after_the_other(t, rules) for t in texts]
+
+
+def test_ten_thousand_rules(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6)))
+    rules = list({w: " ".join(word() for _ in range(rng.randrange(1, 3))) for w in (word() + rng.choice(["", f" {word()}"]) for _ in range(20_000))}.items())[:10_000]
+    texts = [" ".join(word() for _ in range(30)) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    table = spark.createDataFrame(rules, "written string, spoken string").repartition(3)
+    got = {r.i: r.text for r in N.apply_pronunciation(df, table).collect()}
+    assert len(rules) == 10_000 and got == {i: one_after_the_other(t, sorted(rules)) for i, t in enumerate(texts)}
+
+
 def test_pronunciation_is_whole_word_longest_first_and_literal(spark):
     text = spark.createDataFrame([("AI AI (AI), AIs, étudeAI; AI lab $x",)], "text string")
     got = N.apply_pronunciation(text, [("AI", "A.I."), ("AI lab", "ay eye $1 \\lab"), ("$x", "dollar")]).first()[0]
