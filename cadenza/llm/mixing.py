@@ -22,6 +22,7 @@ columns pass through.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 
 REST = "*"
-#: Topics in order of precedence, with the pattern that marks them; the other texts are prose.
+#: Topics in order of precedence, with the pattern that marks them; the other texts are prose. A parameter, like the targets.
 TOPICS = (("legal", r"(?i)licen[sc]ed? |copyright"), ("contact", r"@|https?://"), ("markup", r"[{}<>#]"))
 TARGETS = {
-    "source": {"src0": 0.10},
+    "source": {"src0": 0.10} | {f"src{i}": 0.90 / 19 for i in range(1, 20)},
     "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13},
     "topic": {"prose": 0.92, "legal": 0.03, "contact": 0.02, "markup": 0.03},
 }
@@ -40,9 +41,9 @@ MARGINALS = ("source", "lang", "topic")
 ROUNDS, CLOSE = 500, 1e-10
 
 
-def topic_of(text: Column) -> Column:
+def topic_of(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
     topic = F.when(text.isNotNull(), F.lit("prose")).otherwise(REST)
-    for name, pattern in reversed(TOPICS):
+    for name, pattern in reversed(topics):
         topic = F.when(text.rlike(pattern), F.lit(name)).otherwise(topic)
     return topic
 
@@ -106,14 +107,17 @@ def keep_probabilities(tokens: dict, shares: dict, budget: float | None = None)
     return {c: min(1.0, high * r) for c, r in rate.items()}
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with _topic, _n_tokens, _weight (share of the mix that its cell has), _probability and _kept, in place of columns of these names."""
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", topics: Sequence[tuple[str, str]] | Column = TOPICS) -> DataFrame:
+    """``docs`` with _topic, _n_tokens, _weight (share of the mix that its cell has), _probability and _kept, in place of columns of these names.
+
+    ``topics``: (name, pattern) in order of precedence, or a column that holds the topic, as a classifier gives it.
+    """
     def category(c: Column, name: str) -> Column:
         return F.when(c.isin(*targets[name]), c).otherwise(REST)
 
     docs, back = common.aside(docs, "_cs", "_cl", "_ct")
     # the text is read once, for its topic and its tokens; the cell follows from the topic
-    marked = docs.withColumns({"_topic": topic_of(F.col(text_col)), "_n_tokens": token_count(F.col(text_col))})
+    marked = docs.withColumns({"_topic": F.coalesce(topics, F.lit(REST)) if isinstance(topics, Column) else topic_of(F.col(text_col), topics), "_n_tokens": token_count(F.col(text_col))})
     marked = marked.withColumns({"_cs": category(F.col("source"), "source"), "_cl": category(F.col("lang"), "lang"), "_ct": category(F.col("_topic"), "topic")})
     rows = marked.groupBy("_cs", "_cl", "_ct").agg(F.sum("_n_tokens").alias("t")).collect()  # a row for each cell of the targets
     tokens = {(r["_cs"], r["_cl"], r["_ct"]): float(r["t"]) for r in rows}

@@ -6,9 +6,8 @@ each with its own state: the insult and threat transducers emit weights, the tar
 transducer notes whom a clause is about, the negation and reported-speech
 transducers change what stands in their scope. Their composition, a product of
 states built on demand, reads each clause once. Speech that a clause leaves open
-goes on in the next one: a quote up to its closing mark, the end of the line or
-MOST_QUOTED clauses, and what a reporting verb leads in with a colon for one
-clause; a verb behind a quote reports it within the clause. A match needs a clause, at least two words; a word that stands
+goes on in the next one: a quote up to its closing mark or the end of the line, and
+what a reporting verb leads in with a colon for one clause; a verb behind a quote reports it within the clause. A match needs a clause, at least two words; a word that stands
 alone is none. A document is scored from its matches: of each kind (an insult said
 plainly, aimed at somebody, negated, reported; a threat, a weak threat) the log of 1
 + the summed weights goes into a small logistic model.
@@ -47,25 +46,35 @@ PER_CLASS, LEAST_PRECISION = 5000, 0.9
 MOST_CONTEXTS = 50_000  # that a task holds at once
 KNOWN_BYTES, WORD_BYTES = 1 << 25, 150  # of words whose symbol a worker remembers; what one takes besides its letters, about
 STEMS = (4, 5, 6, 7, 8)
-#: Closed word classes of the grammar.
-THREATS = "kill hurt destroy beat shoot stab burn attack murder strangle töten umbringen tuer matar"
-INTENT = "will shall gonna going want should werde voy vais"
+#: Closed word classes of the grammar. English verbs stand for their regular forms, see forms_of().
+THREATS = "kill hurt destroy beat shoot stab burn attack murder strangle"
+MORE_THREATS = "beaten shot burnt töten töte tötet getötet umbringen umbringe tuer tuerai tuerons tuerez matar mataré mataremos"
+INTENT = "will shall gonna going want must should i'll we'll werde werden voy vamos vais allons"
 TARGETS = "you your yours u he him his she her they them their we us people person du dich dein ihr sie er tu te ton toi vous votre il elle ils tú usted él ella ellos"
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't without kein keine nie niemals pas jamais aucun nunca ni tampoco sin"
 REPORTS = "said says say called calls wrote writes claimed claims according quoted sagte sagt dit disait dijo dice"
 #: Marks. Curly apostrophes are read as straight ones; a mark that both opens and closes takes turns.
 OPENING, CLOSING, EITHER = "“„«‹", "”»›", '"'
-MOST_QUOTED = 8  # clauses that an unclosed quote goes on for
 STEM_WORDS = 3  # distinct words that a word beginning must cover
 SCOPE = 3  # words that a negation or an intent reaches
 THREAT_WEIGHT = 4.0
 FEATURES = ("plain", "aimed", "negated", "reported", "threat", "weak_threat")
-PRIOR = np.array([-3.0, 2.0, 2.4, 1.2, 1.2, 1.6, 0.4])  # base score, then the features: what holds until the labels say otherwise
+PRIOR = np.array([-3.0, 2.0, 2.4, 1.2, 1.2, 2.6, 0.4])  # base score, then the features: what holds until the labels say otherwise; one plain threat is enough
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _TOKEN = re.compile(rf"{_WORD.pattern}|[{OPENING}{CLOSING}{EITHER}:]")
 _CLAUSE = re.compile(r"(?<=[.!?;:\n])")  # the mark stays with the clause that it ends
+
+
+def forms_of(verb: str) -> list[str]:
+    """An English verb's base, third person, past and present participle, by the rules of spelling."""
+    stem = verb.removesuffix("e")
+    if re.search("[^aeiou][aeiou][^aeiouwxy]$", verb) and len(verb) < 5:
+        stem += verb[-1]
+    return [verb, verb + ("es" if re.search("(s|x|z|ch|sh)$", verb) else "s"), stem + "ed", stem + "ing"]
+
+
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENDS, OPENS, CLOSES, LEADS = range(10)
-_CLASSES = {w: k for k, words in ((THREAT, THREATS), (INTENDS, INTENT), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS)) for w in words.split()}
+_CLASSES = {w: k for k, words in ((THREAT, " ".join([MORE_THREATS, *(f for v in THREATS.split() for f in forms_of(v))])), (INTENDS, INTENT), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS)) for w in words.split()}
 _MARKS = dict.fromkeys(OPENING, OPENS) | dict.fromkeys(CLOSING, CLOSES) | {":": LEADS}
 
 
@@ -196,14 +205,13 @@ def document_features(text: str | None, symbols: Symbols, machine: Composition)
     if symbols.held > KNOWN_BYTES:
         symbols.forget()
     if any(symbols[w][0] in (INSULT, THREAT) for w in set(_WORD.findall(low))):
-        carried, quoted, since = SILENT, False, 0
+        carried, quoted = SILENT, False
         for clause in _CLAUSE.split(low):
             tokens = _TOKEN.findall(clause)
             if tokens:
                 carried, quoted = clause_features(tokens, symbols, machine, seen, carried, quoted)
-            since = since + 1 if quoted else 0
-            if clause.endswith("\n") or since >= MOST_QUOTED:
-                carried, quoted, since = SILENT, False, 0
+            if clause.endswith("\n"):
+                carried, quoted = SILENT, False
     return np.log1p(seen)
 
 
@@ -293,8 +301,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     shares = {1: min(1.0, per_class / sizes[True]), 0: min(1.0, per_class / max(1, sizes.get(False, 0)))}
     share = F.when(F.col("toxic") > 0, shares[1]).otherwise(shares[0])
     chosen = known.filter(common.unit_hash(F.lit("toxicity"), F.col("doc_id")) < share).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    # at most about 2 * PER_CLASS rows of two numbers, so they may be sent to every task
-    sample = common.stored(docs.select("doc_id", "text").join(F.broadcast(common.stored(chosen)), "doc_id").select("text", "toxic"))
+    chosen = common.stored(chosen)
+    # about 2 * per_class rows of two numbers; beyond twice that they are not sent to every task
+    few = F.broadcast(chosen) if chosen.count() <= 4 * per_class else chosen.hint("shuffle_merge")
+    sample = common.stored(docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic"))
     n, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not bad:
         return {}, PRIOR.copy()
@@ -306,12 +316,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, p
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
     all_bad, all_clean = F.col("bad") / shares[1], (F.col("n") - F.col("bad")) / shares[0]
     stands_out = (F.col("g") >= least_g) & (all_bad >= (all_bad + all_clean) * LEAST_PRECISION)
-    wanted = found.withColumn("g", g).filter(stands_out).select("term")
+    wanted = common.stored(found.withColumn("g", g).filter(stands_out).select("term"))
     around = sample.mapInArrow(_contexts_of, "word string, around string, toxic int").distinct()
     words = around.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     by_context = words.withColumn("term", F.explode(_terms_in(F.col("word")))).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("words"))
     several = ~F.col("term").endswith("*") | (F.col("words") >= STEM_WORDS)
-    rows = by_context.withColumns({"g": g, "weight": weight}).filter(stands_out & several).join(wanted, "term").select("term", "weight").collect()  # bounded by the sample
+    rows = by_context.withColumns({"g": g, "weight": weight}).filter(stands_out & several).join(wanted.hint("shuffle_merge"), "term").select("term", "weight").collect()  # bounded by the sample
     lexicon = {r["term"]: r["weight"] for r in rows}
     seen = sample.mapInArrow(_features_of(lexicon), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     seen = seen.groupBy("toxic", *[F.round(f, 2).alias(f) for f in FEATURES]).count().collect()  # no more rows than the sample has

@@ -103,6 +103,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.predicted == (r.score >= 0.5) for r in got)
 
 
+def test_plain_threats_are_predicted(spark):
+    """The labels show no threats, so the prior decides; speech about threats, negated and idle ones stay clean."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    threats = ["I will kill you", "we’ll hurt her tomorrow", "They are going to shoot them all.", "Someone should beat him", "Ich werde dich töten"]
+    clean = ["He said I will kill you", "I will not kill you", "they killed the process", "kill time", "She was beaten by you at chess", "The police: he wrote “I will shoot you. I will burn you. A b. C d. E f. G h. I j. K l. I will kill you", "a fire will burn wood"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(threats + clean)), "doc_id long, text string"), model).collect()}
+    assert all(got[i] >= 0.5 for i in range(len(threats))), got
+    assert all(got[i] < 0.5 for i in range(len(threats), len(got))), got
+    assert toxicity.forms_of("stab") == ["stab", "stabs", "stabbed", "stabbing"] and toxicity.forms_of("strangle")[2:] == ["strangled", "strangling"]
+
+
 LEXICON = {"fool": 5.0, "cretin*": 3.0}
 
 
@@ -129,7 +141,7 @@ def test_grammar_reads_context(text, found):
 
 def brute_read(text):
     """The grammar's rules, read off each clause by looking back from a word instead of by transducers."""
-    seen, speech, quoted, since = dict.fromkeys(toxicity.FEATURES, 0.0), "", False, 0
+    seen, speech, quoted = dict.fromkeys(toxicity.FEATURES, 0.0), "", False
     text = text.lower().replace("’", "'")
     words = lambda names: set(names.split())
     weight = lambda w: LEXICON.get(w) or (3.0 if w.startswith("cretin") and len(w) > 6 else 0.0)
@@ -157,7 +169,7 @@ def brute_read(text):
             n += 1
             if not weight(t) and t in words(toxicity.REPORTS):
                 speech, told = speech or "spoken", told or not quoted
-            elif weight(t) or t in words(toxicity.THREATS):
+            elif weight(t) or t in words(toxicity.MORE_THREATS) or any(t in toxicity.forms_of(v) for v in words(toxicity.THREATS)):
                 found.append((t, any(w in words(toxicity.NEGATIONS) for w in near), any(w in words(toxicity.INTENT) for w in near), bool(speech), quoted))
         for t, negated, intended, reported, inside in found if len(plain) > 1 else []:
             reported = reported or inside and told
@@ -166,20 +178,19 @@ def brute_read(text):
             elif aimed:
                 seen["threat" if intended and not negated and not reported else "weak_threat"] += 4
         speech = {"quoted": "quoted", "led": "spoken"}.get(speech, "")
-        since = since + 1 if quoted else 0
-        if mark == "\n" or since >= 8:
-            speech, quoted, since = "", False, 0
+        if mark == "\n":
+            speech, quoted = "", False
         clause = ""
     return {k: v for k, v in seen.items() if v}
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from("fool cretinous you he not aren’t never said wrote will kill burn a the is “ ” \" : . ! , \n".split(" ")), max_size=40))
+@given(st.lists(st.sampled_from("fool cretinous you he not aren’t never said wrote will kill burning a the is “ ” \" : . ! , \n".split(" ")), max_size=40))
 def test_grammar_equals_its_rules(tokens):
     text = " ".join(tokens)
     if text and text[-1] not in ".!?;:\n":
         text += "."
-    if not ({"fool", "cretinous", "kill", "burn"} & set(tokens)):
+    if not ({"fool", "cretinous", "kill", "burning"} & set(tokens)):
         assert read(text) == {}
     else:
         assert read(text) == brute_read(text)
