@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.sources.shared import listed, put_if_absent, written
+from cadenza.sources.shared import content, listed, put_if_absent, written
 
 #: How numbered results are named.
 PREFIX, WIDTH = "narration", 4
@@ -52,14 +52,15 @@ def reserve_numbers(spark: SparkSession, folder: str, count: int, taken: int = 0
     """The first of ``count`` numbers above ``taken`` that no other run has or gets.
 
     A run claims its range by a file in the folder .numbers, named by the range's first
-    number and made only if it is not there; who loses the race reads the claims again.
+    number and made only if it is not there; who loses the race reads the last claim again.
     Claims follow each other, so every number is used or in the claim of a run that failed.
     """
     if count < 1:
         return taken + 1
     while True:
-        claims = listed(spark, f"{folder}/.numbers", "claim-*[0-9]")
-        first = max([taken, *(int(name.removeprefix("claim-")) + int(n) - 1 for name, n in claims.items())]) + 1
+        claimed = max((int(name.removeprefix("claim-")) for name in listed(spark, f"{folder}/.numbers", "claim-*")), default=None)
+        end = 0 if claimed is None else claimed + int(content(spark, f"{folder}/.numbers/claim-{claimed}")) - 1
+        first = max(taken, end) + 1
         if put_if_absent(spark, f"{folder}/.numbers/claim-{first}", str(count)):
             return first
 

@@ -69,16 +69,21 @@ def make_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def listed(spark: SparkSession, uri: str, name: str) -> dict[str, str]:
-    """Names and contents of the small files of a folder whose names fit a glob; none where there is no folder."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{uri}/{name}"))
-    out = {}
-    for status in found or []:
-        stream = fs.open(status.getPath())
-        out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode()
+def listed(spark: SparkSession, uri: str, name: str) -> list[str]:
+    """Names of a folder that fit a glob; none where there is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{uri}/{name}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().getName() for status in found or []]
+
+
+def content(spark: SparkSession, uri: str) -> str:
+    """A small file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
         stream.close()
-    return out
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

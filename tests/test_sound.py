@@ -204,4 +204,4 @@ def test_runs_that_number_at_once_get_numbers_of_their_own(spark, tmp_path):
     docs, names = spark.range(3).withColumnRenamed("id", "doc_id"), spark.createDataFrame([("narration_0010.wav",)], "name string")
     one, two = (pages.allocate_output_numbers(docs, names, folder=folder).collect() for _ in range(2))
     assert [r.number for r in sorted([*one, *two])] and sorted(r.number for r in [*one, *two]) == list(range(numbers[-1] + 1, numbers[-1] + 7))
-    assert not shared.put_if_absent(spark, f"{folder}/.numbers/claim-11", "9") and "9" != shared.listed(spark, f"{folder}/.numbers", "claim-11")["claim-11"]
+    assert not shared.put_if_absent(spark, f"{folder}/.numbers/claim-11", "9") and "9" != shared.content(spark, f"{folder}/.numbers/claim-11")
