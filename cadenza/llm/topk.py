@@ -11,8 +11,11 @@ their bounds, in rounds of 1, 2, 4 and so on, and stops when the next bound is b
 k-th score.
 
 A query meets its own group first. Its k-th score there goes on as the floor: the same
-bound, taken over whole groups, says which other groups can reach it, only those get
-the query's vector, and they report only what does. A window merges the results.
+bound, taken over whole groups, says which other groups can reach it. Queries are dealt
+into blocks too, and a block meets the groups that a query of it can reach; blocks and
+groups travel as one row each, their vectors packed, so there is a row for each such
+meeting and none for a query and a group. In a meeting a query that can't reach the group
+is left out by the bounds of its blocks. A window merges the results.
 
 What bounds can skip depends on the vectors. Where these have no directions in common
 (many components, all alike), every block can reach every floor, and all are scored.
@@ -137,6 +140,7 @@ def _own_group(k: int):
                 **{c: pd.array([*out[c], None], "Int64") for c in ("query_id", "vec_id", "score")},
                 "g": pd.array([None] * n + [int(rows.g.iloc[0])], "Int64"),
                 "most": [None] * n + [v.max(axis=0).tolist()], "least": [None] * n + [v.min(axis=0).tolist()],
+                "ids": [None] * n + [rows.vec_id.to_numpy().tolist()], "packed": [None] * n + [v.astype("<f8").tobytes()],
             }
         )
 
@@ -144,23 +148,38 @@ def _own_group(k: int):
 
 
 def _reachable(queries: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-    """(query, group) pairs of which the group's bound reaches the query's floor."""
+    """(query block, group) pairs of which the group's bound reaches the floor of one of the block's queries."""
     if not len(queries) or not len(boxes):
-        return pd.DataFrame({"vec_id": [], "g": []}).astype("int64")
+        return pd.DataFrame({"qg": [], "g": []}).astype("int64")
     width = max(queries.v.map(len).max(), boxes.most.map(len).max())
     # a missing component counts as 0; in a box of shorter vectors so do its ends
     q, most, least = _matrix(queries.v, width), _matrix(boxes.most, width), _matrix(boxes.least, width)
     bound = bounds(q, most, least) + np.abs(q) @ np.maximum(np.abs(most), np.abs(least)).T * 1e-12  # sums of large numbers are rounded
-    q, g = np.nonzero((bound >= queries.floor.to_numpy()[:, None]) & (queries.g.to_numpy()[:, None] != boxes.g.to_numpy()[None, :]))
-    return pd.DataFrame({"vec_id": queries.vec_id.to_numpy()[q], "g": boxes.g.to_numpy()[g]})
+    can = (bound >= queries.floor.to_numpy()[:, None]) & (queries.g.to_numpy()[:, None] != boxes.g.to_numpy()[None, :])
+    g = boxes.g.to_numpy()[can.any(axis=0)]
+    return pd.DataFrame({"qg": np.full(len(g), queries.qg.iloc[0]), "g": g}).astype("int64")
 
 
-def _other_group(k: int):
+def _packed_queries(queries: pd.DataFrame) -> pd.DataFrame:
+    q = _matrix(queries.v, queries.v.map(len).max())
+    return pd.DataFrame({"qg": [queries.qg.iloc[0]], "qids": [queries.vec_id.tolist()], "floors": [queries.floor.tolist()], "gs": [queries.g.tolist()], "q": [q.astype("<f8").tobytes()]})
+
+
+def _unpacked(raw: bytes, n: int, width: int) -> np.ndarray:
+    own = np.frombuffer(raw, "<f8").reshape(n, -1)
+    return np.hstack([own, np.zeros((n, width - own.shape[1]))])
+
+
+def _meet(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """One block of queries and one group, a row each; queries of the group itself have met it."""
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = max(queries.v.map(len).max(), rows.v.map(len).max())
-        return group_top_k(queries.vec_id.to_numpy(), _matrix(queries.v, width), rows.vec_id.to_numpy(), _matrix(rows.v, width), k, queries.floor.to_numpy())
+        one, other = queries.iloc[0], rows.iloc[0]
+        qids, ids, away = np.array(one.qids, np.int64), np.array(other.ids, np.int64), np.array(one.gs) != other.g
+        width = max(len(one.q) // 8 // len(qids), len(other.packed) // 8 // len(ids))
+        q, v = _unpacked(one.q, len(qids), width), _unpacked(other.packed, len(ids), width)
+        return group_top_k(qids[away], q[away], ids, v, k, np.array(one.floors)[away])
 
     return run
 
@@ -197,7 +216,7 @@ def exact_top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K) -> Dat
     n, n_queries = valid.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     rows, groups = _grouped(valid, n)
     queries = rows.filter(F.col("vec_id") % every == 0)
-    own = common.stored(queries.groupBy("g").cogroup(rows.groupBy("g")).applyInPandas(_own_group(k), _RESULT + ", g long, most array<double>, least array<double>"))
+    own = common.stored(queries.groupBy("g").cogroup(rows.groupBy("g")).applyInPandas(_own_group(k), _RESULT + ", g long, most array<double>, least array<double>, ids array<long>, packed binary"))
     found = own.filter("query_id IS NOT NULL").select("query_id", "vec_id", "score")
     if groups > 1:
         dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
@@ -208,11 +227,13 @@ def exact_top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K) -> Dat
         asked = queries.join(floors.hint("shuffle_merge"), "vec_id", "left").withColumn("floor", F.coalesce(low, F.lit(float("-inf"))))
         asked = common.stored(asked.withColumn("qg", dealt("vec_id", max(1, query_groups))))
         boxes = own.filter("g IS NOT NULL").select("g", "most", "least").withColumn("bg", dealt("g", box_groups)).withColumn("qg", spread(max(1, query_groups)))
-        pairs = asked.withColumn("bg", spread(box_groups)).groupBy("bg", "qg").cogroup(boxes.groupBy("bg", "qg")).applyInPandas(_reachable, "vec_id long, g long")
-        sent = common.stored(common.stored(pairs).join(asked.drop("g").hint("shuffle_merge"), "vec_id"))
-        met = common.stored(sent.select("g", "qg").distinct())
-        held = rows.join(met.hint("shuffle_merge"), "g")  # a group's vectors go only where queries have to see them
-        more = sent.groupBy("g", "qg").cogroup(held.groupBy("g", "qg")).applyInPandas(_other_group(k), _RESULT)
+        met = asked.withColumn("bg", spread(box_groups)).groupBy("bg", "qg").cogroup(boxes.groupBy("bg", "qg")).applyInPandas(_reachable, "qg long, g long")
+        met = common.stored(met)
+        blocks = common.stored(asked.groupBy("qg").applyInPandas(_packed_queries, "qg long, qids array<long>, floors array<double>, gs array<long>, q binary"))
+        sent = met.join(blocks.hint("shuffle_merge"), "qg")
+        again = met.select(*[(F.col(c) + 0).alias(c) for c in ("qg", "g")])  # columns of its own, or Spark can't tell the two sides apart
+        held = again.join(own.filter("g IS NOT NULL").select("g", "ids", "packed").hint("shuffle_merge"), "g")
+        more = sent.groupBy("g", "qg").cogroup(held.groupBy("g", "qg")).applyInPandas(_meet(k), _RESULT)
         found = found.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
