@@ -13,7 +13,8 @@ from cadenza.functions import text as T
 from cadenza.operators import cache, chunk, extract, packed, route, script, signal, timeline
 from cadenza.plans import inputs as I
 from cadenza.sources import pages as S, wav
-from cadenza.sources.shared import shared_path
+from cadenza.sources.manifests import ManifestTable
+from cadenza.sources.shared import shared_path, written
 from cadenza.streaming import intake
 
 RULES = (("the", "thee"), ("to", "too"), ("en", "enn"))
@@ -405,6 +406,15 @@ def _(spark, d):
     return cache.classify_cache(I.keyed(spark, d), I.manifests(spark, d), 24000).select("doc_id", "chunk_index", "status")
 
 
+@query("k6_lookup", f"WITH {I.MANIFESTS} SELECT doc_id, chunk_index, status FROM classified")
+def _(spark, d):
+    """The same, from a manifest table that only gives what the chunks may want."""
+    table = ManifestTable(spark, shared_path(spark, "manifests"), 16, key="file_stem")
+    table.upsert(I.manifests(spark, d).withColumn("created_utc", F.lit(0)))
+    keyed = written(I.keyed(spark, d), "keyed")
+    return cache.classify_cache(keyed, table.lookup(keyed).drop("created_utc"), 24000).select("doc_id", "chunk_index", "status")
+
+
 @query("k6_sound_files", f"""SELECT vec_id, CASE vec_id % 11 WHEN 0 THEN 'miss' WHEN 1 THEN 'the manifest is of another payload' WHEN 2 THEN 'the manifest names no hash' WHEN 3 THEN 'the sound has another rate'
 WHEN 4 THEN 'the sound is empty' WHEN 5 THEN 'the sound has NaN or infinite samples' WHEN 6 THEN 'the file''s hash is not the manifest''s' WHEN 7 THEN 'the file''s length is not the manifest''s' ELSE 'hit' END AS status FROM embeddings WHERE embedding IS NOT NULL""")
 def _(spark, d):
@@ -433,11 +443,28 @@ def _(spark, d):
     return cache.pending_work(cache.classify_cache(I.keyed(spark, d), I.manifests(spark, d), 24000))
 
 
-@query("k9_upsert_manifests", "SELECT user_id AS cache_key, event_id AS frames FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_type = 'click') DESC, event_id DESC) AS r FROM events) WHERE r = 1")
-def _(spark, d):
+_LAST = "SELECT user_id AS cache_key, event_id AS frames FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_type = 'click') DESC, event_id DESC) AS r FROM events) WHERE r = 1"
+
+
+def _events(spark, d):
+    """Users' events as manifests, old ones and (clicks) new ones."""
     e = I.table(spark, d, "events").groupBy("user_id", "ts", (F.col("event_type") == "click").alias("new")).agg(F.max("event_id").alias("frames"))
     e = e.select(F.col("user_id").alias("cache_key"), F.col("ts").alias("created_utc"), "frames", "new")
-    return cache.upsert_manifests(e.filter("NOT new").drop("new"), e.filter("new").drop("new")).select("cache_key", "frames")
+    return e.filter("NOT new").drop("new"), e.filter("new").drop("new")
+
+
+@query("k9_upsert_manifests", _LAST)
+def _(spark, d):
+    return cache.upsert_manifests(*_events(spark, d)).select("cache_key", "frames")
+
+
+@query("k9_manifest_table", _LAST)
+def _(spark, d):
+    """Two changes of a table in place."""
+    table = ManifestTable(spark, shared_path(spark, "manifests"), 16)
+    for rows in _events(spark, d):
+        table.upsert(rows)
+    return table.read().select("cache_key", "frames")
 
 
 # Signals
