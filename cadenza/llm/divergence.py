@@ -31,17 +31,16 @@ are ignored.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
 
-PART_BYTES, WORDS_BYTES = 1 << 25, 1 << 20  # of a part's texts, and of those that are words in memory at once
+PART_BYTES = 1 << 26  # of a part's texts
 BLOCK_CELLS = 1 << 18  # counts of terms by source in one block
 BITS = 24  # 2 ** BITS is the number of bits of the bitmap of chunks
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -57,22 +56,24 @@ def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 def _parts(batch, order=None):
     """First row, number of rows, different chunks, and of every chunk in every text, in no order: (number of the chunk) * rows + row (or its place in ``order`` of the part's rows)."""
     for first, offsets, flat in common.text_slices(batch.column("text"), PART_BYTES):
-        n, number, places = len(offsets) - 1, common.Numbers(), []
-        rank = np.arange(n) if order is None else order(first, n)
-        row = 0
-        while row < n:  # little is held as words at once
-            end = min(max(int(np.searchsorted(offsets, offsets[row] + WORDS_BYTES, side="right")) - 1, row + 1), n)
-            raw, at = flat[offsets[row] : offsets[end]].tobytes(), (offsets[row : end + 1] - offsets[row]).tolist()
-            texts = [raw[a:b].split() for a, b in zip(at[:-1], at[1:])]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            words = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-            places.append(words * n + np.repeat(rank[row:end], sizes))
-            row = end
-        yield first, n, list(number), np.concatenate(places)
+        n = len(offsets) - 1
+        texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(flat))
+        words = pc.ascii_split_whitespace(texts)
+        rows = np.repeat(np.arange(n) if order is None else order(first, n), np.diff(words.offsets.to_numpy()))
+        coded = words.flatten().dictionary_encode()
+        chunks, numbers = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        del words, coded
+        none = chunks.index("").as_py()  # before and behind white space at the ends
+        if none >= 0:
+            there = numbers != none
+            numbers, rows = numbers[there], rows[there]
+        numbers *= n
+        numbers += rows
+        yield first, n, chunks, numbers
 
 
 def _counts(batches):
-    """Rows (chunk, lang, sources, docs, ns): a part's documents with a chunk, and how often they have it, by source."""
+    """Rows (chunk, lang, sources, docs, ns): a part's documents with a chunk (at the first entry, which has no source), and how often each source has it."""
     for batch in batches:
         groups = sorted(set(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())))
         at = {g: i for i, g in enumerate(groups)}
@@ -94,15 +95,21 @@ def _counts(batches):
             often, pairs = np.diff(np.concatenate([new, [len(places)]])), places[new]
             group, chunk = np.sort(of[first : first + n])[pairs % n], pairs // n
             cell = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (group[1:] != group[:-1])]))
-            docs, ns = np.diff(np.concatenate([cell, [len(pairs)]])), np.add.reduceat(often, cell)
+            docs, ns = np.diff(np.concatenate([cell, [len(pairs)]])), np.add.reduceat(often, cell).astype(np.int32)
             group, chunk = group[cell], chunk[cell]
             lang = lang_of[group]
             row = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (lang[1:] != lang[:-1])]))
-            ends = pa.array(np.concatenate([row, [len(cell)]]), pa.int32())
+            # every row begins with an entry without a source, for the documents of all
+            row_of = np.searchsorted(row, np.arange(len(cell)), side="right") - 1
+            place = np.arange(len(cell)) + row_of + 1
+            total, of_docs, of_ns, source = len(cell) + len(row), np.zeros(len(cell) + len(row), np.int32), np.zeros(len(cell) + len(row), np.int32), np.full(len(cell) + len(row), -1)
+            of_docs[row + np.arange(len(row))] = np.add.reduceat(docs, row)
+            of_ns[place], source[place] = ns, group
+            ends = pa.array(np.concatenate([row + np.arange(len(row)), [total]]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([c.decode() for c in chunks], pa.string()).take(pa.array(chunk[row])), pa.array(langs.tolist(), pa.string()).take(pa.array(lang[row])),
-                    pa.ListArray.from_arrays(ends, names.take(pa.array(group))), pa.ListArray.from_arrays(ends, pa.array(docs, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(ns, pa.int32())),
+                    chunks.take(pa.array(chunk[row])).cast(pa.string()), pa.array(langs.tolist(), pa.string()).take(pa.array(lang[row])),
+                    *[pa.ListArray.from_arrays(ends, c) for c in (names.take(pa.array(source, mask=source < 0)), pa.array(of_docs), pa.array(of_ns))],
                 ],
                 ["chunk", "lang", "sources", "docs", "ns"],
             )
@@ -116,7 +123,7 @@ def _chunks(wanted):
         for batch in batches:
             langs = batch.column("lang")
             for first, n, chunks, places in _parts(batch):
-                place = np.array([xxhash.xxh64_intdigest(c, 42) for c in chunks], np.uint64) & np.uint64((1 << BITS) - 1)
+                place = np.array([xxhash.xxh64_intdigest(c, 42) for c in chunks.to_pylist()], np.uint64) & np.uint64((1 << BITS) - 1)
                 may = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 kept = np.flatnonzero(may)
                 pairs = np.unique(places[may[places // n]]) if len(kept) else np.zeros(0, np.int64)
@@ -124,7 +131,7 @@ def _chunks(wanted):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), own], _NAMES)
                 rows = len(kept)
                 ends = np.searchsorted(pairs, (kept + 1) * n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int64()), pa.array([chunks[k].decode() for k in kept], pa.string()), lists(pairs % n, ends), pa.nulls(rows, pa.list_(pa.string()))], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int64()), chunks.take(pa.array(kept)).cast(pa.string()), lists(pairs % n, ends), pa.nulls(rows, pa.list_(pa.string()))], _NAMES)
                 part += 1
 
     return run
@@ -192,15 +199,14 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
 
 
 def chunk_counts(rows: DataFrame) -> DataFrame:
-    """chunk, terms, langs array<struct<lang, docs, sources array<struct<source, n>>>>: a row for each chunk that has terms.
+    """chunk, terms, counts array<struct<lang, source, docs, n>>: a row for each chunk that has terms; entries without a source have the documents of a language.
 
-    All the groupings are by chunk first, so the rows are moved once.
+    Both groupings are by chunk first, so the rows are moved once.
     """
     each = rows.mapInArrow(_counts, "chunk string, lang string, sources array<string>, docs array<int>, ns array<int>").repartition("chunk")
     each = each.select("chunk", "lang", F.explode(F.arrays_zip("sources", "docs", "ns")).alias("x"))
-    each = each.groupBy("chunk", "lang", "x.sources").agg(F.sum("x.docs").alias("docs"), F.sum("x.ns").alias("n"))
-    each = each.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct(F.col("sources").alias("source"), "n")).alias("sources"))
-    each = each.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs", "sources")).alias("langs"))
+    each = each.groupBy("chunk", "lang", F.col("x.sources").alias("source")).agg(F.sum("x.docs").alias("docs"), F.sum("x.ns").alias("n"))
+    each = each.groupBy("chunk").agg(F.collect_list(F.struct("lang", "source", "docs", "n")).alias("counts"))
     return each.withColumn("terms", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))).filter(F.size("terms") > 0)
 
 
@@ -208,13 +214,13 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, text_col: str = "
     """lang, source, term, n: how often the terms that are in at least ``least_docs`` documents of a language are in each of its sources that have them."""
     rows = _rows(docs, text_col, lang_col, source_col)
     chunks = common.stored(chunk_counts(rows))
-    # a chunk's documents go with its first source, and a term's number in the chunk with all of them
-    each = chunks.select(F.explode(F.array_distinct("terms")).alias("term"), "terms", F.explode("langs").alias("x"))
-    times = F.size(F.filter("terms", lambda t: t == F.col("term")))
-    each = each.select("term", "x.lang", "x.docs", times.alias("times"), "x.sources").repartition("lang", "term")
-    flat = each.select("lang", "term", "times", "docs", F.posexplode("sources").alias("at", "s")).select("lang", "term", "s.source", F.when(F.col("at") == 0, F.col("docs")).otherwise(0).alias("docs"), (F.col("s.n") * F.col("times")).alias("n"))
-    by_source = flat.groupBy("lang", "term", "source").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"), F.sum("n").alias("n"))
-    by_term = by_source.groupBy("lang", "term").agg(F.sum("most").alias("most"), F.max("least").alias("least"), F.collect_list(F.struct("source", "n")).alias("sources"))
+    one = F.size("terms") == 1
+    times = F.when(one, 1).otherwise(F.size(F.filter("terms", lambda t: t == F.col("term"))))
+    each = chunks.select(F.explode(F.when(one, F.col("terms")).otherwise(F.array_distinct("terms"))).alias("term"), "terms", "counts")
+    each = each.select("term", times.alias("times"), F.explode("counts").alias("x")).select("x.lang", "term", "x.source", "x.docs", (F.col("x.n") * F.col("times")).alias("n"))
+    by_source = each.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"), F.sum("n").alias("n"))
+    entry = F.when(F.col("source").isNotNull(), F.struct("source", "n"))  # collect_list() leaves nulls out
+    by_term = by_source.groupBy("lang", "term").agg(F.sum("most").alias("most"), F.max("least").alias("least"), F.collect_list(entry).alias("sources"))
     found = common.stored(by_term.filter(F.col("most") >= least_docs))
     sure, open_ = found.filter(F.col("least") >= least_docs), found.filter(F.col("least") < least_docs)
     kept = sure.select("lang", "term", "sources")
