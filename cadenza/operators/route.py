@@ -20,7 +20,7 @@ def with_role(df: DataFrame, strict: bool = False) -> DataFrame:
     """Role and extra pauses of every row; an unknown type has none (``strict``: is an error). The dimension has four rows."""
     out = df.drop("role").join(F.broadcast(role_settings(df)), "block_type", "left")
     if strict:
-        out = out.withColumn("role", F.coalesce("role", F.raise_error(F.concat(F.lit("Invalid block_type "), F.coalesce("block_type", F.lit("null")))).cast("string")))
+        out = out.withColumn("role", F.coalesce("role", F.raise_error(F.concat(F.lit("no role for blocks of type "), F.coalesce("block_type", F.lit("null")))).cast("string")))
     return out
 
 
@@ -42,9 +42,9 @@ def validate_references(routed: DataFrame, assets: DataFrame) -> DataFrame:
     known = assets.withColumn("_found", F.lit(True))
     bad = (F.coalesce("frames", F.lit(0)) <= 0) | (F.coalesce("sample_rate", F.lit(0)) <= 0)
     reason = (
-        F.when(F.coalesce("path", F.lit("")) == "", F.concat(F.lit("reference is required for the "), "role", F.lit(" generation role")))
-        .when(F.col("_found").isNull(), F.concat("role", F.lit(" reference audio not found")))
-        .when(bad, F.concat("role", F.lit(" reference audio is empty")))
+        F.when(F.coalesce("path", F.lit("")) == "", F.concat(F.lit("no recording is named for the voice of the "), "role"))
+        .when(F.col("_found").isNull(), F.concat(F.lit("there is no such recording for the voice of the "), "role"))
+        .when(bad, F.concat(F.lit("nothing is on the recording for the voice of the "), "role"))
     )
     return routed.join(known.hint("shuffle_merge"), "path", "left").select("doc_id", "role", "path", "sha256", reason.alias("reason"))
 
@@ -54,4 +54,4 @@ def reject_identical_references(validated: DataFrame, mode: str, hash_col: str =
     pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
     both = validated.groupBy("doc_id").agg(pick("narration", "path").alias("p0"), pick("quote", "path").alias("p1"), pick("narration", hash_col).alias("h0"), pick("quote", hash_col).alias("h1"))
     same = F.lit(mode == "two_voice") & ((F.col("p0") == F.col("p1")) | (F.col("h0") == F.col("h1")))
-    return both.filter(same).select("doc_id", F.lit("two_voice mode requires distinct reference audio").alias("reason"))
+    return both.filter(same).select("doc_id", F.lit("both voices come from one recording").alias("reason"))

@@ -344,8 +344,8 @@ def _(spark, d):
     return route.route_references(I.script_roles(spark, d), "two_voice", "a.wav", "b.wav")
 
 
-_VALID = f"""WITH {I.ROUTED}, {I.ASSETS}, valid AS (SELECT doc_id, role, r.path, sha256, CASE WHEN r.path IS NULL THEN 'reference is required for the ' || role || ' generation role'
-WHEN a.path IS NULL THEN role || ' reference audio not found' WHEN frames <= 0 THEN role || ' reference audio is empty' END AS reason FROM routed r LEFT JOIN assets a ON a.path = r.path)"""
+_VALID = f"""WITH {I.ROUTED}, {I.ASSETS}, valid AS (SELECT doc_id, role, r.path, sha256, CASE WHEN r.path IS NULL THEN 'no recording is named for the voice of the ' || role
+WHEN a.path IS NULL THEN 'there is no such recording for the voice of the ' || role WHEN frames <= 0 THEN 'nothing is on the recording for the voice of the ' || role END AS reason FROM routed r LEFT JOIN assets a ON a.path = r.path)"""
 
 
 @query("r4_validate_references", f"{_VALID} SELECT * FROM valid")

@@ -21,12 +21,12 @@ def test_roles_and_references(spark):
     assets = spark.createDataFrame([("a", "h", 800, 8000), ("b", "h", 0, 8000)], "path string, sha256 string, frames long, sample_rate int")
     valid = R.validate_references(two, assets)
     reasons = {(r.doc_id, r.role): r.reason for r in valid.collect()}
-    assert reasons[1, "narration"] is None and "empty" in reasons[1, "quote"]
+    assert reasons[1, "narration"] is None and "nothing" in reasons[1, "quote"]
     assert [r.doc_id for r in R.reject_identical_references(valid, "two_voice").collect()] == [1]
     assert R.reject_identical_references(valid, "preserve").count() == 0
     missing = R.validate_references(R.route_references(roles, "two_voice", None, "c"), assets)
     got = {(r.doc_id, r.role): r.reason for r in missing.collect()}
-    assert "required" in got[1, "narration"] and "not found" in got[1, "quote"]
+    assert "named" in got[1, "narration"] and "no such" in got[1, "quote"]
 
 
 def test_role_settings(spark):
