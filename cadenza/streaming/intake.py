@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from cadenza.functions import text as T
 from cadenza.operators import cache, chunk, extract, script
@@ -32,17 +32,29 @@ def plan_script(told: DataFrame, models: DataFrame, voices: DataFrame) -> DataFr
 ASKED = "cache_key string, doc_id long, chunk_index int, role string, text string, seed long, payload_json string"
 
 
-def _first_wants(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Of a key that is neither done nor asked for, the first post and place that wants it; the state says that it is one of the two."""
-    known, best = state.exists, None
-    for part in parts:
-        known = known or bool(part["done"].any())
-        wants = part[~part["done"].astype(bool)].sort_values(["doc_id", "chunk_index"], na_position="first").head(1)
-        if len(wants):
-            best = wants if best is None else pd.concat([best, wants]).sort_values(["doc_id", "chunk_index"], na_position="first").head(1)
-    state.update((True,))
-    if best is not None and not known:
-        yield best.drop(columns="done")
+COMPACT_ROWS = 1 << 14  # rows that a task of _first_rows() takes up before it drops those that aren't first
+FIRST = [("cache_key", "ascending"), ("done", "descending"), ("doc_id", "ascending"), ("chunk_index", "ascending")]
+
+
+def _firsts(rows: pa.Table) -> pa.Table:
+    """A row for each key: one that is done, or else the first post and place that wants it; null comes first."""
+    rows = rows.take(pc.sort_indices(rows.select([name for name, _ in FIRST]), sort_keys=FIRST, null_placement="at_start"))
+    key = rows.column("cache_key").combine_chunks()
+    before, own = key.slice(0, max(len(key) - 1, 0)), key.slice(1)
+    differs = pc.fill_null(pc.not_equal(before, own), pc.xor(pc.is_null(before), pc.is_null(own)))
+    return rows.filter(pa.concat_arrays([pa.array([True] * min(len(key), 1), pa.bool_()), differs]))
+
+
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_firsts() of a task's rows; it holds about twice what it gives."""
+    kept, more, held = [], [], 0
+    for batch in batches:
+        more.append(batch)
+        held += batch.num_rows
+        if held >= max(COMPACT_ROWS, sum(b.num_rows for b in kept)):
+            kept, more, held = _firsts(pa.Table.from_batches([*kept, *more])).to_batches(), [], 0
+    if kept or more:
+        yield from _firsts(pa.Table.from_batches([*kept, *more])).to_batches(max_chunksize=1 << 13)
 
 
 def new_keys(wanted: DataFrame, done: DataFrame) -> DataFrame:
@@ -50,11 +62,13 @@ def new_keys(wanted: DataFrame, done: DataFrame) -> DataFrame:
 
     The keys seen are the state of the stream, so a batch reads what has arrived and not
     what was asked for before. A key that arrives as done and as wanted in one batch is done.
+    Each task first leaves one row for each of its keys; then Spark's own deduplication knows the keys of earlier batches.
     """
     names = [f.split(" ")[0] for f in ASKED.split(", ")]
     rows = wanted.select(*names, F.lit(False).alias("done"))
     both = rows.unionByName(done.select("cache_key", F.lit(True).alias("done")), allowMissingColumns=True)
-    return both.groupBy("cache_key").applyInPandasWithState(_first_wants, ASKED, "known boolean", "append", "NoTimeout")
+    one = both.repartition("cache_key").mapInArrow(_first_rows, f"{ASKED}, done boolean")
+    return one.dropDuplicates(["cache_key"]).filter("NOT done").drop("done")
 
 
 def resume_stream(spark: SparkSession, pages: DataFrame, models: DataFrame, voices: DataFrame, done_path: str, todo_path: str, checkpoint: str, bad_path: str | None = None) -> StreamingQuery:
