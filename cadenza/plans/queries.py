@@ -83,7 +83,7 @@ def _(spark, d):
 @query("s7_allocate_output_numbers", """SELECT page_id AS doc_id, n AS number, 'narration_' || CASE WHEN length(n::VARCHAR) < 4 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '.wav' AS name
 FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) + (SELECT coalesce(max(s_suppkey), 0) FROM supplier) AS n FROM pages)""")
 def _(spark, d):
-    names = I.table(spark, d, "supplier").select(F.concat(F.lit("Narration_"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0"), F.lit(".WAV")).alias("name"))
+    names = I.table(spark, d, "supplier").select(F.concat(F.lit("Narration_"), S.padded("s_suppkey"), F.lit(".WAV")).alias("name"))
     return S.allocate_output_numbers(I.pages(spark, d).withColumnRenamed("page_id", "doc_id"), names)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cadenza.sources.shared import content, listed, put_if_absent, written
 
@@ -48,6 +48,12 @@ def write_plan(plan: DataFrame, path: str, mode: str = "overwrite") -> None:
     plan.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").write.mode(mode).partitionBy("role").parquet(path)
 
 
+def padded(number: str | Column) -> Column:
+    """WIDTH digits, or all that a longer number has (lpad alone would cut it)."""
+    digits = (F.col(number) if isinstance(number, str) else number).cast("string")
+    return F.when(F.length(digits) < WIDTH, F.lpad(digits, WIDTH, "0")).otherwise(digits)
+
+
 def reserve_numbers(spark: SparkSession, folder: str, count: int, taken: int = 0) -> int:
     """The first of ``count`` numbers above ``taken`` that no other run has or gets.
 
@@ -90,7 +96,5 @@ def allocate_output_numbers(new_docs: DataFrame, existing: DataFrame, id_col: st
         total += n
     starts = placed.sparkSession.createDataFrame(offsets, "_p int, _start long")
     number = F.col("_start") + F.col("_i") + 1
-    digits = number.cast("string")
-    padded = F.when(F.length(digits) < WIDTH, F.lpad(digits, WIDTH, "0")).otherwise(digits)
     # no more rows than the sort had partitions
-    return placed.join(F.broadcast(starts), "_p").select("doc_id", number.alias("number"), F.concat(F.lit(f"{PREFIX}_"), padded, F.lit(".wav")).alias("name"))
+    return placed.join(F.broadcast(starts), "_p").select("doc_id", number.alias("number"), F.concat(F.lit(f"{PREFIX}_"), padded(number), F.lit(".wav")).alias("name"))

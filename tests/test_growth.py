@@ -1,8 +1,12 @@
 """Queries at sizes where an earlier form of them failed or took too long."""
 
+import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from cadenza.plans import queries as Q
 from cadenza.streaming import intake
+from tests.test_queries import SF, plain
 
 
 def test_new_keys_ask_python_for_no_single_key(spark, tmp_path):
@@ -22,3 +26,15 @@ def test_first_rows_of_a_task_in_many_batches(monkeypatch):
     order = lambda r: (not r[3], r[1] is not None, r[1] or 0, r[2])
     assert sorted(got, key=str) == sorted((min((r for r in rows if r[0] == key), key=order) for key in {r[0] for r in rows}), key=str)
     assert list(intake._first_rows(iter([]))) == []
+
+
+def test_numbers_of_over_four_digits_are_taken_whole(spark, tmp_path):
+    spark.read.parquet(f"{SF}/pages.parquet").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.range(9990, 20005).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = Q.QUERIES["s7_allocate_output_numbers"](spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("pages", "supplier"):
+        c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = c.execute(Q.SQL["s7_allocate_output_numbers"])
+    assert got.agg(F.min("number")).first()[0] == 20005
+    assert plain(got.collect(), got.columns) == plain(want.fetchall(), [d[0] for d in want.description])
