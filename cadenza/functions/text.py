@@ -11,12 +11,18 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapTyp
 
 #: White space as Unicode text handling has it, U+001C-U+001F included (a plain \s knows ASCII only).
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same as a set of characters, for trimming: that looks at the ends of a text only.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Ends of lines.
 EOL = r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])"
 #: Quotation marks that are stripped, and dashes that lead an attribution.
 QUOTES = "\"'“”‘’"
 DASHES = "~\\-–—"
 SLICE = 256
+#: Maps that names of characters are dealt into.
+NAME_PARTS = 1024
+#: Longest run that a regular expression packs.
+LONGEST_RUN = 2048
 
 Counter = Callable[[Column], Column]
 
@@ -166,8 +172,16 @@ def pack(units: Column, budget: int, counter: str | Counter = "chars4") -> Colum
 
 
 def pack_words(c: Column, budget: int, counter: str | Counter = "chars4") -> Column:
-    """Word runs of a clause that fit the budget; words are never cut."""
-    return pack(F.filter(F.split(c, " +"), lambda w: w != ""), budget, counter)
+    """Word runs of a clause that fit the budget; words are never cut.
+
+    Where the counter is a length, a regular expression finds the longest run that fits at
+    each place, or a word that alone doesn't, so nothing is folded word by word.
+    """
+    most = {"chars4": 4 * budget, "chars": budget}.get(counter, 0) if isinstance(counter, str) else 0
+    if not 3 <= most <= LONGEST_RUN:
+        return pack(F.filter(F.split(c, " +"), lambda w: w != ""), budget, counter)
+    run = rf"(?s)([^ ]{{{most + 1},}}+|[^ ](?:.{{0,{most - 2}}}[^ ])?(?= |\z))"
+    return F.regexp_extract_all(F.regexp_replace(c, "  +", " "), F.lit(run), F.lit(1))
 
 
 def split_units(c: Column, budget: int, counter: str | Counter = "chars4") -> Column:

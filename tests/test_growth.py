@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cadenza.functions import text as T
 from cadenza.plans import queries as Q
 from cadenza.streaming import intake
 from tests.test_queries import SF, plain
@@ -38,3 +39,15 @@ def test_numbers_of_over_four_digits_are_taken_whole(spark, tmp_path):
     want = c.execute(Q.SQL["s7_allocate_output_numbers"])
     assert got.agg(F.min("number")).first()[0] == 20005
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), [d[0] for d in want.description])
+
+
+def test_words_are_packed_without_a_fold(spark):
+    texts = ["", " ", "a", "  a   b ", "x" * 60, "a " * 100, f"a {'y' * 12} b {'z' * 13} c", "\U0001f600 é" * 40, "a\nb\tc d e f", "w" * 11 + " ü " + "v" * 12, None]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").repartition(1)
+    words = F.filter(F.split("t", " +"), lambda w: w != "")
+    for counter, budgets in (("chars4", (1, 3, 12)), ("chars", (1, 3, 12, 3000)), ("words", (1, 3))):
+        for budget in budgets:
+            got = rows.select("t", T.pack_words(F.col("t"), budget, counter).alias("got"), T.pack(words, budget, counter).alias("want"))
+            assert got.filter("NOT got <=> want").collect() == []
+    plan = Q.QUERIES["c4_pack_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "aggregate" not in plan
