@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import zlib
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -75,14 +76,24 @@ def decode_entities(c: Column, names: Mapping[str, str] = html.entities.html5) -
     Windows-1252, what is no character becomes U+FFFD, control characters and
     noncharacters go. All else stays as it is.
 
-    One pass over the text's pieces: a reference, a run without "&", or a lone "&".
+    One pass over the text's pieces: a reference, a run without "&", or a lone "&". A name
+    is looked up in the one of NAME_PARTS small maps that its CRC-32 picks, as Spark searches
+    a map from end to end.
     """
     reference = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?"
     pieces = F.regexp_extract_all(c, F.lit(f"(?s)({reference}|[^&]+|&)"), F.lit(1))
     old = {n: t for n, t in names.items() if not n.endswith(";")}
-    table = lambda of: F.from_json(F.lit(json.dumps(of)), "map<string,string>")  # noqa: E731  folded to a literal
     windows = F.array(*[F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)])
 
+    def in_parts(of: Mapping[str, str]) -> Callable[[Column], Column]:
+        parts: list[dict[str, str]] = [{} for _ in range(NAME_PARTS)]
+        for name, text in of.items():
+            parts[zlib.crc32(name.encode()) % NAME_PARTS][name] = text
+        table = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")  # folded to a literal
+        return lambda name: F.try_element_at(F.get(table, (F.crc32(name.cast("binary")) % NAME_PARTS).cast("int")), name)
+
+    of_all, of_old = in_parts(names), in_parts(old)
+
     def char(code: Column) -> Column:
         gone = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
         return (
@@ -94,19 +105,18 @@ def decode_entities(c: Column, names: Mapping[str, str] = html.entities.html5) -
 
     def number(p: Column, pattern: str, most: int) -> Column:
         """Digits of a numeric reference without leading zeros; "" if there are more than ``most``."""
-        digits = F.regexp_extract(p, pattern, 1)
-        return F.when(F.char_length(digits) > most, "").when(digits == "", "0").otherwise(digits)
+        return let(F.regexp_extract(p, pattern, 1), lambda digits: F.when(F.char_length(digits) > most, "").when(digits == "", "0").otherwise(digits))
 
     def named(name: Column) -> Column:
-        begun = [F.concat(F.try_element_at(table(old), F.substring(name, 1, n)), F.substr(name, F.lit(n + 1))) for n in range(max(map(len, old), default=0), 1, -1)]
-        return F.coalesce(F.try_element_at(table(dict(names)), name), *begun)
+        begun = [F.concat(of_old(F.substring(name, 1, n)), F.substr(name, F.lit(n + 1))) for n in range(max(map(len, old), default=0), 1, -1)]
+        return F.coalesce(of_all(name), *begun)
 
     def piece(p: Column) -> Column:
         return (
-            F.when(~p.startswith("&") | (F.char_length(p) < 2), p)
-            .when(p.rlike("^&#[xX]"), char(F.conv(number(p, "^&#[xX]0*([0-9a-fA-F]*)", 6), 16, 10).try_cast("long")))
-            .when(p.startswith("&#"), char(number(p, "^&#0*([0-9]*)", 7).try_cast("long")))
-            .otherwise(F.coalesce(named(F.substr(p, F.lit(2))), p))
+            F.when(~p.startswith("&") | (p == "&"), p)
+            .when(p.startswith("&#x") | p.startswith("&#X"), let(F.conv(number(p, "^&#[xX]0*([0-9a-fA-F]*)", 6), 16, 10).try_cast("long"), char))
+            .when(p.startswith("&#"), let(number(p, "^&#0*([0-9]*)", 7).try_cast("long"), char))
+            .otherwise(F.coalesce(let(F.substr(p, F.lit(2)), named), p))
         )
 
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(c)

@@ -51,3 +51,10 @@ def test_words_are_packed_without_a_fold(spark):
             assert got.filter("NOT got <=> want").collect() == []
     plan = Q.QUERIES["c4_pack_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan and "aggregate" not in plan
+
+
+def test_names_of_characters_are_looked_up_in_small_maps(spark):
+    plan = Q.QUERIES["x15_decode_entities"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "MapType" in plan and "ArrayType(MapType" in plan
+    rows = spark.createDataFrame([("&notit; &not; &amp;amp; &#x41;&#0065;&#128;&#xD800;&#1;& &nosuch; &NotEqualTilde;&CounterClockwiseContourIntegral;",)], "t string")
+    assert rows.select(T.decode_entities(F.col("t"))).first()[0] == "¬it; ¬ &amp; AA€�& &nosuch; ≂̸∳"
