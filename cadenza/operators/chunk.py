@@ -118,8 +118,10 @@ def quarantine(script: DataFrame, budgets: Mapping[str, int] | int = BUDGET, cou
     """
     plan = _plan(script, budgets, counters)
     unknown = validate_script(script)[1].select("doc_id", "block_index", "reason", F.lit(None).cast("string").alias("preview"), F.lit(None).cast("int").alias("tokens"))
-    for role, (budget, counter) in plan.items():
-        own = script.filter(F.col("block_type").isin(*TYPES) & ((F.col("block_type") == "quote") == F.lit(role == "quote")))
+    quote, one, other = F.col("block_type") == "quote", plan["narration"], plan["quote"]
+    known = script.filter(F.col("block_type").isin(*TYPES))
+    # a pass for each counter
+    for own, (budget, counter) in [(known, one)] if one == other else [(known.filter(~quote), one), (known.filter(quote), other)]:
         words = oversized_words(own, budget, counter)
         unknown = unknown.unionByName(words.select("doc_id", "block_index", F.lit("a word is over the budget").alias("reason"), "preview", F.col("tokens").cast("int").alias("tokens")))
     return unknown

@@ -658,16 +658,19 @@ def plan(pages: DataFrame, budget: int = chunk.BUDGET) -> tuple[DataFrame, DataF
     pause_ms, text. Left out, whole: posts without text or blocks, and posts with a word
     over the budget; doc_id, block_index, reason, preview, tokens.
     """
-    blocks = extract.extract_blocks(pages)
+    blocks = written(extract.extract_blocks(pages), "blocks")  # several passes over them, but one over the pages
     told = script.build_script(blocks)
+    return routed_chunks(told, budget), chunk.quarantine(told, budget).unionByName(extract.rejected_pages(pages, blocks), allowMissingColumns=True)
+
+
+def routed_chunks(told: DataFrame, budget: int = chunk.BUDGET) -> DataFrame:
     timed = timeline.pause_ms(timeline.boundary_kind(chunk.build_role_chunks(told, budget)))
-    chunks = timed.select("doc_id", "chunk_index", "block_index", "block_type", "role", T.token_count(F.col("text")).alias("tokens"), "boundary", "pause_ms", "text")
-    return chunks, chunk.quarantine(told, budget).unionByName(extract.rejected_pages(pages, blocks), allowMissingColumns=True)
+    return timed.select("doc_id", "chunk_index", "block_index", "block_type", "role", T.token_count(F.col("text")).alias("tokens"), "boundary", "pause_ms", "text")
 
 
 @query("flagship_plan", f"WITH {I.PAGE_BLOCKS}, {I.script_sql(source='page_blocks')}, {I.chunks_sql()} SELECT doc_id, chunk_index, block_index, block_type, role, {I.tokens_sql('text')}::INTEGER AS tokens, CASE WHEN paragraph_end THEN 'paragraph' WHEN {_ENDS} THEN 'sentence' ELSE 'clause' END AS boundary, {_PAUSE} AS pause_ms, text FROM chunks")
 def _(spark, d):
-    return plan(I.pages(spark, d))[0]
+    return routed_chunks(script.build_script(extract.extract_blocks(I.pages(spark, d))))
 
 
 def _quarantine_sql(budget: int) -> str:

@@ -58,3 +58,9 @@ def test_names_of_characters_are_looked_up_in_small_maps(spark):
     assert "MapType" in plan and "ArrayType(MapType" in plan
     rows = spark.createDataFrame([("&notit; &not; &amp;amp; &#x41;&#0065;&#128;&#xD800;&#1;& &nosuch; &NotEqualTilde;&CounterClockwiseContourIntegral;",)], "t string")
     assert rows.select(T.decode_entities(F.col("t"))).first()[0] == "¬it; ¬ &amp; AA€�& &nosuch; ≂̸∳"
+
+
+def test_what_a_plan_leaves_out_takes_one_pass_over_the_pages(spark):
+    left_out = Q.QUERIES["flagship_quarantine"](spark, SF)
+    plan = left_out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("Generate explode(split") == 1
