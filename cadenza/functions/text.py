@@ -35,7 +35,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_ws(c: Column) -> Column:
@@ -55,13 +55,17 @@ def is_speaker_name(c: Column) -> Column:
 
 def split_attribution(c: Column) -> Column:
     """struct<text, speaker>: the speaker, where the last line that isn't blank is a dash and a name."""
-    body = F.regexp_replace(c, f"(?:{WS}*{EOL})*{WS}*$", "")
-    lines = F.split(body, EOL)
-    last = strip(F.element_at(lines, -1))
-    name = strip(F.regexp_extract(last, f"^[{DASHES}](.*)$", 1))
-    found = last.rlike(f"^[{DASHES}]") & is_speaker_name(name)
-    text = F.when(found, F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")).otherwise(F.array_join(lines, "\n"))
-    return F.struct(text.alias("text"), F.when(found, name).alias("speaker"))
+
+    def parts(lines: Column, name: Column) -> Column:
+        text = F.when(name.isNotNull(), F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")).otherwise(F.array_join(lines, "\n"))
+        return F.struct(text.alias("text"), name.alias("speaker"))
+
+    def named(last: Column) -> Column:
+        name = F.when(last.rlike(f"^[{DASHES}]"), strip(F.regexp_extract(last, f"^[{DASHES}](.*)$", 1)))
+        return let(name, lambda n: F.when(is_speaker_name(n), n))
+
+    lines = F.split(F.rtrim(c, F.lit(SPACES)), EOL)
+    return let(lines, lambda x: let(let(strip(F.element_at(x, -1)), named), lambda name: parts(x, name)))
 
 
 def strip_quotes(c: Column) -> Column:

@@ -10,25 +10,6 @@ from cadenza.streaming import intake
 from tests.test_queries import SF, plain
 
 
-def test_new_keys_ask_python_for_no_single_key(spark, tmp_path):
-    for folder, schema in (("wanted", intake.ASKED), ("done", "cache_key string")):
-        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{folder}")
-    read = lambda folder, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{folder}")
-    plan = intake.new_keys(read("wanted", intake.ASKED), read("done", "cache_key string"))._jdf.queryExecution().analyzed().toString()
-    assert "Deduplicate" in plan and "WithState" not in plan
-
-
-def test_first_rows_of_a_task_in_many_batches(monkeypatch):
-    monkeypatch.setattr(intake, "COMPACT_ROWS", 4)
-    names = ["cache_key", "doc_id", "chunk_index", "done"]
-    rows = [(None if k % 7 == 0 else f"k{k % 7}", None if k == 40 else 100 - k, k % 3, k == 5) for k in range(60)]
-    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 3]], pa.schema([("cache_key", pa.string()), ("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("done", pa.bool_())])) for i in range(0, 60, 3)]
-    got = [tuple(r[n] for n in names) for b in intake._first_rows(iter(batches)) for r in b.to_pylist()]
-    order = lambda r: (not r[3], r[1] is not None, r[1] or 0, r[2])
-    assert sorted(got, key=str) == sorted((min((r for r in rows if r[0] == key), key=order) for key in {r[0] for r in rows}), key=str)
-    assert list(intake._first_rows(iter([]))) == []
-
-
 def test_numbers_of_over_four_digits_are_taken_whole(spark, tmp_path):
     spark.read.parquet(f"{SF}/pages.parquet").write.parquet(f"{tmp_path}/pages.parquet")
     spark.range(9990, 20005).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
@@ -60,7 +41,35 @@ def test_names_of_characters_are_looked_up_in_small_maps(spark):
     assert rows.select(T.decode_entities(F.col("t"))).first()[0] == "¬it; ¬ &amp; AA€�& &nosuch; ≂̸∳"
 
 
+def test_attribution_behind_runs_of_line_ends(spark):
+    """The first text never ended."""
+    ends = "a" + "\n" * 3000 + "b"
+    texts = [ends, "a\n\n— Ann Lee \n \n", "— Ann", "a\n— 9", "a\n—　Bo \x85", " \n ", "", None, "a\r\n~Cy\r\n"]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").repartition(1)
+    got = [tuple(r.a) for r in rows.select("i", T.split_attribution(F.col("t")).alias("a")).orderBy("i").collect()]
+    assert got == [(ends, None), ("a\n", "Ann Lee"), ("", "Ann"), ("a\n— 9", None), ("a", "Bo"), ("", None), ("", None), (None, None), ("a", "Cy")]
+
+
 def test_what_a_plan_leaves_out_takes_one_pass_over_the_pages(spark):
     left_out = Q.QUERIES["flagship_quarantine"](spark, SF)
     plan = left_out._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and plan.count("Generate explode(split") == 1
+
+
+def test_new_keys_ask_python_for_no_single_key(spark, tmp_path):
+    for folder, schema in (("wanted", intake.ASKED), ("done", "cache_key string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{folder}")
+    read = lambda folder, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{folder}")
+    plan = intake.new_keys(read("wanted", intake.ASKED), read("done", "cache_key string"))._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "WithState" not in plan
+
+
+def test_first_rows_of_a_task_in_many_batches(monkeypatch):
+    monkeypatch.setattr(intake, "COMPACT_ROWS", 4)
+    names = ["cache_key", "doc_id", "chunk_index", "done"]
+    rows = [(None if k % 7 == 0 else f"k{k % 7}", None if k == 40 else 100 - k, k % 3, k == 5) for k in range(60)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 3]], pa.schema([("cache_key", pa.string()), ("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("done", pa.bool_())])) for i in range(0, 60, 3)]
+    got = [tuple(r[n] for n in names) for b in intake._first_rows(iter(batches)) for r in b.to_pylist()]
+    order = lambda r: (not r[3], r[1] is not None, r[1] or 0, r[2])
+    assert sorted(got, key=str) == sorted((min((r for r in rows if r[0] == key), key=order) for key in {r[0] for r in rows}), key=str)
+    assert list(intake._first_rows(iter([]))) == []
