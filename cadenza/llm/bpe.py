@@ -149,7 +149,7 @@ class Encoder:
         """Ids of many words in one flat array, and where each word's ids begin."""
         lengths = np.array([len(w) for w in words], np.int64)
         sym = self.t["first"][np.frombuffer(b"".join(words), np.uint8)]
-        wid = np.repeat(np.arange(len(words)), lengths)
+        wid = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         done_ids, done_wid = [], []
         rank = np.full(len(sym), NO_RANK, np.int32)
         made = np.zeros(len(sym), np.int32)
@@ -169,11 +169,12 @@ class Encoder:
                 sym, wid, rank, made, each = sym[keep], wid[keep], rank[keep], made[keep], each[keep]
                 if not len(sym):
                     break
-            hit = rank == each
             # of places that overlap (a run of one symbol), every second one merges, from the left
-            at = np.arange(len(sym))
-            run = at - np.maximum.accumulate(np.where(hit, -1, at))
-            merge = np.flatnonzero(hit & (run % 2 == 1))
+            merge = np.flatnonzero(rank == each)
+            joined = np.concatenate([[False], merge[1:] == merge[:-1] + 1])
+            if joined.any():
+                at = np.arange(len(merge))
+                merge = merge[(at - np.maximum.accumulate(np.where(joined, 0, at))) % 2 == 0]
             sym[merge] = made[merge]
             keep = np.ones(len(sym), bool)
             keep[merge + 1] = False
@@ -181,8 +182,10 @@ class Encoder:
             sym, wid, rank, made = sym[keep], wid[keep], rank[keep], made[keep]
             merged = place[merge]
             rank[merged] = NO_RANK
-            stale = np.unique(np.concatenate([merged, merged[merged > 0] - 1]))
-            stale = stale[stale + 1 < len(sym)]
+            # in order by a mask: np.unique() would hash them
+            touched = np.zeros(len(sym) + 1, bool)
+            touched[merged] = touched[merged - 1] = True  # before the first place is the one behind the last
+            stale = np.flatnonzero(touched[: max(len(sym) - 1, 0)])
             stale = stale[wid[stale] == wid[stale + 1]]
         ids = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int32)
         of = np.concatenate(done_wid) if done_wid else np.zeros(0, np.int64)
